@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import exact_dedup, mixing, quality_rules, simhash, url_filters
 
 
 def queries() -> dict:
     return {
+        "op3_source_mixing": mixing.op3_source_mixing,
+        "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_url_filters": url_filters.op9_url_filters,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op3_source_mixing": mixing.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
+        "op8_exact_dedup": exact_dedup.ORACLE,
+        "op9_url_filters": url_filters.ORACLE,
     }
