@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, simhash, url_filters
+from . import exact_dedup, mixing, quality_rules, sentencepiece_codec, simhash, url_filters
 
 
 def queries() -> dict:
     return {
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
