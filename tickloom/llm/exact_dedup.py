@@ -26,8 +26,8 @@ from .common import stash, table
 SHARD_KEYS = 200_000
 #: Rows of a group of copies that are compared in one salted part.
 SALT_ROWS = 4096
-#: Ids that may be broadcast (about 16 MB); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of slim tables that may be broadcast (about 30 MB); more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 
 def digest_of(text: Column) -> Column:

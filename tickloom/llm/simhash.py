@@ -198,3 +198,61 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingles(text: bytes, size: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def _similar(least: float, size: int):
+    """Kernel over (doc_id, text, kept_text): ids whose word shingles have a Jaccard similarity of at least ``least`` with the kept text's."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        last, kept, out = None, set(), []
+        for text, other in zip(byte_rows(batch, 1), byte_rows(batch, 2), strict=True):
+            if other != last:
+                last, kept = other, _shingles(other, size)
+            own = _shingles(text, size)
+            shared = len(own & kept)
+            out.append(shared >= least * (len(own) + len(kept) - shared))
+        return pa.record_batch([batch.column(0).filter(pa.array(out, pa.bool_()))], ["doc_id"])
+
+    return kernel
+
+
+#: Members of a class that meet one copy of its representative.
+SALT_ROWS = 1024
+
+
+def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
+    """doc_id of every row to drop so that one of each group of near duplicates stays.
+
+    Candidates are the SimHash classes at ``radius``. In a class the smallest doc_id stays and members that
+    share at least ``least`` of their word shingles with it go; the others of the class are judged again
+    among themselves, until none is left. Rows with a null doc_id are not candidates.
+    """
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).filter("doc_id is not null")
+    named, _ = stash(classes(df, doc_id, text, SHINGLE, radius).select("doc_id", "component_id").filter("doc_id is not null").distinct())
+    sizes = named.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1")
+    left, _ = stash(docs.join(named.join(sizes, "component_id"), "doc_id").select("doc_id", "text", "component_id"))
+    dropped = None
+    while not left.isEmpty():
+        groups = left.groupBy("component_id").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n"))
+        salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+        joined = left.join(groups, "component_id")
+        kept = joined.filter("doc_id = kept").dropDuplicates(["component_id"]).select("component_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("text").alias("kept_text"))
+        others = joined.filter("doc_id != kept").select("doc_id", "text", "component_id", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+        pairs = others.join(kept, ["component_id", "salt"]).select("doc_id", "text", "kept_text")
+        gone, _ = stash(map_batches(pairs, _similar(least, shingle), "doc_id long"))
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        left, _ = stash(others.drop("salt").join(gone, "doc_id", "left_anti"))
+    return (named.select("doc_id").limit(0) if dropped is None else dropped).distinct()
+
+
+def filter_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
+    """df without the rows of duplicates(), all of df's columns."""
+    from .exact_dedup import bounded_broadcast
+
+    gone = bounded_broadcast(duplicates(df, doc_id, text, shingle, least, radius).select(F.col("doc_id").alias("__id")))
+    return df.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")
