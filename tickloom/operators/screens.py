@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,23 +62,35 @@ SCREENS["buy_1_7"] = f"({SCREENS['buy_1']}) and p_volume - volume > volume"
 SCREENS["monthly_1_2"] = f"({SCREENS['monthly_1']}) and ({SCREENS['monthly_2']})"
 
 
-def columns():
-    """Steps that prepare what the screens read."""
+#: Steps that a screen needs only if it names one of their columns.
+GROUPS = (
+    (("bar", "p_bar", "p2_bar", "bar_low20_price", "abs_bar", "macd_gap", "p_macd_gap", "macd_gap_rate", "macd_gap_body_rate", "boll_gap_hi3", "bar_min3", "bar_min5", "bar_min10", "bar_min20", "abs_bar_max10"), ind.bar_columns),
+    (("wr1",), ind.wr),
+    (("slow_line", "surge"), ind.operating_lines),
+    (("j", "p_j"), ind.kdj),
+    (("m50", "p_m50"), lambda: [lambda: {"m50": folds.ema("close", 50)}]),
+)
+
+
+def columns(condition: str):
+    """Steps that prepare what a condition reads."""
+    words = set(re.findall(r"[a-z_0-9]+", condition))
     lagged = ("open", "high", "low", "close", "chg", "volume", "turnover")
     C = F.col
+    groups = [make for names, make in GROUPS if words & set(names)]
+    bar, j, m50 = (any(words & set(GROUPS[k][0]) for k in ks) for ks in ((0,), (3,), (4,)))
     return [
-        *ind.bar_columns(),
-        *ind.wr(),
-        *ind.operating_lines(),
-        *ind.kdj(),
-        lambda: {"m50": folds.ema("close", 50)},
+        *[step for make in groups for step in make()],
         lambda: {f"p_{c}": S.ref(c) for c in lagged}
-        | {"p2_volume": S.ref("volume", 2), "p_bar": S.ref("bar"), "p2_bar": S.ref("bar", 2), "p_macd_gap": S.ref("macd_gap"), "p_j": S.ref("j"), "p_m50": S.ref("m50")}
+        | {"p2_volume": S.ref("volume", 2)}
+        | ({"p_bar": S.ref("bar"), "p2_bar": S.ref("bar", 2), "p_macd_gap": S.ref("macd_gap")} if bar else {})
+        | ({"p_j": S.ref("j")} if j else {})
+        | ({"p_m50": S.ref("m50")} if m50 else {})
         | {f"ma{n}": S.ma("close", n) for n in (5, 10, 40)}
         | {f"close_hi{n}": S.hhv("close", n) for n in (10, 15)}
         | {f"close_lo{n}": S.llv("close", n) for n in (3, 20, 40, 60)}
-        | {f"bar_min{n}": S.llv("bar", n) for n in (3, 5, 10, 20)}
-        | {"abs_bar_max10": S.hhv("abs_bar", 10), "boll_gap_hi3": S.hhv("boll_gap", 3), "ll": F.min("low").over(S.upto), "amount_ma5": S.ma("amount", 5), "low20": S.ma("low", 20), "high20": S.ma("high", 20)},
+        | ({f"bar_min{n}": S.llv("bar", n) for n in (3, 5, 10, 20)} | {"abs_bar_max10": S.hhv("abs_bar", 10), "boll_gap_hi3": S.hhv("boll_gap", 3)} if bar else {})
+        | {"ll": F.min("low").over(S.upto), "amount_ma5": S.ma("amount", 5), "low20": S.ma("low", 20), "high20": S.ma("high", 20)},
         lambda: {
             "p_amount_ma5": S.ref("amount_ma5"),
             "trend_class": F.when((C("close") > C("low20") * 1.1) & (C("close") <= C("low20") * 1.2), 3)
@@ -93,8 +107,8 @@ def screen(name: str) -> Column:
     return F.expr(f"coalesce({SCREENS[name]}, false)")
 
 
-def prepared(bars: DataFrame) -> DataFrame:
-    return with_steps(bars, columns())
+def prepared(bars: DataFrame, name: str) -> DataFrame:
+    return with_steps(bars, columns(SCREENS[name]))
 
 
 def delayed(buy: str = "buy") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base_queries, feature_queries, indicator_queries, series_queries, signal_queries, trade_queries  # noqa: F401  these modules fill the tables below
+from . import base_queries, feature_queries, indicator_queries, search_queries, series_queries, signal_queries, trade_queries  # noqa: F401  these modules fill the tables below
 from .build import ORACLES, QUERIES
 
 

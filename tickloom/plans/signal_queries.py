@@ -120,7 +120,7 @@ PREPARED = [{("x_" + k if k in ("_low", "_high") else k): v for k, v in s.items(
 for _name, _cond in sc.SCREENS.items():
     register(
         f"screen_{_name}",
-        lambda spark, sf, name=_name: sc.prepared(bars(spark, sf)).select("code", C("ts").cast("string").alias("ts"), sc.screen(name).alias("buy")),
+        lambda spark, sf, name=_name: sc.prepared(bars(spark, sf), name).select("code", C("ts").cast("string").alias("ts"), sc.screen(name).alias("buy")),
         q.staged([*PREPARED, {"buy": f"coalesce({_cond}, false)"}], ["buy"], rounded=False),
     )
 register(
