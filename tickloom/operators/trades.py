@@ -135,8 +135,9 @@ def match(bars: DataFrame, rule: Callable) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(list(c)) for c in zip(*out, strict=True)], NAMES)
 
-    ordered = bars.select("code", C("ts").cast("string").alias("ts"), "open", "high", "low", "close", F.coalesce("buy", F.lit(False)).alias("buy"))
-    return ordered.repartition("code").sortWithinPartitions("code", "ts").mapInArrow(run, LEDGER)
+    ordered = bars.repartition("code").sortWithinPartitions("code", "ts")
+    rows = ordered.select(C("code").cast("string").alias("code"), C("ts").cast("string").alias("ts"), "open", "high", "low", "close", F.coalesce("buy", F.lit(False)).alias("buy"))
+    return rows.mapInArrow(run, LEDGER)
 
 
 def exit_first_high(bars: DataFrame) -> DataFrame:
