@@ -18,7 +18,9 @@ import numpy as np
 HIDDEN = 16
 CLASS = 32
 WINDOW = 32
-LANES = 128
+LANES = 256
+#: Words after which training starts a long text's state anew (scoring never does).
+SEGMENT = 1024
 
 
 def initial(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
@@ -65,20 +67,23 @@ def lanes(lengths: list[int], most: int = LANES) -> list[list[int]]:
     return out
 
 
-def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(steps, lanes) arrays: the word before, the word, and the text's number (-1: nothing)."""
-    plan = lanes([len(x) for x in texts])
+def laid_out(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(steps, lanes) arrays: the word before, the word, the text's number (-1: nothing), and 0 where a text begins (else 1)."""
+    plan = lanes([len(x) for x in texts], most)
     steps = max(sum(len(texts[i]) for i in lane) for lane in plan)
     words = np.zeros((steps, len(plan)), np.int32)
+    starts = np.ones((steps, len(plan)), np.float32)
     owner = np.full((steps, len(plan)), -1, np.int32)
     for k, lane in enumerate(plan):
         at = 0
         for i in lane:
             words[at : at + len(texts[i]), k] = texts[i]
             owner[at : at + len(texts[i]), k] = i
+            starts[at, k] = 0
             at += len(texts[i])
-    previous = np.vstack((np.zeros((1, len(plan)), np.int32), words[:-1]))  # a text ends with 0, which starts the next
-    return previous, words, owner
+    previous = np.vstack((np.zeros((1, len(plan)), np.int32), words[:-1]))
+    previous[starts == 0] = 0  # a text begins after an end
+    return previous, words, owner, starts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -146,11 +151,11 @@ def log_likelihood(p: dict, texts: list[np.ndarray], window: int = 8 * WINDOW) -
     total = np.zeros(len(texts))
     if not texts:
         return total
-    previous, words, owner = laid_out(texts)
+    previous, words, owner, starts = laid_out(texts)
     h = np.zeros((words.shape[1], HIDDEN), np.float32)
     for t in range(0, len(words), window):
         part = slice(t, t + window)
-        states, _ = forward(p, previous[part], (previous[part] != 0).astype(np.float32), h)
+        states, _ = forward(p, previous[part], starts[part], h)
         h = states[-1]
         real = owner[part] >= 0
         found = outputs(p, states[real], words[part][real])
@@ -161,24 +166,25 @@ def log_likelihood(p: dict, texts: list[np.ndarray], window: int = 8 * WINDOW) -
 class Trainer:
     """Adam on windows of truncated backpropagation."""
 
-    def __init__(self, p: dict, rate: float = 0.01):
+    def __init__(self, p: dict, rate: float = 0.02):
         self.p, self.rate, self.n = {k: v.copy() for k, v in p.items()}, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.tokens = 0
 
     def learn(self, texts: list[np.ndarray]) -> None:
+        """One pass over all words of the texts; long ones are cut into segments, so that all lanes stay filled."""
         if not texts:
             return
-        previous, words, owner = laid_out(texts)
+        texts = [x[k : k + SEGMENT] for x in texts for k in range(0, len(x), SEGMENT)]
+        previous, words, owner, starts = laid_out(texts)
         h = np.zeros((words.shape[1], HIDDEN), np.float32)
         for t in range(0, len(words), WINDOW):
             part = slice(t, t + WINDOW)
-            h = self._window(previous[part], words[part], owner[part] >= 0, h)
+            h = self._window(previous[part], words[part], owner[part] >= 0, starts[part], h)
 
-    def _window(self, previous, words, real, h):
+    def _window(self, previous, words, real, starts, h):
         p, n = self.p, HIDDEN
-        starts = (previous != 0).astype(np.float32)
         states, saved = forward(p, previous, starts, h, keep=True)
         count = int(real.sum())
         if not count:

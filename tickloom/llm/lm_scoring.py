@@ -40,6 +40,8 @@ ROUNDS = 4
 #: Words a task counts before it hands its sums over, and tokens it lays out at a time.
 TABLE = 400_000
 TOKENS = 1_000_000
+#: Bytes from which a text counts as long.
+LONG = 16_384
 LN10 = float(np.log(10))
 
 
@@ -162,16 +164,20 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, known = gru.unpacked(sent.value, shape), shared.value
+        # long texts wait for each other, so that their lanes run side by side
+        held = {False: ([], [], 0), True: ([], [], 0)}
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), byte_rows(batch)
-            at = 0
-            while at < len(texts):
-                until, size = at, 0
-                while until < len(texts) and (until == at or size + len(texts[until]) // 6 < TOKENS):
-                    size += len(texts[until]) // 6
-                    until += 1
-                yield scored(p, known, ids[at:until], texts[at:until])
-                at = until
+            for i, text in zip(batch.column(0).to_pylist(), byte_rows(batch), strict=True):
+                ids, texts, size = held[long := len(text) > LONG]
+                ids.append(i)
+                texts.append(text)
+                held[long] = (ids, texts, size + len(text))
+                if size + len(text) > 6 * TOKENS:
+                    yield scored(p, known, ids, texts)
+                    held[long] = ([], [], 0)
+        for ids, texts, _ in held.values():
+            if texts:
+                yield scored(p, known, ids, texts)
 
     def scored(p: dict, known: Words, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         numbers, lengths, common, common_log, n_other, other_log, rare = [], [], [], [], [], [], []
