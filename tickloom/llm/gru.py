@@ -177,7 +177,8 @@ class Trainer:
         if not texts:
             return
         texts = [x[k : k + SEGMENT] for x in texts for k in range(0, len(x), SEGMENT)]
-        previous, words, owner, starts = laid_out(texts)
+        # few words get few lanes, so that there are some steps of the optimiser
+        previous, words, owner, starts = laid_out(texts, max(8, min(LANES, sum(map(len, texts)) // (32 * WINDOW))))
         h = np.zeros((words.shape[1], HIDDEN), np.float32)
         for t in range(0, len(words), WINDOW):
             part = slice(t, t + WINDOW)

@@ -26,7 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import gru
@@ -150,7 +150,10 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
     ends = training.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()  # a bounded table
+    # the counts from which at most COMMON words are common; words that tie at the edge are all left out
+    by_count = counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("n"))))
+    least = by_count.filter(F.col("upto") <= COMMON).agg(F.min("n").alias("n")).first()["n"]
+    top = [] if least is None else sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     words = Words([bytes(r["word"]) for r in top], [r["n"] for r in top], ends)
     shared = spark.sparkContext.broadcast(words)
 
