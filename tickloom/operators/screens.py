@@ -114,3 +114,69 @@ def prepared(bars: DataFrame, name: str) -> DataFrame:
 def delayed(buy: str = "buy") -> Column:
     """The signal of the bar before."""
     return F.coalesce(S.ref(buy), F.lit(False))
+
+
+# -- screens with steps of their own --------------------------------------------------------------
+
+
+def _lagged(**lags: int):
+    return lambda: {f"{c}{k}": S.ref(c, k) for c, n in lags.items() for k in range(1, n + 1)}
+
+
+def daily_24():
+    """Well under the adaptive line, open rising towards it, in a falling market."""
+    C = F.col
+    return [
+        *ind.adaptive_line(),
+        lambda: {"od": F.coalesce(C("open") / C("adaptive"), F.lit(0.0)) * 100, "cd": F.coalesce(C("close") / C("adaptive"), F.lit(0.0)) * 100, "ma40": S.ma("close", 40)},
+        lambda: {"od1": S.ref("od")},
+        _lagged(chg=1, open=1, close=1),
+        lambda: {"buy": F.expr("coalesce(od < 96 and od > od1 and close < ma40 and chg < 0 and turnover > 0.5 and chg1 < 0 and cd < 96 and chg > -0.95 * limit_rate and open1 > close1, false)")},
+    ]
+
+
+def daily_26():
+    """A pullback in nine parts: inside the last range, above the long mean, with a growing range and a weak close."""
+    C = F.col
+    return [
+        lambda: {"hi20": S.hhv("high", 20), "lo10": S.llv("low", 10), "lo3": S.llv("low", 3), "ma18": S.ma("close", 18), "ma20": S.ma("close", 20), "tr": F.when(C("prev_close").isNotNull(), ind.true_range())},
+        lambda: {"tr14": S.ma("tr", 14), "line": (C("high") + C("low")) / 2 - S.ma("tr", 2)},
+        lambda: {"line3": S.hhv("line", 3)},
+        _lagged(hi20=1, lo10=1, lo3=1, ma20=1, tr=1, tr14=1),
+        lambda: {
+            "buy": F.expr(
+                "coalesce(chg < 0.95 * limit_rate and low > lo101 and high < hi201 and rn > 31 and close < line3 and close < prev_close and close < open and close != low and close > ma18"
+                " and ma20 > ma201 and close < lo31 and tr14 > tr141 and tr > tr1 and close - low < 0.3 * (high - low), false)"
+            )
+        },
+    ]
+
+
+def daily_27():
+    """Two patterns of a fall after mixed bars."""
+    C = F.col
+    return [
+        lambda: {"e5": folds.ema("close", 5)},
+        lambda: {"ma14": S.ma("close", 14), "v16": S.llv("volume", 16)},
+        _lagged(open=3, close=3, high=3, volume=3),
+        lambda: {
+            "buy": F.expr(
+                "coalesce(open3 < close3 and open2 < close2 and open1 > close1 and open > close and close < 1.098 * close1 and close1 >= 1.03 * close and close < 1.03 * low and high < high1"
+                " and close - low < (open - close) * 0.6 and close1 < 1.0995 * close2 and volume < v16 * 9.5 and high1 < 1.07 * close and high - open > close - low and high3 > 1.011 * least(open3, close3)"
+                " and close2 < close1 * 1.01 and close - low > 0.03 * (high - low) and close - low < 0.3 * (high - low), false)"
+                " or coalesce(open3 > close3 and open2 > close2 and open1 < close1 and open > close and close1 >= 1.03 * close and close < 1.03 * low and volume < volume3 * 1.2 and volume > volume3 * 0.9"
+                " and high < high1 and e5 > ma14 * 1.017, false)"
+            )
+        },
+    ]
+
+
+def daily_28(level: float = 95.0):
+    """The price's distance from the mean paid crosses a level from below."""
+    C = F.col
+    return [
+        lambda: {"ea": folds.ema("amount", 13), "ev": folds.ema("volume", 13)},
+        lambda: {"paid": F.try_divide(C("ea"), C("ev"))},
+        lambda: {"far": F.try_divide(C("close") - C("paid"), C("paid")) * 1000},
+        lambda: {"buy": F.coalesce((C("chg") < C("limit_rate") * 0.95) & (S.ref("far") < level) & (C("far") >= level), F.lit(False))},
+    ]

@@ -81,7 +81,8 @@ LINES = [
 ]
 add("operating_lines", [*ind.operating_lines(), lambda: {"surge": ind.C("surge").cast("int")}], LINES, "hxjz bztd surge trend trend_rate q slow_line")
 add("pct_change", ind.pct_change(), [{"pct": "close / prev_close - 1"}], "pct")
-add("adaptive_line", ind.adaptive_line(), [
+ADAPTIVE = [
     {"_move": "abs(close - prev_close)"}, {"_dir": f"abs(close - {R('close', 10)})", "_vir": q.total("_move", 10)}, {"er": D("_dir", "_vir")}, {"_x": f"er * {2 / 3 - 2 / 14!r}::double + {2 / 14!r}::double"},
     {"_cs": q.smooth("_x", 1 / 3)}, {"_size": "greatest(coalesce(floor(10 - _cs * 10), 1), 1)::int"},
-    {"_ma": "case when rn - 1 >= _size then [" + ", ".join(f"avg(close) over {q.past(k)}" for k in range(1, 11)) + "][_size] end"}, {"adaptive": q.ema("_ma", 2)}], "er adaptive")
+    {"_ma": "case when rn - 1 >= _size then [" + ", ".join(f"avg(close) over {q.past(k)}" for k in range(1, 11)) + "][_size] end"}, {"adaptive": q.ema("_ma", 2)}]
+add("adaptive_line", ind.adaptive_line(), ADAPTIVE, "er adaptive")

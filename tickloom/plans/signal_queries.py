@@ -8,7 +8,7 @@ from ..operators import screens as sc
 from ..operators import signals as sg
 from . import sqltext as q
 from .build import bars, register, steps
-from .indicator_queries import LINES, MACDS
+from .indicator_queries import ADAPTIVE, LINES, MACDS, TR
 
 C = F.col
 SIG, R = q.sig, q.ref
@@ -128,3 +128,23 @@ register(
     lambda spark, sf: bars(spark, sf).withColumn("buy", F.expr("coalesce(chg < -50, false)")).select("code", C("ts").cast("string").alias("ts"), sc.delayed().alias("buy")),
     q.base() + f" select code, cast(ts as varchar) as ts, coalesce(lag(coalesce(chg < -50, false)) over {q.W}, false) as buy from b",
 )
+
+LAG = lambda **lags: {f"{c}{k}": R(c, k) for c, n in lags.items() for k in range(1, n + 1)}
+steps("screen_daily_24", sc.daily_24(), [*ADAPTIVE, {"od": "coalesce(open / adaptive, 0) * 100", "cd": "coalesce(close / adaptive, 0) * 100", "ma40": q.ma("close", 40)}, {"od1": R("od")}, LAG(chg=1, open=1, close=1), {"buy": "coalesce(od < 96 and od > od1 and close < ma40 and chg < 0 and turnover > 0.5 and chg1 < 0 and cd < 96 and chg > -0.95 * limit_rate and open1 > close1, false)"}], ["buy"], rounded=False)
+steps(
+    "screen_daily_26",
+    sc.daily_26(),
+    [
+        {"hi20": q.hhv("high", 20), "lo10": q.llv("low", 10), "lo3": q.llv("low", 3), "ma18": q.ma("close", 18), "ma20": q.ma("close", 20), "tr": TR},
+        {"tr14": q.ma("tr", 14), "line": f"(high + low) / 2 - {q.ma('tr', 2)}"},
+        {"line3": q.hhv("line", 3)},
+        LAG(hi20=1, lo10=1, lo3=1, ma20=1, tr=1, tr14=1),
+        {"buy": "coalesce(chg < 0.95 * limit_rate and low > lo101 and high < hi201 and rn > 31 and close < line3 and close < prev_close and close < open and close != low and close > ma18 and ma20 > ma201 and close < lo31 and tr14 > tr141 and tr > tr1 and close - low < 0.3 * (high - low), false)"},
+    ],
+    ["buy"],
+    rounded=False,
+)
+_A = "open3 < close3 and open2 < close2 and open1 > close1 and open > close and close < 1.098 * close1 and close1 >= 1.03 * close and close < 1.03 * low and high < high1 and close - low < (open - close) * 0.6 and close1 < 1.0995 * close2 and volume < v16 * 9.5 and high1 < 1.07 * close and high - open > close - low and high3 > 1.011 * least(open3, close3) and close2 < close1 * 1.01 and close - low > 0.03 * (high - low) and close - low < 0.3 * (high - low)"
+_B = "open3 > close3 and open2 > close2 and open1 < close1 and open > close and close1 >= 1.03 * close and close < 1.03 * low and volume < volume3 * 1.2 and volume > volume3 * 0.9 and high < high1 and e5 > ma14 * 1.017"
+steps("screen_daily_27", sc.daily_27(), [{"e5": q.ema("close", 5), "ma14": q.ma("close", 14), "v16": q.llv("volume", 16)}, LAG(open=3, close=3, high=3, volume=3), {"buy": f"coalesce({_A}, false) or coalesce({_B}, false)"}], ["buy"], rounded=False)
+steps("screen_daily_28", sc.daily_28(), [{"ea": q.ema("amount", 13), "ev": q.ema("volume", 13)}, {"paid": q.div("ea", "ev")}, {"far": q.div("close - paid", "paid") + " * 1000"}, {"buy": f"coalesce(chg < 0.95 * limit_rate and {R('far')} < 95 and far >= 95, false)"}], ["buy"], rounded=False)
