@@ -152,3 +152,48 @@ def group_market_corr(df: DataFrame) -> DataFrame:
     market = df.groupBy("ts").agg(F.avg("relative").alias("market"))
     both = df.join(market, "ts").filter(C("relative").isNotNull() & C("market").isNotNull())
     return both.groupBy("code").agg(fn.div(F.covar_pop("relative", "market"), F.stddev_pop("relative") * F.stddev_pop("market")).alias("corr"), F.count("*").alias("n"))
+
+
+def nested_sweep(days: DataFrame, axes: dict[str, list[float]]) -> DataFrame:
+    """Both sides of a cut on each axis, in all combinations: rows, dates and success. Axes are short lists of cuts."""
+    out, keys = days, []
+    for column, cuts in axes.items():
+        out = out.withColumn(f"cut_{column}", F.explode(F.array(*[F.lit(float(c)) for c in cuts]))).withColumn(f"above_{column}", C(column) >= C(f"cut_{column}"))
+        keys += [f"cut_{column}", f"above_{column}"]
+    return out.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("date").alias("days"), F.avg(C("hit").cast("double")).alias("success"))
+
+
+def apply_params(votes: DataFrame, params: DataFrame) -> DataFrame:
+    """For each parameter row (id, models, least, min_count): the most voted code of each date among votes of its models
+    at ``least`` or better, if it has ``min_count`` votes. The parameter table is small; votes meet it by model."""
+    keyed = params.select("id", F.explode("models").alias("model"), "least", "min_count")
+    hit = votes.join(F.broadcast(keyed), "model").filter(C("prob") >= C("least"))
+    made = hit.groupBy("id", "date", "code").agg(F.count("*").alias("n"), F.first("min_count").alias("min_count"), F.max(C("hit").cast("int")).alias("hit")).filter(C("n") >= C("min_count"))
+    best = F.row_number().over(Window.partitionBy("id", "date").orderBy(F.desc("n"), "code"))
+    return made.withColumn("r", best).filter("r = 1").select("id", "date", "code", "n", "hit")
+
+
+def interval_split(days: DataFrame, performance: DataFrame, edges: list[float]) -> DataFrame:
+    """Rows with the band of success (performance: date, success) that their date falls into; the last band is open."""
+    band = sum(((C("success") >= e).cast("int") for e in edges), F.lit(0))
+    return days.join(performance.select("date", band.alias("band")), "date")
+
+
+def attach_next_day(days: DataFrame) -> DataFrame:
+    """Each row with its code's outcome on its own next date."""
+    w = Window.partitionBy("code").orderBy("date")
+    return days.withColumns({"next_date": F.lead("date").over(w), "next_hit": F.lead("hit").over(w)})
+
+
+def fail_rate_pairs(df: DataFrame, group: str) -> DataFrame:
+    """For each group the failure rates of single and of several votes, side by side."""
+    def rate(c):
+        return F.avg(F.when(c, (C("hit") == 0).cast("double")))
+
+    return df.groupBy(group).agg(rate(C("votes") == 1).alias("single_rate"), rate(C("votes") > 1).alias("several_rate"), F.count("*").alias("n"))
+
+
+def second_day_filter(df: DataFrame, most: float) -> DataFrame:
+    """Codes whose failure rate stays within the limit in every month they appear in."""
+    months = df.groupBy("code", F.date_trunc("month", "date").alias("month")).agg(F.avg((C("hit") == 0).cast("double")).alias("rate"))
+    return months.groupBy("code").agg(F.count("*").alias("months"), F.count_if(C("rate") <= most).alias("ok")).filter(C("months") == C("ok")).select("code", "months")

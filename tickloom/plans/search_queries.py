@@ -211,3 +211,21 @@ register("fund_veto_and_score", lambda spark, sf: fu.veto_and_score(fu.portfolio
 FR = "(partition by key order by t rows between 251 preceding and current row)"
 register("fund_worst_window_r2", lambda spark, sf: fu.worst_window_r2(path(spark, sf)).select("key", "windows", *r6("worst_r2")), PATH + f", lg as (select *, sum(ln(1 + ret)) over {KUP} as y from pp), cc as (select *, pow(covar_pop(t, y) over {FR} / nullif(stddev_pop(t) over {FR} * stddev_pop(y) over {FR}, 0), 2) as r2 from lg) select key, count(*) as windows, round(min(r2) + 1e-9, 6) as worst_r2 from cc where t >= 251 and (t - 251) % 21 = 0 group by 1")
 register("fund_simplify_name", lambda spark, sf: views.universe(spark, sf).select("code", fu.simplify_name(C("name")).alias("name")), q.views("universe") + " select code, regexp_replace(regexp_replace(regexp_replace(name, '[（(][^）)]*[）)]', '', 'g'), '(Supplier|#)', '', 'g'), '[A-E]$', '') as name from universe")
+register(
+    "select_nested_sweep",
+    lambda spark, sf: (lambda d: d.select("cut_best", "above_best", "cut_votes", "above_votes", "n", "days", *r6("success")))(se.nested_sweep(days(spark, sf), {"best": [0.6, 0.8, 0.9], "votes": [1, 2]})),
+    DAYS + ", m as (select cb as cut_best, best >= cb as above_best, cv as cut_votes, votes >= cv as above_votes, count(*) as n, count(distinct date) as days, avg(hit) as success from y, (select unnest([0.6, 0.8, 0.9])::double as cb), (select unnest([1, 2])::double as cv) group by 1, 2, 3, 4) select cut_best, above_best, cut_votes, above_votes, n, days, round(success + 1e-9, 6) as success from m",
+)
+register(
+    "select_apply_params",
+    lambda spark, sf: date(se.apply_params(views.votes(spark, sf), spark.createDataFrame([(1, ["m1", "m2", "m3"], 0.6, 1), (2, ["m4", "m5", "m6", "m7"], 0.8, 2)], "id int, models array<string>, least double, min_count int")), "id", "code", "n", "hit"),
+    VOTES + ", p as (select unnest([1, 2]) as id, unnest([['m1', 'm2', 'm3'], ['m4', 'm5', 'm6', 'm7']]) as models, unnest([0.6, 0.8])::double as least, unnest([1, 2]) as min_count), h as (select id, date, code, count(*) as n, max(hit::int) as hit from votes join p on list_contains(models, model) and prob >= least group by id, date, code, min_count having count(*) >= min_count) select date::varchar as date, id, code, n, hit from h qualify row_number() over (partition by id, date order by n desc, code) = 1",
+)
+register(
+    "select_interval_split",
+    lambda spark, sf: se.interval_split(days(spark, sf), days(spark, sf).groupBy("date").agg(F.avg("hit").alias("success")), [0.2, 0.4, 0.6, 0.8]).groupBy("band").agg(F.count("*").alias("n"), F.countDistinct("date").alias("days")),
+    DAYS + ", s as (select date, avg(hit) as success from y group by 1), z as (select y.*, (success >= 0.2)::int + (success >= 0.4)::int + (success >= 0.6)::int + (success >= 0.8)::int as band from y join s using (date)) select band, count(*) as n, count(distinct date) as days from z group by 1",
+)
+register("select_attach_next_day", lambda spark, sf: date(se.attach_next_day(days(spark, sf)), "code", C("next_date").cast("string").alias("next_date"), "next_hit"), DAYS + " select date::varchar as date, code, (lead(date) over (partition by code order by date))::varchar as next_date, lead(hit) over (partition by code order by date) as next_hit from y")
+register("select_fail_rate_pairs", lambda spark, sf: se.fail_rate_pairs(days(spark, sf).withColumn("month", F.month("date")), "month").select("month", "n", *r6("single_rate", "several_rate")), DAYS + " select month(date) as month, count(*) as n, round(avg(case when votes = 1 then (hit = 0)::int end) + 1e-9, 6) as single_rate, round(avg(case when votes > 1 then (hit = 0)::int end) + 1e-9, 6) as several_rate from y group by 1")
+register("select_second_day_filter", lambda spark, sf: se.second_day_filter(days(spark, sf), 0.5), DAYS + ", m as (select code, date_trunc('month', date) as month, avg((hit = 0)::int) as rate from y group by 1, 2) select code, count(*) as months from m group by code having count(*) = count(*) filter (where rate <= 0.5)")
