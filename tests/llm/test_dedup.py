@@ -88,11 +88,14 @@ def test_fingerprints(odd_docs):
     assert simhash.fingerprint(long.encode()) == simhash.fingerprint(long[:-1].upper().encode())
 
 
-def test_masks_cover_every_pair_within_the_radius():
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 5, 6])
+def test_masks_cover_every_pair_within_the_radius(radius):
     rng = random.Random(0)
-    for _ in range(3000):
-        differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
-        assert any(not differ & m % 2**64 for m in simhash.masks(3))
+    masks = [m % 2**64 for m in simhash.masks(radius)]
+    assert min(m.bit_count() for m in masks) >= 28
+    for _ in range(2000):
+        differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
+        assert any(not differ & m for m in masks)
 
 
 @pytest.mark.parametrize("bucket", [2, 4096])
@@ -137,3 +140,27 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges)[0].collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_near_duplicates(spark, odd_docs):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [[word() for _ in range(300)] for _ in range(6)]
+    rows = []
+    for k, b in enumerate(base):
+        for j in range(4):
+            w = list(b)
+            for _ in range(j):
+                w[rng.randrange(len(w))] = word()
+            rows.append((10 * k + j, " ".join(w), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.filter_documents(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    # what is dropped is similar to a smaller id that stays, and all close copies go
+    sets = {i: simhash._shingles(t.encode(), 5) for i, t, _ in rows}
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for i, _, _ in rows:
+        assert i in ids or any(k != i and close(k, i) for k, _, _ in rows)
+    assert {i for i in ids if i % 10 == 0} == {0, 10, 20, 30, 40, 50} and not {i for i in ids if i % 10 == 1}
+    assert simhash.filter_documents(odd_docs).count() <= odd_docs.count()

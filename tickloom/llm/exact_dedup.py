@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import stash, table
+from .common import stash, table, unstash
 
 #: Digests a shard's filter holds on average: bounds what one task builds or probes.
 SHARD_KEYS = 200_000
@@ -144,11 +144,12 @@ def decide(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: i
 
 def filter_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each group of equal texts, all of df's columns."""
-    decisions, _ = decide(df, doc_id, text)
-    dropped = bounded_broadcast(decisions.filter("not kept").select(F.col("doc_id").alias("__id")).distinct())
-    kept = df.join(dropped, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = decisions.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])
+    decisions, paths = decide(df, doc_id, text)
+    gone, _ = stash(decisions.filter("not kept").select(F.col("doc_id").alias("__id")).distinct())
+    repeated = not decisions.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    unstash(df.sparkSession, paths)
+    kept = df.join(bounded_broadcast(gone), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_anti")
+    return kept.dropDuplicates([doc_id, text]) if repeated else kept
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, map_batches, stash, table
+from .common import byte_rows, map_batches, stash, table, unstash
 from .components import components
+from .exact_dedup import bounded_broadcast
 
 SHINGLE = 3
 RADIUS = 3
@@ -67,11 +68,18 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
 
 def masks(radius: int = RADIUS) -> list[int]:
-    """The bits that each table keeps, as signed 64-bit integers."""
+    """The bits that each table keeps, as signed 64-bit integers; radius up to 6.
+
+    The vectors of the bits are spread so that every mask keeps about half of the bits or more: all
+    non-zero vectors in turn while there are fewer than bits, else a leading 1 and a counter.
+    """
+    if not 0 < radius <= 6:
+        raise ValueError("radius must be 1 to 6")
     vectors = (1 << (radius + 1)) - 1
+    own = [1 + i % vectors if vectors <= BITS else (1 << radius) | (i % (1 << radius)) for i in range(BITS)]
     out = []
     for v in range(1, vectors + 1):
-        m = sum(1 << i for i in range(BITS) if (v & (1 + i % vectors)).bit_count() % 2)
+        m = sum(1 << i for i in range(BITS) if (v & own[i]).bit_count() % 2)
         out.append(m - (1 << BITS) if m >> (BITS - 1) else m)
     return out
 
@@ -186,11 +194,12 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> tupl
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     rows, _ = stash(fingerprints(df, doc_id, text, shingle))
-    prints, _ = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges, _ = links(prints.select("fp"), radius, bucket)
-    joined, _ = components(edges)
+    prints, prints_path = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges, edge_paths = links(prints.select("fp"), radius, bucket)
+    joined, joined_path = components(edges)
     # nodes without a link are their own class
     named, _ = stash(prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    unstash(df.sparkSession, [prints_path, joined_path, *edge_paths])
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(roots, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
@@ -206,53 +215,50 @@ def _shingles(text: bytes, size: int) -> set[bytes]:
 
 
 def _similar(least: float, size: int):
-    """Kernel over (doc_id, text, kept_text): ids whose word shingles have a Jaccard similarity of at least ``least`` with the kept text's."""
+    """Kernel over (a, b, text, other): the pairs whose texts' word shingles have a Jaccard similarity of at least ``least``."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        last, kept, out = None, set(), []
-        for text, other in zip(byte_rows(batch, 1), byte_rows(batch, 2), strict=True):
+        last, held, out = None, set(), []
+        for text, other in zip(byte_rows(batch, 2), byte_rows(batch, 3), strict=True):
             if other != last:
-                last, kept = other, _shingles(other, size)
+                last, held = other, _shingles(other, size)
             own = _shingles(text, size)
-            shared = len(own & kept)
-            out.append(shared >= least * (len(own) + len(kept) - shared))
-        return pa.record_batch([batch.column(0).filter(pa.array(out, pa.bool_()))], ["doc_id"])
+            shared = len(own & held)
+            out.append(shared >= least * (len(own) + len(held) - shared))
+        return pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     return kernel
 
 
-#: Members of a class that meet one copy of its representative.
-SALT_ROWS = 1024
-
-
 def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
-    """doc_id of every row to drop so that one of each group of near duplicates stays.
+    """doc_id of every row to drop so that one of each group of near duplicates stays, the smallest doc_id.
 
-    Candidates are the SimHash classes at ``radius``. In a class the smallest doc_id stays and members that
-    share at least ``least`` of their word shingles with it go; the others of the class are judged again
-    among themselves, until none is left. Rows with a null doc_id are not candidates.
+    Candidates are the SimHash links at ``radius`` that connect each class, and texts of equal fingerprint
+    with the first of them. A link counts if the two texts share at least ``least`` of their word shingles;
+    groups are what counted links connect. Rows with a null doc_id are not candidates.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).filter("doc_id is not null")
-    named, _ = stash(classes(df, doc_id, text, SHINGLE, radius).select("doc_id", "component_id").filter("doc_id is not null").distinct())
-    sizes = named.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1")
-    left, _ = stash(docs.join(named.join(sizes, "component_id"), "doc_id").select("doc_id", "text", "component_id"))
-    dropped = None
-    while not left.isEmpty():
-        groups = left.groupBy("component_id").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n"))
-        salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-        joined = left.join(groups, "component_id")
-        kept = joined.filter("doc_id = kept").dropDuplicates(["component_id"]).select("component_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("text").alias("kept_text"))
-        others = joined.filter("doc_id != kept").select("doc_id", "text", "component_id", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
-        pairs = others.join(kept, ["component_id", "salt"]).select("doc_id", "text", "kept_text")
-        gone, _ = stash(map_batches(pairs, _similar(least, shingle), "doc_id long"))
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        left, _ = stash(others.drop("salt").join(gone, "doc_id", "left_anti"))
-    return (named.select("doc_id").limit(0) if dropped is None else dropped).distinct()
+    rows, rows_path = stash(fingerprints(docs, "doc_id", "text").distinct())
+    prints, prints_path = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    edges, edge_paths = links(prints.select("fp"), radius)
+    name = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_id"))
+    linked = edges.distinct().join(name("a"), "a").join(name("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
+    equal = rows.join(prints, "fp").filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    pairs, pairs_path = stash(linked.unionByName(equal).distinct())
+    unstash(spark, [rows_path, prints_path, *edge_paths])
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts, texts_path = stash(docs.join(bounded_broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]))
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+    counted, counted_path = stash(map_batches(both, _similar(least, shingle), "a long, b long"))
+    unstash(spark, [pairs_path, texts_path])
+    joined, joined_path = components(counted)
+    gone, _ = stash(joined.filter("node != root").select(F.col("node").alias("doc_id")).distinct())
+    unstash(spark, [counted_path, joined_path])
+    return gone
 
 
 def filter_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
     """df without the rows of duplicates(), all of df's columns."""
-    from .exact_dedup import bounded_broadcast
-
     gone = bounded_broadcast(duplicates(df, doc_id, text, shingle, least, radius).select(F.col("doc_id").alias("__id")))
     return df.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")
