@@ -60,3 +60,8 @@ def test_every_window_has_an_anchor():
     at -= len(sd.GAP)
     for k in range(len(text) - 49):
         assert ((at >= k) & (at + sd.GRAM <= k + 50)).any()
+
+
+def test_without_broadcast_filters(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(sd, "FILTER_BYTES", -1)
+    assert result(odd_docs) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])

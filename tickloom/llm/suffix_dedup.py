@@ -4,14 +4,14 @@ Suffixes are brought together by anchors instead of one global array. An anchor
 hash is least among all that begin in some 27 neighbouring places, so each 50-byte string holds one, at
 a place that its own bytes decide: equal strings meet at equal anchors, about one for 14 bytes.
 
-1. Each task finds its documents' anchors and hashes the 26 bytes on both sides. An occurrence whose
-   sides equal those of a smaller doc_id in the same batch is settled there: all 76 bytes repeat. The
-   rest go, packed, to a bucket by anchor hash, which settles more in the same way.
-2. What is left are anchors with different surroundings (the ends of repeats, chance phrases): one
-   occurrence of each surrounding fetches its bytes.
-3. Their suffixes, one for each of the 27 places at which a 50-byte string over the anchor can begin,
-   are compared by hash: differences of prefix polynomial hashes, sorted by merges with the smallest
-   doc_id first. Each match is verified on the bytes, so a collision of hashes removes nothing.
+1. Each task sends the hashes of its documents' anchors, once each, packed, to buckets by hash. A bucket
+   keeps those that come from several documents, as a binary fuse filter; the filters are broadcast if
+   they are small (``FILTER_BYTES``), else every anchor counts as repeated.
+2. For repeated anchors each task takes the 26 bytes on both sides. An occurrence whose sides equal those
+   of a smaller doc_id in the same batch is settled there: all 76 bytes repeat. The rest go to buckets.
+3. In a bucket the suffixes, one for each of the 27 places at which a 50-byte string over an anchor can
+   begin, are compared by hash: differences of prefix polynomial hashes, sorted by merges with the
+   smallest doc_id first. Each match is verified on the bytes, so a collision of hashes removes nothing.
 
 A byte is removed if a 50-byte string over it also starts in a document with a smaller doc_id, judged on
 the input. Null and empty texts have no bytes; texts under 50 bytes stay whole; matches never cross
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fuse_filter
 from .common import byte_rows, stash, table
 
 LENGTH = 50
@@ -41,12 +42,15 @@ GAP = b"\xff" * AROUND  # between documents
 #: Bytes of text handled at a time, and anchors for which a bucket is made.
 BLOCK = 1 << 22
 BUCKET_BYTES = 1 << 23
+#: Filters that may be broadcast at most.
+FILTER_BYTES = 1 << 25
 LEAST = -(1 << 63)  # stands for a null doc_id
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_RECORD = np.dtype([("h", "<u8"), ("l", "<u4"), ("r", "<u4"), ("doc", "<i8"), ("at", "<i8"), ("n", "<i8")])
+_RECORD = np.dtype([("h", "<u8"), ("l", "<u4"), ("r", "<u4"), ("doc", "<i8"), ("at", "<i8"), ("n", "<i8"), ("place", "<i8")])
 _SPAN = np.dtype([("begin", "<i8"), ("end", "<i8")])
+_TRIPLE = np.dtype([("doc", "<i8"), ("begin", "<i8"), ("end", "<i8")])
 
 
 def _loads(data: np.ndarray, n: int) -> np.ndarray:
@@ -95,9 +99,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _records(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Anchor records of these documents; ``at`` is the place in the document, ``n`` its size."""
-    out = []
+def _blocks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Block by block: the bytes, and an anchor record for each place (h, doc, at, n, place in the block)."""
     k = 0
     while k < len(texts):
         until, size = k, 0
@@ -109,12 +112,10 @@ def _records(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
         begins = len(GAP) + np.concatenate(([0], np.cumsum(sizes + len(GAP))[:-1]))
         at, h = anchors(data)
         doc = np.searchsorted(begins, at, "right") - 1
-        r = np.empty(len(at), _RECORD)
-        r["h"], r["l"], r["r"] = h, _side_hashes(data, at - SIDE), _side_hashes(data, at + GRAM)
-        r["doc"], r["at"], r["n"] = ids[k + doc], at - begins[doc], sizes[doc]
-        out.append(r)
+        r = np.zeros(len(at), _RECORD)
+        r["h"], r["doc"], r["at"], r["n"], r["place"] = h, ids[k + doc], at - begins[doc], sizes[doc], at
+        yield data, r
         k = until
-    return np.concatenate(out) if out else np.empty(0, _RECORD)
 
 
 def _settled(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,21 +127,28 @@ def _settled(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, r["doc"] > r["doc"][first]
 
 
-def _full_spans(r: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For each doc, the spans of records that repeat with both sides, where they reach LENGTH bytes."""
+def _full_spans(r: np.ndarray) -> np.ndarray:
+    """The spans of records that repeat with both sides, where they reach LENGTH bytes."""
     begin, end = np.maximum(r["at"] - SIDE, 0), np.minimum(r["at"] + GRAM + SIDE, r["n"])
     ok = end - begin >= LENGTH
-    yield from _by_doc(r["doc"][ok], begin[ok], end[ok])
+    return _by_doc(r["doc"][ok], begin[ok], end[ok])
 
 
-def _by_doc(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(doc, merged spans as bytes)."""
+def _by_doc(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans merged within each document, as (doc, begin, end)."""
     order = np.lexsort((begin, doc))
     doc, begin, end = doc[order], begin[order], end[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for a, b in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(doc)])).tolist(), strict=True):
-        if b > a:
-            yield int(doc[a]), merged(begin[a:b], end[a:b]).tobytes()
+    first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.empty(0, bool)
+    shift = (np.cumsum(first) - 1) << 40  # a place of its own for each document
+    m = merged(begin + shift, end + shift) if len(doc) else np.empty(0, _SPAN)
+    out, rank = np.empty(len(m), _TRIPLE), m["begin"] >> 40
+    out["doc"], out["begin"], out["end"] = doc[first][rank], m["begin"] - (rank << 40), m["end"] - (rank << 40)
+    return out
+
+
+def _to_documents(spans: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows of spans for the buckets of their documents."""
+    return [(0, bucket, spans[part].tobytes()) for bucket, part in _parts((_mixed(spans["doc"].view(_U)) % _U(buckets)).astype(np.int64))]
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -152,7 +160,7 @@ def merged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-#: kind: 0 spans of a document, 1 records for a bucket, 2 places of a document to fetch, 3 surroundings for a bucket.
+#: kind: 0 spans of a bucket of documents, 1 something for a bucket of anchors.
 ROWS = "kind int, id long, data binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("data", pa.binary())])
 
@@ -161,81 +169,96 @@ def _out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
 
 
-def _to_buckets(kind: int, r: np.ndarray, bucket: np.ndarray) -> list[tuple[int, int, bytes]]:
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its places in the array), each bucket once."""
     order = np.argsort(bucket, kind="stable")
-    bucket, r = bucket[order], r[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    return [(kind, int(bucket[a]), r[a:b].tobytes()) for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(r)])), strict=True) if b > a]
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cuts):
+        if len(part):
+            yield int(bucket[part[0]]), part
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column(0).to_pylist(), np.int64)
 
 
-def _find(buckets: int):
+def _hashes(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct anchor hashes of a batch for each bucket: a flag each for several documents, then their gaps by byte planes."""
         for batch in batches:
-            ids = np.array([LEAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            r, full = _settled(_records(ids, byte_rows(batch)))
-            rows = [(0, doc, spans) for doc, spans in _full_spans(r[full])]
-            rest = r[~full]
-            rows += _to_buckets(1, rest, (rest["h"] % _U(buckets)).astype(np.int64))
+            found = [(r["h"], r["doc"]) for _, r in _blocks(_ids(batch), byte_rows(batch))]
+            if not found:
+                continue
+            h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+            many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(h) else np.empty(0, bool)
+            h, rows = h[first], []
+            for bucket, part in _parts((h % _U(buckets)).astype(np.int64)):
+                gaps = np.diff(h[part], prepend=_U(0))
+                rows.append((1, bucket, many[part].tobytes() + gaps.view(np.uint8).reshape(-1, 8).T.tobytes()))
             if rows:
                 yield _out(rows)
 
     return run
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    """A bucket's records: settle full repeats, and name one place for each surrounding of an anchor with several."""
-    kinds, ids, blobs = (group.column(c).to_pylist() for c in ("kind", "id", "data"))
-    r, full = _settled(np.frombuffer(b"".join(b for k, b in zip(kinds, blobs, strict=True) if k == 1), _RECORD))
-    rows = [(0, doc, spans) for doc, spans in _full_spans(r[full])]
-    rows += [(0, i, b) for k, i, b in zip(kinds, ids, blobs, strict=True) if k == 0]  # settled before
-    r = r[~full]
-    if len(r):
-        # of an anchor's records that repeat in one document any one will do as a source, but each is judged
-        start = np.concatenate(([True], r["h"][1:] != r["h"][:-1]))
-        group_of = np.cumsum(start) - 1
-        lo = np.minimum.reduceat(r["doc"], np.flatnonzero(start))[group_of]
-        hi = np.maximum.reduceat(r["doc"], np.flatnonzero(start))[group_of]
-        wanted = r[lo != hi]
-        order = np.argsort(wanted["doc"], kind="stable")
-        wanted = wanted[order]
-        cuts = np.flatnonzero(np.diff(wanted["doc"])) + 1
-        places = np.ascontiguousarray(np.stack((wanted["h"].view(np.int64), wanted["at"]), 1))
-        rows += [(2, int(wanted["doc"][a]), places[a:b].tobytes()) for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(wanted)])), strict=True) if b > a]
-    return pa.Table.from_batches([_out(rows)])
-
-
-def _wide(k: int) -> np.dtype:
-    return np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("near", "u1", (k,))])
+def _repeated(group: pa.Table) -> pa.Table:
+    """A filter of a bucket's hashes that come from several documents."""
+    hashes, many = [], []
+    for blob in group.column("data").to_pylist():
+        n = len(blob) // 9
+        many.append(np.frombuffer(blob, bool, n))
+        hashes.append(np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, n).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64))
+    h, flag = np.concatenate(hashes), np.concatenate(many)
+    values, counts = np.unique(h, return_counts=True)
+    found = np.union1d(values[counts > 1], h[flag])
+    return pa.Table.from_batches([_out([(1, group.column("id")[0].as_py(), fuse_filter.build(found.view(np.int64)))])])
 
 
-_NEAR = _wide(AROUND)
-
-
-def _fetch(buckets: int):
+def _find(buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text, data): bytes around the places of a document."""
+        """Spans of what repeats within the batch, and surroundings of the other repeated anchors for the buckets."""
+        filters = shared.value
         for batch in batches:
-            rows = []
-            for doc, text, blobs in zip(batch.column(0).to_pylist(), byte_rows(batch), batch.column(2).to_pylist(), strict=True):
-                places = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-                data = np.frombuffer(GAP + text + GAP, np.uint8)
-                places = places[places[:, 1] + GRAM <= len(text)]
-                r = np.empty(len(places), _NEAR)
-                r["h"], r["doc"], r["at"] = places[:, 0].view(_U), doc, places[:, 1]
-                r["near"] = data[(len(GAP) - SIDE + places[:, 1])[:, None] + np.arange(AROUND)]
-                rows.append(r)
+            near, kept = [], []
+            for data, r in _blocks(_ids(batch), byte_rows(batch)):
+                if filters is not None:
+                    wanted = np.zeros(len(r), bool)
+                    for bucket, part in _parts((r["h"] % _U(buckets)).astype(np.int64)):
+                        if bucket in filters:
+                            wanted[part] = fuse_filter.contains(filters[bucket], r["h"][part].view(np.int64))
+                    r = r[wanted]
+                r["l"], r["r"] = _side_hashes(data, r["place"] - SIDE), _side_hashes(data, r["place"] + GRAM)
+                near.append(data[(r["place"] - SIDE)[:, None] + np.arange(AROUND)])
+                r["place"] = np.arange(len(r)) + sum(map(len, kept))
+                kept.append(r)
+            if not kept:
+                continue
+            bytes_near = np.concatenate(near)
+            r, full = _settled(np.concatenate(kept))
+            rows = _to_documents(_full_spans(r[full]), buckets)
+            r = r[~full]
+            for bucket, part in _parts((r["h"] % _U(buckets)).astype(np.int64)):
+                x = r[part]
+                rows.append((1, bucket, x["h"].tobytes() + x["doc"].tobytes() + x["at"].tobytes() + bytes_near[x["place"]].tobytes()))
             if rows:
-                r = np.concatenate(rows)
-                if len(r):
-                    yield _out(_to_buckets(3, r, (r["h"] % _U(buckets)).astype(np.int64)))
+                yield _out(rows)
 
     return run
 
 
-def _compare(group: pa.Table) -> pa.Table:
+def _compare(group: pa.Table, buckets: int) -> pa.Table:
     """Suffixes over a bucket's anchors, compared by hash and verified."""
-    r = np.frombuffer(b"".join(group.column("data").to_pylist()), _NEAR)
-    near, n = r["near"], len(r)
+    kinds, ids, blobs = (group.column(c).to_pylist() for c in ("kind", "id", "data"))
+    rows = [(0, i, b) for k, i, b in zip(kinds, ids, blobs, strict=True) if k == 0]  # settled before
+    parts = [(b, len(b) // (24 + AROUND)) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+    if not parts:
+        return pa.Table.from_batches([_out(rows)])
+    h, owner, at = (np.concatenate([np.frombuffer(b, t, m, i * 8 * m) for b, m in parts]) for i, t in enumerate(("<u8", "<i8", "<i8")))
+    near = np.concatenate([np.frombuffer(b, np.uint8, AROUND * m, 24 * m).reshape(m, AROUND) for b, m in parts])
+    n = len(h)
     base = _U(0x100000001B3)
     prefix = np.zeros((AROUND + 1, n), _U)
     for i in range(AROUND):
@@ -245,14 +268,14 @@ def _compare(group: pa.Table) -> pa.Table:
     low, high = np.full(n, AROUND, np.int64), np.zeros(n, np.int64)
     for k in range(SIDE + 1):
         inside = np.flatnonzero(outside[:, k + LENGTH] == outside[:, k])
-        key = _mixed(r["h"][inside] ^ _mixed(prefix[k + LENGTH][inside] - prefix[k][inside] * power))
-        order = inside[np.lexsort((r["doc"][inside], key))]
+        key = _mixed(h[inside] ^ _mixed(prefix[k + LENGTH][inside] - prefix[k][inside] * power))
+        order = inside[np.lexsort((owner[inside], key))]
         key = np.sort(key)
         if len(order) < 2:
             continue
         start = np.concatenate(([True], key[1:] != key[:-1]))
         first = order[np.flatnonzero(start)[np.cumsum(start) - 1]]
-        later = r["doc"][order] > r["doc"][first]
+        later = owner[order] > owner[first]
         mine, source = order[later], first[later]
         equal = (near[mine, k : k + LENGTH] == near[source, k : k + LENGTH]).all(1)
         mine = mine[equal]
@@ -260,22 +283,31 @@ def _compare(group: pa.Table) -> pa.Table:
         high[mine] = np.maximum(high[mine], k + LENGTH)
     found = high > 0
     # each of a place's matches covers its anchor, so together they are one span
-    begin = r["at"][found] - SIDE + low[found]
-    return pa.Table.from_batches([_out([(0, doc, spans) for doc, spans in _by_doc(r["doc"][found], begin, r["at"][found] - SIDE + high[found])])])
+    begin = at[found] - SIDE
+    rows += _to_documents(_by_doc(owner[found], begin + low[found], begin + high[found]), buckets)
+    return pa.Table.from_batches([_out(rows)])
+
+
+def _collect(group: pa.Table) -> pa.Table:
+    """All spans of a bucket's documents, a row for each document."""
+    t = np.frombuffer(b"".join(group.column("data").to_pylist()), _TRIPLE)
+    t = _by_doc(t["doc"], t["begin"], t["end"])
+    cuts = np.flatnonzero(np.diff(t["doc"])) + 1
+    parts = [x for x in np.split(t, cuts) if len(x)]
+    blobs = [np.stack((x["begin"], x["end"]), 1).tobytes() for x in parts]
+    return pa.table({"id": pa.array([int(x["doc"][0]) for x in parts], pa.int64()), "data": pa.array(blobs, pa.binary())})
 
 
 def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, data): for each document (null as LEAST) blobs of spans to remove, and the documents themselves."""
+    """(id, data): the spans to remove of each document that has any (a null doc_id as LEAST)."""
     docs = _documents(df, doc_id, text)
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, int(size // BUCKET_BYTES))
-    bucket = F.when(F.col("kind") == 1, F.col("id")).otherwise(F.pmod("id", F.lit(buckets)))
-    met, _ = stash(docs.mapInArrow(_find(buckets), ROWS).groupBy(bucket.alias("bucket")).applyInArrow(_meet, ROWS))
-    wanted = met.filter("kind = 2").groupBy("id").agg(F.collect_list("data").alias("data"))
-    near = docs.join(wanted, docs["doc"] == wanted["id"]).select("doc", "text", "data").mapInArrow(_fetch(buckets), ROWS)
-    compared, _ = stash(near.groupBy("id").applyInArrow(_compare, ROWS))
-    every = met.filter("kind = 0").unionByName(compared)
-    return every.groupBy("id").agg(F.collect_list("data").alias("data"))
+    filters, _ = stash(docs.mapInArrow(_hashes(buckets), ROWS).groupBy("id").applyInArrow(_repeated, ROWS))
+    small = filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("n")).first()["n"] <= FILTER_BYTES
+    shared = df.sparkSession.sparkContext.broadcast({r["id"]: r["data"] for r in filters.select("id", "data").collect()} if small else None)
+    every, _ = stash(docs.mapInArrow(_find(buckets, shared), ROWS).groupBy("id").applyInArrow(lambda group: _compare(group, buckets), ROWS))
+    return every.groupBy("id").applyInArrow(_collect, "id long, data binary")
 
 
 def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -294,7 +326,7 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         for batch in batches:
             rows = []
             for doc, body, blobs in zip(batch.column(0).to_pylist(), byte_rows(batch), batch.column(2).to_pylist(), strict=True):
-                s = np.frombuffer(b"".join(blobs or []), _SPAN)
+                s = np.frombuffer(blobs or b"", _SPAN)
                 s = s[np.argsort(s["begin"], kind="stable")]
                 s = s[s["end"] <= len(body)]
                 if len(s):
