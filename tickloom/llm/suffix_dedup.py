@@ -23,7 +23,6 @@ give empty results.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
