@@ -37,8 +37,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are split.
 CHUNK = 32_768
 SPACE = "▁"
-#: Words a task remembers, and the longest of them.
-MEMORY = 400_000
+#: Words and pairs of pieces a task remembers, and the longest of the words.
+MEMORY = 200_000
+PAIRS = 100_000
 SHORT = 32
 #: Documents whose ids are put together at a time.
 ROWS = 64
@@ -100,7 +101,7 @@ class Codec(dict):
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > MEMORY:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged((left or "") + right) == ([right] if left is None else [left, right])
         return known
