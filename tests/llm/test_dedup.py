@@ -164,3 +164,50 @@ def test_near_duplicates(spark, odd_docs):
         assert i in ids or any(k != i and close(k, i) for k, _, _ in rows)
     assert {i for i in ids if i % 10 == 0} == {0, 10, 20, 30, 40, 50} and not {i for i in ids if i % 10 == 1}
     assert simhash.filter_documents(odd_docs).count() <= odd_docs.count()
+
+
+def test_near_duplicates_far_apart_in_bits(spark):
+    """Pairs just over 0.8 are dropped however many bits their fingerprints differ in; what is left has no such pair."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, far = [], 0
+    for k in range(60):
+        w = [word() for _ in range(104)]
+        v = list(w)
+        for i in (20, 70):
+            v[i] = word()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        far += (brute_print(rows[-1][1]) ^ brute_print(rows[-2][1])).bit_count() > 6
+    assert far >= 10
+    kept = {r.doc_id for r in simhash.filter_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == set(range(0, 120, 2))
+
+
+@pytest.mark.parametrize("cap", [2, 3, 4096])
+def test_prefixes_meet_for_every_similar_pair(spark, cap):
+    rng = random.Random(cap)
+    base = [[rng.choice("abcdef") for _ in range(40)] for _ in range(4)]
+    texts = []
+    for i in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+        texts.append((i, " ".join(w)))
+    texts += [(60, ""), (61, " "), (62, "a b"), (63, "A  b")]
+    listed = defaultdict(set)
+    frame = spark.createDataFrame(texts, "num long, text string").selectExpr("num", "cast(text as binary) as text").repartition(3)
+    for r in simhash.prefixes(frame, 5, 0.8, cap)[0].collect():
+        listed[r.num].add(r.token)
+    sets = {i: simhash._shingles(t.encode(), 5) for i, t in texts}
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                assert listed[a] & listed[b]
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    long, near, other, third = " ".join(words), " ".join([*words[:-1], "end"]), "one text that no other row has at all", "a third text of its own"
+    rows = [(1, long), (2, near), (2, other), (None, near), (None, third)]
+    kept = simhash.filter_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(1, long), (2, other), (None, third)}

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_rows, map_batches, stash, table, unstash
@@ -230,35 +230,178 @@ def _similar(least: float, size: int):
     return kernel
 
 
+def _tokens(size: int):
+    """Kernel over (num, text): a row (token, num, n) for each of the n distinct word shingles of a text, as a 64-bit hash."""
+    schema = pa.schema([("token", pa.int64()), ("num", pa.int64()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nums, total = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in held])
+            columns = np.concatenate(held), np.repeat(np.array(nums, np.int64), sizes), np.repeat(sizes.astype(np.int32), sizes)
+            return pa.record_batch([pa.array(x) for x in columns], schema=schema)
+
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            for num, text in zip(batch.column(0).to_pylist(), byte_rows(batch), strict=True):
+                own = np.unique(np.array([digest(x, SEED) for x in _shingles(text, size)], np.uint64).view(np.int64))
+                held.append(own)
+                nums.append(num)
+                total += len(own)
+                if total >= BLOCK:
+                    yield out()
+                    held, nums, total = [], [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _repeated(cap: int):
+    """Kernel over rows (token, num, n) in order of (token, num): those of tokens that several texts have, with their number up to ``cap``."""
+    schema = pa.schema([("token", pa.int64()), ("num", pa.int64()), ("n", pa.int32()), ("df", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of the last token so far: held back until their number is known or has reached cap
+        token, num, n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        hot = last = None
+
+        def out(token, num, n, df) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(token), pa.array(num), pa.array(n), pa.array(df.astype(np.int32))], schema=schema)
+
+        for batch in batches:
+            t, m, k = (batch.column(i).to_numpy() for i in range(3))
+            if not len(t):
+                continue
+            # equal texts give equal rows, one after the other
+            first = np.concatenate(([last != (t[0], m[0])], (t[1:] != t[:-1]) | (m[1:] != m[:-1])))
+            last = (t[-1], m[-1])
+            t, m, k = t[first], m[first], k[first]
+            if hot is not None:
+                of = int(np.searchsorted(t, hot, "right"))
+                if of:
+                    yield out(t[:of], m[:of], k[:of], np.full(of, cap))
+                    t, m, k = t[of:], m[of:], k[of:]
+                if not len(t):
+                    continue
+                hot = None
+            token, num, n = np.concatenate((token, t)), np.concatenate((num, m)), np.concatenate((n, k))
+            if not len(token):
+                continue
+            end = int(np.searchsorted(token, token[-1]))
+            if end:
+                _, inverse, counts = np.unique(token[:end], return_inverse=True, return_counts=True)
+                df = np.minimum(counts[inverse], cap)
+                many = df > 1
+                if many.any():
+                    yield out(token[:end][many], num[:end][many], n[:end][many], df[many])
+            token, num, n = token[end:], num[end:], n[end:]
+            if len(token) >= cap:
+                hot = token[0]
+                yield out(token, num, n, np.full(len(token), cap))
+                token, num, n = token[:0], num[:0], n[:0]
+        if len(token) > 1:
+            yield out(token, num, n, np.full(len(token), min(len(token), cap)))
+
+    return run
+
+
+def prefixes(texts: DataFrame, shingle: int, least: float, cap: int = BUCKET) -> tuple[DataFrame, str]:
+    """(token, num, n, place): the rarest shingles of each text (num, text), such that two texts of similarity ``least`` share one.
+
+    A text with n shingles shares at least least * n of them with a similar one, so among its
+    n - ceil(least * n) + 1 first in any order that holds for all texts there is one that both have first.
+    The order is by the number of texts that have a shingle (all from ``cap`` on count as equal), then by
+    hash. Shingles of one text alone come first and meet nothing: they are counted, not listed.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = texts.mapInArrow(_tokens(shingle), "token long, num long, n int").repartition(parts, "token").sortWithinPartitions("token", "num")
+    seen = tokens.mapInArrow(_repeated(cap), "token long, num long, n int, df int")
+    ordered = seen.groupBy("num", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+    alone = F.col("n") - F.size("common")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int") + 1
+    short = ordered.withColumn("alone", alone).withColumn("listed", F.slice("common", 1, F.greatest(length - F.col("alone"), F.lit(0))))
+    return stash(short.select("num", "n", "alone", F.posexplode("listed").alias("at", "x")).select("x.token", "num", "n", (F.col("alone") + F.col("at")).alias("place")))
+
+
+def _may_be_similar(least: float):
+    """Of two rows l and r of prefixes() at one token: whether the lengths, and what follows the token in both, allow ``least``."""
+    ln, rn = F.col("l.n"), F.col("r.n")
+    shared = F.least(ln - F.col("l.place"), rn - F.col("r.place"))
+    return (F.least(ln, rn) >= F.greatest(ln, rn) * least - 1e-9) & (shared >= (ln + rn) * (least / (1 + least)) - 1e-9)
+
+
+def _numbered(rows: DataFrame) -> int:
+    """A seed for which the 64-bit numbers of all digests differ."""
+    seed = 0
+    while not rows.groupBy(F.xxhash64("digest", F.lit(seed)).alias("num")).agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi").isEmpty():
+        seed += 1
+    return seed
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
-    """doc_id of every row to drop so that one of each group of near duplicates stays, the smallest doc_id.
+    """(doc_id, digest) of every row to drop so that one of each group of near duplicates stays, the smallest doc_id.
 
-    Candidates are the SimHash links at ``radius`` that connect each class, and texts of equal fingerprint
-    with the first of them. A link counts if the two texts share at least ``least`` of their word shingles;
-    groups are what counted links connect. Rows with a null doc_id are not candidates.
+    Two texts are linked if they share at least ``least`` of their word shingles, and groups are what links
+    connect. Candidates are the SimHash links at ``radius``, each text of a prefix token with the first of
+    the token, and last all pairs at a prefix token that are not yet connected, so that no link is missed
+    that would connect more. Equal texts are one node. A null doc_id stays only if all of its group are null.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).filter("doc_id is not null")
-    rows, rows_path = stash(fingerprints(docs, "doc_id", "text").distinct())
-    prints, prints_path = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).withColumn("digest", text_digest(F.col("text")))
+    plain, plain_path = stash(docs.select("doc_id", "digest").distinct())
+    number = F.xxhash64("digest", F.lit(_numbered(plain)))
+    names = plain.withColumn("num", number)
+    texts = docs.select(number.alias("num"), "text")
+
+    rows, rows_path = stash(fingerprints(texts, "num", "text").distinct().withColumnRenamed("doc_id", "num"))
+    prints, prints_path = stash(rows.groupBy("fp").agg(F.min("num").alias("first")))
     edges, edge_paths = links(prints.select("fp"), radius)
     name = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_id"))
     linked = edges.distinct().join(name("a"), "a").join(name("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
-    equal = rows.join(prints, "fp").filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    pairs, pairs_path = stash(linked.unionByName(equal).distinct())
+    equal = rows.join(prints, "fp").filter("num != first").select(F.col("num").alias("a"), F.col("first").alias("b"))
+
+    rare, rare_path = prefixes(texts, shingle, least)
+    firsts = rare.groupBy("token").agg(F.min(F.struct("num", "n", "place")).alias("f"), F.count("*").alias("rows")).filter("rows > 1").select("token", "f.*")
+    stars = rare.alias("l").join(firsts.alias("r"), "token").filter("l.num != r.num").filter(_may_be_similar(least)).select(F.col("l.num").alias("a"), F.col("r.num").alias("b"))
+    tried, tried_path = stash(linked.unionByName(equal).unionByName(stars).distinct())
     unstash(spark, [rows_path, prints_path, *edge_paths])
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts, texts_path = stash(docs.join(bounded_broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
-    counted, counted_path = stash(map_batches(both, _similar(least, shingle), "a long, b long"))
-    unstash(spark, [pairs_path, texts_path])
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
+        wanted = pairs.select(F.col("a").alias("num")).unionByName(pairs.select(F.col("b").alias("num"))).distinct()
+        held, held_path = stash(texts.join(bounded_broadcast(wanted), "num").dropDuplicates(["num"]))
+        both = pairs.join(held.select(F.col("num").alias("a"), "text"), "a").join(held.select(F.col("num").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+        counted, counted_path = stash(map_batches(both, _similar(least, shingle), "a long, b long"))
+        unstash(spark, [held_path])
+        return counted, [counted_path]
+
+    counted, counted_paths = verified(tried)
     joined, joined_path = components(counted)
-    gone, _ = stash(joined.filter("node != root").select(F.col("node").alias("doc_id")).distinct())
-    unstash(spark, [counted_path, joined_path])
+
+    # pairs that nothing connects yet, at tokens of more than one group
+    grouped, grouped_path = stash(rare.join(joined.select(F.col("node").alias("num"), "root"), "num", "left").withColumn("root", F.coalesce("root", "num")))
+    mixed = grouped.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+    open_rows, open_path = stash(grouped.join(mixed, "token", "left_semi"))
+    apart = open_rows.alias("l").join(open_rows.alias("r"), "token").filter((F.col("l.num") > F.col("r.num")) & (F.col("l.root") != F.col("r.root"))).filter(_may_be_similar(least))
+    fresh, fresh_path = stash(apart.select(F.col("l.num").alias("a"), F.col("r.num").alias("b")).distinct())
+    more, more_paths = verified(fresh)
+    unstash(spark, [rare_path, tried_path, joined_path, grouped_path, open_path, fresh_path])
+    joined, joined_path = components(counted.unionByName(more))
+
+    whole = names.join(joined.withColumnRenamed("node", "num"), "num", "left").select("doc_id", "digest", F.coalesce("root", "num").alias("root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
+    stays = whole.groupBy("root").agg(F.min(rank).alias("stays"), F.count("*").alias("rows")).filter("rows > 1")
+    gone, _ = stash(whole.join(stays, "root").filter(rank != F.col("stays")).select("doc_id", "digest"))
+    unstash(spark, [plain_path, joined_path, *counted_paths, *more_paths])
     return gone
 
 
 def filter_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
     """df without the rows of duplicates(), all of df's columns."""
-    gone = bounded_broadcast(duplicates(df, doc_id, text, shingle, least, radius).select(F.col("doc_id").alias("__id")))
-    return df.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")
+    gone = bounded_broadcast(duplicates(df, doc_id, text, shingle, least, radius).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
+    return df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (text_digest(F.col(f"`{text}`")) == F.col("__digest")), "left_anti")
