@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -50,3 +51,12 @@ def test_odd(odd_docs, no_docs):
     got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in ld.dedup(odd_docs).collect())
     assert got == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert ld.dedup(no_docs).count() == 0
+
+
+def test_equal_short_lines_go_in_the_query(spark, tmp_path):
+    long = "five words make a line"
+    rows = [(1, "Short line\n\nhttp://a.b/c\n" + long), (2, "short  LINE\nshort lime\n\nhttp://a.b/c\n\u4e00\u4e8c\u4e09"), (3, "\u4e00\u4e8c\u4e09\nfive words make one line\na\nb\na")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in ld.op1_line_dedup(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (4, 0, sha(rows[0][1])), 2: (5, 2, sha("short lime\n\n\u4e00\u4e8c\u4e09")), 3: (5, 3, sha("a\nb"))}

@@ -9,7 +9,8 @@ the key decides without listing pairs; the pair with that line is verified on th
 
 A line goes if an earlier line (smaller doc_id, then line number, over all documents) is within one
 edit; it is judged on the input, whether or not the earlier line stays. Lines with fewer than MIN_WORDS
-words always stay. Equal lines are collapsed first. Variants are emitted only by lines that share a half
+words (in scripts without spaces a line is one word) go only if they equal an earlier line, in the query
+all but blank lines; ``equal_words`` sets how many words a line needs for that. Equal lines are collapsed first. Variants are emitted only by lines that share a half
 with another line: one edit leaves the first or the second half of the shorter line untouched.
 
 Null and empty texts have one empty line, which stays. Rows that repeat a doc_id and line are one place
@@ -84,25 +85,29 @@ def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
 
 
-def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, bytes]]:
+def _lines(batch: pa.RecordBatch, least: int = MIN_WORDS) -> Iterator[tuple[int | None, int, bytes]]:
     for i, text in zip(batch.column(0).to_pylist(), byte_rows(batch), strict=True):
         for k, line in enumerate(text.split(b"\n")):
-            if len(line) >= 2 * MIN_WORDS - 1:
+            if len(line) >= 2 * least - 1:
                 yield i, k, line
 
 
-def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Each line with enough words: its place, digest and halves."""
-    rows = [(i, k, digest(w), halves(w)) for i, k, line in _lines(batch) if len(w := words_of_line(line)) >= MIN_WORDS]
-    names = ["doc_id", "line", "digest", "halves"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    return pa.record_batch([pa.array([r[j] for r in rows], kinds[j]) for j in range(4)], names)
+def _places(least: int):
+    """Kernel: each line with at least ``least`` words: its place, digest and, of MIN_WORDS words or more, halves."""
 
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(i, k, digest(w), halves(w) if len(w) >= MIN_WORDS else []) for i, k, line in _lines(batch, least) if len(w := words_of_line(line)) >= least]
+        names = ["doc_id", "line", "digest", "halves"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.record_batch([pa.array([r[j] for r in rows], kinds[j]) for j in range(4)], names)
 
-def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return kernel
+
+
+def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line, digest) of each line to remove."""
     docs = _documents(df, doc_id, text)
-    places, _ = stash(map_batches(docs, _places, "doc_id long, line int, digest binary, halves array<long>"))
+    places, _ = stash(map_batches(docs, _places(equal_words), "doc_id long, line int, digest binary, halves array<long>"))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")
     first, _ = stash(places.groupBy("digest").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n")))
 
@@ -160,10 +165,10 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 RESULT = "doc_id long, n_lines long, n_removed long, text string"
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): every row with its text less the removed lines."""
     docs = _documents(df, doc_id, text)
-    lists = removals(df, doc_id, text).groupBy("doc_id").agg(F.collect_set(F.struct("line", "digest")).alias("gone")).select(F.col("doc_id").alias("id"), "gone")
+    lists = removals(df, doc_id, text, equal_words).groupBy("doc_id").agg(F.collect_set(F.struct("line", "digest")).alias("gone")).select(F.col("doc_id").alias("id"), "gone")
     joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "gone")
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,4 +187,4 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup(table(spark, sf_dir, "documents"), equal_words=1).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
