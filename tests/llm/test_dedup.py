@@ -52,6 +52,12 @@ def test_exact_dedup_tells_collisions_apart(spark, monkeypatch):
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == [(1, 3, 2), (2, 4, 2), (3, 3, 2), (4, 4, 2), (5, 5, 1)]
 
 
+def test_exact_filter_of_repeated_and_null_ids(spark):
+    rows = [(1, "copy"), (None, "copy"), (None, "only here"), (2, "twin"), (3, "twin"), (2, "only there"), (4, None), (4, "")]
+    kept = exact_dedup.filter_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text or "") for r in kept) == Counter([(1, "copy"), (None, "only here"), (3, "twin"), (2, "only there"), (4, "")])
+
+
 def test_empty(no_docs):
     assert exact_dedup.decide(no_docs)[0].count() == 0
     assert simhash.classes(no_docs).count() == 0

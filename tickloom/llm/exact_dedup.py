@@ -143,13 +143,15 @@ def decide(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: i
 
 
 def filter_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group of equal texts, all of df's columns."""
+    """df with one row of each group of equal texts, all of df's columns. Rows go by doc_id and text digest, as ids can be null or repeated."""
     decisions, paths = decide(df, doc_id, text)
-    gone, _ = stash(decisions.filter("not kept").select(F.col("doc_id").alias("__id")).distinct())
-    repeated = not decisions.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    row = ["doc_id", "text_sha256"]
+    gone, _ = stash(decisions.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct())
+    repeated = not decisions.filter("kept").groupBy(*row).count().filter("count > 1").isEmpty()
     unstash(df.sparkSession, paths)
-    kept = df.join(bounded_broadcast(gone), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_anti")
-    return kept.dropDuplicates([doc_id, text]) if repeated else kept
+    own = digest_of(F.col(f"`{text}`"))
+    kept = df.join(bounded_broadcast(gone), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (own == F.col("__digest")), "left_anti")
+    return kept.withColumn("__own", own).dropDuplicates([doc_id, "__own"]).drop("__own") if repeated else kept
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
