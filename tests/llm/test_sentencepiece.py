@@ -54,3 +54,11 @@ def test_documents(spark, odd_docs):
 
 def test_empty(no_docs):
     assert sc.encode_documents(no_docs).count() == 0
+
+
+def test_round_trip_in_blocks(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(sc, "BLOCK", 64)
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(99, " ▁ a  b\n " * 40), (100, "日本" * 90)], "doc_id long, text string"))
+    rows = sc.round_trip(docs, chunk=100).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in rows) == sorted((str(r.doc_id), MODEL.encode(r.text or "")) for r in docs.collect())
+    assert all(r.exact for r in rows) and max(r.n_chunks for r in rows) > 1

@@ -9,7 +9,9 @@ those at its right cut; an associative scan over the matrices finds each chunk's
 is then traced back on its own. Documents of up to ``chunk`` characters are encoded whole.
 
 No piece runs over the start of a word (a space after another character) or over a character that no
-piece has, so words are encoded apart and remembered; a matrix only needs its chunk's first and last word.
+piece has, so words are encoded apart: a block of texts is cut at its spaces, each distinct word is looked
+up once, and ids are gathered with numpy. A matrix only needs its chunk's first and last word. The same
+kernel decodes the ids again and compares the bytes, so a task runs one Python worker.
 
 Null and empty texts have no ids. White space is kept; the model writes a space as U+2581, so a text that
 holds U+2581 itself decodes to a space there (``exact`` compares with the text so normalised). Lone
@@ -27,28 +29,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stash, table
+from .common import byte_rows, stash, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are split.
 CHUNK = 32_768
 SPACE = "▁"
-#: Words and pairs of pieces a task remembers, and the longest of the words.
-MEMORY = 200_000
-PAIRS = 100_000
+SPACE_BYTES = SPACE.encode()
+#: Pairs of pieces that a Python worker remembers, and the longest word that is merged beside others.
+PAIRS = 50_000
 SHORT = 32
-#: Documents whose ids are put together at a time.
-ROWS = 64
+#: Bytes of text, and chunks of giant documents, that are handled at a time.
+BLOCK = 1 << 22
+ROWS = 16
+#: Words merged side by side, and the rank of a pair that forms no piece.
+WORDS = 50_000
+NEVER = np.int32(2**31 - 1)
 
 State = tuple[int, int]
 
 
-class Codec(dict):
-    """Encoder and decoder of one model. As a dict: a word to the bytes of its ids."""
+class Codec:
+    """Encoder and decoder of one model."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -79,6 +86,9 @@ class Codec(dict):
         #: The places at which a word begins: a space after another character, before and after a foreign character.
         self.starts = re.compile(f"(?<=[^{SPACE}]){SPACE}|[^{SPACE}{known}]|(?<=[^{SPACE}{known}])", re.DOTALL)
         self.pairs: dict[tuple[str | None, str], bool] = {}
+        self._tabulate()
+        #: What each id writes.
+        self.written = pa.array([x.replace(SPACE_BYTES, b" ") for x in self.bytes_of], pa.binary())
 
     # -- words -------------------------------------------------------------------------------
 
@@ -116,25 +126,119 @@ class Codec(dict):
                 out.append(i)
         return np.array(out, np.int32).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > SHORT:
-            return self.ids_of(self.path(word, [(0, 0, None)], len(word), None))
-        found = self.ids_of(self.merged(word))
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = found
-        return found
+    def _tabulate(self) -> None:
+        """Arrays for merging many words at once: piece numbers of characters, and of each two pieces that form one, its rank and number."""
+        self.number = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.number[ord(piece)] = i
+        order = {x: k for k, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        pairs = [
+            (self.ids[piece[:k]] << 32 | self.ids[piece[k:]], order[self.scores[piece]], i) for piece, i in self.ids.items() for k in range(1, len(piece)) if piece[:k] in self.ids and piece[k:] in self.ids
+        ]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
+        self.pair_keys = np.append(table[:, 0], np.int64(2**62))
+        self.pair_rank = np.append(table[:, 1], NEVER).astype(np.int32)
+        self.pair_piece = np.append(table[:, 2], -1).astype(np.int32)
+        #: ASCII characters that no piece has.
+        self.foreign = np.append(self.number[:128] < 0, np.zeros(128, bool))
+        self.foreign[0x20] = False
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of the pairs in the tables; the last place for those that form no piece."""
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
+        at = np.searchsorted(self.pair_keys[:-1], keys)
+        return np.where(self.pair_keys[at] == keys, at, len(self.pair_keys) - 1)
+
+    def merge_words(self, codes: np.ndarray) -> np.ndarray:
+        """merged() for many words at once: rows of piece numbers that end in -1, before and after."""
+        out, alive, columns = np.full_like(codes, -1), np.arange(len(codes)), np.arange(codes.shape[1] - 1)
+        place = self._pairs(codes[:, :-1], codes[:, 1:])
+        while len(alive):
+            rank = self.pair_rank[place]
+            at = rank.argmin(1)
+            on = rank[np.arange(len(alive)), at] < NEVER
+            if not on.all():
+                out[alive[~on]] = codes[~on]
+                alive, codes, place, at = alive[on], codes[on], place[on], at[on]
+            rows = np.arange(len(alive))
+            # the piece takes the place of the left one; what follows moves up
+            after = np.minimum(columns + (columns >= at[:, None]), columns[-1])
+            codes[rows, at] = self.pair_piece[place[rows, at]]
+            codes[:, 1:] = np.take_along_axis(codes[:, 1:], after, 1)
+            place = np.take_along_axis(place, after, 1)
+            place[rows, at] = self._pairs(codes[rows, at], codes[rows, at + 1])
+            inner = np.flatnonzero(at)
+            left = at[inner] - 1
+            place[inner, left] = self._pairs(codes[inner, left], codes[inner, left + 1])
+        return out
+
+    def words(self, spelled: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words (spelled in bytes with plain spaces): all ids, where each word's begin, and how many they are."""
+        ends = np.frombuffer(spelled.buffers()[1], np.int32, len(spelled) + 1, 4 * spelled.offset)
+        data = np.frombuffer(spelled.buffers()[2], np.uint8, int(ends[-1]))[ends[0] :]
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        codes = np.where(points == 0x20, self.number[ord(SPACE)], self.number[points])
+        begins = np.cumsum((data & 0xC0) != 0x80)[ends[:-1] - ends[0]] - 1  # in characters
+        sizes = np.diff(np.append(begins, len(codes)))
+        slow = (np.add.reduceat(codes < 0, begins) > 0) | (sizes > SHORT)
+        at, counts, pools, total = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), np.int64), [], 0
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, SHORT)):
+            every, columns = np.flatnonzero((sizes > low) & (sizes <= high) & ~slow), np.arange(high + 1)
+            for k in range(0, len(every), WORDS):
+                mine = every[k : k + WORDS]
+                made = self.merge_words(np.where(columns < sizes[mine][:, None], codes[np.minimum(begins[mine][:, None] + columns, len(codes) - 1)], -1))
+                kept = made >= 0
+                counts[mine] = kept.sum(1)
+                at[mine] = total + np.cumsum(counts[mine]) - counts[mine]
+                pools.append(made[kept])
+                total += len(pools[-1])
+        for i in np.flatnonzero(slow).tolist():
+            parts = self.units.findall(spelled[i].as_py().decode().replace(" ", SPACE))
+            ids = b"".join(self.ids_of(self.merged(x) if len(x) <= SHORT else self.path(x, [(0, 0, None)], len(x), None)) for x in parts)
+            pools.append(np.frombuffer(ids, np.int32))
+            at[i], counts[i] = total, len(pools[-1])
+            total += len(pools[-1])
+        return np.concatenate(pools), at, counts
+
+    def encode_flat(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts side by side in data, each from its place in begins on, and the ids before each place.
+
+        A text is cut before each space that follows another byte and around foreign bytes; each distinct part of a
+        block is looked up once.
+        """
+        if not len(data):
+            return np.empty(0, np.int32), np.zeros(len(begins), np.int32)
+        first, foreign = data == 0x20, self.foreign[data]
+        first[1:] &= ~first[:-1]
+        first |= foreign
+        first[1:] |= foreign[:-1]
+        first[begins[begins < len(data)]] = True
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        pool, at, sizes = self.words(parts.dictionary)
+        which = parts.indices.to_numpy()
+        each = sizes[which]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        ids = pool[np.repeat(at[which] - upto[:-1], each) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, begins)].astype(np.int32)
+
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that these ids write, and the bytes before each of them."""
+        taken = self.written.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(ids) + 1)
+        return np.frombuffer(taken.buffers()[2] or b"", np.uint8, int(ends[-1])), ends
 
     def encode_words(self, text: str) -> bytes:
         """Ids of a text in the model's writing that begins and ends at word boundaries."""
-        return b"".join(map(self.__getitem__, self.units.findall(text)))
+        return self.encode_flat(np.frombuffer(text.encode().replace(SPACE_BYTES, b" "), np.uint8), np.zeros(1, np.int64))[0].tobytes()
 
     def encode(self, text: str) -> bytes:
-        return self.encode_words(SPACE + text.replace(" ", SPACE)) if text else b""
+        return self.encode_words(SPACE + text) if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self.bytes_of
-        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
+        text = self.decode_flat(ids)[0].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
     # -- chunks ------------------------------------------------------------------------------
@@ -285,40 +389,78 @@ def _codec(name: str, held: dict = {}) -> Codec:  # noqa: B006  one codec for al
     return held[path]
 
 
-def _written(text: str) -> str:
-    """Hex digest of a text as the model can give it back."""
-    return hashlib.sha256(text.replace(SPACE, " ").encode()).hexdigest()
+def _plain(text: bytes) -> bytes:
+    """A text as the model can give it back."""
+    return text.replace(SPACE_BYTES, b" ")
+
+
+def _digest(text: bytes) -> str:
+    return hashlib.sha256(_plain(text)).hexdigest()
 
 
 ENCODED = "doc_id long, ids array<int>, n_tokens int, n_chunks int, text_sha256 string"
+CHECKED = "doc_id long, ids array<int>, n_tokens int, n_chunks int, exact boolean"
+CHUNKS = pa.schema([("own", pa.string()), ("doc_id", pa.int64()), ("digest", pa.string()), ("k", pa.int32()), ("n", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("part", pa.string())])
 
 
-def _rows(ids: list, found: list[bytes], chunks: list[int], digests: list[str]) -> pa.RecordBatch:
-    ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-    values = pa.array(np.frombuffer(b"".join(found), np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(ends), values)
-    return pa.record_batch([pa.array(ids, pa.int64()), lists, pa.array(np.diff(ends)), pa.array(chunks, pa.int32()), pa.array(digests, pa.string())], ["doc_id", "ids", "n_tokens", "n_chunks", "text_sha256"])
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BLOCK bytes of a column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BLOCK)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
-def encode_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids, n_tokens, n_chunks, text_sha256) for every row; the digest is of the text that decoding should give."""
-    spark = df.sparkSession
-    name = distribute(spark, model)
-    own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+def _whole(name: str, check: bool):
+    """Kernel over (doc_id, text): the ids of whole texts, with check decoded again and compared, else with the text's digest."""
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
+        for batch in batches:
+            for part in _pieces(batch, 1):
+                texts = [_plain(x) for x in byte_rows(part)]
+                data = np.frombuffer(b"".join([b" " + x if x else b"" for x in texts]), np.uint8)
+                begins = np.concatenate(([0], np.cumsum([len(x) + bool(x) for x in texts])))
+                ids, ends = codec.encode_flat(data, begins)
+                if check:
+                    again, upto = codec.decode_flat(ids)
+                    at = upto[ends]
+                    if np.array_equal(again, data):
+                        told = at == begins
+                        told = pa.array(told[1:] & told[:-1])
+                    else:
+                        told = pa.array([np.array_equal(again[at[i] : at[i + 1]], data[begins[i] : begins[i + 1]]) for i in range(len(texts))])
+                else:
+                    told = pa.array([hashlib.sha256(x).hexdigest() for x in texts])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.diff(ends)), pa.array(np.ones(len(texts), np.int32)), told]
+                yield pa.record_batch(columns, ["doc_id", "ids", "n_tokens", "n_chunks", "exact" if check else "text_sha256"])
+
+    return run
+
+
+def _by_rows(kernel):
+    """mapInArrow function that hands a kernel a few rows at a time, since each holds much text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                texts = part.column(1).to_pylist()
-                yield _rows(part.column(0).to_pylist(), [codec.encode(x) for x in texts], [1] * len(texts), [_written(x) for x in texts])
+                yield kernel(batch.slice(k, ROWS))
+
+    return run
+
+
+def _encoded(df: DataFrame, doc_id: str, text: str, model: str, chunk: int, check: bool) -> DataFrame:
+    spark = df.sparkSession
+    name = distribute(spark, model)
+    own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = _codec(name).reach
         for batch in batches:
-            for i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own_name, digest, x = uuid.uuid4().hex, _written(x), SPACE + x.replace(" ", SPACE)
+            for k in range(batch.num_rows):
+                (i,), (x,) = (c.to_pylist() for c in batch.slice(k, 1).columns)
+                own_name, digest, x = uuid.uuid4().hex, _digest(x.encode()), SPACE + x.replace(" ", SPACE)
                 cuts = [*range(0, len(x), chunk), len(x)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     low = max(0, a - 2 * reach)
@@ -329,8 +471,7 @@ def encode_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return Chunk(_codec(name), row["part"], row["begin"], row["end"], row["k"] == 0, row["k"] == row["n"] - 1)
 
     def transfer(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.to_pylist()
-        found = [made(r).matrix() for r in rows]
+        found = [made(r).matrix() for r in batch.to_pylist()]
         return pa.record_batch([batch.column("own"), batch.column("k"), pa.array([m.shape[0] for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], ["own", "k", "height", "matrix"])
 
     def scan(group: pa.Table) -> pa.Table:
@@ -340,21 +481,30 @@ def encode_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"own": group.column("own"), "k": group.column("k"), "l": pa.array([a for a, _ in ends], pa.int32()), "r": pa.array([b for _, b in ends], pa.int32())})
 
     def traced(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.to_pylist()
-        found = [pa.array(np.frombuffer(made(r).trace(r["l"], r["r"]), np.int32)) for r in rows]
-        return pa.record_batch([batch.column("own"), batch.column("doc_id"), batch.column("digest"), batch.column("k"), batch.column("n"), pa.array([x.to_pylist() for x in found], pa.list_(pa.int32()))], ["own", "doc_id", "digest", "k", "n", "ids"])
+        found = [made(r).trace(r["l"], r["r"]) for r in batch.to_pylist()]
+        ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        return pa.record_batch([batch.column(c) for c in ("own", "doc_id", "digest", "k", "n")] + [lists], ["own", "doc_id", "digest", "k", "n", "ids"])
 
-    small = own.filter(F.length("text") <= chunk).mapInArrow(whole, ENCODED)
+    small = own.filter(F.length("text") <= chunk).mapInArrow(_whole(name, check), CHECKED if check else ENCODED)
     giant = own.filter(F.length("text") > chunk)
     # the names of the giants are drawn once, so the chunks are written before they are read twice
     chunks, _ = stash(giant.mapInArrow(split, "own string, doc_id long, digest string, k int, n int, begin int, end int, part string"))
-    states = map_batches(chunks, transfer, "own string, k int, height int, matrix binary").groupBy("own").applyInArrow(scan, "own string, k int, l int, r int")
-    parts = map_batches(chunks.join(states, ["own", "k"]), traced, "own string, doc_id long, digest string, k int, n int, ids array<int>")
+    states = chunks.mapInArrow(_by_rows(transfer), "own string, k int, height int, matrix binary").groupBy("own").applyInArrow(scan, "own string, k int, l int, r int")
+    parts = chunks.join(states, ["own", "k"]).mapInArrow(_by_rows(traced), "own string, doc_id long, digest string, k int, n int, ids array<int>")
     joined = parts.groupBy("own", "doc_id", "digest", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(joined.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("n").alias("n_chunks"), F.col("digest").alias("text_sha256")))
+    giants = joined.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("n").alias("n_chunks"), F.col("digest").alias("text_sha256"))
+    return small.unionByName(decode_documents(giants, model).drop("text") if check else giants)
 
 
-CHUNKS = pa.schema([("own", pa.string()), ("doc_id", pa.int64()), ("digest", pa.string()), ("k", pa.int32()), ("n", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("part", pa.string())])
+def encode_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids, n_tokens, n_chunks, text_sha256) for every row; the digest is of the text that decoding should give."""
+    return _encoded(df, doc_id, text, model, chunk, False)
+
+
+def round_trip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids, n_tokens, n_chunks, exact) for every row: exact if the ids, decoded, give the text again."""
+    return _encoded(df, doc_id, text, model, chunk, True)
 
 
 def distribute(spark: SparkSession, model: str) -> str:
@@ -369,20 +519,16 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_tokens, n_chunks, text, exact): the ids' text, and whether it is the text that was encoded."""
     name = distribute(encoded.sparkSession, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name)
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                lists = part.column(1)
-                values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-                texts = [codec.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-                exact = [_written(x) == d for x, d in zip(texts, part.column(4).to_pylist(), strict=True)]
-                yield pa.record_batch([part.column(0), lists, part.column(2), part.column(3), pa.array(texts, pa.string()), pa.array(exact)], ["doc_id", "ids", "n_tokens", "n_chunks", "text", "exact"])
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec, lists = _codec(name), batch.column(1)
+        texts = [codec.decode(x.values.to_numpy()) for x in lists]
+        exact = [hashlib.sha256(x.encode()).hexdigest() == d for x, d in zip(texts, batch.column(4).to_pylist(), strict=True)]
+        return pa.record_batch([batch.column(0), lists, batch.column(2), batch.column(3), pa.array(texts, pa.string()), pa.array(exact)], ["doc_id", "ids", "n_tokens", "n_chunks", "text", "exact"])
 
-    return encoded.select("doc_id", "ids", "n_tokens", "n_chunks", "text_sha256").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, n_chunks int, text string, exact boolean")
+    rows = encoded.select("doc_id", "ids", "n_tokens", "n_chunks", "text_sha256")
+    return rows.mapInArrow(_by_rows(kernel), "doc_id long, ids array<int>, n_tokens int, n_chunks int, text string, exact boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and whether they decode to it again."""
-    return decode_documents(encode_documents(table(spark, sf_dir, "documents"))).drop("text")
+    return round_trip(table(spark, sf_dir, "documents"))
