@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: token ids, and whether they decode to the text again."""
-    return sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs)).drop("text")
+    return sentencepiece_codec.round_trip(docs)
 
 
 STAGES = [
