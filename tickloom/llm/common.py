@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,15 @@ def byte_rows(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def parts_of(batch: pa.RecordBatch, size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of a column (a longer value is a part of its own)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_batches(df: DataFrame, kernel, schema: str) -> DataFrame:
     """mapInArrow with one function from a record batch to a record batch (or None)."""
 

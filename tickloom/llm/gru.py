@@ -15,12 +15,14 @@ import heapq
 
 import numpy as np
 
-HIDDEN = 16
-CLASS = 32
+HIDDEN = 32
+CLASS = 64
+#: Steps of truncated backpropagation, and of scoring, at a time.
 WINDOW = 32
+SCORED = 64
+#: Lanes of training and of scoring.
 LANES = 256
-#: Words after which training starts a long text's state anew (scoring never does).
-SEGMENT = 1024
+WIDE = 1024
 
 
 def initial(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
@@ -86,73 +88,83 @@ def laid_out(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np
     return previous, words, owner, starts
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def forward(p: dict, previous: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
     """States after each step of a window; with keep, what the backward pass needs."""
-    n = HIDDEN
-    x_gates = p["embed"] @ p["gates"][:n] + p["gates_bias"]
+    n = len(p["cand_bias"])
+    # sigmoid(x) = (1 + tanh(x / 2)) / 2: the gates' weights are halved once
+    half = p["gates"] * np.float32(0.5)
+    x_gates = p["embed"] @ half[:n] + p["gates_bias"] * np.float32(0.5)
     x_cand = p["embed"] @ p["cand"][:n] + p["cand_bias"]
-    w_gates, w_cand = p["gates"][n:], p["cand"][n:]
-    states, saved = np.empty((*previous.shape, n), np.float32), []
-    in_gates, in_cand = x_gates[previous], x_cand[previous]
+    w_gates, w_cand = half[n:], p["cand"][n:]
+    states, saved = np.empty((*previous.shape, n), p["embed"].dtype), []
+    in_gates, in_cand, begins = x_gates[previous], x_cand[previous], (starts == 0).any(1)
     for t in range(len(previous)):
-        h = h * starts[t][:, None]
-        g = _sigmoid(in_gates[t] + h @ w_gates)
+        if begins[t]:
+            h = h * starts[t][:, None]
+        g = h @ w_gates
+        g += in_gates[t]
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
         z, r = g[:, :n], g[:, n:]
         rh = r * h
-        c = np.tanh(in_cand[t] + rh @ w_cand)
+        c = rh @ w_cand
+        c += in_cand[t]
+        np.tanh(c, out=c)
         if keep:
             saved.append((h, z, r, rh, c))
-        h = h + z * (c - h)
-        states[t] = h
+        h = np.add(h, z * (c - h), out=states[t])
     return states, saved
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _normalised(logits: np.ndarray, picked: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of the picked row of each column; with grad the gradient of its negative by the logits."""
+    logits -= logits.max(0)
+    columns = np.arange(logits.shape[1])
+    chosen = logits[picked, columns].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    chosen -= np.log(total)
+    if grad:
+        logits /= total
+        logits[picked, columns] -= 1
+    return chosen, logits if grad else None
 
 
 def outputs(p: dict, states: np.ndarray, words: np.ndarray, grad: bool = False):
     """Log-probability (natural) of each word given its state; with grad also the gradients of its negative sum."""
-    groups = len(p["word"])
-    group = np.minimum(words // CLASS, groups)
-    group[words == groups * CLASS] = groups
-    logs = _log_softmax(states @ p["group"] + p["group_bias"])
-    rows = np.arange(len(words))
-    out = logs[rows, group].astype(np.float64)
-    if grad:
-        d = np.exp(logs)
-        d[rows, group] -= 1
-        g = {"group": states.T @ d, "group_bias": d.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-        d_states = d @ p["group"].T
+    groups, n, size = p["word"].shape
+    group = (words // size).astype(np.int16)  # the other words have a class of their own
     order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(groups + 1))
-    for k in range(groups):
-        mine = order[bounds[k] : bounds[k + 1]]
-        if not len(mine):
-            continue
-        s, w = states[mine], words[mine] - k * CLASS
-        inner = _log_softmax(s @ p["word"][k] + p["word_bias"][k])
-        out[mine] += inner[np.arange(len(mine)), w]
+    s, group, word = np.ascontiguousarray(states[order].T), group[order], words[order]
+    logs, d = _normalised(p["group"].T @ s + p["group_bias"][:, None], group, grad)
+    if grad:
+        g = {"group": s @ d.T, "group_bias": d.sum(1), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
+        d_s = p["group"] @ d
+    bounds = np.searchsorted(group, np.arange(groups + 1))
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        part = slice(bounds[k], bounds[k + 1])
+        inner, d = _normalised(p["word"][k].T @ s[:, part] + p["word_bias"][k][:, None], word[part] - k * size, grad)
+        logs[part] += inner
         if grad:
-            d = np.exp(inner)
-            d[np.arange(len(mine)), w] -= 1
-            g["word"][k], g["word_bias"][k] = s.T @ d, d.sum(0)
-            d_states[mine] += d @ p["word"][k].T
-    return (out, g, d_states) if grad else out
-
-
-def log_likelihood(p: dict, texts: list[np.ndarray], window: int = 8 * WINDOW) -> np.ndarray:
+            g["word"][k], g["word_bias"][k] = s[:, part] @ d.T, d.sum(1)
+            d_s[:, part] += p["word"][k] @ d
+    out = np.empty_like(logs)
+    out[order] = logs
+    if not grad:
+        return out
+    d_states = np.empty_like(states)
+    d_states[order] = d_s.T
+    return out, g, d_states
+
+
+def log_likelihood(p: dict, texts: list[np.ndarray], window: int = SCORED) -> np.ndarray:
     """Natural log-probability of each whole text (each ends with 0)."""
     total = np.zeros(len(texts))
     if not texts:
         return total
-    previous, words, owner, starts = laid_out(texts)
-    h = np.zeros((words.shape[1], HIDDEN), np.float32)
+    previous, words, owner, starts = laid_out(texts, WIDE)
+    h = np.zeros((words.shape[1], len(p["cand_bias"])), np.float32)
     for t in range(0, len(words), window):
         part = slice(t, t + window)
         states, _ = forward(p, previous[part], starts[part], h)
@@ -173,19 +185,18 @@ class Trainer:
         self.tokens = 0
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        """One pass over all words of the texts; long ones are cut into segments, so that all lanes stay filled."""
+        """One pass over all words of the texts; a text's state is carried from its first word to its last."""
         if not texts:
             return
-        texts = [x[k : k + SEGMENT] for x in texts for k in range(0, len(x), SEGMENT)]
         # few words get few lanes, so that there are some steps of the optimiser
         previous, words, owner, starts = laid_out(texts, max(8, min(LANES, sum(map(len, texts)) // (32 * WINDOW))))
-        h = np.zeros((words.shape[1], HIDDEN), np.float32)
+        h = np.zeros((words.shape[1], len(self.p["cand_bias"])), np.float32)
         for t in range(0, len(words), WINDOW):
             part = slice(t, t + WINDOW)
             h = self._window(previous[part], words[part], owner[part] >= 0, starts[part], h)
 
     def _window(self, previous, words, real, starts, h):
-        p, n = self.p, HIDDEN
+        p, n = self.p, len(self.p["cand_bias"])
         states, saved = forward(p, previous, starts, h, keep=True)
         count = int(real.sum())
         if not count:
@@ -193,6 +204,7 @@ class Trainer:
         _, g, d_out = outputs(p, states[real], words[real], grad=True)
         d_states = np.zeros_like(states)
         d_states[real] = d_out
+        begins = (starts == 0).any(1)
         d_gates_in, d_cand_in = np.empty((*words.shape, 2 * n), np.float32), np.empty((*words.shape, n), np.float32)
         g["gates"], g["cand"] = np.zeros_like(p["gates"]), np.zeros_like(p["cand"])
         w_gates, w_cand = p["gates"][n:].T, p["cand"][n:].T
@@ -206,7 +218,9 @@ class Trainer:
             d_gates_in[t], d_cand_in[t] = dg, dc
             g["gates"][n:] += before.T @ dg
             g["cand"][n:] += rh.T @ dc
-            dh = (dh * (1 - z) + drh * r + dg @ w_gates) * starts[t][:, None]
+            dh = dh * (1 - z) + drh * r + dg @ w_gates
+            if begins[t]:
+                dh *= starts[t][:, None]
         flat, dg, dc = previous.ravel(), d_gates_in.reshape(-1, 2 * n), d_cand_in.reshape(-1, n)
         x = p["embed"][flat]
         g["gates"][:n], g["gates_bias"] = x.T @ dg, dg.sum(0)

@@ -1,9 +1,9 @@
 """Operator 4: log-likelihood of whole documents under a gated recurrent language model.
 
-1. Words of all training documents are counted: each task counts its own and hands over sums, whenever
-   its table is full, so the shuffle follows the corpus and memory does not.
-2. The most frequent words are the model's (``MODELLED``), the next (``COMMON`` in all) are looked up in
-   a broadcast table of that bounded size; the counts of all others are joined by word.
+1. Words of all training documents are counted block by block in tasks and summed by Spark.
+2. Every text is cut into words once and written as numbers: the most frequent words are the model's
+   (``MODELLED``), the next (``COMMON`` in all) are looked up in a broadcast table of that bounded size;
+   the counts of all others are joined by word. Training and scoring read the numbers.
 3. ``ROUNDS`` times, each task trains the current model by truncated backpropagation on its own training
    documents of the round (one in ``SHARE`` by hash of doc_id; the rounds together take all of them),
    and the mean of the tasks' parameters, weighted by their tokens, is the next model.
@@ -20,95 +20,174 @@ their own; extra columns play no part; empty tables give empty results.
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import byte_rows, stash, table
+from .common import byte_rows, parts_of, stash, table, unstash
 
 FOLDS, HELD = 5, 1
 COMMON = 200_000
-MODELLED = 1024
+MODELLED = 4096
 SHARE = 4  # each round trains on one in so many of the training documents, another part each time
 ROUNDS = 4
-#: Words a task counts before it hands its sums over, and tokens it lays out at a time.
+#: Distinct words a task gathers before it hands its sums over.
 TABLE = 400_000
+#: Bytes of text that are cut into words at a time.
+BLOCK = 1 << 22
+#: Tokens that are laid out at a time, in training and scoring, and from which a text counts as long.
+LEARNT = 250_000
 TOKENS = 1_000_000
-#: Bytes from which a text counts as long.
-LONG = 16_384
+LONG = 2048
+#: Tasks' parameters that the driver adds up itself at most.
+SUMS = 16
 LN10 = float(np.log(10))
+#: Bytes with A-Z in lower case and all white space as a space.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+FOLDED[9:14] = 32
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
 
 
+def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, each with one space after it, and how many of them lie before each text and after the last."""
+    data = FOLDED[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    space = data == 0x20
+    word_end = space.copy()
+    word_end[0] = False
+    word_end[1:] &= ~space[:-1]
+    at = np.flatnonzero(word_end)
+    begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
+    kept = data[word_end | ~space]
+    offsets = np.concatenate(([0], np.flatnonzero(kept == 0x20) + 1)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]), np.searchsorted(at, begins)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over the rows of one binary column."""
+    """(word, n) over the rows of one binary column; words have a space after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found, rows = [], 0
 
-        def out() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        def out() -> list[pa.RecordBatch]:
+            sums = pa.Table.from_batches(found).group_by("word").aggregate([("n", "sum")])
             found.clear()
-            return made
+            return sums.rename_columns(["word", "n"]).to_batches(max_chunksize=100_000)
 
         for batch in batches:
-            for text in byte_rows(batch, 0):
-                found.update(text.lower().split())
-                if len(found) > TABLE:
-                    yield out()
-        if found:
-            yield out()
+            for part in parts_of(batch, BLOCK, 0):
+                each = pc.value_counts(cut(byte_rows(part, 0))[0])
+                found.append(pa.record_batch([each.field(0), each.field(1)], ["word", "n"]))
+                rows += len(each)
+                if rows > TABLE:
+                    yield from out()
+                    rows = 0
+        if rows:
+            yield from out()
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Words:
-    """Numbers of the common words by frequency (1..; 0 is the end of a text), and their counts."""
+    """The common words by frequency, numbered from 1 (0 is the end of a text), and the counts by number."""
 
     def __init__(self, words: list[bytes], counts: list[int], ends: int):
-        self.number = {w: i + 1 for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.counts = np.array([ends, *counts], np.float64)
         self.log = np.log10(self.counts + 0.5)
 
-    def of(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        """Numbers of a text's words and its end (-1: not common), and the words."""
-        words = text.lower().split()
-        out = np.zeros(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
-        return out, words
+    def of(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of words; -1: not common."""
+        return pc.fill_null(pc.add(pc.index_in(distinct, self.words), 1), -1).to_numpy(zero_copy_only=False)
+
+
+NUMBERED = "uid long, doc_id long, n_tokens long, n_common long, common_log double, n_other long, other_log double, rare array<struct<word:binary,n:long>>, ids binary"
+
+
+def numbered(docs: DataFrame, shared) -> DataFrame:
+    """Rows (doc_id, text) as numbers: sums over the common words, the other words with their counts, and the model's word numbers (16 bits each)."""
+
+    def block(known: Words, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        n = len(texts)
+        words, before = cut(texts)
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy()
+        number = known.of(coded.dictionary)[which] if len(which) else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(n), np.diff(before))
+        tokens, starts = np.zeros(len(number) + n, np.int64), before + np.arange(n + 1)
+        tokens[np.arange(len(number)) + owner] = number
+        seen = tokens >= 0
+        log, other = np.where(seen, known.log[np.maximum(tokens, 0)], 0.0), seen & (tokens >= MODELLED)
+        total = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  each text has its end at least
+        model = np.where(seen & ~other, tokens, MODELLED).astype(np.int16)
+        rare, often = np.unique(owner[number < 0] * max(1, len(coded.dictionary)) + which[number < 0], return_counts=True)
+        of, word = np.divmod(rare, max(1, len(coded.dictionary)))
+        entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(often, pa.int64())], ["word", "n"])
+        arrays = [
+            pa.array(np.frombuffer(os.urandom(8 * n), np.int64)), ids, pa.array(np.diff(starts), pa.int64()), pa.array(total((seen & (known.counts[np.maximum(tokens, 0)] > 0)).astype(np.int64))),
+            pa.array(total(log)), pa.array(total((other | ~seen).astype(np.int64))), pa.array(total(np.where(other, log, 0.0))),
+            pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), entries),
+            pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * starts).astype(np.int32)), pa.py_buffer(model)]),
+        ]
+        return pa.record_batch(arrays, ["uid", "doc_id", "n_tokens", "n_common", "common_log", "n_other", "other_log", "rare", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch, BLOCK):
+                yield block(shared.value, part.column(0), byte_rows(part))
+
+    return docs.mapInArrow(run, NUMBERED)
+
+
+def _model_words(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int16).astype(np.int32)
+
+
+class Waiting:
+    """Items held back until their tokens fill a lay-out; long texts wait for each other, so that their lanes run side by side."""
 
+    def __init__(self, short: int, long: int):
+        self.room = {False: short, True: long}
+        self.held = {False: [], True: []}
+        self.size = {False: 0, True: 0}
 
-def _modelled(numbers: np.ndarray) -> np.ndarray:
-    """The model's word numbers: all words from MODELLED on are one."""
-    return np.where((numbers < 0) | (numbers >= MODELLED), MODELLED, numbers)
+    def add(self, item, tokens: int) -> list:
+        """What is due with this item: nothing, or all items of its kind."""
+        kind = tokens > LONG
+        self.held[kind].append(item)
+        self.size[kind] += tokens
+        return self._taken(kind) if self.size[kind] >= self.room[kind] else []
 
+    def _taken(self, kind: bool) -> list:
+        out, self.held[kind], self.size[kind] = self.held[kind], [], 0
+        return out
 
-def train(docs: DataFrame, shared, start: dict, rounds: int = ROUNDS, share: int = SHARE) -> dict:
-    """The model after ``rounds`` rounds over rows (doc_id, text) of training documents."""
-    spark = docs.sparkSession
+    def rest(self) -> list[list]:
+        return [x for kind in (False, True) if (x := self._taken(kind))]
+
+
+def train(rows: DataFrame, start: dict, rounds: int = ROUNDS, share: int = SHARE) -> dict:
+    """The model after ``rounds`` rounds over rows (doc_id, ids) of training documents."""
+    spark = rows.sparkSession
     params = start
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(gru.packed(params))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, texts, size = gru.Trainer(gru.unpacked(sent.value, start)), [], 0
+            trainer, waiting = gru.Trainer(gru.unpacked(sent.value, start)), Waiting(LEARNT, TOKENS)
             for batch in batches:
-                for text in byte_rows(batch, 0):
-                    texts.append(_modelled(shared.value.of(text)[0]))
-                    size += len(texts[-1])
-                    if size >= TOKENS // 4:
-                        trainer.learn(texts)
-                        texts, size = [], 0
-            trainer.learn(texts)
+                for blob in batch.column(0).to_pylist():
+                    trainer.learn(waiting.add(_model_words(blob), len(blob) // 2))
+            for texts in waiting.rest():
+                trainer.learn(texts)
             if trainer.tokens:
                 flat = gru.packed(trainer.p).astype(np.float64) * trainer.tokens
                 yield pa.record_batch([pa.array([int.from_bytes(os.urandom(4), "big")], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["at", "tokens", "weights"])
@@ -120,27 +199,23 @@ def train(docs: DataFrame, shared, start: dict, rounds: int = ROUNDS, share: int
             return pa.table({"at": pa.array([0], pa.int64()), "tokens": pa.array([sum(group.column("tokens").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
         schema = "at long, tokens long, weights binary"
-        mine = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == turn % share).select("text")
-        sums, _ = stash(mine.mapInArrow(learn, schema))
-        n = sums.count()
-        if not n:
-            continue
+        mine = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == turn % share).select("ids")
+        sums, path = stash(mine.mapInArrow(learn, schema))
+        paths, n = [path], sums.count()
         # sums of sums, so that no task or driver holds every task's parameters
-        width = max(1, int(n**0.5))
-        while n > 64:
-            sums = sums.groupBy(F.pmod("at", F.lit(width)).alias("g")).applyInArrow(add, schema) if n > width else sums
-            sums, _ = stash(sums.withColumn("at", F.monotonically_increasing_id()))
-            n, width = sums.count(), max(1, width // 8)
-        rows = sums.collect()
-        total = sum(np.frombuffer(r["weights"], np.float64) for r in rows)
-        params = gru.unpacked(total / sum(r["tokens"] for r in rows), start)
+        width = max(SUMS, int(n**0.5))
+        while n > SUMS:
+            sums, path = stash(sums.groupBy(F.pmod("at", F.lit(width)).alias("g")).applyInArrow(add, schema).withColumn("at", F.monotonically_increasing_id()))
+            paths.append(path)
+            n, width = sums.count(), SUMS
+        found = sums.collect()
+        if found:
+            params = gru.unpacked(sum(np.frombuffer(r["weights"], np.float64) for r in found) / sum(r["tokens"] for r in found), start)
+        unstash(spark, paths)
+        sent.unpersist()
     return params
 
 
-SCORED = "uid long, doc_id long, n_tokens long, n_common long, common_log double, model_log double, n_other long, other_log double, rare array<struct<word:binary,n:long>>"
-_RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = df.sparkSession
@@ -161,57 +236,35 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
     frequent[: min(MODELLED, len(words.counts))] = words.counts[:MODELLED]
     frequent[MODELLED] = n - frequent[:MODELLED].sum()
     others, kinds = float(frequent[MODELLED]), max(0, v - MODELLED)
-    params = train(training, shared, gru.initial(frequent), rounds, share)
+    # rows get a random name, drawn once as they are written
+    lines, _ = stash(numbered(own, shared))
+    params = train(lines.filter(~held_out(F.col("doc_id"))), gru.initial(frequent), rounds, share)
     sent = spark.sparkContext.broadcast(gru.packed(params))
     shape = gru.initial(frequent)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, known = gru.unpacked(sent.value, shape), shared.value
-        # long texts wait for each other, so that their lanes run side by side
-        held = {False: ([], [], 0), True: ([], [], 0)}
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), byte_rows(batch), strict=True):
-                ids, texts, size = held[long := len(text) > LONG]
-                ids.append(i)
-                texts.append(text)
-                held[long] = (ids, texts, size + len(text))
-                if size + len(text) > 6 * TOKENS:
-                    yield scored(p, known, ids, texts)
-                    held[long] = ([], [], 0)
-        for ids, texts, _ in held.values():
-            if texts:
-                yield scored(p, known, ids, texts)
-
-    def scored(p: dict, known: Words, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        numbers, lengths, common, common_log, n_other, other_log, rare = [], [], [], [], [], [], []
-        for text in texts:
-            found, split = known.of(text)
-            seen = found[found >= 0]
-            other = seen[seen >= MODELLED]
-            unknown = Counter([split[i] for i in np.flatnonzero(found < 0)])
-            lengths.append(len(found))
-            common.append(int((known.counts[seen] > 0).sum()))
-            common_log.append(float(known.log[seen].sum()))
-            n_other.append(len(found) - len(seen) + len(other))
-            other_log.append(float(known.log[other].sum()))
-            rare.append([{"word": w, "n": c} for w, c in unknown.items()])
-            numbers.append(_modelled(found))
-        logs = gru.log_likelihood(p, numbers) / LN10
-        uid = np.frombuffer(os.urandom(8 * len(texts)), np.int64)
-        arrays = [pa.array(uid), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(common, pa.int64()), pa.array(common_log), pa.array(logs), pa.array(n_other, pa.int64()), pa.array(other_log), pa.array(rare, _RARE)]
-        return pa.record_batch(arrays, ["uid", "doc_id", "n_tokens", "n_common", "common_log", "model_log", "n_other", "other_log", "rare"])
+        p, waiting = gru.unpacked(sent.value, shape), Waiting(TOKENS, 2 * TOKENS)
 
-    # rows get a random name, drawn once as they are written
-    rows, _ = stash(own.mapInArrow(kernel, SCORED))
-    each = rows.select("uid", "doc_id", F.explode("rare").alias("r")).select("uid", "doc_id", "r.word", F.col("r.n").alias("tf"))
+        def scored(items: list) -> pa.RecordBatch:
+            logs = gru.log_likelihood(p, [_model_words(blob) for _, blob in items]) / LN10
+            return pa.record_batch([pa.array([uid for uid, _ in items], pa.int64()), pa.array(logs)], ["uid", "model_log"])
+
+        for batch in batches:
+            for item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if due := waiting.add(item, len(item[1]) // 2):
+                    yield scored(due)
+        for items in waiting.rest():
+            yield scored(items)
+
+    logs = lines.select("uid", "ids").mapInArrow(kernel, "uid long, model_log double")
+    each = lines.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", F.col("r.n").alias("tf"))
     count = F.coalesce(F.col("n"), F.lit(0))
     tail = (
         each.join(counts, "word", "left")
-        .groupBy("uid", "doc_id")
+        .groupBy("uid")
         .agg(F.sum(F.log10(count + 0.5) * F.col("tf")).alias("tail_log"), F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-        .select(F.col("uid").alias("u"), F.col("doc_id").alias("d"), "tail_log", "tail_known")
     )
-    both = rows.drop("rare").join(tail, (F.col("uid") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    both = lines.drop("rare", "ids").join(tail, "uid", "left").join(logs, "uid")
     tail_log, tail_known = F.coalesce("tail_log", F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
     base = F.col("common_log") + tail_log - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
     model = F.col("model_log") + F.col("other_log") + tail_log - F.col("n_other") * float(np.log10(others + 0.5 * (kinds + 1)))

@@ -29,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, stash, table
+from .common import byte_rows, parts_of, stash, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are split.
@@ -403,22 +402,13 @@ CHECKED = "doc_id long, ids array<int>, n_tokens int, n_chunks int, exact boolea
 CHUNKS = pa.schema([("own", pa.string()), ("doc_id", pa.int64()), ("digest", pa.string()), ("k", pa.int32()), ("n", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("part", pa.string())])
 
 
-def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about BLOCK bytes of a column."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
-    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BLOCK)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _whole(name: str, check: bool):
     """Kernel over (doc_id, text): the ids of whole texts, with check decoded again and compared, else with the text's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
         for batch in batches:
-            for part in _pieces(batch, 1):
+            for part in parts_of(batch, BLOCK):
                 texts = [_plain(x) for x in byte_rows(part)]
                 data = np.frombuffer(b"".join([b" " + x if x else b"" for x in texts]), np.uint8)
                 begins = np.concatenate(([0], np.cumsum([len(x) + bool(x) for x in texts])))
