@@ -21,7 +21,7 @@ CLASS = 64
 WINDOW = 32
 SCORED = 64
 #: Lanes of training and of scoring.
-LANES = 256
+LANES = 512
 WIDE = 1024
 
 
@@ -88,7 +88,7 @@ def laid_out(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np
     return previous, words, owner, starts
 
 
-def forward(p: dict, previous: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+def forward(p: dict, previous: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
     """States after each step of a window; with keep, what the backward pass needs."""
     n = len(p["cand_bias"])
     # sigmoid(x) = (1 + tanh(x / 2)) / 2: the gates' weights are halved once
@@ -96,24 +96,29 @@ def forward(p: dict, previous: np.ndarray, starts: np.ndarray, h: np.ndarray, ke
     x_gates = p["embed"] @ half[:n] + p["gates_bias"] * np.float32(0.5)
     x_cand = p["embed"] @ p["cand"][:n] + p["cand_bias"]
     w_gates, w_cand = half[n:], p["cand"][n:]
-    states, saved = np.empty((*previous.shape, n), p["embed"].dtype), []
+    kind, shape = p["embed"].dtype, previous.shape
+    states = np.empty((*shape, n), kind)
+    # what each step had: the state before it, both gates, the gated state and the candidate
+    saved = tuple(np.empty((*shape, m), kind) for m in (n, 2 * n, n, n)) if keep else ()
     in_gates, in_cand, begins = x_gates[previous], x_cand[previous], (starts == 0).any(1)
     for t in range(len(previous)):
         if begins[t]:
             h = h * starts[t][:, None]
-        g = h @ w_gates
-        g += in_gates[t]
+        g = in_gates[t]
+        g += h @ w_gates
         np.tanh(g, out=g)
         g *= 0.5
         g += 0.5
-        z, r = g[:, :n], g[:, n:]
-        rh = r * h
-        c = rh @ w_cand
-        c += in_cand[t]
+        rh = g[:, n:] * h
+        c = in_cand[t]
+        c += rh @ w_cand
         np.tanh(c, out=c)
         if keep:
-            saved.append((h, z, r, rh, c))
-        h = np.add(h, z * (c - h), out=states[t])
+            saved[0][t], saved[1][t], saved[2][t], saved[3][t] = h, g, rh, c
+        step = np.subtract(c, h, out=states[t])
+        step *= g[:, :n]
+        step += h
+        h = step
     return states, saved
 
 
@@ -205,39 +210,50 @@ class Trainer:
         d_states = np.zeros_like(states)
         d_states[real] = d_out
         begins = (starts == 0).any(1)
-        d_gates_in, d_cand_in = np.empty((*words.shape, 2 * n), np.float32), np.empty((*words.shape, n), np.float32)
-        g["gates"], g["cand"] = np.zeros_like(p["gates"]), np.zeros_like(p["cand"])
+        before, gates, gated, cand = saved
+        z, r = gates[..., :n], gates[..., n:]
+        to_cand, to_z, to_r, stay = z * (1 - cand * cand), (cand - before) * z * (1 - z), before * r * (1 - r), 1 - z
+        d_gates, d_cand = np.empty_like(gates), np.empty_like(cand)
         w_gates, w_cand = p["gates"][n:].T, p["cand"][n:].T
         dh = np.zeros_like(h)
         for t in range(len(words) - 1, -1, -1):
-            before, z, r, rh, c = saved[t]
-            dh = dh + d_states[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ w_cand
-            dg = np.hstack((dh * (c - before) * z * (1 - z), drh * before * r * (1 - r)))
-            d_gates_in[t], d_cand_in[t] = dg, dc
-            g["gates"][n:] += before.T @ dg
-            g["cand"][n:] += rh.T @ dc
-            dh = dh * (1 - z) + drh * r + dg @ w_gates
+            dh += d_states[t]
+            dc = np.multiply(dh, to_cand[t], out=d_cand[t])
+            drh, dg = dc @ w_cand, d_gates[t]
+            np.multiply(dh, to_z[t], out=dg[:, :n])
+            np.multiply(drh, to_r[t], out=dg[:, n:])
+            dh *= stay[t]
+            drh *= r[t]
+            dh += drh
+            dh += dg @ w_gates
             if begins[t]:
                 dh *= starts[t][:, None]
-        flat, dg, dc = previous.ravel(), d_gates_in.reshape(-1, 2 * n), d_cand_in.reshape(-1, n)
+        flat, dg, dc = previous.ravel(), d_gates.reshape(-1, 2 * n), d_cand.reshape(-1, n)
         x = p["embed"][flat]
-        g["gates"][:n], g["gates_bias"] = x.T @ dg, dg.sum(0)
-        g["cand"][:n], g["cand_bias"] = x.T @ dc, dc.sum(0)
+        g["gates"] = np.concatenate((x.T @ dg, before.reshape(-1, n).T @ dg))
+        g["cand"] = np.concatenate((x.T @ dc, gated.reshape(-1, n).T @ dc))
+        g["gates_bias"], g["cand_bias"] = dg.sum(0), dc.sum(0)
         d_x = dg @ p["gates"][:n].T + dc @ p["cand"][:n].T
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
         g["embed"] = np.zeros_like(p["embed"])
         g["embed"][flat[order][first]] = np.add.reduceat(d_x[order], first)
-        norm = np.sqrt(sum(float((v / count).ravel() @ (v / count).ravel()) for v in g.values()))
-        scale = min(1.0, 1.0 / max(norm, 1e-9)) / count
+        norm = np.sqrt(sum(float(v.ravel() @ v.ravel()) for v in g.values())) / count
+        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / count)
         self.n += 1
         self.tokens += count
         step = self.rate * min(1.0, self.n / 20) * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, v in g.items():
-            v = v * np.float32(scale)
-            self.m[k] += 0.1 * (v - self.m[k])
-            self.v[k] += 0.001 * (v * v - self.v[k])
-            p[k] -= (step * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            m, s, v = self.m[k], self.v[k], v * scale
+            m *= 0.9
+            m += np.float32(0.1) * v
+            v *= v
+            v *= 0.001
+            s *= 0.999
+            s += v
+            np.sqrt(s, out=v)
+            v += 1e-8
+            np.divide(m, v, out=v)
+            v *= step
+            p[k] -= v
         return states[-1]

@@ -41,7 +41,7 @@ TABLE = 400_000
 #: Bytes of text that are cut into words at a time.
 BLOCK = 1 << 22
 #: Tokens that are laid out at a time, in training and scoring, and from which a text counts as long.
-LEARNT = 250_000
+LEARNT = 500_000
 TOKENS = 1_000_000
 LONG = 2048
 #: Tasks' parameters that the driver adds up itself at most.
