@@ -15,14 +15,14 @@ import heapq
 
 import numpy as np
 
-HIDDEN = 32
+HIDDEN = 16
 CLASS = 64
 #: Steps of truncated backpropagation, and of scoring, at a time.
 WINDOW = 32
 SCORED = 64
 #: Lanes of training and of scoring.
-LANES = 512
-WIDE = 1024
+LANES = 256
+WIDE = 512
 
 
 def initial(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
@@ -48,11 +48,16 @@ def packed(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def shapes(p: dict[str, np.ndarray]) -> dict[str, tuple[int, ...]]:
+    return {k: v.shape for k, v in p.items()}
+
+
+def unpacked(flat: np.ndarray, shape: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
+    for k in sorted(shape):
+        size = int(np.prod(shape[k]))
+        out[k] = flat[at : at + size].reshape(shape[k]).astype(np.float32)
+        at += size
     return out
 
 

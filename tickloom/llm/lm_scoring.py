@@ -99,9 +99,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 class Words:
     """The common words by frequency, numbered from 1 (0 is the end of a text), and the counts by number."""
 
-    def __init__(self, words: list[bytes], counts: list[int], ends: int):
-        self.words = pa.array(words, pa.binary())
-        self.counts = np.array([ends, *counts], np.float64)
+    def __init__(self, words, counts, ends: int):
+        self.words = pa.array(words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words, pa.binary())
+        self.counts = np.append(float(ends), np.asarray(counts, np.float64))
         self.log = np.log10(self.counts + 0.5)
 
     def of(self, distinct: pa.Array) -> np.ndarray:
@@ -177,12 +177,12 @@ class Waiting:
 def train(rows: DataFrame, start: dict, rounds: int = ROUNDS, share: int = SHARE) -> dict:
     """The model after ``rounds`` rounds over rows (doc_id, ids) of training documents."""
     spark = rows.sparkSession
-    params = start
+    params, shape, size = start, gru.shapes(start), len(gru.packed(start))
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(gru.packed(params))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, waiting = gru.Trainer(gru.unpacked(sent.value, start)), Waiting(LEARNT, TOKENS)
+            trainer, waiting = gru.Trainer(gru.unpacked(sent.value, shape)), Waiting(LEARNT, TOKENS)
             for batch in batches:
                 for blob in batch.column(0).to_pylist():
                     trainer.learn(waiting.add(_model_words(blob), len(blob) // 2))
@@ -193,7 +193,7 @@ def train(rows: DataFrame, start: dict, rounds: int = ROUNDS, share: int = SHARE
                 yield pa.record_batch([pa.array([int.from_bytes(os.urandom(4), "big")], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["at", "tokens", "weights"])
 
         def add(group: pa.Table) -> pa.Table:
-            total = np.zeros(len(gru.packed(start)))
+            total = np.zeros(size)
             for x in group.column("weights"):
                 total += np.frombuffer(x.as_py(), np.float64)
             return pa.table({"at": pa.array([0], pa.int64()), "tokens": pa.array([sum(group.column("tokens").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
@@ -210,7 +210,7 @@ def train(rows: DataFrame, start: dict, rounds: int = ROUNDS, share: int = SHARE
             n, width = sums.count(), SUMS
         found = sums.collect()
         if found:
-            params = gru.unpacked(sum(np.frombuffer(r["weights"], np.float64) for r in found) / sum(r["tokens"] for r in found), start)
+            params = gru.unpacked(sum(np.frombuffer(r["weights"], np.float64) for r in found) / sum(r["tokens"] for r in found), shape)
         unstash(spark, paths)
         sent.unpersist()
     return params
@@ -228,8 +228,9 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
     # the counts from which at most COMMON words are common; words that tie at the edge are all left out
     by_count = counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("n"))))
     least = by_count.filter(F.col("upto") <= COMMON).agg(F.min("n").alias("n")).first()["n"]
-    top = [] if least is None else sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    words = Words([bytes(r["word"]) for r in top], [r["n"] for r in top], ends)
+    top = counts.filter(F.col("n") >= (total["n"] + 1 if least is None else least)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    words = Words(top.column("word"), top.column("n"), ends)
+    del top
     shared = spark.sparkContext.broadcast(words)
 
     frequent = np.zeros(MODELLED + 1)
@@ -238,9 +239,10 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
     others, kinds = float(frequent[MODELLED]), max(0, v - MODELLED)
     # rows get a random name, drawn once as they are written
     lines, _ = stash(numbered(own, shared))
-    params = train(lines.filter(~held_out(F.col("doc_id"))), gru.initial(frequent), rounds, share)
+    start = gru.initial(frequent)
+    shape = gru.shapes(start)
+    params = train(lines.filter(~held_out(F.col("doc_id"))), start, rounds, share)
     sent = spark.sparkContext.broadcast(gru.packed(params))
-    shape = gru.initial(frequent)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, waiting = gru.unpacked(sent.value, shape), Waiting(TOKENS, 2 * TOKENS)
