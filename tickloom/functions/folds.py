@@ -1,6 +1,6 @@
 """Recursive series: values that depend on their own last value.
 
-``fold`` runs any number of them in one pass. Rows are dealt by key, sorted by (key, order) inside each
+``fold`` runs any number of them in one pass, also folds of folds. Rows are dealt by key, sorted by (key, order) inside each
 partition and streamed in Arrow batches; only the running state of the current key is held, so a long
 key needs no more memory than a short one. A step takes its inputs (None for NULL) and gives a value;
 ``make`` gives a fresh step for each key.
@@ -28,38 +28,52 @@ class Fold:
 
 
 def fold(df: DataFrame, folds: dict[str, Fold], key: str = "code", order: str = "ts") -> DataFrame:
-    """df with a column for each fold. Ties in the order are broken by the folds' inputs only if ``order`` is unique per key."""
-    needed = list(dict.fromkeys(c for f in folds.values() for c in f.inputs))
+    """df with a column for each fold, all in one pass over one shuffle; a fold may take those before it as inputs.
+
+    Ties in the order are broken by the folds' inputs only if ``order`` is unique per key.
+    """
+    needed = [c for c in dict.fromkeys(c for f in folds.values() for c in f.inputs) if c in df.columns]
     kinds = {"double": T.DoubleType(), "boolean": T.BooleanType(), "long": T.LongType()}
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, kinds[f.kind]) for name, f in folds.items()]])
     arrow = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, steps = object(), []
+        now, steps = object(), {}
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
+            if not keys:
+                continue
+            starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             values = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in needed}
-            rows = [list(zip(*(values[c] for c in f.inputs), strict=True)) for f in folds.values()]
-            outs: list[list] = [[] for _ in folds]
-            for i, k in enumerate(keys):
-                if k != now:
-                    now, steps = k, [f.make() for f in folds.values()]
-                for out, step, own in zip(outs, steps, rows, strict=True):
-                    out.append(step(*own[i]))
-            added = [pa.array(o, arrow[f.kind]) for o, f in zip(outs, folds.values(), strict=True)]
+            for name, f in folds.items():
+                inputs, out = [values[c] for c in f.inputs], []
+                for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+                    if k or keys[0] != now:
+                        steps[name] = f.make()
+                    out.extend(map(steps[name], *[x[a:b] for x in inputs]))
+                values[name] = out
+            now = keys[-1]
+            added = [pa.array(values[name], arrow[f.kind]) for name, f in folds.items()]
             yield pa.record_batch([*batch.columns, *added], names=[*batch.schema.names, *folds])
 
     return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
-def chain(df: DataFrame, *stages: dict[str, Fold], key: str = "code", order: str = "ts") -> DataFrame:
-    """Folds whose inputs are earlier folds, stage after stage."""
-    for stage in stages:
-        df = fold(df, stage, key, order)
-    return df
+# -- steps -------------------------------------------------------------------------------------
 
 
-# -- steps -------------------------------------------------------------------------------------
+def of(formula: Callable, *inputs: str) -> Fold:
+    """A formula of the row's own values, for use between folds of one pass; NULL if a value is missing or a divisor is 0."""
+
+    def step(*values):
+        if None in values:
+            return None
+        try:
+            return formula(*values)
+        except ZeroDivisionError:
+            return None
+
+    return Fold(inputs, lambda: step)
 
 
 def smooth(alpha: float):

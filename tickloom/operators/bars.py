@@ -58,8 +58,9 @@ def adj_nav(rets: DataFrame, first: float = 1.0) -> DataFrame:
     return rets.withColumn("nav", F.product(1 + C("ret")).over(w) * first)
 
 
-def days_until_higher(df: DataFrame, horizon: int = 60) -> DataFrame:
-    """Bars until a later high is above today's close, at most ``horizon`` bars on; NULL if none is."""
-    later = F.collect_list("high").over(S.w.rowsBetween(1, horizon))
-    at = F.array_position(F.transform(later, lambda h: h > C("close")), True)
-    return df.withColumn("until_higher", F.when(at > 0, at))
+def days_until_higher(df: DataFrame) -> DataFrame:
+    """Bars until a later high is above today's close; the length of the series if none is."""
+    from .trades import first_later_high
+
+    found = first_later_high(df).select("code", C("buy_ts").alias("_ts"), C("days_held").alias("_days"))
+    return df.withColumns({"_ts": C("ts").cast("string"), "_n": F.count("*").over(S.all)}).join(found, ["code", "_ts"], "left").withColumn("until_higher", F.coalesce("_days", "_n")).drop("_ts", "_n", "_days")

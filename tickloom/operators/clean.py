@@ -54,10 +54,10 @@ def limit_band(df: DataFrame) -> DataFrame:
 
 
 def board_filter(df: DataFrame, name: str, prefixes: tuple[str, ...], exclude: DataFrame | None = None) -> DataFrame:
-    """Names that begin with one of the prefixes, less those in a table of exclusions."""
+    """Names that begin with one of the prefixes, less the rows that a table of exclusions matches in all its columns."""
     size = len(prefixes[0])
     kept = df.filter(F.substring(name, 1, size).isin(*prefixes))
-    return kept if exclude is None else kept.join(exclude.select(name), name, "left_anti")
+    return kept if exclude is None else kept.join(exclude, exclude.columns, "left_anti")
 
 
 def new_listing_flag(df: DataFrame, n: int = 100) -> DataFrame:
@@ -106,9 +106,17 @@ def universe_filter(df: DataFrame, drop_types: list[str], suspect: str, shield:
 
 
 def blacklist(df: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose name has none of the words (a small list), and the words that no name has."""
-    hit = F.contains(C("name"), C("word"))
-    return df.join(F.broadcast(words), hit, "left_anti"), words.join(df.select("name"), hit, "left_anti")
+    """Rows whose name has none of the words, and the words that no name has.
+
+    A word can only be in a name that has the word's first two characters side by side, so names and words
+    meet by those and no pair of strangers is looked at.
+    """
+    listed = words.select("word").distinct().withColumn("_pair", F.left("word", F.lit(2)))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda k: F.substring(C("name"), k, F.lit(2)))
+    singles = F.transform(places, lambda x: F.left(x, F.lit(1)))
+    names = df.select("name").distinct().withColumn("_pair", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), places, singles))))
+    hits = names.join(listed, "_pair").filter(F.contains(C("name"), C("word"))).select("name", "word")
+    return df.join(hits.select("name").distinct(), "name", "left_anti"), words.join(hits.select("word").distinct(), "word", "left_anti")
 
 
 def pool_reject_reason(stats: DataFrame, min_days=40, min_ret=0.0, max_missing=0.05, max_zero=10, max_drawdown=-0.7) -> DataFrame:

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions import series as fn
 
 C = F.col
 
 
-def group_product(spark, families: list[list[str]]) -> DataFrame:
-    """At most one member of each family, at least one in all (a list of parameters, not data)."""
-    rows = [sorted(x for x in pick if x) for pick in product(*[[None, *f] for f in families])]
-    return spark.createDataFrame([(r,) for r in rows if r], "combo array<string>")
+def group_product(families: list[DataFrame]) -> DataFrame:
+    """At most one member of each family (a table with one column ``member``), at least one in all. Families are short lists."""
+    out = None
+    for k, family in enumerate(families):
+        one = family.select(C("member").alias(f"m{k}")).distinct()
+        one = one.unionByName(family.sparkSession.range(1).select(F.lit(None).cast("string").alias(f"m{k}")))
+        out = one if out is None else out.crossJoin(one)
+    chosen = F.array_sort(F.array_compact(F.array(*[C(f"m{k}") for k in range(len(families))])))
+    return out.select(chosen.alias("combo")).filter(F.size("combo") > 0)
 
 
 def level_join(base: DataFrame, last: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Every set of ``last`` with every base signal it lacks, each once, less those that exist. The base is a bounded list of signals."""
-    joined = last.join(F.broadcast(base), ~F.array_contains(C("combo"), C("signal")))
-    made = joined.select(F.array_sort(F.array_union(C("combo"), F.array(C("signal")))).alias("combo")).distinct()
+    """Every set of ``last`` with every base signal it lacks, each once, less those that exist.
+
+    The sorted base signals are one short array, which each set of a level filters and explodes.
+    """
+    signals = base.agg(F.array_sort(F.collect_set("signal")).alias("signals"))
+    more = F.array_except("signals", "combo")
+    made = last.select("combo").join(F.broadcast(signals)).select("combo", F.explode(more).alias("signal"))
+    made = made.select(F.array_sort(F.concat("combo", F.array("signal"))).alias("combo")).distinct()
     return made if existing is None else made.join(existing.select("combo"), "combo", "left_anti")
 
 
@@ -85,8 +94,7 @@ def pick_k_for_target(seeds: DataFrame, target: int) -> DataFrame:
     """The largest number of best seeds whose candidates number at most the target: a seed of place p in its prefix group adds p-1 pairs."""
     prefix = F.slice("combo", 1, F.size("combo") - 1)
     ranked = seeds.withColumn("place", F.row_number().over(Window.partitionBy(prefix).orderBy(F.desc("score"), "key")))
-    # one running sum over the ranked seeds; seeds are what a search keeps, not the candidates
-    run = ranked.withColumn("made", F.sum(C("place") - 1).over(Window.orderBy(F.desc("score"), "key").rowsBetween(Window.unboundedPreceding, 0)))
+    run = ranks.running(ranked, -C("score").cast("double"), ["key"], {"made": C("place") - 1})
     fit = run.filter(C("made") <= target)
     return fit.agg(F.count("*").alias("k"), F.coalesce(F.max("made"), F.lit(0)).alias("made"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import series as fn
 from ..functions.series import Series
+from ..functions.steps import with_steps
+from . import indicators as ind
 
 C = F.col
 S = Series()
@@ -19,6 +21,65 @@ def _pct(x):
     return F.coalesce(fn.half_even(x * 100, 2), F.lit(0.0))
 
 
+def technical(df: DataFrame, prefix: str = "") -> DataFrame:
+    """df with stoch_k, stoch_d, willr, boll_up, boll_mid, boll_low, rsi, dif, dea, hist and bar of the prices named with a prefix."""
+    own = df.withColumns({p: C(f"{prefix}{p}") for p in ("open", "high", "low", "close")}) if prefix else df
+    own = own.withColumn("prev_close", S.ref("close"))
+    made = with_steps(own, [*ind.stoch(), *ind.willr(), *ind.boll(), *ind.rsi_wilder(), *ind.macd_seeded()])
+    out = {"stoch_k": "slowk", "stoch_d": "slowd", "willr": "willr", "boll_up": "boll_up", "boll_mid": "boll_mid", "boll_low": "boll_low", "rsi": "rsi_w", "dif": "dif_s", "dea": "dea_s", "hist": "macd_s"}
+    return made.select(*df.columns, *[C(c).alias(f"{prefix}{n}") for n, c in out.items()], (C("macd_s") * 2).alias(f"{prefix}bar"))
+
+
+#: Columns that no feature is made of.
+KEYS = {"code", "ts", "rn", "limit_rate", "prev_close"}
+
+
+def analysed(df: DataFrame, without: tuple[str, ...] = ("fwd_", "_over_", "_under_", "_vs_", "pre", "post")) -> list[str]:
+    """Numeric columns to analyse: no keys, labels, flags, or gaps against another price."""
+    numbers = {"double", "float", "int", "bigint"}
+    return [c for c, t in df.dtypes if t in numbers and c not in KEYS and not any(w in c for w in without)]
+
+
+def _features(df: DataFrame, keys: list[str], windows: tuple[int, ...], flat: float) -> DataFrame:
+    df = with_steps(df, [*range_position(tuple(keys), windows[-2:], flat), *trend_streaks(tuple(keys)), *rolling_flags(tuple(keys), windows)])
+    return df.select(*[c for c in df.columns if not c.startswith("_")])
+
+
+def _filled(df: DataFrame, warmup: int) -> DataFrame:
+    """Numbers without NULL, rows after the warm-up, and no bare means."""
+    numbers = [c for c, t in df.dtypes if t in ("double", "int", "bigint") and c not in KEYS]
+    means = [c for c in df.columns if "_mean" in c]
+    return df.filter(C("rn") > warmup).na.fill(0, numbers).drop(*means)
+
+
+def data_features(df: DataFrame, keys: list[str] | None = None, warmup: int = 26, windows: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """The whole feature set of bars (code, ts, prices, volume, rn, prev_close): holiday marks, changes and their crossings,
+    technical columns, amplitudes; then place in the range, streaks and flags of each analysed column (``keys``, else all),
+    crossings of the price with its means and bands. NULL counts as 0, and the first ``warmup`` rows go."""
+    df = with_steps(df, [*holiday_marks(), *change_pct(("close",), (3, 5, 10))])
+    df = with_steps(df, crossings(("close_chg3", "close_chg5", "close_chg10")))
+    df = with_steps(technical(df), window_amplitude())
+    df = _features(df, keys or analysed(df), windows, 0.0)
+    df = with_steps(df, [lambda: {f"m{n}": S.ma("close", n) for n in windows}, *crossings(("close", *[f"m{n}" for n in windows], "boll_up", "boll_low"))])
+    return _filled(df.drop(*[f"m{n}" for n in windows]), warmup)
+
+
+def index_features(df: DataFrame, prefixes: tuple[str, str], keys: list[str] | None = None, windows: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """The same for two index series side by side, by prefix of their columns; the frame is one series (code, ts, rn)."""
+    closes = tuple(f"{p}close" for p in prefixes)
+    df = with_steps(df, [*holiday_marks(), *change_pct(closes, (1, 3, 5))])
+    df = with_steps(df, crossings(tuple(f"{c}_chg{n}" for c in closes for n in (1, 3))))
+    for p in prefixes:
+        df = technical(df, p)
+        named = df.withColumns({x: C(f"{p}{x}") for x in ("high", "low", "close")})
+        df = with_steps(named, window_amplitude((1, 3, 5))).withColumnsRenamed({f"amp{n}": f"{p}amp{n}" for n in (1, 3, 5)}).drop("high", "low", "close")
+    df = _features(df, keys or [c for c in analysed(df) if c.startswith(prefixes) and not any(x in c for x in ("high", "low", "5", "10"))], windows, 0.0)
+    for p in prefixes:
+        df = with_steps(df, [lambda p=p: {f"{p}m{n}": S.ma(f"{p}close", n) for n in windows}, *crossings((f"{p}close", *[f"{p}m{n}" for n in windows], f"{p}boll_up", f"{p}boll_low"))])
+        df = df.drop(*[f"{p}m{n}" for n in windows])
+    return _filled(df, 0)
+
+
 def change_pct(keys=("close", "volume"), periods=(1, 2, 5)):
     """{key}_chg{p}"""
     return [lambda: {f"{k}_chg{p}": _pct(fn.div(S.diff(k, p), S.ref(k, p))) for k in keys for p in periods}]
@@ -74,13 +135,18 @@ def holiday_marks(gap=1, most=3):
     ]
 
 
-def crossovers(keys=("close", "m3", "m5", "m10")):
-    """{a}_over_{b}, {a}_under_{b}, with the means of 3, 5 and 10 bars as m3, m5, m10"""
+def crossings(keys):
+    """{a}_over_{b}, {a}_under_{b}: the sign of a - b turned, for each two of the columns"""
     def flags(a, b):
         before, now = S.ref(a) - S.ref(b), C(a) - C(b)
         return {f"{a}_over_{b}": fn.sig((before < 0) & (now > 0)).cast("int"), f"{a}_under_{b}": fn.sig((before > 0) & (now < 0)).cast("int")}
 
-    return [lambda: {f"m{n}": S.ma("close", n) for n in (3, 5, 10)}, lambda: {k: c for a, b in combinations(keys, 2) for k, c in flags(a, b).items()}]
+    return [lambda: {k: c for a, b in combinations(keys, 2) for k, c in flags(a, b).items()}]
+
+
+def crossovers(keys=("close", "m3", "m5", "m10")):
+    """Crossings of the price and its means of 3, 5 and 10 bars (m3, m5, m10)"""
+    return [lambda: {f"m{n}": S.ma("close", n) for n in (3, 5, 10)}, *crossings(keys)]
 
 
 def forward_returns(days=(1, 2, 3)):

@@ -6,6 +6,8 @@ intermediate ones begin with an underscore. NULL appears until a window is full
 
 from __future__ import annotations
 
+from operator import sub
+
 from pyspark.sql import functions as F
 
 from ..functions import folds
@@ -16,12 +18,15 @@ C = F.col
 S = Series()
 
 
+def _dx(t, up, down):
+    """Directional index of a row: 0 where both directions are 0 or missing, NULL before there is a range."""
+    return None if t is None else 0.0 if up is None or down is None or not up + down else abs(up - down) * 100 / (up + down)
+
+
 def macd(short=12, long=26, m=9):
     """dif, dea, macd"""
     return [
-        lambda: {"_short": folds.ema("close", short), "_long": folds.ema("close", long)},
-        lambda: {"dif": C("_short") - C("_long")},
-        lambda: {"dea": folds.ema("dif", m)},
+        lambda: {"_short": folds.ema("close", short), "_long": folds.ema("close", long), "dif": folds.of(sub, "_short", "_long"), "dea": folds.ema("dif", m)},
         lambda: {"macd": (C("dif") - C("dea")) * 2},
     ]
 
@@ -31,8 +36,7 @@ def kdj(n=9, m1=3, m2=3):
     return [
         lambda: {"_low": S.llv("low", n), "_high": S.hhv("high", n)},
         lambda: {"_rsv": fn.div(C("close") - C("_low"), C("_high") - C("_low")) * 100},
-        lambda: {"k": folds.ema("_rsv", 2 * m1 - 1)},
-        lambda: {"d": folds.ema("k", 2 * m2 - 1)},
+        lambda: {"k": folds.ema("_rsv", 2 * m1 - 1), "d": folds.ema("k", 2 * m2 - 1)},
         lambda: {"j": C("k") * 3 - C("d") * 2},
     ]
 
@@ -124,9 +128,7 @@ def ktn(n=20, m=10):
 def trix(m1=12, m2=20):
     """trix, trma"""
     return [
-        lambda: {"_e1": folds.ema("close", m1)},
-        lambda: {"_e2": folds.ema("_e1", m1)},
-        lambda: {"_e3": folds.ema("_e2", m1)},
+        lambda: {"_e1": folds.ema("close", m1), "_e2": folds.ema("_e1", m1), "_e3": folds.ema("_e2", m1)},
         lambda: {"trix": fn.div(C("_e3") - S.ref("_e3"), S.ref("_e3")) * 100},
         lambda: {"trma": S.ma("trix", m2)},
     ]
@@ -259,9 +261,7 @@ def ema_seeded(n=40):
 def macd_seeded(short=12, long=26, m=9):
     """dif_s, dea_s, macd_s: all from bar long + m - 2"""
     return [
-        lambda: {"_short": folds.ema_seeded("close", short, long - short), "_long": folds.ema_seeded("close", long)},
-        lambda: {"_dif": C("_short") - C("_long")},
-        lambda: {"_dea": folds.ema_seeded("_dif", m)},
+        lambda: {"_short": folds.ema_seeded("close", short, long - short), "_long": folds.ema_seeded("close", long), "_dif": folds.of(sub, "_short", "_long"), "_dea": folds.ema_seeded("_dif", m)},
         lambda: {"dif_s": F.when(C("_dea").isNotNull(), C("_dif")), "dea_s": C("_dea"), "macd_s": C("_dif") - C("_dea")},
     ]
 
@@ -315,10 +315,15 @@ def adx_wilder(n=14):
             "_dp": F.when(C("_hd").isNotNull(), F.when((C("_hd") > 0) & (C("_hd") > C("_ld")), C("_hd")).otherwise(0.0)),
             "_dm": F.when(C("_hd").isNotNull(), F.when((C("_ld") > 0) & (C("_ld") > C("_hd")), C("_ld")).otherwise(0.0)),
         },
-        lambda: {"_t": folds.wilder("_tr", n), "_p": folds.wilder("_dp", n), "_m": folds.wilder("_dm", n)},
-        lambda: {"_pdi": fn.div(C("_p") * 100, "_t"), "_mdi": fn.div(C("_m") * 100, "_t")},
-        lambda: {"_dx": F.when(C("_t").isNotNull(), F.coalesce(fn.div(F.abs(C("_pdi") - C("_mdi")) * 100, C("_pdi") + C("_mdi")), F.lit(0.0)))},
-        lambda: {"adx_w": folds.wilder("_dx", n)},
+        lambda: {
+            "_t": folds.wilder("_tr", n),
+            "_p": folds.wilder("_dp", n),
+            "_m": folds.wilder("_dm", n),
+            "_pdi": folds.of(lambda p, t: p * 100 / t, "_p", "_t"),
+            "_mdi": folds.of(lambda p, t: p * 100 / t, "_m", "_t"),
+            "_dx": folds.Fold(("_t", "_pdi", "_mdi"), lambda: _dx),
+            "adx_w": folds.wilder("_dx", n),
+        },
     ]
 
 

@@ -7,11 +7,13 @@
 from __future__ import annotations
 
 import re
+from operator import sub
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import folds
+from ..functions import series as fn
 from ..functions.series import Series
 from ..functions.steps import with_steps
 from . import indicators as ind
@@ -180,3 +182,157 @@ def daily_28(level: float = 95.0):
         lambda: {"far": F.try_divide(C("close") - C("paid"), C("paid")) * 1000},
         lambda: {"buy": F.coalesce((C("chg") < C("limit_rate") * 0.95) & (S.ref("far") < level) & (C("far") >= level), F.lit(False))},
     ]
+
+
+def _adjusted(n: int):
+    """Factor of each bar for a mean with weights (1 - a)^k over all bars so far, a = 2 / (n + 1)."""
+    a = 2 / (n + 1)
+    return F.lit(a) / (1 - F.pow(F.lit(1 - a), F.col("rn")))
+
+
+def daily_9():
+    """Oversold against the long means after wide bars, unless a rise has already followed."""
+    C = F.col
+    return [
+        lambda: {"_x3": fn.sig(C("high") > C("low") * 1.052), "_low": fn.sig(C("close") / S.ma("close", 60) * 100 < 75) | fn.sig(C("close") / S.ma("close", 40) * 100 < 80), "_a5": _adjusted(5)},
+        lambda: {"_x6": C("_x3") & fn.sig(S.count("_x3", 5) > 1) & C("_low") & ~((C("close") == C("low")) & (C("high") == C("low")))},
+        lambda: {"_e5": folds.dma("close", "_a5")},
+        lambda: {"buy": C("_x6") & ~((C("close") > C("open")) & S.exist("_x6", 10) & fn.sig(C("_e5") > S.ref("_e5")))},
+    ]
+
+
+def daily_10():
+    """Far under several means at once, at most once in ten bars."""
+    C = F.col
+
+    def far(n):
+        return (C("close") - S.ma("close", n)) / S.ma("close", n)
+
+    return [
+        lambda: {"_b27": far(27) * 100, "_b21": far(21), "_b28": far(28) * 100, "_typical": (C("close") + C("low") + C("high")) / 3, "_a3": _adjusted(3), "_a26": _adjusted(26), "_c10": S.llv("close", 10), "_l10": S.llv("low", 10)},
+        lambda: {"_t3": folds.dma("_typical", "_a3"), "_t26": folds.dma("_t3", "_a26")},
+        lambda: {"_x3": S.ma("_b27", 2), "_x9": S.ma("_b21", 3) * 100},
+        lambda: {"_up": fn.sig((S.ref("_x3") < -10) & (C("_x3") > -10))},
+        # the crossing before the last one, counted from the start of the series
+        lambda: {"_prev": F.coalesce(F.last(F.when(C("_up"), C("rn")), True).over(S.w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))},
+        lambda: {"_second": F.coalesce(F.last(F.when(C("_up"), C("_prev")), True).over(S.upto), F.lit(0))},
+        lambda: {
+            "_all": fn.sig(
+                (C("_x3") < -10) & (C("_second") > 3) & (C("close") / (C("_t26") * 0.9) < 0.95) & (C("_x9") < -15) & (C("_b28") < -23)
+                & (C("close") / S.ref("_c10") < 0.96) & (C("low") / S.ref("_l10") < 0.99) & (C("close") != C("low")) & (C("close") / C("low") > 1.005)
+            )
+        },
+        lambda: {"_before": F.last(F.when(C("_all"), C("rn")), True).over(S.w.rowsBetween(Window.unboundedPreceding, -1))},
+        lambda: {"buy": C("_all") & F.coalesce(C("rn") - C("_before") >= 10, F.lit(True))},
+    ]
+
+
+def _rolling_max_by_key(df: DataFrame, x: str, width: str, out: str) -> DataFrame:
+    """Maximum of x over the last ``width`` bars (one width for each series), NULL unless all of them have a value.
+
+    Blocks of that width: a window is the end of one block and the start of the next, so two running maxima
+    and an equi-join on the row number give it for any width.
+    """
+    C = F.col
+    block = df.withColumn("_block", F.floor((C("rn") - 1) / C(width)))
+    w = Window.partitionBy("code", "_block").orderBy("rn")
+    block = block.withColumns({"_head": F.max(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_tail": F.max(x).over(w.rowsBetween(0, Window.unboundedFollowing)), "_known": F.count(x).over(S.upto)})
+    other = block.select(C("code"), (C("rn") + C(width) - 1).alias("rn"), C("_tail").alias("_from"), C("_known").alias("_known_from"), C(x).isNotNull().alias("_has"))
+    joined = block.join(other, ["code", "rn"], "left")
+    full = C("_known") - C("_known_from") + C("_has").cast("int") == C(width)
+    return joined.withColumn(out, F.when(full, F.greatest("_head", "_from"))).drop("_block", "_head", "_tail", "_known", "_from", "_known_from", "_has")
+
+
+def daily_11(bars: DataFrame) -> DataFrame:
+    """bars with ``buy``: a weak close over a rising mean, within a channel of the true range whose width depends on the whole series."""
+    C = F.col
+    df = with_steps(
+        bars,
+        [
+            lambda: {"_tr": F.greatest(C("high") - C("low"), F.abs(C("prev_close") - C("high")), F.abs(C("prev_close") - C("low")))},
+            lambda: {"_x2": (C("high") + C("low")) / 2 + S.ma("_tr", 2), "_x3": (C("high") + C("low")) / 2 - S.ma("_tr", 2)},
+            lambda: {"_x4": F.when(C("_x2") <= S.ref("_x2"), S.ref("_x2")), "_x5": S.llv("_x2", 3)},
+            lambda: {"_x6": F.when(F.coalesce(C("_x5") != S.ref("_x5"), F.lit(True)) & fn.sig(C("_x4") < S.ref("_x4")), C("_x4")).otherwise(C("_x5"))},
+            lambda: {"_on": fn.sig(C("_x2") == C("_x6")).cast("int"), "_cross": fn.sig(((C("prev_close") < C("_x6")) & (C("close") > C("_x6"))) | ((C("prev_close") > C("_x6")) & (C("close") < C("_x6")))).cast("int")},
+            lambda: {"_x7": F.coalesce(S.total("_on", 2), F.lit(0))},
+            lambda: {"_x8": F.when(C("_x7") > 0, C("_cross")).otherwise(0) + F.when(C("_x7") > 1, F.coalesce(S.ref("_cross"), F.lit(0))).otherwise(0)},
+            lambda: {"_x9": F.coalesce(F.datediff("ts", F.last(F.when(C("_x8") > 0, C("ts")), True).over(S.upto)), F.lit(0))},
+            lambda: {"_width": F.max("_x9").over(S.all) + 1},
+        ],
+    )
+    df = _rolling_max_by_key(df, "_x3", "_width", "_top")
+    return with_steps(
+        df,
+        [
+            lambda: {"_x10": F.sum(fn.sig(C("_top") > C("close")).cast("int")).over(S.upto), "_m18": S.ma("close", 18), "_l3": S.llv("low", 3), "_x15": F.when(C("close") < C("open"), F.try_divide(C("close") - C("low"), C("high") - C("low"))).otherwise(0.0)},
+            lambda: {
+                "buy": fn.sig(
+                    (C("_x9") < C("_x10")) & (C("close") / S.ref("_l3") < 1) & (C("close") < C("open")) & (C("close") != C("low"))
+                    & (C("close") >= C("_m18") * 1.004) & (C("_m18") >= S.ref("_m18")) & (C("_x15") > 0.03) & (C("_x15") < 0.3)
+                )
+            },
+        ],
+    )
+
+
+SPANS = (4, 6, 9, 13, 18, 24)
+
+
+def daily_25():
+    """Six blended means draw together and the price breaks out of them on volume."""
+    C = F.col
+
+    def fold_over(f, xs):
+        out = xs[0]
+        for x in xs[1:]:
+            out = f(out, x)
+        return out
+
+    def pb():
+        return [C(f"_pb{n}") for n in SPANS]
+
+    def spread():
+        return sum((F.abs(a - b) for i, a in enumerate(pb()) for b in pb()[i + 1 :]), F.lit(0.0))
+
+    return [
+        lambda: {f"_e{n}": folds.ema("close", n) for n in SPANS},
+        lambda: {f"_pb{n}": (C(f"_e{n}") + S.ma("close", 2 * n) + S.ma("close", 4 * n)) / 3 for n in SPANS} | {"_m60": S.ma("close", 60), "_v5": S.ma("volume", 5), "_v60": S.ma("volume", 60)},
+        lambda: {"_lowest": fold_over(fn.least, pb()), "_highest": fold_over(fn.greatest, pb()), "_lb": fn.div("volume", S.ref("_v5")), "_near": fn.sig(spread() / C("close") < 0.2)},
+        lambda: {"_xg": (fn.sig(C("open") < C("_lowest")) | fn.sig(S.ref("open") < C("_lowest"))) & fn.sig(C("close") > C("_highest")), "_loud": fn.sig(C("_lb") > 2.2)},
+        lambda: {
+            "_jl": fn.sig((C("close") > C("_m60")) & (C("_v5") > C("_v60") * 0.9) & (C("close") > C("_m60") * 1.02) & (C("close") < C("_m60") * 1.15) & (C("close") > C("open") * 1.02) & (C("close") / C("prev_close") - 1 > 0.03))
+            & (C("_loud") | fn.sig(S.ref("_loud"))) & (C("_xg") | fn.sig(S.ref("_xg"))) & (C("_near") | fn.sig(S.ref("_near")))
+        },
+        lambda: {
+            "buy": fn.sig(C("chg") < C("limit_rate") * 0.95)
+            & (((C("_jl") | fn.sig(S.ref("_jl"))) & fn.sig(C("close") > C("_pb4") * 0.88)) | (C("_xg") & C("_loud") & fn.sig((C("close") > C("_m60") * 1.02) & (C("close") < C("_m60") * 1.15))))
+        },
+    ]
+
+
+def select_stocks():
+    """Entry of a slow line under a fast one, or a turn of the smoothed range position; columns of the parts, ``bottom`` and ``buy``.
+
+    As computed by the rule's own text: a comparison with the bars since the last crossing of the lines binds
+    tighter than its conditions, so ``entry`` only fails on a bar that crosses both ways at a low slow line.
+    """
+    C = F.col
+
+    def place(n):
+        lo, hi = S.llv("low", n), S.hhv("high", n)
+        return fn.div(C("close") - lo, hi - lo) * 100
+
+    return [
+        lambda: {"_e5": folds.ema("close", 5), "_e340": folds.ema("close", 340), "v1": folds.of(sub, "_e5", "_e340"), "v2": folds.ema("v1", 144)},
+        lambda: {"v3": place(27), "fast": place(9), "_fall": F.abs(C("low") - S.ref("low")), "_rise": F.when(S.ref("low").isNotNull(), F.greatest(C("low") - S.ref("low"), F.lit(0.0))), "_l34": S.llv("low", 34)},
+        lambda: {
+            "_sf": folds.sma_cn("_fall", 13), "_sr": folds.sma_cn("_rise", 13), "_m2": folds.of(lambda a, b: a / b * 4, "_sf", "_sr"), "_m3": folds.ema("_m2", 13),
+            "slow": folds.sma_cn("fast", 3), "_s5": folds.sma_cn("v3", 5), "_s53": folds.sma_cn("_s5", 3), "turn": folds.of(lambda a, b: 3 * a - 2 * b, "_s5", "_s53"),
+        },
+        lambda: {"_at": F.when(C("low") <= C("_l34"), C("_m3")).otherwise(0.0)},
+        lambda: {"_m5": folds.ema("_at", 3)},
+        lambda: {"main": fn.sig(C("_m5") > S.ref("_m5")), "_over": fn.sig((S.ref("slow") < C("fast")) & (C("slow") > C("fast"))), "_under": fn.sig((S.ref("fast") < C("slow")) & (C("fast") > C("slow")) & (C("slow") < 30))},
+        lambda: {"main20": F.when(F.count("*").over(S.past(20)) >= 20, F.sum(C("main").cast("int")).over(S.past(20))), "_since": S.barslast("_over"), "gup": F.when(fn.sig((S.ref("v3") < 5) & (C("v3") > 5) & (C("v1") < C("v2"))), 40).otherwise(20)},
+        lambda: {"entry": C("_since") >= C("_under").cast("int"), "bottom": fn.sig((S.ref("turn") < 3) & (C("turn") > 3))},
+        lambda: {"buy": C("entry") | C("bottom")},
+    ]

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions import series as fn
 
 C = F.col
 
 
-def hash_split(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
-    """Train (True) or test by a stable hash of the key."""
-    return df.withColumn("train", F.pmod(F.crc32(C(key).cast("string").cast("binary")), F.lit(1000)) < int(share * 1000))
+def stable_split(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
+    """Train (True) or test by the first digits of the key's MD5, which any engine gives alike."""
+    digits = F.conv(F.substring(F.md5(C(key).cast("string").cast("binary")), 1, 7), 16, 10).cast("long")
+    return df.withColumn("train", digits % 1000 < int(share * 1000))
 
 
 def threshold_report(votes: DataFrame, levels: list[float], good: float = 0.9) -> DataFrame:
@@ -91,7 +93,7 @@ def biggest_per_day(days: DataFrame) -> DataFrame:
 
 def split_points(df: DataFrame, column: str, k: int) -> DataFrame:
     """k-1 values at equal steps of the sorted distinct values."""
-    ranked = df.select(C(column).alias("cut")).distinct().withColumn("r", F.row_number().over(Window.orderBy("cut")))
+    ranked = ranks.row_numbers(df.select(C(column).alias("cut")).distinct(), C("cut"), [], "r")
     total = ranked.agg(F.max("r").alias("total"))
     step = F.floor(C("total") / k)
     return ranked.crossJoin(F.broadcast(total)).filter((step > 0) & (C("r") % step == 0) & (C("r") / step < k)).select("cut")
@@ -165,9 +167,9 @@ def nested_sweep(days: DataFrame, axes: dict[str, list[float]]) -> DataFrame:
 
 def apply_params(votes: DataFrame, params: DataFrame) -> DataFrame:
     """For each parameter row (id, models, least, min_count): the most voted code of each date among votes of its models
-    at ``least`` or better, if it has ``min_count`` votes. The parameter table is small; votes meet it by model."""
+    at ``least`` or better, if it has ``min_count`` votes. Votes meet the parameters by model."""
     keyed = params.select("id", F.explode("models").alias("model"), "least", "min_count")
-    hit = votes.join(F.broadcast(keyed), "model").filter(C("prob") >= C("least"))
+    hit = votes.join(keyed, "model").filter(C("prob") >= C("least"))
     made = hit.groupBy("id", "date", "code").agg(F.count("*").alias("n"), F.first("min_count").alias("min_count"), F.max(C("hit").cast("int")).alias("hit")).filter(C("n") >= C("min_count"))
     best = F.row_number().over(Window.partitionBy("id", "date").orderBy(F.desc("n"), "code"))
     return made.withColumn("r", best).filter("r = 1").select("id", "date", "code", "n", "hit")

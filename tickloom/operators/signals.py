@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions import series as fn
 from ..functions.series import Series
 
@@ -86,7 +87,21 @@ def active_on(df: DataFrame, names: list[str], date: str) -> DataFrame:
 
 def sort_by_least(scores: DataFrame) -> DataFrame:
     """(code, least score, rank): the lowest ratio of each code, ascending."""
-    from pyspark.sql import Window
+    return ranks.row_numbers(scores.groupBy("code").agg(F.min("score").alias("least")), C("least").cast("double"), ["code"])
 
-    least = scores.groupBy("code").agg(F.min("score").alias("least"))
-    return least.withColumn("place", F.row_number().over(Window.orderBy("least", "code")))
+
+def keep_columns(df: DataFrame, names: list[str], signals: str = "signal") -> DataFrame:
+    """The listed columns that df has, and all whose name holds the word for signals."""
+    return df.select(*[C(f"`{c}`") for c in df.columns if c in names or signals in c])
+
+
+def on_date(date: str) -> Column:
+    """True on one date."""
+    return fn.sig(C("ts").cast("date") == F.lit(date).cast("date"))
+
+
+def same_signals(df: DataFrame, names: list[str], target: DataFrame) -> DataFrame:
+    """df with ``buy``: the row has all the signals that hold in the one row of ``target`` (which has the same signals)."""
+    active = F.array_compact(F.array(*[F.when(C(n), F.lit(n)) for n in names]))
+    wanted = target.select(active.alias("_wanted")).limit(1)
+    return df.crossJoin(F.broadcast(wanted)).withColumn("buy", F.size(F.array_except("_wanted", active)) == 0).drop("_wanted")

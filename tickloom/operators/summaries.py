@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions import series as fn
 
 C = F.col
@@ -44,6 +45,12 @@ def trade_summary_by_period(ledger: DataFrame, unit: str = "month", slow: int =
     return made.withColumn("period", F.when(C("g") == 1, "all").otherwise(C("period"))).drop("g")
 
 
+def daily_ledger_performance(ledger: DataFrame, slow: int = 1) -> DataFrame:
+    """A row for each date of buying, the smallest share of slow trades first, then the most trades."""
+    made = ledger.groupBy(C("buy_ts").cast("date").alias("buy_date")).agg(F.count("*").alias("trade_count"), F.sum("profit").alias("total_profit"), F.sum("cost").alias("total_cost"), F.count_if(C("days_held") > slow).alias("slow_count"), F.sum("days_held").alias("days_held"))
+    return derived(made).orderBy("ratio", F.desc("trade_count"), "buy_date")
+
+
 def merge_partials(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Add counters of the same key, then derive the ratios."""
     counters = ("trade_count", "total_profit", "total_cost", "slow_count", "days_held")
@@ -121,4 +128,4 @@ def top_holdings(df: DataFrame, n: int = 10) -> DataFrame:
 
 def order_quantities(df: DataFrame) -> DataFrame:
     made = df.groupBy("id").agg(F.sum("qty").alias("qty"))
-    return made.withColumn("place", F.row_number().over(Window.orderBy(F.desc("qty"), "id")))
+    return ranks.row_numbers(made, -C("qty").cast("double"), ["id"])

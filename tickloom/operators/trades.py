@@ -59,6 +59,13 @@ class FirstHigh:
             yield _row(code, first, price, bar, bar.close, SHARES)
 
 
+class LaterHigh(FirstHigh):
+    """As FirstHigh, but what finds no higher high gives no row."""
+
+    def finish(self, code, bar):
+        return iter(())
+
+
 class AverageDown:
     """Each signal buys at the close and again at each close whose bar misses the target over the mean cost; at most ``days`` bars if given."""
 
@@ -144,6 +151,11 @@ def exit_first_high(bars: DataFrame) -> DataFrame:
     return match(bars, FirstHigh)
 
 
+def first_later_high(bars: DataFrame) -> DataFrame:
+    """Each bar as a signal, with the first later high above its close; bars that have none are left out."""
+    return match(bars.withColumn("buy", F.lit(True)), LaterHigh)
+
+
 def exit_average_down(bars: DataFrame, days: int | None = None) -> DataFrame:
     return match(bars, lambda: AverageDown(days))
 
@@ -170,3 +182,8 @@ def attach_following_days(df: DataFrame) -> DataFrame:
 
     w = Series().w
     return df.withColumns({f"{c}{k}": F.coalesce(F.lead(c, k).over(w), C(c)) for c in ("high", "close") for k in (1, 2)})
+
+
+def fill_thresholds(ledger: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """The ledger with the threshold prices (code, ts, ...) of its dates of buying; NULL where there are none."""
+    return ledger.join(thresholds.withColumn("buy_ts", C("ts").cast("string")).drop("ts"), ["code", "buy_ts"], "left")

@@ -41,10 +41,16 @@ register(
 register("clean_tradable_base", lambda spark, sf: cl.limit_band(cl.tradable_base(bars(spark, sf))).select("code", C("ts").cast("string").alias("ts"), "buy", "in_band"), q.base() + f" select code, {TS}, {SIG('chg < limit_rate * 0.95')} as buy, {SIG('chg between -(limit_rate - 1 / close) and limit_rate - 1 / close')} as in_band from b")
 register("clean_new_listing_flag", lambda spark, sf: cl.new_listing_flag(bars(spark, sf)).select("code", C("ts").cast("string").alias("ts"), "new", "seasoned"), q.base() + f" select code, {TS}, rn <= 101 as new, rn >= 101 as seasoned from b")
 register("clean_fill_zero", lambda spark, sf: cl.fill_zero(bars(spark, sf), ["chg", "amplitude"]).select("code", C("ts").cast("string").alias("ts"), stable(C("chg")).alias("chg"), stable(C("amplitude")).alias("amplitude")), q.base() + f" select code, {TS}, round(coalesce(chg, 0) + 1e-9, 6) as chg, round(coalesce(amplitude, 0) + 1e-9, 6) as amplitude from b")
+
+
+def _debtors(spark, sf):
+    return views.table(spark, sf, "supplier").filter("s_acctbal < 0").select(C("s_suppkey").alias("code"))
+
+
 register(
     "clean_board_filter",
-    lambda spark, sf: cl.board_filter(views.universe(spark, sf), "type", ("CH", "FR", "GE"), views.universe(spark, sf).filter("code % 7 = 0").select("type").limit(0)).select("code", "name", "type"),
-    q.views("universe") + " select code, name, type from universe where substr(type, 1, 2) in ('CH', 'FR', 'GE')",
+    lambda spark, sf: cl.board_filter(views.universe(spark, sf), "type", ("CH", "FR", "GE"), _debtors(spark, sf)).select("code", "name", "type"),
+    q.views("universe") + " select code, name, type from universe where substr(type, 1, 2) in ('CH', 'FR', 'GE') and code not in (select s_suppkey from supplier where s_acctbal < 0)",
 )
 END = "2024-12-31 00:00:00"
 PERIODS = q.views("status_posts") + """, r as (select *, coalesce(sum((kind = 'end')::int) over (partition by code order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as run from status_posts where kind != 'other'),
@@ -74,10 +80,12 @@ register(
 
 
 def _words(spark, sf):
-    return views.universe(spark, sf).select(F.lpad(F.col("code").cast("string"), 2, "0").alias("word")).distinct().orderBy("word").limit(8)
+    return views.table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.right("s_name", F.lit(2)).alias("word")).distinct()
 
 
-register("clean_blacklist", lambda spark, sf: cl.blacklist(views.universe(spark, sf), _words(spark, sf))[0].select("code", "name"), q.views("universe") + ", w as (select distinct left(lpad(code::varchar, greatest(2, length(code::varchar))::int, '0'), 2) as word from universe order by 1 limit 8) select code, name from universe where not exists (select 1 from w where contains(name, word))")
+WORDS = q.views("universe") + ", w as (select distinct right(s_name, 2) as word from supplier where s_acctbal < 0)"
+register("clean_blacklist", lambda spark, sf: cl.blacklist(views.universe(spark, sf), _words(spark, sf))[0].select("code", "name"), WORDS + " select code, name from universe where not exists (select 1 from w where contains(name, word))")
+register("clean_blacklist_unused", lambda spark, sf: cl.blacklist(views.universe(spark, sf).filter("type < 'G'"), _words(spark, sf))[1], WORDS + " select word from w where not exists (select 1 from universe where type < 'G' and contains(name, word))")
 RETS = q.views("fund_ret")
 register(
     "clean_jump_filter",
@@ -124,7 +132,7 @@ register(
 register("bars_market_mean", lambda spark, sf: br.market_mean(bars(spark, sf)).select(C("ts").cast("string").alias("ts"), stable(C("mean_close")).alias("mean_close"), "n"), HOUR + " select cast(ts as varchar) as ts, round(avg(close) + 1e-9, 6) as mean_close, count(*) as n from b group by b.ts")
 register("bars_relative_return", lambda spark, sf: cols(br.relative_return(bars(spark, sf)), ["relative"]), HOUR + f" select code, {TS}, round(close / first_value(close) over {q.W} - 1 + 1e-9, 6) as relative from b")
 register("bars_adj_nav", lambda spark, sf: br.adj_nav(views.fund_ret(spark, sf)).select("code", C("date").cast("string").alias("date"), stable(C("nav")).alias("nav")), RETS + " select code, date::varchar as date, round(product(1 + ret) over (partition by code order by date rows between unbounded preceding and current row) + 1e-9, 6) as nav from fund_ret")
-register("bars_days_until_higher", lambda spark, sf: br.days_until_higher(bars(spark, sf), 30).select("code", C("ts").cast("string").alias("ts"), "until_higher"), HOUR + f" select code, {TS}, (select min(o.rn) - b.rn from b o where o.code = b.code and o.rn > b.rn and o.rn <= b.rn + 30 and o.high > b.close) as until_higher from b")
+register("bars_days_until_higher", lambda spark, sf: br.days_until_higher(bars(spark, sf)).select("code", C("ts").cast("string").alias("ts"), "until_higher"), HOUR + f" select code, {TS}, coalesce((select min(o.rn) - b.rn from b o where o.code = b.code and o.rn > b.rn and o.high > b.close), count(*) over (partition by b.code)) as until_higher from b")
 
 # -- joins ---------------------------------------------------------------------------------------
 FLOW = q.views("money_flow") + f", b0 as ({q.BARS['day']}), b as ({q.QUOTED} from b0)"

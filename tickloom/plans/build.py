@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def register(name: str, run, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
+def local_folder(spark) -> str:
+    """A new folder on this machine, where no shared one is set; only a local master may use it."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tickloom-")
+
+
 def bars(spark, sf_dir: str, kind: str = "hour") -> DataFrame:
     return S.numbered(views.quoted(getattr(views, f"bars_{kind}")(spark, sf_dir)))
 

@@ -97,3 +97,110 @@ register(
     lambda spark, sf_dir: ft.profit_ratio_rank(bars(spark, sf_dir)).select("code", F.col("ts").cast("string").alias("ts"), "rank", "rank_gain"),
     q.base() + f", r as (select code, ts, 1 + (select count(*) from b o where o.code = b.code and o.rn < b.rn and o.turnover < b.turnover) as rank from b) select code, cast(ts as varchar) as ts, rank, rank - lag(rank) over {q.W} as rank_gain from r",
 )
+
+
+# -- whole feature sets: each column by its own SQL ------------------------------------------------
+from .indicator_queries import LOHI, MACDS  # noqa: E402
+
+BANDS20 = lambda x: {"boll_mid": q.ma(x, 20), "boll_up": f"{q.ma(x, 20)} + {q.std(x, 20)} * 2", "boll_low": f"{q.ma(x, 20)} - {q.std(x, 20)} * 2"}
+
+
+def technical_sql(prefix: str = "") -> list[dict[str, str]]:
+    """Stages of ``technical``; with a prefix every column has it."""
+    import re
+
+    stages = [
+        {"_d": f"close - {R('close')}"},
+        {"_g": "case when _d is not null then greatest(_d, 0) end", "_l": "case when _d is not null then greatest(-_d, 0) end"} | LOHI | BANDS20("close"),
+        {"_ag": q.wilder("_g", 14), "_al": q.wilder("_l", 14), "_fast": f"case when _hi = _lo then 0 else {D('(close - _lo) * 100', '_hi - _lo')} end", "willr": f"case when _hi = _lo then 0 else {D('(_hi - close) * -100', '_hi - _lo')} end"},
+        {"rsi": f"case when _ag is not null then coalesce({D('_ag * 100', '_ag + _al')}, 0) end", "_k": q.ma("_fast", 3)},
+        {"stoch_d": q.ma("_k", 3)},
+        {"stoch_k": "case when stoch_d is not null then _k end"},
+        *MACDS,
+        {"dif": "dif_s", "dea": "dea_s", "hist": "macd_s", "bar": "macd_s * 2"},
+    ]
+    if not prefix:
+        return stages
+    own = {n for st in stages for n in st} | {"open", "high", "low", "close"}
+    put = lambda x: re.sub(r"[A-Za-z_][A-Za-z_0-9]*", lambda m: prefix + m[0] if m[0] in own else m[0], x)
+    return [{prefix + n: put(e) for n, e in st.items()} for st in stages]
+
+
+def crossing_sql(keys) -> dict[str, str]:
+    return {k: v for a, b in combinations(keys, 2) for k, v in {f"{a}_over_{b}": SIG(f"{R(a)} - {R(b)} < 0 and {a} - {b} > 0") + "::int", f"{a}_under_{b}": SIG(f"{R(a)} - {R(b)} > 0 and {a} - {b} < 0") + "::int"}.items()}
+
+
+def analysis_sql(keys, windows) -> list[dict[str, str]]:
+    """Stages of places, streaks and flags."""
+    flags = {}
+    for k in keys:
+        for n in windows:
+            flags |= {f"{k}_is_max{n}": SIG(f"{k} = {q.hhv(k, n)}") + "::int", f"{k}_is_min{n}": SIG(f"{k} = {q.llv(k, n)}") + "::int", f"{k}_above{n}": SIG(f"{k} > {q.ma(k, n)}") + "::int", f"{k}_below{n}": SIG(f"{k} < {q.ma(k, n)}") + "::int"}
+        for n in windows[-2:]:
+            flags[f"{k}_pos{n}"] = f"coalesce({D(f'{k} - {q.llv(k, n)}', f'{q.hhv(k, n)} - {q.llv(k, n)}')}, 0)"
+    return [
+        {f"_{k}_{n}": SIG(f"{k} {o} {R(k)}") for k in keys for n, o in (("rise", ">"), ("fall", "<"))},
+        {f"{k}_{n}": f"rn - coalesce(max(case when not _{k}_{c} then rn end) over {q.UPTO}, 0)" for k in keys for n, c in (("up", "rise"), ("down", "fall"))},
+        {f"{k}_turn_{n}": SIG(f"{k}_{n} > 0 and {R(f'{k}_{o}')} = 1") + "::int" for k in keys for n, o in (("up", "down"), ("down", "up"))} | flags,
+    ]
+
+
+def set_sql(stages: list[dict[str, str]], out: list[str], warmup: int, head: str) -> str:
+    text, last = head, "b"
+    for i, stage in enumerate(stages):
+        text += f", s{i} as (select *, " + ", ".join(f"{e} as {n}" for n, e in stage.items()) + f" from {last})"
+        last = f"s{i}"
+    return f"{text} select code, cast(ts as varchar) as ts, " + ", ".join(f"round(coalesce({c}, 0) + 1e-9, 5) as {c}" for c in out) + f" from {last} where rn > {warmup}"
+
+
+def rounded(df, out):
+    return df.select("code", F.col("ts").cast("string").alias("ts"), *[F.round(F.col(c).cast("double") + 1e-9, 5).alias(c) for c in out])
+
+
+TECH = ["stoch_k", "stoch_d", "willr", "boll_up", "boll_mid", "boll_low", "rsi", "dif", "dea", "hist", "bar"]
+register("feat_technical", lambda spark, sf: rounded(ft.technical(bars(spark, sf)).na.fill(0, TECH), TECH), set_sql(technical_sql(), TECH, 0, q.base()))
+AKEYS = ["close", "turnover", "close_chg3", "rsi", "bar", "boll_up", "amp5"]
+GAPS = ("close_chg3", "close_chg5", "close_chg10")
+LINES3 = ("close", "m3", "m5", "m10", "boll_up", "boll_low")
+DATA = [
+    {"_gap": SIG(f"date_diff('day', {R('ts')}, ts) > 1")} | {f"close_chg{p}": PCT(D(f"close - {R('close', p)}", R("close", p))) for p in (3, 5, 10)},
+    {f"pre{i}": f"coalesce(lead(_gap, {i}) over {q.W}, false)" for i in (1, 2, 3)} | crossing_sql(GAPS),
+    *technical_sql(),
+    {f"amp{n}": PCT(D(f"max(high) over {q.past(n)} - min(low) over {q.past(n)}", R("close", n - 1))) for n in (1, 3, 5, 10)},
+    *analysis_sql(AKEYS, (3, 5, 10)),
+    {f"m{n}": q.ma("close", n) for n in (3, 5, 10)},
+    crossing_sql(LINES3),
+]
+DATA_OUT = [*GAPS, *TECH, "amp1", "amp3", "amp5", "amp10", *crossing_sql(GAPS), *[f"{k}_{x}" for k in AKEYS for x in ("pos5", "pos10", "up", "down", "turn_up", "turn_down", "is_max3", "is_min10", "above5", "below10")], *crossing_sql(LINES3)]
+register("feat_data_features", lambda spark, sf: rounded(ft.data_features(bars(spark, sf), AKEYS), DATA_OUT), set_sql(DATA, DATA_OUT, 26, q.base()))
+TWO = ("sz_", "sh_")
+WIDE = (
+    q.base("day", quoted=False)
+    + ", w0 as (select a.ts, " + ", ".join(f"{s}.{c} as {p}{c}" for s, p in (("a", "sz_"), ("c", "sh_")) for c in ("open", "high", "low", "close", "amount")) + " from b a join b c on a.ts = c.ts and a.code = '1-URGENT' and c.code = '2-HIGH'), "
+)
+IKEYS = [f"{p}{c}" for p in TWO for c in ("close", "rsi", "close_chg1", "amp3")]
+ICHG = [f"{p}close_chg{n}" for p in TWO for n in (1, 3)]
+INDEX = [
+    {f"{p}close_chg{n}": PCT(D(f"{p}close - {R(f'{p}close', n)}", R(f"{p}close", n))) for p in TWO for n in (1, 3, 5)},
+    crossing_sql(ICHG),
+    *technical_sql("sz_"),
+    *technical_sql("sh_"),
+    {f"{p}amp{n}": PCT(D(f"max({p}high) over {q.past(n)} - min({p}low) over {q.past(n)}", R(f"{p}close", n - 1))) for p in TWO for n in (1, 3, 5)},
+    *analysis_sql(IKEYS, (3, 5)),
+    {f"{p}m{n}": q.ma(f"{p}close", n) for p in TWO for n in (3, 5)},
+    {k: v for p in TWO for k, v in crossing_sql((f"{p}close", f"{p}m3", f"{p}m5", f"{p}boll_up", f"{p}boll_low")).items()},
+]
+INDEX_OUT = [*INDEX[0], *[f"{p}{c}" for p in TWO for c in TECH], *[f"{p}amp{n}" for p in TWO for n in (1, 3, 5)], *[f"{k}_{x}" for k in IKEYS for x in ("pos3", "pos5", "up", "down", "turn_up", "is_max3", "above5")], *INDEX[-1]]
+
+
+def _index_features(spark, sf):
+    from ..operators import bars as br
+
+    day = views.bars_day(spark, sf)
+    wide = br.index_join_wide(day.filter("code = '1-URGENT'"), day.filter("code = '2-HIGH'"), "sz", "sh").withColumn("code", F.lit("index"))
+    from .build import S
+
+    return rounded(ft.index_features(S.numbered(wide), TWO, IKEYS), INDEX_OUT)
+
+
+register("feat_index_features", _index_features, set_sql(INDEX, INDEX_OUT, 0, WIDE.replace(" b as (select *, row", " b as (select *, row") + "b2 as (select 'index' as code, *, row_number() over (order by ts) as rn from w0)").replace("s0 as (select *, ", "s0 as (select *, ", 1).replace(" from b)", " from b2)", 1))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.steps import with_steps
@@ -13,7 +13,7 @@ from ..operators import models as ml
 from ..sources import io, views
 from ..streaming import live
 from . import sqltext as q
-from .build import bars, register, stable
+from .build import S, bars, local_folder, register, stable
 from .trade_queries import r6, s6
 
 C = F.col
@@ -22,7 +22,7 @@ HOUR, DAY = q.base(), q.base("day")
 
 def scratch(spark) -> str:
     """A new folder in the shared checkpoint folder, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{local_folder(spark)}"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -62,13 +62,21 @@ register("source_downcast", lambda spark, sf: io.downcast(views.table(spark, sf,
 # -- streams, replayed from files ------------------------------------------------------------------
 
 
+RANGES, FILES = 3, 2
+
+
 def replay(spark, sf, make):
     """Run a stream over the events to its end and give the rows it wrote."""
     path = scratch(spark)
     source = views.table(spark, sf, "events")
-    # one file in event order: a replay has no late rows
-    source.repartitionByRange(1, "ts").sortWithinPartitions("ts").write.parquet(f"{path}/in")
-    ticks = spark.readStream.schema(source.schema).parquet(f"{path}/in").select(C("event_type").alias("code"), C("ts").cast("timestamp").alias("ts"), C("value").alias("price"), F.lit(1).alias("qty"))
+    # ranges of time, one after the other, each in FILES files: one micro-batch each, so state is carried from batch to batch
+    at = F.unix_micros(C("ts").cast("timestamp"))
+    cuts = source.agg(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = source.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.repartition(FILES).write.mode("append").parquet(f"{path}/in")
+    ticks = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in").select(C("event_type").alias("code"), C("ts").cast("timestamp").alias("ts"), C("value").alias("price"), F.lit(1).alias("qty"))
     query = make(ticks).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(make(ticks).schema).parquet(f"{path}/out")
@@ -91,6 +99,67 @@ DW = "(partition by code, ts::date order by ts rows between unbounded preceding
 register("stream_running_day_bars", lambda spark, sf: replay(spark, sf, live.running_day_bars).select("code", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "open", "high", "low", "close", "volume"), TICKS + f" select code, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, first_value(price) over {DW} as open, max(price) over {DW} as high, min(price) over {DW} as low, price as close, count(*) over {DW} as volume from ticks")
 register("stream_order_prices", lambda spark, sf: replay(spark, sf, lambda t: live.order_prices(t, 2.0, 60.0)).select("code", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "price"), TICKS + ", p as (select code, ts, least(greatest(price, 2.0), 60.0)::double as price from ticks), m as (select *, min(price) over (partition by code order by ts rows between unbounded preceding and 1 preceding) as before from p) select code, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, price from m where before is null or price < before")
 
+
+
+def _upserted(spark, sf):
+    """The last row of each code and day by micro-batches."""
+    path = scratch(spark)
+    days = views.bars_user_day(spark, sf).select(C("code").cast("string").alias("code"), C("ts").cast("string").alias("ts"), "close", "volume")
+    days.repartitionByRange(FILES, "ts").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").select("code", "close", "volume")
+    live.upsert_batches(stream, f"{path}/out", ["code"], last="volume").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return live.latest(spark, f"{path}/out", "code string, close double, volume double").groupBy("code").agg(F.count("*").alias("n"), F.max("volume").alias("volume"))
+
+
+register("stream_upsert_batches", _upserted, q.base("user_day", quoted=False) + " select code::varchar as code, 1::bigint as n, max(volume) as volume from b group by 1")
+
+
+def _live(spark, sf):
+    """The mean crossing of new bars, each micro-batch with the last bars of the history before it."""
+    path = scratch(spark)
+    every = views.bars_hour(spark, sf)
+    cut = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    history, new = every.filter(C("ts") < cut), every.filter(C("ts") >= cut)
+    new.repartitionByRange(1, "ts").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(new.schema).parquet(f"{path}/in")
+
+    def signal(df):
+        return df.withColumn("m", S.ma("close", 10)).select("code", "ts", (C("close") < C("m") * 0.5).alias("buy"))
+
+    live.live_signals(stream, history, signal, lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/out/{n}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("code string, ts timestamp, buy boolean").parquet(f"{path}/out/*").select("code", C("ts").cast("string").alias("ts"), F.coalesce("buy", F.lit(False)).alias("buy"))
+
+
+register("stream_live_signals", _live, HOUR + f" select code, cast(ts as varchar) as ts, buy from (select code, ts, coalesce(close < {q.ma('close', 10)} * 0.5, false) as buy from b) where ts >= timestamp '2024-01-20 00:00:00'")
+
+
+def _bar_files(spark, sf):
+    path = scratch(spark)
+    rows = views.bars_day(spark, sf).select(F.regexp_replace("code", "[^0-9A-Z]", "").alias("code"), C("ts").cast("string").alias("date"), "open", "high", "low", "close", "volume", "amount")
+    io.write_series_files(rows.withColumn("name", F.concat(F.lit("bar "), "code")), path)
+    return io.read_bar_files(spark, f"{path}/*").select("name", "code", C("ts").cast("string").alias("ts"), "close")
+
+
+register("source_bar_files", _bar_files, DAY + " select 'bar ' || regexp_replace(code, '[^0-9A-Z]', '', 'g') as name, regexp_replace(code, '[^0-9A-Z]', '', 'g') as code, ts::varchar as ts, close from b")
+
+
+def _text_table(spark, sf):
+    path = scratch(spark)
+    views.universe(spark, sf).write.option("sep", "\t").csv(path)
+    return io.read_text_table(spark, path, "code long, name string, type string, region string")
+
+
+register("source_text_table", _text_table, q.views("universe") + " select code, name, type, region from universe")
+
+
+def _database(spark, sf):
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    io.write_jdbc(views.bars_day(spark, sf).select("code", C("ts").cast("string").alias("ts"), "close"), url, "bars", {"code": "instrument", "ts": "bar_date"}, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    return spark.read.jdbc(url, "bars", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}).select(C("instrument"), C("bar_date"), C("close"))
+
+
+register("source_database", _database, DAY + " select code as instrument, ts::varchar as bar_date, close from b")
+
 # -- models ----------------------------------------------------------------------------------------
 
 
@@ -116,6 +185,26 @@ register("model_forest_grid", _forest)
 register("model_gradient_boosting", _boosted)
 register("model_balance_classes", lambda spark, sf: training(spark, sf)[0].groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).select("label", "n", *r6("weight")), HOUR + f", f as (select ((max(high) over (partition by code order by ts rows between 1 following and 1 following)) - close) / close * 100 as f1, rn from b), g as (select (f1 >= 5)::int::double as label from f where f1 is not null and rn > 10), c as (select label, count(*) as n from g group by 1) select label, n, round((select sum(n) from c) / (select count(*) from c) + 1e-9, 6) as weight from c")
 
+
+
+def _preprocessed(spark, sf):
+    data, columns = training(spark, sf)
+    made = ml.preprocess(columns, 8, 3).fit(raw := data.drop("features")).transform(raw)
+    return made.select("code", C("ts").cast("string").alias("ts"), F.size(vector_to_array("features")).alias("components")).groupBy("code", "components").agg(F.count("*").alias("n"))
+
+
+register("model_preprocess", _preprocessed, HOUR + ", f as (select code, rn, lead(high) over (partition by code order by ts) as nh from b) select code, 3 as components, count(*) as n from f where nh is not null and rn > 10 group by code")
+
+
+def _eliminated(spark, sf):
+    """The features that stay, and how the rows' labels go with each."""
+    data, columns = training(spark, sf)
+    left = ml.eliminate_features(data, columns, 5, 0.5)
+    return data.unpivot(["label"], left, "feature", "value").groupBy("feature").agg(F.count("*").alias("n"), F.count_if(C("label") == 1).alias("positive"))
+
+
+register("model_feature_elimination", _eliminated)
+
 # -- sorts, sets, scalars ----------------------------------------------------------------------------
 register("sort_top_per_group", lambda spark, sf: views.votes(spark, sf).groupBy("model").agg(F.max_by("vote_id", F.struct("prob", -C("vote_id"))).alias("best"), F.min_by("vote_id", F.struct("prob", "vote_id")).alias("worst")), q.views("votes") + " select model, arg_max(vote_id, prob * 1000000000 - vote_id) as best, arg_min(vote_id, prob * 1000000000 + vote_id) as worst from votes group by model")
 register("sort_top_k", lambda spark, sf: views.votes(spark, sf).orderBy(F.desc("prob"), "vote_id").limit(25).select("vote_id", "prob"), q.views("votes") + " select vote_id, prob from votes order by prob desc, vote_id limit 25")

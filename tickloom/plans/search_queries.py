@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import series as fn
 from ..operators import combos as co
 from ..operators import funds as fu
 from ..operators import selection as se
 from ..sources import views
 from . import sqltext as q
-from .build import bars, register, stable
+from .build import bars, local_folder, register, stable
 from .trade_queries import r6, s6
 
 C = F.col
@@ -18,11 +19,9 @@ VOTES, RETS = q.views("votes"), q.views("fund_ret")
 
 def durable(df):
     """Cut the lineage of a loop by a checkpoint in the session's folder."""
-    import tempfile
-
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+        context.setCheckpointDir(local_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -49,7 +48,12 @@ def key(df, *more):
 
 FLAGS = q.base() + ", c as (select coalesce(chg, 0) as value, " + ", ".join(f"coalesce({c}, false) as f_{n}" for n, c in CONDS.items()) + " from b), f as (select value, list_filter([" + ", ".join(f"case when f_{n} then '{n}' end" for n in NAMES) + "], lambda x: x is not null) as active from c)"
 SIGS = "s as (select unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) as s)"
-register("combo_group_product", lambda spark, sf: key(co.group_product(spark, [["a1", "a2"], ["b1"], ["c1", "c2"]]).crossJoin(views.table(spark, sf, "region").agg(F.count("*").alias("n"))), "n"), "with a as (select unnest(['a1', 'a2', null]) as a), b as (select unnest(['b1', null]) as b), c as (select unnest(['c1', 'c2', null]) as c) select concat_ws(':', a, b, c) as combo, (select count(*) from region) as n from a, b, c where concat_ws(':', a, b, c) != ''")
+FAMILIES = [("part", "p_brand"), ("customer", "c_mktsegment"), ("region", "r_name")]
+register(
+    "combo_group_product",
+    lambda spark, sf: key(co.group_product([views.table(spark, sf, t).select(C(c).alias("member")).distinct() for t, c in FAMILIES])),
+    "with a as (select distinct p_brand as x from part union all select null), b as (select distinct c_mktsegment as y from customer union all select null), c as (select distinct r_name as z from region union all select null) select array_to_string(list_sort(list_filter([x, y, z], lambda v: v is not null)), ':') as combo from a, b, c where coalesce(x, y, z) is not null",
+)
 PAIRS = SIGS + ", p as (select a.s || ':' || b.s as combo, [a.s, b.s] as l from s a join s b on a.s < b.s)"
 
 
@@ -70,34 +74,44 @@ LAYERS = FLAGS + ", " + PAIRS + ", o as (select s as combo, [s] as l from s), t
 register("combo_layered_search", lambda spark, sf: key(co.layered_search(flags(spark, sf), base(spark), "value", 300, 3, durable), "n", *r6("mean")), LAYERS + " select combo, n, round(mean + 1e-9, 6) as mean from e where n >= 300")
 register("combo_best_filter", lambda spark, sf: key(co.best_filter(co.evaluate(flags(spark, sf), pairs(spark), "value"), 1200, 100.0), "n"), FLAGS + ", " + PAIRS + f", e as ({EVAL.format('p')}) select combo, n from e where n >= 1200 or mean >= 100")
 register("combo_fitness", lambda spark, sf: key(co.evaluate(flags(spark, sf), pairs(spark), "value"), stable(co.candidate_fitness(C("n"), F.lit(0.1))).alias("fitness")), FLAGS + ", " + PAIRS + f", e as ({EVAL.format('p')}) select combo, round(case when n > 0 then ln(n) / 0.11 else 0 end + 1e-9, 6) as fitness from e")
-CODES = RETS + ", u as (select code, row_number() over (order by code) as r from (select distinct code from fund_ret)), two as (select a.code as a, b.code as b from u a join u b on a.r < b.r where (a.r * 7 + b.r * 3) % 4 != 0)"
+#: Pairs of funds that rise and fall together.
+CODES = RETS + ", u as (select distinct code from fund_ret), two as (select a.code as a, b.code as b, count(*) as n from fund_ret a join fund_ret b on a.date = b.date and a.code < b.code group by 1, 2 having covar_pop(a.ret, b.ret) > 0)"
 
 
 def codes(spark, sf):
-    from pyspark.sql import Window
-
-    return views.fund_ret(spark, sf).select("code").distinct().withColumn("r", F.row_number().over(Window.orderBy("code")))
+    return views.fund_ret(spark, sf).select("code").distinct()
 
 
 def two(spark, sf):
-    u = codes(spark, sf)
-    j = u.select(C("code").alias("a"), C("r").alias("ra")).join(u.select(C("code").alias("b"), C("r").alias("rb")), C("ra") < C("rb"))
-    return j.filter((C("ra") * 7 + C("rb") * 3) % 4 != 0).select(F.array("a", "b").alias("combo"))
+    return fu.pairwise_corr(views.fund_ret(spark, sf)).filter("corr > 0").select(F.array("a", "b").alias("combo"), "n")
+
+
+def sets(spark, sf):
+    return two(spark, sf).select("combo")
 
 
 THREE = CODES + ", loose as (select x.a, x.b, y.b as c from two x join two y on x.a = y.a and x.b < y.b)"
-register("combo_apriori_next", lambda spark, sf: key(co.apriori_next(two(spark, sf))), THREE + " select l.a || ':' || l.b || ':' || l.c as combo from loose l join two z on z.a = l.b and z.b = l.c")
-register("combo_apriori_loose", lambda spark, sf: key(co.apriori_next(two(spark, sf), False)), THREE + " select a || ':' || b || ':' || c as combo from loose")
-register("combo_estimate_next_count", lambda spark, sf: co.estimate_next_count(two(spark, sf)), THREE + " select count(*) as n from loose")
-SCORED = "scored as (select a, b, a || ':' || b as key, (ascii(right(a, 1)) * 31 + ascii(right(b, 1)) * 17) % 101 as score from two)"
+register("combo_apriori_next", lambda spark, sf: key(co.apriori_next(sets(spark, sf))), THREE + " select l.a || ':' || l.b || ':' || l.c as combo from loose l join two z on z.a = l.b and z.b = l.c")
+register("combo_apriori_loose", lambda spark, sf: key(co.apriori_next(sets(spark, sf), False)), THREE + " select a || ':' || b || ':' || c as combo from loose")
+register("combo_estimate_next_count", lambda spark, sf: co.estimate_next_count(sets(spark, sf)), THREE + " select count(*) as n from loose")
+SCORED = "scored as (select a, b, a || ':' || b as key, n as score from two)"
 
 
 def scored(spark, sf):
-    return two(spark, sf).withColumns({"key": F.array_join("combo", ":"), "score": (F.ascii(F.right(C("combo")[0], F.lit(1))) * 31 + F.ascii(F.right(C("combo")[1], F.lit(1))) * 17) % 101})
+    return two(spark, sf).select("combo", F.array_join("combo", ":").alias("key"), C("n").alias("score"))
+
+
+def active(spark, sf):
+    """Funds without a long still stand."""
+    return fu.zero_run(views.fund_ret(spark, sf), 0.0005).filter("zero_run <= 2").select("code")
 
 
 register("combo_pick_k_for_target", lambda spark, sf: co.pick_k_for_target(scored(spark, sf), 150), CODES + ", " + SCORED + ", r as (select *, row_number() over (partition by a order by score desc, key) as place from scored), m as (select *, sum(place - 1) over (order by score desc, key) as made from r) select count(*) as k, coalesce(max(made), 0)::bigint as made from m where made <= 150")
-register("combo_seed_select", lambda spark, sf: co.seed_select(scored(spark, sf), 50, codes(spark, sf).filter("r % 3 != 0")).select("key", "score"), CODES + ", " + SCORED + ", pool as (select code from u where r % 3 != 0) select key, score from scored where score > 50 and a in (select code from pool) and b in (select code from pool)")
+register(
+    "combo_seed_select",
+    lambda spark, sf: co.seed_select(scored(spark, sf), 20, active(spark, sf)).select("key", "score"),
+    CODES + ", " + SCORED + ", z as (select *, abs(ret) < 0.0005 as zero from fund_ret), i as (select *, sum((not zero)::int) over (partition by code order by date) as island from z), q as (select code, island, count(*) as n from i where zero group by 1, 2), pool as (select code from u where coalesce((select max(n) from q where q.code = u.code), 0) <= 2) select key, score from scored where score > 20 and a in (select code from pool) and b in (select code from pool)",
+)
 
 # -- model reports -------------------------------------------------------------------------------
 LEVELS = [0.5, 0.6, 0.7, 0.8, 0.9]
@@ -110,7 +124,7 @@ def report(spark, sf):
 
 register("model_threshold_report", lambda spark, sf: report(spark, sf).select("model", "level", "n", "picked", "hits", "days", "good_days", "loss_ok", *r6("precision", "predicted", "good_share")), REPORT + f" select model, level, n, picked, hits, days, good_days, loss_ok, {s6('precision', 'predicted', 'good_share')} from r")
 register("model_first_passing", lambda spark, sf: se.first_passing(report(spark, sf), 0.49), REPORT + " select model, min(level) as level from r where precision >= 0.49 group by model")
-register("model_hash_split", lambda spark, sf: se.hash_split(views.votes(spark, sf), "vote_id").groupBy("model").agg(F.count("*").alias("n")), VOTES + " select model, count(*) as n from votes group by model")
+register("model_hash_split", lambda spark, sf: se.stable_split(views.votes(spark, sf), "vote_id").groupBy("model", "train").agg(F.count("*").alias("n")), VOTES + " select model, ('0x' || substr(md5(vote_id::varchar), 1, 7))::bigint % 1000 < 700 as train, count(*) as n from votes group by 1, 2")
 DAYS = VOTES + ", y as (select date, code, count(*) as votes, max(prob) as best, min(prob) as least, max(hit::int) as hit from votes group by 1, 2)"
 
 
@@ -184,17 +198,28 @@ register("fund_pool_reject_reason", lambda spark, sf: __import__("tickloom.opera
 CORR = RETS + ", pc as (select a.code as a, b.code as b, covar_pop(a.ret, b.ret) / nullif(stddev_pop(a.ret) * stddev_pop(b.ret), 0) as corr, count(*) as n from fund_ret a join fund_ret b on a.date = b.date and a.code < b.code group by 1, 2)"
 register("fund_pairwise_corr", lambda spark, sf: fu.pairwise_corr(rets(spark, sf)).select("a", "b", "n", *r6("corr")), CORR + " select a, b, n, round(corr + 1e-9, 6) as corr from pc")
 register("fund_downside_corr", lambda spark, sf: fu.downside_corr(rets(spark, sf)).select("a", "b", "n", *r6("downside")), RETS + ", p as (select a.code as a, b.code as b, a.date, a.ret as x, b.ret as y, (a.ret + b.ret) / 2 as mean from fund_ret a join fund_ret b on a.date = b.date and a.code < b.code), r as (select *, row_number() over (partition by a, b order by mean, date) as r, count(*) over (partition by a, b) as n from p) select a, b, count(*) as n, round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0.5) + 1e-9, 6) as downside from r where r <= greatest(floor(n * 0.05::double), 5) group by 1, 2")
-register("fund_greedy_corr_filter", lambda spark, sf: fu.greedy_corr_filter(codes(spark, sf).select("code", C("r").alias("rank")), durable(fu.pairwise_corr(rets(spark, sf)).filter("corr > 0.01").select("a", "b")), durable).select("code", "rank"))
-COMBO = RETS + ", cb as (select a.code || ':' || b.code as key, a.code as a, b.code as b from (select distinct code from fund_ret where code like '%1') a join (select distinct code from fund_ret where code like '%2') b on true), cr as (select key, row_number() over (partition by key order by x.date) - 1 as t, x.date, x.ret as x, y.ret as y from cb join fund_ret x on x.code = cb.a join fund_ret y on y.code = cb.b and y.date = x.date)"
+
+
+def by_growth(spark, sf):
+    """Funds by annual return, best first; the list of funds is short."""
+    from pyspark.sql import Window
+
+    return fu.fund_profile(rets(spark, sf)).select("code", F.row_number().over(Window.orderBy(F.desc("annual"), "code")).alias("rank"))
+
+
+register("fund_greedy_corr_filter", lambda spark, sf: fu.greedy_corr_filter(by_growth(spark, sf), durable(fu.conflicts(fu.pairwise_corr(rets(spark, sf)), fu.downside_corr(rets(spark, sf)), 0.02, 0.3)), durable).select("code", "rank"))
+COMBO = RETS + ", cb as (select a.code || ':' || b.code as key, a.code as a, b.code as b from (select distinct code from fund_ret) a join (select distinct code from fund_ret) b on a.code < b.code), cr as (select key, row_number() over (partition by key order by x.date) - 1 as t, x.date, x.ret as x, y.ret as y from cb join fund_ret x on x.code = cb.a join fund_ret y on y.code = cb.b and y.date = x.date)"
 
 
 def combos(spark, sf):
-    u = rets(spark, sf).select("code").distinct()
-    return u.filter("code like '%1'").select(C("code").alias("a")).crossJoin(F.broadcast(u.filter("code like '%2'").select(C("code").alias("b")))).select(F.concat_ws(":", "a", "b").alias("key"), F.array("a", "b").alias("combo"))
+    """All pairs of funds that share a date, found by the dates they share."""
+    r = rets(spark, sf).select("date", "code")
+    both = r.withColumnRenamed("code", "a").join(r.withColumnRenamed("code", "b"), "date").filter("a < b").select("a", "b").distinct()
+    return both.select(F.concat_ws(":", "a", "b").alias("key"), F.array("a", "b").alias("combo"))
 
 
 SEG = "(partition by key, seg order by t rows between unbounded preceding and current row)"
-PATH = COMBO + f", sg as (select *, t // 30 as seg from cr), gr as (select *, (product(1 + x) over {SEG} + product(1 + y) over {SEG}) / 2 as v from sg), pp as (select key, t, date, v / coalesce(lag(v) over (partition by key, seg order by t), 1) - 1 as ret from gr)"
+PATH = COMBO + f", sg as (select *, case when t > 30 then (t - 31) // 30 + 1 else 0 end as seg from cr), gr as (select *, (product(1 + x) over {SEG} + product(1 + y) over {SEG}) / 2 as v from sg), pp as (select key, t, date, v / coalesce(lag(v) over (partition by key, seg order by t), 1) - 1 as ret from gr)"
 
 
 def path(spark, sf):
@@ -203,13 +228,102 @@ def path(spark, sf):
 
 register("fund_valid_overlap", lambda spark, sf: fu.valid_overlap(rets(spark, sf), combos(spark, sf)).select("key", C("first").cast("string").alias("first"), C("last").cast("string").alias("last"), "days"), COMBO + " select key, min(date)::varchar as first, max(date)::varchar as last, count(*) as days from cr group by 1")
 register("fund_portfolio_path", lambda spark, sf: path(spark, sf).select("key", "t", C("date").cast("string").alias("date"), F.round(C("ret") + 1e-12, 8).alias("ret")), PATH + " select key, t, date::varchar as date, round(ret + 1e-12, 8) as ret from pp")
-KUP = "(partition by key order by t rows between unbounded preceding and current row)"
-METRICS = PATH + f", nv as (select *, product(1 + ret) over {KUP} as nav, lag(ret) over (partition by key order by t) as prev from pp), yr as (select *, greatest(max(nav) over {KUP}, 1) as peak, nav / lag(nav, 252) over (partition by key order by t) - 1 as year from nv), mt as (select key, count(*) as days, arg_max(nav, t) as final, min(nav / peak - 1) as drawdown, covar_pop(prev, ret) / nullif(stddev_pop(prev) * stddev_pop(case when prev is not null then ret end), 0) as ar1, stddev_samp(ret) * sqrt(252) as vol, min(year) as worst_year from yr group by 1), mc as (select *, pow(final, 252.0::double / days) - 1 as cagr from mt), mm as (select *, cagr / nullif(abs(drawdown), 0) as calmar from mc)"
-MCOLS = ("final", "drawdown", "ar1", "vol", "worst_year", "cagr", "calmar")
-register("fund_portfolio_metrics", lambda spark, sf: fu.portfolio_metrics(path(spark, sf)).select("key", "days", *r6(*MCOLS)), METRICS + f" select key, days, {s6(*MCOLS)} from mm")
-register("fund_veto_and_score", lambda spark, sf: fu.veto_and_score(fu.portfolio_metrics(path(spark, sf)), hurdle=-0.01, worst=-0.05).select("key", "veto", *r6("score")), METRICS + ", v as (select *, case when -drawdown > 0.5 then 'drawdown' when cagr < -0.01 then 'hurdle' when coalesce(ar1 > 0.55 and vol > 0.03, false) then 'autocorrelation' when coalesce(worst_year < -0.05, false) then 'worst_year' end as veto from mm) select key, veto, round(case when veto is null then calmar * (1 + coalesce(least(worst_year, 0), 0)) end + 1e-9, 6) as score from v")
-FR = "(partition by key order by t rows between 251 preceding and current row)"
-register("fund_worst_window_r2", lambda spark, sf: fu.worst_window_r2(path(spark, sf)).select("key", "windows", *r6("worst_r2")), PATH + f", lg as (select *, sum(ln(1 + ret)) over {KUP} as y from pp), cc as (select *, pow(covar_pop(t, y) over {FR} / nullif(stddev_pop(t) over {FR} * stddev_pop(y) over {FR}, 0), 2) as r2 from lg) select key, count(*) as windows, round(min(r2) + 1e-9, 6) as worst_r2 from cc where t >= 251 and (t - 251) % 21 = 0 group by 1")
+def measured(k: str, source: str) -> str:
+    """Stages from daily returns (k, t, ret) of ``source`` to the metrics mm by k."""
+    run = f"(partition by {k} order by t rows between unbounded preceding and current row)"
+    return (
+        f", nv as (select *, product(1 + ret) over {run} as nav, lag(ret) over (partition by {k} order by t) as prev from {source}),"
+        f" yr as (select *, greatest(max(nav) over {run}, 1) as peak, case when t = 251 then nav - 1 else nav / lag(nav, 252) over (partition by {k} order by t) - 1 end as year from nv),"
+        f" isl as (select *, sum((nav >= peak * (1 - 1e-12))::int) over {run} as island from yr), wet as (select {k}, max(n) as recovery from (select {k}, island, count(*) filter (where nav < peak * (1 - 1e-12)) as n from isl group by 1, 2) group by 1),"
+        f" mt as (select {k}, count(*) as days, arg_max(nav, t) as final, min(nav / peak - 1) as drawdown, covar_pop(prev, ret) / nullif(stddev_pop(prev) * stddev_pop(case when prev is not null then ret end), 0) as ar1, stddev_samp(ret) * sqrt(252) as vol, coalesce(min(year), 0) as worst_year, avg((ret > 1e-12)::int) as win from yr group by 1),"
+        f" mc as (select *, pow(final, 252.0::double / days) - 1 as cagr from mt join wet using ({k})), mm as (select *, cagr / nullif(abs(drawdown), 0) as calmar, cagr / nullif(vol, 0) as sharpe from mc)"
+    )
+
+
+def straight(k: str, source: str) -> str:
+    """Stages from daily returns to the least R2 by k (r2w)."""
+    run = f"(partition by {k} order by t rows between unbounded preceding and current row)"
+    frame = f"(partition by {k} order by t rows between 251 preceding and current row)"
+    return (
+        f", lg as (select *, sum(ln(1 + ret)) over {run} as cum, max(t) over (partition by {k}) as last_t from {source}), cc as (select *, coalesce(pow(covar_pop(t, cum) over {frame} / nullif(stddev_pop(t) over {frame} * stddev_pop(cum) over {frame}, 0), 2), 0) as r2 from lg),"
+        f" r2w as (select {k}, count(*) as windows, min(r2) as worst_r2 from cc where case when last_t >= 251 then t >= 251 and (t - 251) % 21 = 0 else t = last_t end group by 1)"
+    )
+
+
+METRICS = PATH + measured("key", "pp")
+MCOLS = ("final", "drawdown", "ar1", "vol", "worst_year", "win", "cagr", "calmar", "sharpe")
+register("fund_portfolio_metrics", lambda spark, sf: fu.portfolio_metrics(path(spark, sf)).select("key", "days", "recovery", *r6(*MCOLS)), METRICS + f" select key, days, recovery, {s6(*MCOLS)} from mm")
+#: Limits at which some of these funds pass.
+LIMITS = {"hurdle": -0.01, "drawdown": 0.5, "calmar_multiple": 0.2, "recovery": 900, "worst_year": -0.05, "least_days": 40}
+FOUR = COMBO + """, sd as (select unnest([0, 1024, 2048, 4096]) as seed),
+cu as (select key, t - min(t) over (partition by key) as t, date, x, y, max(t) over (partition by key) - min(t) over (partition by key) + 1 as dd from (select *, max(t) over (partition by key) - t as back from cr) where back < 1260),
+hs as (select key, a, b, seed, (('0x' || substr(md5(key || '|' || a || '|' || seed), 1, 7))::bigint % 10001) / 10000.0::double as ha, (('0x' || substr(md5(key || '|' || b || '|' || seed), 1, 7))::bigint % 10001) / 10000.0::double as hb from cb, sd),
+rw as (select key, seed, case when seed = 0 then 0.5::double else least(greatest(0.5 + (ha * 2 - 1) * 0.05::double, 0.01), 1) end as ra, case when seed = 0 then 0.5::double else least(greatest(0.5 + (hb * 2 - 1) * 0.05::double, 0.01), 1) end as rb from hs),
+vr as (select key || '~' || seed as k2, key, seed, t, date, x, y, ra / (ra + rb) as wa, rb / (ra + rb) as wb, case when seed = 0 then 30 else 45 end as s0 from cu join rw using (key) where dd >= 40),
+s4 as (select *, case when t > s0 then (t - 1 - s0) // 30 + 1 else 0 end as seg from vr),
+g4 as (select *, wa * product(1 + x) over (partition by k2, seg order by t rows between unbounded preceding and current row) + wb * product(1 + y) over (partition by k2, seg order by t rows between unbounded preceding and current row) as v from s4),
+p4 as (select k2, key, seed, t, x, y, v / coalesce(lag(v) over (partition by k2, seg order by t), 1) - 1 as ret from g4)""" + measured("k2", "p4") + straight("k2", "p4") + """,
+mb as (select key, t, x as r, 'x' as m from cu where dd >= 40 union all select key, t, y, 'y' from cu where dd >= 40),
+mn as (select *, product(1 + r) over (partition by key, m order by t rows between unbounded preceding and current row) as nav, sum((abs(r) >= 1e-8)::int) over (partition by key, m order by t rows between unbounded preceding and current row) as island from mb),
+mp as (select *, greatest(max(nav) over (partition by key, m order by t rows between unbounded preceding and current row), 1) as peak, sum((abs(r) < 1e-8)::int) over (partition by key, m, island order by t rows between unbounded preceding and current row) as zeros from mn),
+me as (select key, m, arg_max(nav, t) as final, count(*) as days, min(nav / peak - 1) as drawdown, max(zeros) as zeros from mp group by 1, 2),
+bl as (select key, avg(pow(final, 252.0::double / days) - 1) as mean_cagr, avg(drawdown) as mean_drawdown, max(zeros) as zeros from me group by 1),
+bz as (select *, case when abs(mean_drawdown) > 1e-6 then mean_cagr / abs(mean_drawdown) else 0 end as baseline from bl),
+wr as (select *, row_number() over (partition by k2 order by round(ret, 9), t) as r, count(*) over (partition by k2) as nn from p4),
+dn as (select k2, coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0.5) as downside from wr where r <= greatest(floor(nn * 0.05::double), 5) group by 1),
+al as (select mm.*, split_part(mm.k2, '~', 1) as key, split_part(mm.k2, '~', 2) = '0' as plain, bz.baseline, bz.zeros, r2w.worst_r2, dn.downside from mm join r2w using (k2) join dn using (k2) join bz on bz.key = split_part(mm.k2, '~', 1)),
+vt as (select *, case when zeros > 10 then 'distortion' when cagr < -0.01 then 'hurdle' when -drawdown > 0.5 then 'drawdown' when coalesce(calmar, 0) <= baseline * 0.2::double then 'baseline' when recovery > 900 then 'bleeding' when coalesce(ar1, 1) > 0.55 and vol < 0.03 then 'smooth' when worst_year < -0.05 then 'worst_year' end as veto from al),
+sc as (select *, case when veto is null then greatest(greatest(cagr, 0) / greatest(abs(drawdown), 0.01) * worst_r2 * exp(least(worst_year, 0) * 2.5) * least(1, sqrt(days / 1260.0::double)) * case when downside > 0.8 then 0.1 when downside > 0.5 then least(greatest(1 - (downside - 0.5), 0.5), 1) else 1 end, 0) else 0 end as score from vt),
+ev as (select a.*, b.perturbed, least(a.score, b.perturbed) as total from sc a join (select key, min(score) as perturbed from sc where not plain group by 1) b using (key) where a.plain)"""
+
+
+def evaluated(spark, sf, chosen=None):
+    return fu.evaluate_combos(rets(spark, sf), combos(spark, sf) if chosen is None else chosen, limits=LIMITS, keep=durable)
+
+
+ECOLS = ("cagr", "drawdown", "calmar", "baseline", "worst_r2", "downside", "score", "perturbed", "total")
+register("fund_veto_and_score", lambda spark, sf: evaluated(spark, sf).select("key", "days", "zeros", "recovery", "veto", *r6(*ECOLS)), FOUR + f" select key, days, zeros, recovery, veto, {s6(*ECOLS)} from ev")
+register(
+    "fund_perturbed_weights",
+    lambda spark, sf: fu.perturbed_weights(combos(spark, sf)).select("key", "seed", "code", *r6("weight")),
+    FOUR + ", wl as (select key, seed, split_part(key, ':', 1) as code, ra / (ra + rb) as weight from rw where seed > 0 union all select key, seed, split_part(key, ':', 2), rb / (ra + rb) from rw where seed > 0) select key, seed, code, round(weight + 1e-9, 6) as weight from wl",
+)
+
+
+def _appended(spark, sf):
+    every = combos(spark, sf)
+    old = fu.portfolio_metrics(fu.portfolio_path(fu.combo_returns(rets(spark, sf), every.filter("combo[0] < 'Brand#2'")))).select("key", "days", "cagr")
+    return fu.append_results(every, old, lambda new: fu.portfolio_metrics(fu.portfolio_path(fu.combo_returns(rets(spark, sf), new)))).select("key", "days", *r6("cagr"))
+
+
+register("fund_append_results", _appended, METRICS + " select key, days, round(cagr + 1e-9, 6) as cagr from mm")
+register(
+    "fund_downside_from_results",
+    lambda spark, sf: fu.downside_corr_from_results(evaluated(spark, sf).join(combos(spark, sf), "key")).select("a", "b", *r6("downside")),
+    FOUR + " select split_part(key, ':', 1) as a, split_part(key, ':', 2) as b, round(downside + 1e-9, 6) as downside from ev union all select split_part(key, ':', 2), split_part(key, ':', 1), round(downside + 1e-9, 6) from ev",
+)
+
+
+def _ranking(spark, sf):
+    one = fu.fund_profile(rets(spark, sf)).select(C("code").alias("key"), F.array("code").alias("combo"), "days", C("annual").alias("cagr"), fn.div("annual", F.abs("drawdown")).alias("calmar"), F.lit(0.0).alias("baseline"), F.lit(0.5).alias("downside"), (1 + C("annual")).alias("total"))
+    pairs = evaluated(spark, sf).join(combos(spark, sf), "key").select("key", "combo", "days", "cagr", "calmar", "baseline", "downside", "total")
+    funds = views.table(spark, sf, "part").groupBy(C("p_brand").alias("code")).agg(F.concat(F.min("p_name"), F.lit(" (all) "), F.min("p_type"), F.lit("A")).alias("name"), (F.min("p_size") > 1).alias("overseas"))
+    return fu.merge_dims_and_rank([one, pairs], funds, 60, -0.5).select("key", "size", "names", "overseas", *r6(*RCOLS))
+
+
+RCOLS = ("total", "score", "calmar_gain", "total_less_corr", "score_less_corr")
+register(
+    "fund_merge_dims_and_rank",
+    _ranking,
+    FOUR + ", " + PROFILE.removeprefix(RETS + ", ") + """, fd as (select p_brand as code, regexp_replace(regexp_replace(min(p_name) || ' (all) ' || min(p_type) || 'A', '[（(][^）)]*[）)]', '', 'g'), '[A-E]$', '') as name, min(p_size) > 1 as overseas from part group by 1),
+    un as (select code as key, [code] as combo, days, annual as cagr, annual / nullif(abs(drawdown), 0) as calmar, 0.0::double as baseline, 0.5::double as downside, 1 + annual as total from pr union all select key, string_split(key, ':'), days, cagr, calmar, baseline, downside, total from ev),
+    kp as (select *, total * 10000 as total10 from un where days > 60 and total > 0 and cagr > -0.5),
+    nm as (select key, count(*) as size, string_agg(name, '_' order by i) as names, max(overseas::int) = 1 as overseas from (select key, unnest(combo) as code, unnest(range(len(combo))) as i from kp) join fd using (code) group by 1),
+    sr as (select kp.key, nm.size, nm.names, nm.overseas, total10 as total, pow(cagr * 10, 3) * total10 as score, calmar - baseline as calmar_gain, downside from kp join nm using (key)),
+    fin as (select *, total / (downside + 1) as total_less_corr, score / (downside + 1) as score_less_corr from sr)
+    select key, size, names, overseas, """ + s6(*RCOLS) + " from fin",
+)
+register("fund_worst_window_r2", lambda spark, sf: fu.worst_window_r2(path(spark, sf)).select("key", "windows", *r6("worst_r2")), PATH + straight("key", "pp") + " select key, windows, round(worst_r2 + 1e-9, 6) as worst_r2 from r2w")
 register("fund_simplify_name", lambda spark, sf: views.universe(spark, sf).select("code", fu.simplify_name(C("name")).alias("name")), q.views("universe") + " select code, regexp_replace(regexp_replace(regexp_replace(name, '[（(][^）)]*[）)]', '', 'g'), '(Supplier|#)', '', 'g'), '[A-E]$', '') as name from universe")
 register(
     "select_nested_sweep",

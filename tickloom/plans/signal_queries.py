@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import screens as sc
 from ..operators import signals as sg
 from . import sqltext as q
-from .build import bars, register, steps
+from .build import bars, register, stable, steps
 from .indicator_queries import ADAPTIVE, LINES, MACDS, TR
 
 C = F.col
@@ -148,3 +148,128 @@ _A = "open3 < close3 and open2 < close2 and open1 > close1 and open > close and
 _B = "open3 > close3 and open2 > close2 and open1 < close1 and open > close and close1 >= 1.03 * close and close < 1.03 * low and volume < volume3 * 1.2 and volume > volume3 * 0.9 and high < high1 and e5 > ma14 * 1.017"
 steps("screen_daily_27", sc.daily_27(), [{"e5": q.ema("close", 5), "ma14": q.ma("close", 14), "v16": q.llv("volume", 16)}, LAG(open=3, close=3, high=3, volume=3), {"buy": f"coalesce({_A}, false) or coalesce({_B}, false)"}], ["buy"], rounded=False)
 steps("screen_daily_28", sc.daily_28(), [{"ea": q.ema("amount", 13), "ev": q.ema("volume", 13)}, {"paid": q.div("ea", "ev")}, {"far": q.div("close - paid", "paid") + " * 1000"}, {"buy": f"coalesce(chg < 0.95 * limit_rate and {R('far')} < 95 and far >= 95, false)"}], ["buy"], rounded=False)
+
+ALPHA = lambda n: f"({2 / (n + 1)!r}::double / (1 - pow({1 - 2 / (n + 1)!r}::double, rn)))"
+
+
+def moving(x: str, a: str, name: str) -> list[dict[str, str]]:
+    """Stages of a mean whose factor is another column."""
+    return [{f"_l_{name}": f"list(struct_pack(x := {x}, f := {a})) over {q.UPTO}"}, {name: f"list_reduce(_l_{name}, lambda a, b: struct_pack(x := b.f * b.x + (1 - b.f) * a.x, f := b.f)).x"}]
+
+
+LAST = lambda c, x, frame: f"max(case when {c} then {x} end) over (partition by code order by ts rows between unbounded preceding and {frame})"
+steps(
+    "screen_daily_9",
+    sc.daily_9(),
+    [
+        {"_x3": SIG("high > low * 1.052"), "_low": SIG(f"close / {q.ma('close', 60)} * 100 < 75") + " or " + SIG(f"close / {q.ma('close', 40)} * 100 < 80"), "_a5": ALPHA(5)},
+        {"_x6": f"_x3 and {SIG(f'{q.total('_x3::int', 5)} > 1')} and _low and not (close = low and high = low)"},
+        *moving("close", "_a5", "_e5"),
+        {"buy": f"_x6 and not (close > open and {SIG(f'{q.total('_x6::int', 10)} > 0')} and {SIG(f'_e5 > {R('_e5')}')})"},
+    ],
+    ["buy"],
+    rounded=False,
+)
+FAR = lambda n: f"((close - {q.ma('close', n)}) / {q.ma('close', n)})"
+steps(
+    "screen_daily_10",
+    sc.daily_10(),
+    [
+        {"_b27": f"{FAR(27)} * 100", "_b21": FAR(21), "_b28": f"{FAR(28)} * 100", "_typical": "(close + low + high) / 3", "_a3": ALPHA(3), "_a26": ALPHA(26), "_c10": q.llv("close", 10), "_l10": q.llv("low", 10)},
+        *moving("_typical", "_a3", "_t3"),
+        *moving("_t3", "_a26", "_t26"),
+        {"_x3": q.ma("_b27", 2), "_x9": f"{q.ma('_b21', 3)} * 100"},
+        {"_up": SIG(f"{R('_x3')} < -10 and _x3 > -10")},
+        {"_prev": f"coalesce({LAST('_up', 'rn', '1 preceding')}, 0)"},
+        {"_second": f"coalesce({LAST('_up', '_prev', 'current row')}, 0)"},
+        {"_all": SIG(f"_x3 < -10 and _second > 3 and close / (_t26 * 0.9) < 0.95 and _x9 < -15 and _b28 < -23 and close / {R('_c10')} < 0.96 and low / {R('_l10')} < 0.99 and close != low and close / low > 1.005")},
+        {"_before": LAST("_all", "rn", "1 preceding")},
+        {"buy": "_all and coalesce(rn - _before >= 10, true)"},
+    ],
+    ["_up", "_second", "buy"],
+    rounded=False,
+)
+ELEVEN = [
+    {"_tr": "case when prev_close is null then high - low else greatest(high - low, abs(prev_close - high), abs(prev_close - low)) end"},
+    {"_x2": f"(high + low) / 2 + {q.ma('_tr', 2)}", "_x3": f"(high + low) / 2 - {q.ma('_tr', 2)}"},
+    {"_x4": f"case when _x2 <= {R('_x2')} then {R('_x2')} end", "_x5": q.llv("_x2", 3)},
+    {"_x6": f"case when coalesce(_x5 != {R('_x5')}, true) and {SIG(f'_x4 < {R('_x4')}')} then _x4 else _x5 end"},
+    {"_on": SIG("_x2 = _x6") + "::int", "_cross": SIG("(prev_close < _x6 and close > _x6) or (prev_close > _x6 and close < _x6)") + "::int"},
+    {"_x7": f"coalesce({q.total('_on', 2)}, 0)"},
+    {"_x8": f"case when _x7 > 0 then _cross else 0 end + case when _x7 > 1 then coalesce({R('_cross')}, 0) else 0 end"},
+    {"_x9": f"coalesce(date_diff('day', max(case when _x8 > 0 then ts end) over {q.UPTO}, ts), 0)"},
+    {"_width": "max(_x9) over (partition by code) + 1"},
+    {"_lx": f"list(_x3) over {q.UPTO}"},
+    {"_top": "case when rn >= _width and len(list_filter(_lx[(rn - _width + 1)::bigint:], lambda v: v is null)) = 0 then list_max(_lx[(rn - _width + 1)::bigint:]) end"},
+    {"_x10": f"sum({SIG('_top > close')}::int) over {q.UPTO}", "_m18": q.ma("close", 18), "_l3": q.llv("low", 3), "_x15": f"case when close < open then {q.div('close - low', 'high - low')} else 0 end"},
+    {"buy": SIG(f"_x9 < _x10 and close / {R('_l3')} < 1 and close < open and close != low and close >= _m18 * 1.004 and _m18 >= {R('_m18')} and _x15 > 0.03 and _x15 < 0.3")},
+]
+register(
+    "screen_daily_11",
+    lambda spark, sf: sc.daily_11(bars(spark, sf, "day")).select("code", C("ts").cast("string").alias("ts"), C("_x9").cast("long").alias("x9"), C("_x10").cast("long").alias("x10"), "buy"),
+    q.staged([*ELEVEN, {"x9": "_x9", "x10": "_x10::bigint"}], ["x9", "x10", "buy"], "day", rounded=False),
+)
+PB = [f"_pb{n}" for n in sc.SPANS]
+steps(
+    "screen_daily_25",
+    sc.daily_25(),
+    [
+        {f"_e{n}": q.ema("close", n) for n in sc.SPANS},
+        {f"_pb{n}": f"(_e{n} + {q.ma('close', 2 * n)} + {q.ma('close', 4 * n)}) / 3" for n in sc.SPANS} | {"_m60": q.ma("close", 60), "_v5": q.ma("volume", 5), "_v60": q.ma("volume", 60)},
+        {"_lowest": f"case when _pb24 is not null then least({', '.join(PB)}) end", "_highest": f"case when _pb24 is not null then greatest({', '.join(PB)}) end", "_lb": q.div("volume", R("_v5")), "_near": SIG("(" + " + ".join(f"abs({a} - {b})" for i, a in enumerate(PB) for b in PB[i + 1 :]) + ") / close < 0.2")},
+        {"_xg": f"({SIG('open < _lowest')} or {SIG(f'{R('open')} < _lowest')}) and {SIG('close > _highest')}", "_loud": SIG("_lb > 2.2")},
+        {"_jl": SIG("close > _m60 and _v5 > _v60 * 0.9 and close > _m60 * 1.02 and close < _m60 * 1.15 and close > open * 1.02 and close / prev_close - 1 > 0.03") + "".join(f" and ({c} or {SIG(R(c))})" for c in ("_loud", "_xg", "_near"))},
+        {"buy": SIG("chg < limit_rate * 0.95") + f" and (((_jl or {SIG(R('_jl'))}) and {SIG('close > _pb4 * 0.88')}) or (_xg and _loud and {SIG('close > _m60 * 1.02 and close < _m60 * 1.15')}))"},
+    ],
+    ["_xg", "_near", "_loud", "_jl", "buy"],
+    rounded=False,
+)
+PLACE = lambda n: q.div(f"close - {q.llv('low', n)}", f"{q.hhv('high', n)} - {q.llv('low', n)}") + " * 100"
+steps(
+    "screen_select_stocks",
+    [*sc.select_stocks(), lambda: {"main20": C("main20").cast("long")}],
+    [
+        {"_e5": q.ema("close", 5), "_e340": q.ema("close", 340)},
+        {"v1": "_e5 - _e340"},
+        {"v2": q.ema("v1", 144), "v3": PLACE(27), "fast": PLACE(9), "_fall": f"abs(low - {R('low')})", "_rise": f"case when {R('low')} is not null then greatest(low - {R('low')}, 0) end", "_l34": q.llv("low", 34)},
+        {"_sf": q.smooth("_fall", 1 / 13), "_sr": q.smooth("_rise", 1 / 13), "slow": q.smooth("fast", 1 / 3), "_s5": q.smooth("v3", 1 / 5)},
+        {"_m2": q.div("_sf", "_sr") + " * 4", "_s53": q.smooth("_s5", 1 / 3)},
+        {"_m3": q.ema("_m2", 13), "turn": "3 * _s5 - 2 * _s53"},
+        {"_at": "case when low <= _l34 then _m3 else 0 end"},
+        {"_m5": q.ema("_at", 3)},
+        {"main": SIG(f"_m5 > {R('_m5')}"), "_over": SIG(f"{R('slow')} < fast and slow > fast"), "_under": SIG(f"{R('fast')} < slow and fast > slow and slow < 30")},
+        {"main20": f"(case when rn >= 20 then sum(main::int) over {q.past(20)} end)::bigint", "_since": f"rn - coalesce({LAST('_over', 'rn', 'current row')}, 0)", "gup": f"case when {SIG(f'{R('v3')} < 5 and v3 > 5 and v1 < v2')} then 40 else 20 end"},
+        {"entry": "_since >= _under::int", "bottom": SIG(f"{R('turn')} < 3 and turn > 3")},
+        {"buy": "entry or bottom"},
+    ],
+    ["main20", "gup", "entry", "bottom", "buy"],
+    rounded=False,
+)
+register("screen_mix_date", lambda spark, sf: bars(spark, sf).select("code", C("ts").cast("string").alias("ts"), sg.on_date("2024-01-04").alias("buy")), q.base() + " select code, cast(ts as varchar) as ts, ts::date = date '2024-01-04' as buy from b")
+MIXED = ["close", "turnover", "price_today"]
+_SIGS = mean("close", [5, 10, 20, 40]) | ext("close", [5, 10, 20, 60]) | bands("turnover", [0.5, 1, 2]) | mean("turnover", [5, 10]) | ext("turnover", [5, 20]) | today(["open", "close"])
+
+
+def _mix_back(spark, sf):
+    df, names = sg.catalogue(bars(spark, sf), MIXED)
+    plain = [n.replace(".", "_") for n in names]
+    df = df.withColumnsRenamed(dict(zip(names, plain, strict=True)))
+    target = df.filter("code = 'error'").orderBy(C("ts").desc()).limit(1)
+    return sg.same_signals(df, plain, target).select("code", C("ts").cast("string").alias("ts"), "buy")
+
+
+register(
+    "screen_mix_back",
+    _mix_back,
+    q.base() + ", s as (select code, ts, [" + ", ".join(f"case when {c} then '{n.strip(chr(34))}' end" for n, c in _SIGS.items()) + "] as l from b), a as (select code, ts, list_filter(l, lambda x: x is not null) as active from s), t as (select active as wanted from a where code = 'error' order by ts desc limit 1) select code, cast(ts as varchar) as ts, list_has_all(active, wanted) as buy from a, t",
+)
+register("signal_sort_by_least", lambda spark, sf: sg.sort_by_least(bars(spark, sf, "user_day").select("code", C("turnover").alias("score"))).select("code", stable(C("least")).alias("least"), "place"), q.base("user_day") + ", l as (select code, min(turnover) as least from b group by 1) select code, round(least + 1e-9, 6) as least, row_number() over (order by least, code) as place from l")
+
+
+def _kept_columns(spark, sf):
+    df, names = sg.catalogue(bars(spark, sf), ["body"])
+    df = df.withColumnsRenamed({n: f"{n.replace('.', '_').replace('-', 'm')}_signal" for n in names})
+    return sg.keep_columns(df, ["code", "close"]).withColumn("code", C("code"))
+
+
+register("signal_keep_columns", _kept_columns, q.base() + ", y as (select *, close - open as body from b) select code, close, " + ", ".join(f'{c} as "{n.strip(chr(34)).replace(".", "_").replace("-", "m")}_signal"' for n, c in (bands("body", [-50, 0, 50]) | ext("body", [5, 20])).items()) + " from y")

@@ -13,13 +13,19 @@ BAR_SCHEMA = T.StructType(
 
 
 def read_bar_files(spark: SparkSession, path: str, schema: T.StructType = BAR_SCHEMA) -> DataFrame:
-    """One CSV for each series, named ``name_code.txt``: name and code come from the file name. Bad files are skipped."""
-    file = F.regexp_extract(C("_metadata.file_path"), r"([^/]+)\.txt$", 1)
+    """One CSV for each series, in a file or folder ``name_code.txt``: name and code come from that name. Bad files are skipped."""
+    file = F.regexp_extract(F.replace(C("_metadata.file_path"), F.lit("%25"), F.lit("%")), r"(?:file=)?([^/]+)\.txt(?:/[^/]*)?$", 1)
     rows = spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).csv(path)
     named = rows.withColumn("file", F.url_decode(file))
     return named.withColumns({"name": F.regexp_extract("file", r"^(.*)_([^_]+)$", 1), "code": F.regexp_extract("file", r"^(.*)_([^_]+)$", 2), "ts": F.to_date("date")}).drop("file", "date")
 
 
+def write_series_files(df: DataFrame, path: str) -> None:
+    """One CSV for each series in a folder named ``name_code.txt``."""
+    named = df.withColumn("file", F.concat_ws("_", "name", "code")).withColumn("file", F.concat("file", F.lit(".txt")))
+    named.drop("name", "code").repartition("file").sortWithinPartitions("file", "date").write.partitionBy("file").option("header", True).csv(path)
+
+
 def write_bar_files(df: DataFrame, path: str) -> None:
     """Parquet with zstd, in a folder for each code."""
     df.write.partitionBy("code").option("compression", "zstd").parquet(path)

@@ -39,59 +39,45 @@ def in_session(ticks: DataFrame, begin: str, end: str) -> DataFrame:
     return ticks.filter(t.between(begin, end) if begin <= end else (t >= begin) | (t <= end))
 
 
-def _by_key(step: Callable, start: Callable):
-    """A stateful function: ``step(state, row)`` gives (state, output row or None); state is a tuple of numbers."""
+def running_day_bars(ticks: DataFrame, late: str = LATE) -> DataFrame:
+    """The day's bar so far, at each tick, by (code, day). A day's state goes once the watermark is past its end."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else start()
-        out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, high, low, volume = state.get if state.exists else (0.0, float("-inf"), float("inf"), 0)
         for batch in batches:
-            for row in batch.sort_values("ts").itertuples(index=False):
-                now, made = step(now, row)
-                if made is not None:
-                    out.append((*key, *made))
-        state.update(now)
-        if out:
-            yield pd.DataFrame(out)
-
-    return run
-
-
-def running_day_bars(ticks: DataFrame) -> DataFrame:
-    """The day's bar so far, at each tick, by (code, day)."""
-    names = ["code", "day", "ts", "open", "high", "low", "close", "volume"]
-
-    def step(now, row):
-        o, h, low, v = now
-        o = row.price if v == 0 else o
-        now = (o, max(h, row.price), min(low, row.price), v + row.qty)
-        return now, (row.ts, now[0], now[1], now[2], row.price, now[3])
-
-    inner = _by_key(step, lambda: (0.0, float("-inf"), float("inf"), 0))
-
-    def run(key, batches, state):
-        for pdf in inner(key, batches, state):
-            pdf.columns = names
-            yield pdf
-
-    keyed = ticks.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+            rows = batch.sort_values("ts")
+            if rows.empty:
+                continue
+            first = float(rows["price"].iloc[0]) if volume == 0 else first
+            highs, lows, volumes = rows["price"].cummax().clip(lower=high), rows["price"].cummin().clip(upper=low), rows["qty"].cumsum() + volume
+            yield pd.DataFrame({"code": key[0], "day": key[1], "ts": rows["ts"], "open": first, "high": highs, "low": lows, "close": rows["price"], "volume": volumes})
+            high, low, volume = float(highs.iloc[-1]), float(lows.iloc[-1]), int(volumes.iloc[-1])
+        state.update((first, high, low, volume))
+        end = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 86_400_000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    keyed = ticks.withWatermark("ts", late).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return keyed.groupBy("code", "day").applyInPandasWithState(
-        run, "code string, day string, ts timestamp, open double, high double, low double, close double, volume long", "open double, high double, low double, volume long", "append", GroupStateTimeout.NoTimeout
+        run, "code string, day string, ts timestamp, open double, high double, low double, close double, volume long", "open double, high double, low double, volume long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def order_prices(ticks: DataFrame, least: float, most: float) -> DataFrame:
-    """The price clamped to a range, where it is lower than any before it for the code."""
-    def step(now, row):
-        price = min(max(row.price, least), most)
-        return ((price,), (row.ts, price)) if price < now[0] else (now, None)
-
-    inner = _by_key(step, lambda: (float("inf"),))
+    """The price clamped to a range, where it is lower than any before it for the code. The state is one number for each code."""
 
-    def run(key, batches, state):
-        for pdf in inner(key, batches, state):
-            pdf.columns = ["code", "ts", "price"]
-            yield pdf
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lowest = state.get[0] if state.exists else float("inf")
+        for batch in batches:
+            rows = batch.sort_values("ts")
+            price = rows["price"].clip(least, most)
+            before = price.cummin().shift(1).fillna(float("inf")).clip(upper=lowest)
+            kept = price < before
+            yield pd.DataFrame({"code": key[0], "ts": rows["ts"][kept], "price": price[kept]})
+            lowest = min(lowest, float(price.min())) if len(price) else lowest
+        state.update((lowest,))
 
     return ticks.groupBy("code").applyInPandasWithState(run, "code string, ts timestamp, price double", "lowest double", "append", GroupStateTimeout.NoTimeout)
 
@@ -109,20 +95,27 @@ def live_signals(ticks_bars: DataFrame, history: DataFrame, signal: Callable[[Da
     return ticks_bars.writeStream.foreachBatch(each)
 
 
-def upsert_batches(bars: DataFrame, path: str, keys: list[str]):
-    """Each micro-batch replaces the rows of its keys in a Parquet table, written anew beside the old one."""
-    from ..operators.joins import upsert_latest
+def upsert_batches(bars: DataFrame, path: str, keys: list[str], last: str):
+    """Each micro-batch replaces the rows of its keys in a Parquet table, written anew beside the old one.
 
+    Of a batch's rows with the same keys the one with the largest ``last`` counts, and it only replaces a row
+    with a smaller one. Versions are named by batch number, so a batch that is run again writes the same one.
+    """
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/v{number + 1}"
-        old = f"{path}/v{number}"
-        try:
-            history = spark.read.schema(batch.schema).parquet(old)
-        except Exception as error:  # the first batch has no table before it
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            history = batch.limit(0)
-        upsert_latest(history, batch, keys).write.mode("overwrite").parquet(target)
+        old = latest(spark, path, batch.schema.simpleString()[7:-1], number)
+        cols = [c for c in batch.columns if c not in keys]
+        newest = F.max_by(F.struct(*cols), C(last)).alias("v")
+        both = batch if old is None else old.unionByName(batch)
+        both.groupBy(*keys).agg(newest).select(*keys, *[C(f"v.{c}") for c in cols]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number:09d}")
 
     return bars.writeStream.foreachBatch(each)
+
+
+def latest(spark, path: str, schema: str, before: int | None = None) -> DataFrame | None:
+    """The newest version that upsert_batches wrote (before a batch number, if given); None if there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in files.listStatus(place)) if files.exists(place) else []
+    done = [n for n in names if n.startswith("v") and (before is None or int(n[1:]) < before) and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.schema(schema.replace(":", " ")).parquet(f"{path}/{done[-1]}") if done else None
