@@ -62,6 +62,35 @@ def test_every_window_has_an_anchor():
         assert ((at >= k) & (at + sd.GRAM <= k + 50)).any()
 
 
-def test_without_broadcast_filters(spark, odd_docs, monkeypatch):
-    monkeypatch.setattr(sd, "FILTER_BYTES", -1)
+def test_small_packs_and_buckets(spark, odd_docs, monkeypatch):
+    for name, value in (("BLOCK", 300), ("BUCKET_BYTES", 500), ("HASH_BYTES", 700)):
+        monkeypatch.setattr(sd, name, value)
     assert result(odd_docs) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
+
+
+def test_one_doc_id_on_two_texts(spark):
+    line = "one passage of well over fifty bytes that comes again and again; "
+    rows = [(5, line + "x"), (5, "y" * 20 + line), (3, "other words before it " + line), (9, line * 2)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_a_hot_passage(spark):
+    passage = " ".join(f"word{k}" for k in range(40))
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 80))) + passage + "".join(rng.choice("abcdefgh ") for _ in range(80))) for i in range(400)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == brute(rows)
+
+
+def test_suffixes_are_sorted():
+    rng = np.random.default_rng(5)
+    near = rng.integers(97, 99, (500, sd.AROUND)).astype(np.uint8)
+    near[250:] = near[:250]
+    begins, sizes = np.array([0, 3, 200]), np.array([3, 197, 300])
+    suffixes = sd.Suffixes(near)
+    order = suffixes.merge_sorted(rng.permutation(500), begins, sizes, sd.SIDE, sd.LENGTH)
+    for b, n in zip(begins, sizes):
+        rows = [bytes(near[i, sd.SIDE :]) for i in order[b : b + n]]
+        assert rows == sorted(rows)
+    x, y = rng.integers(0, 500, (2, 200))
+    want = [next((k for k in range(sd.LENGTH) if near[a, k + 3] != near[b, k + 3]), sd.LENGTH) for a, b in zip(x, y)]
+    assert suffixes.common(x, y, 3, sd.LENGTH).tolist() == want

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import stash, table, unstash
+from .common import stash, table, unstash, unused
 
 #: Digests a shard's filter holds on average: bounds what one task builds or probes.
 SHARD_KEYS = 200_000
@@ -146,12 +146,13 @@ def filter_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """df with one row of each group of equal texts, all of df's columns. Rows go by doc_id and text digest, as ids can be null or repeated."""
     decisions, paths = decide(df, doc_id, text)
     row = ["doc_id", "text_sha256"]
-    gone, _ = stash(decisions.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct())
+    id_, digest, own_digest = unused(df, "__id", "__digest", "__own")
+    gone, _ = stash(decisions.filter("not kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(digest)).distinct())
     repeated = not decisions.filter("kept").groupBy(*row).count().filter("count > 1").isEmpty()
     unstash(df.sparkSession, paths)
     own = digest_of(F.col(f"`{text}`"))
-    kept = df.join(bounded_broadcast(gone), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (own == F.col("__digest")), "left_anti")
-    return kept.withColumn("__own", own).dropDuplicates([doc_id, "__own"]).drop("__own") if repeated else kept
+    kept = df.join(bounded_broadcast(gone), F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (own == F.col(digest)), "left_anti")
+    return kept.withColumn(own_digest, own).dropDuplicates([doc_id, own_digest]).drop(own_digest) if repeated else kept
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table, unstash, words_of
+from .common import stash, table, unstash, unused, words_of
 from .exact_dedup import bounded_broadcast
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -105,14 +105,15 @@ def repeat_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """df's rows as often as the mix takes them (0 to CEILING times), with df's columns."""
     rows, rows_path = stash(_sizes(df, doc_id, text, source))
     found, paths = thresholds(rows, targets(rows, weights, ceiling))
-    cuts, _ = stash(found.select(F.col("key").alias("__key"), F.col("passes").alias("__passes"), F.col("threshold").alias("__threshold")))
+    key, passes, threshold, n = unused(df, "__key", "__passes", "__threshold", "__n")
+    cuts, _ = stash(found.select(F.col("key").alias(key), F.col("passes").alias(passes), F.col("threshold").alias(threshold)))
     unstash(df.sparkSession, [rows_path, *paths])
     origin = F.col(f"`{source}`").cast("string")
-    key = F.when(origin.isNull(), "-").otherwise(F.concat(F.lit("+"), origin))
+    named = F.when(origin.isNull(), "-").otherwise(F.concat(F.lit("+"), origin))
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    copies = F.col("__passes") + (h < F.col("__threshold")).cast("long")
-    joined = df.withColumn("__key", key).join(bounded_broadcast(cuts), "__key")
-    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    copies = F.col(passes) + (h < F.col(threshold)).cast("long")
+    joined = df.withColumn(key, named).join(bounded_broadcast(cuts), key)
+    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

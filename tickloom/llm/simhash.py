@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, map_batches, stash, table, unstash
+from .common import byte_rows, map_batches, stash, table, unstash, unused
 from .components import components
 from .exact_dedup import bounded_broadcast
 
@@ -403,5 +403,6 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
 def filter_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
     """df without the rows of duplicates(), all of df's columns."""
-    gone = bounded_broadcast(duplicates(df, doc_id, text, shingle, least, radius).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
-    return df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (text_digest(F.col(f"`{text}`")) == F.col("__digest")), "left_anti")
+    id_, digest = unused(df, "__id", "__digest")
+    gone = bounded_broadcast(duplicates(df, doc_id, text, shingle, least, radius).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)))
+    return df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (text_digest(F.col(f"`{text}`")) == F.col(digest)), "left_anti")

@@ -1,28 +1,33 @@
-"""Operator 7: remove bytes of passages of 50 bytes or more that an earlier document has.
+"""Operator 7: remove bytes of passages of 50 bytes or more that an earlier document has, by a hash-compared suffix sort.
 
 Suffixes are brought together by anchors instead of one global array. An anchor is a 24-byte string whose
 hash is least among all that begin in some 27 neighbouring places, so each 50-byte string holds one, at
 a place that its own bytes decide: equal strings meet at equal anchors, about one for 14 bytes.
 
-1. Each task sends the hashes of its documents' anchors, once each, packed, to buckets by hash. A bucket
-   keeps those that come from several documents, as a binary fuse filter; the filters are broadcast if
-   they are small (``FILTER_BYTES``), else every anchor counts as repeated.
-2. For repeated anchors each task takes the 26 bytes on both sides. An occurrence whose sides equal those
-   of a smaller doc_id in the same batch is settled there: all 76 bytes repeat. The rest go to buckets.
-3. In a bucket the suffixes, one for each of the 27 places at which a 50-byte string over an anchor can
-   begin, are compared by hash: differences of prefix polynomial hashes, sorted by merges with the
-   smallest doc_id first. Each match is verified on the bytes, so a collision of hashes removes nothing.
+1. Documents go in packs of about BLOCK bytes, named by their content. Each task sends the hashes of a
+   pack's anchors, once each, to buckets by hash. A bucket answers each pack with a bit for each of its
+   hashes: whether several documents have it. Packs and answers meet by the pack's name, so the plan is
+   the same at every size and nothing is broadcast.
+2. For repeated anchors a task takes the 26 bytes on both sides. An occurrence whose 76 bytes equal those
+   of a smaller doc_id in the same pack (by hash, then by the bytes) is settled there. The rest go to
+   buckets.
+3. In a bucket the suffixes that begin at anchors are sorted in merges. Two suffixes are compared by their
+   common extension, found by binary search over prefix polynomial hashes, and the byte after it. The
+   suffixes that begin 1 to 26 bytes before are put in order by that byte and the order found so far.
+   Runs of neighbours that share 50 bytes are equal strings, and the smallest doc_id of a run stays. Each
+   match is compared byte by byte, so a collision of hashes removes nothing.
 
 A byte is removed if a 50-byte string over it also starts in a document with a smaller doc_id, judged on
 the input. Null and empty texts have no bytes; texts under 50 bytes stay whole; matches never cross
 documents (documents are kept apart by a byte that UTF-8 does not have). Equal passages within one
-document or under the same doc_id remove nothing, and rows that share a doc_id are taken to hold one
-text. Rows with a null doc_id count as smaller than all others. Extra columns play no part; empty tables
-give empty results.
+document or under the same doc_id remove nothing; rows that share a doc_id keep spans of their own, by the
+hash of id and text. Rows with a null doc_id count as smaller than all others. Extra columns play no part;
+empty tables give empty results. All occurrences of one anchor meet in one bucket.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,26 +35,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fuse_filter
-from .common import byte_rows, stash, table
+from .common import byte_rows, parts_of, stash, table
 
 LENGTH = 50
 GRAM = 24
 SIDE = LENGTH - GRAM  # bytes on either side that a string over the anchor can have
 AROUND = SIDE + GRAM + SIDE
 GAP = b"\xff" * AROUND  # between documents
-#: Bytes of text handled at a time, and anchors for which a bucket is made.
+#: Bytes of text in a pack, and for which a bucket of anchors and one of hashes is made.
 BLOCK = 1 << 22
 BUCKET_BYTES = 1 << 23
-#: Filters that may be broadcast at most.
-FILTER_BYTES = 1 << 25
+HASH_BYTES = 1 << 25
 LEAST = -(1 << 63)  # stands for a null doc_id
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_RECORD = np.dtype([("h", "<u8"), ("l", "<u4"), ("r", "<u4"), ("doc", "<i8"), ("at", "<i8"), ("n", "<i8"), ("place", "<i8")])
+_RECORD = np.dtype([("h", "<u8"), ("l", "<u4"), ("r", "<u4"), ("doc", "<i8"), ("own", "<i8"), ("at", "<i8"), ("n", "<i8"), ("place", "<i8")])
 _SPAN = np.dtype([("begin", "<i8"), ("end", "<i8")])
-_TRIPLE = np.dtype([("doc", "<i8"), ("begin", "<i8"), ("end", "<i8")])
+_TRIPLE = np.dtype([("own", "<i8"), ("begin", "<i8"), ("end", "<i8")])
 
 
 def _loads(data: np.ndarray, n: int) -> np.ndarray:
@@ -98,56 +101,56 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _blocks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Block by block: the bytes, and an anchor record for each place (h, doc, at, n, place in the block)."""
-    k = 0
-    while k < len(texts):
-        until, size = k, 0
-        while until < len(texts) and (until == k or size + len(texts[until]) < BLOCK):
-            size += len(texts[until])
-            until += 1
-        data = np.frombuffer(GAP + b"".join(x + GAP for x in texts[k:until]), np.uint8)
-        sizes = np.array([len(x) for x in texts[k:until]])
-        begins = len(GAP) + np.concatenate(([0], np.cumsum(sizes + len(GAP))[:-1]))
-        at, h = anchors(data)
-        doc = np.searchsorted(begins, at, "right") - 1
-        r = np.zeros(len(at), _RECORD)
-        r["h"], r["doc"], r["at"], r["n"], r["place"] = h, ids[k + doc], at - begins[doc], sizes[doc], at
-        yield data, r
-        k = until
-
-
-def _settled(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records sorted by anchor, sides and doc, and which of them repeat a smaller doc's in full."""
+def _records(docs: np.ndarray, owns: np.ndarray, sizes: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A pack's bytes with gaps around its documents, and an anchor record for each place (h, doc, own, at, n, place in the bytes)."""
+    ends = np.cumsum(sizes)
+    data = np.full(len(text) + AROUND * (len(sizes) + 1), 0xFF, np.uint8)
+    begins = AROUND + (ends - sizes) + AROUND * np.arange(len(sizes))
+    raw = np.frombuffer(text, np.uint8)
+    for begin, end, size in zip(begins.tolist(), ends.tolist(), sizes.tolist(), strict=True):
+        data[begin : begin + size] = raw[end - size : end]
+    at, h = anchors(data)
+    doc = np.searchsorted(begins, at, "right") - 1
+    r = np.zeros(len(at), _RECORD)
+    r["h"], r["doc"], r["own"], r["at"], r["n"], r["place"] = h, docs[doc], owns[doc], at - begins[doc], sizes[doc], at
+    return data, r
+
+
+def _settled(r: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records sorted by anchor, sides and doc, and which of them repeat a smaller doc's in full; near: the bytes of each place."""
     r = r[np.lexsort((r["doc"], r["r"], r["l"], r["h"]))]
-    same = (r["h"][1:] == r["h"][:-1]) & (r["l"][1:] == r["l"][:-1]) & (r["r"][1:] == r["r"][:-1])
-    start = np.concatenate(([True], ~same)) if len(r) else np.empty(0, bool)
-    first = np.flatnonzero(start)[np.cumsum(start) - 1] if len(r) else np.empty(0, np.int64)
-    return r, r["doc"] > r["doc"][first]
+    if not len(r):
+        return r, np.empty(0, bool)
+    start = np.concatenate(([True], (r["h"][1:] != r["h"][:-1]) | (r["l"][1:] != r["l"][:-1]) | (r["r"][1:] != r["r"][:-1])))
+    first = np.flatnonzero(start)[np.cumsum(start) - 1]
+    full = r["doc"] > r["doc"][first]
+    at = np.flatnonzero(full)
+    full[at] = (near[r["place"][at]] == near[r["place"][first[at]]]).all(1)
+    return r, full
 
 
 def _full_spans(r: np.ndarray) -> np.ndarray:
     """The spans of records that repeat with both sides, where they reach LENGTH bytes."""
     begin, end = np.maximum(r["at"] - SIDE, 0), np.minimum(r["at"] + GRAM + SIDE, r["n"])
     ok = end - begin >= LENGTH
-    return _by_doc(r["doc"][ok], begin[ok], end[ok])
+    return _by_owner(r["own"][ok], begin[ok], end[ok])
 
 
-def _by_doc(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Spans merged within each document, as (doc, begin, end)."""
-    order = np.lexsort((begin, doc))
-    doc, begin, end = doc[order], begin[order], end[order]
-    first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.empty(0, bool)
+def _by_owner(own: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans merged within each document, as (own, begin, end)."""
+    order = np.lexsort((begin, own))
+    own, begin, end = own[order], begin[order], end[order]
+    first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.empty(0, bool)
     shift = (np.cumsum(first) - 1) << 40  # a place of its own for each document
-    m = merged(begin + shift, end + shift) if len(doc) else np.empty(0, _SPAN)
+    m = merged(begin + shift, end + shift) if len(own) else np.empty(0, _SPAN)
     out, rank = np.empty(len(m), _TRIPLE), m["begin"] >> 40
-    out["doc"], out["begin"], out["end"] = doc[first][rank], m["begin"] - (rank << 40), m["end"] - (rank << 40)
+    out["own"], out["begin"], out["end"] = own[first][rank], m["begin"] - (rank << 40), m["end"] - (rank << 40)
     return out
 
 
 def _to_documents(spans: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
     """Rows of spans for the buckets of their documents."""
-    return [(0, bucket, spans[part].tobytes()) for bucket, part in _parts((_mixed(spans["doc"].view(_U)) % _U(buckets)).astype(np.int64))]
+    return [(0, bucket, spans[part].tobytes()) for bucket, part in _parts((_mixed(spans["own"].view(_U)) % _U(buckets)).astype(np.int64))]
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -177,140 +180,211 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array(batch.column(0).to_pylist(), np.int64)
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Documents (doc, own, text) in packs: name, docs, owns, sizes, bytes. Equal packs have equal names and equal answers."""
+    for batch in batches:
+        for part in parts_of(batch, BLOCK, 2):
+            texts = byte_rows(part, 2)
+            docs, owns, sizes, data = part.column(0).to_numpy(), part.column(1).to_numpy(), np.array([len(x) for x in texts], np.int64), b"".join(texts)
+            name = hashlib.md5(docs.tobytes() + owns.tobytes() + sizes.tobytes() + data, usedforsecurity=False).digest()
+            yield name, docs, owns, sizes, data
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for name, docs, owns, sizes, data in _packs(batches):
+        yield pa.record_batch([pa.array([x], pa.binary()) for x in (name, docs.tobytes(), owns.tobytes(), sizes.tobytes(), data)], ["pack", "docs", "owns", "sizes", "data"])
 
 
 def _hashes(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct anchor hashes of a batch for each bucket: a flag each for several documents, then their gaps by byte planes."""
-        for batch in batches:
-            found = [(r["h"], r["doc"]) for _, r in _blocks(_ids(batch), byte_rows(batch))]
-            if not found:
+        """Distinct anchor hashes of a pack for each bucket: a flag each for several documents, then their gaps by byte planes."""
+        for name, docs, owns, sizes, data in _packs(batches):
+            _, r = _records(docs, owns, sizes, data)
+            if not len(r):
                 continue
-            h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-            many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(h) else np.empty(0, bool)
-            h, rows = h[first], []
+            order = np.argsort(r["h"], kind="stable")
+            h, doc = r["h"][order], r["doc"][order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            h, ids, blobs = h[first], [], []
             for bucket, part in _parts((h % _U(buckets)).astype(np.int64)):
                 gaps = np.diff(h[part], prepend=_U(0))
-                rows.append((1, bucket, many[part].tobytes() + gaps.view(np.uint8).reshape(-1, 8).T.tobytes()))
-            if rows:
-                yield _out(rows)
+                ids.append(bucket)
+                blobs.append(many[part].tobytes() + gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([name] * len(ids), pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "pack", "data"])
 
     return run
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """A filter of a bucket's hashes that come from several documents."""
-    hashes, many = [], []
+def _answers(group: pa.Table) -> pa.Table:
+    """For each pack a bit for each of its hashes in this bucket: whether several documents have it."""
+    found, many = [], []
     for blob in group.column("data").to_pylist():
         n = len(blob) // 9
         many.append(np.frombuffer(blob, bool, n))
-        hashes.append(np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, n).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64))
-    h, flag = np.concatenate(hashes), np.concatenate(many)
-    values, counts = np.unique(h, return_counts=True)
-    found = np.union1d(values[counts > 1], h[flag])
-    return pa.Table.from_batches([_out([(1, group.column("id")[0].as_py(), fuse_filter.build(found.view(np.int64)))])])
-
-
-def _find(buckets: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans of what repeats within the batch, and surroundings of the other repeated anchors for the buckets."""
-        filters = shared.value
-        for batch in batches:
-            near, kept = [], []
-            for data, r in _blocks(_ids(batch), byte_rows(batch)):
-                if filters is not None:
-                    wanted = np.zeros(len(r), bool)
-                    for bucket, part in _parts((r["h"] % _U(buckets)).astype(np.int64)):
-                        if bucket in filters:
-                            wanted[part] = fuse_filter.contains(filters[bucket], r["h"][part].view(np.int64))
-                    r = r[wanted]
-                r["l"], r["r"] = _side_hashes(data, r["place"] - SIDE), _side_hashes(data, r["place"] + GRAM)
-                near.append(data[(r["place"] - SIDE)[:, None] + np.arange(AROUND)])
-                r["place"] = np.arange(len(r)) + sum(map(len, kept))
-                kept.append(r)
-            if not kept:
-                continue
-            bytes_near = np.concatenate(near)
-            r, full = _settled(np.concatenate(kept))
-            rows = _to_documents(_full_spans(r[full]), buckets)
+        found.append(np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, n).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64))
+    h, flag = np.concatenate(found), np.concatenate(many)
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    sizes = np.diff(np.append(start, len(h)))
+    wanted = np.empty(len(h), bool)
+    wanted[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(flag[order], start), sizes)
+    ends = np.cumsum([len(x) for x in found])
+    bits = [np.packbits(wanted[e - len(x) : e]).tobytes() for x, e in zip(found, ends.tolist(), strict=True)]
+    return pa.table({"pack": group.column("pack"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+
+def _find(hash_buckets: int, buckets: int):
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        """Spans of what repeats within a pack, and surroundings of the other repeated anchors for the buckets."""
+        bits, rows = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)), []
+        for docs, owns, sizes, text in zip(*(packs.column(c).to_pylist() for c in ("docs", "owns", "sizes", "data")), strict=True):
+            data, r = _records(np.frombuffer(docs, np.int64), np.frombuffer(owns, np.int64), np.frombuffer(sizes, np.int64), text)
+            distinct, which = np.unique(r["h"], return_inverse=True)
+            wanted = np.zeros(len(distinct), bool)
+            for bucket, part in _parts((distinct % _U(hash_buckets)).astype(np.int64)):
+                wanted[part] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(part)).astype(bool)
+            r = r[wanted[which]]
+            r["l"], r["r"] = _side_hashes(data, r["place"] - SIDE), _side_hashes(data, r["place"] + GRAM)
+            near = data[(r["place"] - SIDE)[:, None] + np.arange(AROUND)]
+            r["place"] = np.arange(len(r))
+            r, full = _settled(r, near)
+            rows += _to_documents(_full_spans(r[full]), buckets)
             r = r[~full]
             for bucket, part in _parts((r["h"] % _U(buckets)).astype(np.int64)):
                 x = r[part]
-                rows.append((1, bucket, x["h"].tobytes() + x["doc"].tobytes() + x["at"].tobytes() + bytes_near[x["place"]].tobytes()))
-            if rows:
-                yield _out(rows)
+                rows.append((1, bucket, x["h"].tobytes() + x["doc"].tobytes() + x["own"].tobytes() + x["at"].astype("<u4").tobytes() + near[x["place"]].tobytes()))
+        return pa.Table.from_batches([_out(rows)])
 
     return run
 
 
+class Suffixes:
+    """Suffixes of short strings (rows of bytes) that begin at any of their places, compared by prefix polynomial hashes."""
+
+    BASE = _U(0x100000001B3)
+
+    def __init__(self, near: np.ndarray):
+        n, self.width = len(near), near.shape[1] + 1
+        hashes = np.zeros((n, self.width), _U)
+        for i in range(near.shape[1]):
+            hashes[:, i + 1] = hashes[:, i] * self.BASE + near[:, i].astype(_U) + _U(1)
+        self.near, self.flat = near, hashes.ravel()
+        self.power = np.array([pow(int(self.BASE), i, 2**64) for i in range(self.width)], _U)
+
+    def same(self, x: np.ndarray, y: np.ndarray, k: int, length) -> np.ndarray:
+        """Whether ``length`` bytes from place k have equal hashes in rows x and y."""
+        x, y, power = x * self.width + k, y * self.width + k, self.power[length]
+        return self.flat[x + length] - self.flat[x] * power == self.flat[y + length] - self.flat[y] * power
+
+    def common(self, x: np.ndarray, y: np.ndarray, k: int, most: int) -> np.ndarray:
+        """Length of the common extension from place k, by binary search."""
+        low, high = np.zeros(len(x), np.int64), np.full(len(x), most, np.int64)
+        for _ in range(most.bit_length()):
+            middle = (low + high + 1) >> 1
+            equal = self.same(x, y, k, middle)
+            low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
+        return low
+
+    def precedes(self, x: np.ndarray, y: np.ndarray, k: int, most: int, ties: np.ndarray) -> np.ndarray:
+        """Whether the suffix of x from k comes before that of y (equal ones: as ``ties`` says)."""
+        shared = self.common(x, y, k, most)
+        after = np.minimum(k + shared, self.near.shape[1] - 1)
+        return np.where(shared == most, ties, self.near[x, after] < self.near[y, after])
+
+    def merge_sorted(self, order: np.ndarray, begins: np.ndarray, sizes: np.ndarray, k: int, most: int) -> np.ndarray:
+        """Sort each group (a run of ``order`` from ``begins``) by suffix: merges of runs of 1, 2, 4, ... rows, all groups side by side."""
+        width = 1
+        while width < sizes.max(initial=0):
+            big = np.flatnonzero(sizes > width)
+            slot = np.repeat(begins[big] - np.concatenate(([0], np.cumsum(sizes[big])[:-1])), sizes[big]) + np.arange(sizes[big].sum())
+            begin, end = np.repeat(begins[big], sizes[big]), np.repeat(begins[big] + sizes[big], sizes[big])
+            run = (slot - begin) // width
+            other = begin + (run ^ 1) * width
+            low, high = np.minimum(other, end), np.minimum(other + width, end)
+            mine, left = order[slot], run & 1 == 0
+            for _ in range(width.bit_length()):
+                going = np.flatnonzero(low < high)
+                middle = (low[going] + high[going]) >> 1
+                before = self.precedes(order[middle], mine[going], k, most, ~left[going])
+                low[going] = np.where(before, middle + 1, low[going])
+                high[going] = np.where(before, high[going], middle)
+            merged_at = begin + (run & ~1) * width + (slot - begin - run * width) + (low - np.minimum(other, end))
+            out = order.copy()
+            out[merged_at] = mine
+            order, width = out, 2 * width
+        return order
+
+
 def _compare(group: pa.Table, buckets: int) -> pa.Table:
-    """Suffixes over a bucket's anchors, compared by hash and verified."""
+    """A bucket's suffixes over its anchors in order, and the spans of those that a smaller doc_id has too."""
     kinds, ids, blobs = (group.column(c).to_pylist() for c in ("kind", "id", "data"))
     rows = [(0, i, b) for k, i, b in zip(kinds, ids, blobs, strict=True) if k == 0]  # settled before
-    parts = [(b, len(b) // (24 + AROUND)) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+    parts = [(b, len(b) // (28 + AROUND)) for k, b in zip(kinds, blobs, strict=True) if k == 1]
     if not parts:
         return pa.Table.from_batches([_out(rows)])
-    h, owner, at = (np.concatenate([np.frombuffer(b, t, m, i * 8 * m) for b, m in parts]) for i, t in enumerate(("<u8", "<i8", "<i8")))
-    near = np.concatenate([np.frombuffer(b, np.uint8, AROUND * m, 24 * m).reshape(m, AROUND) for b, m in parts])
-    n = len(h)
-    base = _U(0x100000001B3)
-    prefix = np.zeros((AROUND + 1, n), _U)
-    for i in range(AROUND):
-        prefix[i + 1] = prefix[i] * base + near[:, i].astype(_U) + _U(1)
-    power = _U(pow(int(base), LENGTH, 2**64))
+    h, doc, own = (np.concatenate([np.frombuffer(b, t, m, i * 8 * m) for b, m in parts]) for i, t in enumerate(("<u8", "<i8", "<i8")))
+    at = np.concatenate([np.frombuffer(b, "<u4", m, 24 * m) for b, m in parts]).astype(np.int64)
+    near = np.concatenate([np.frombuffer(b, np.uint8, AROUND * m, 28 * m).reshape(m, AROUND) for b, m in parts])
+    n, suffixes = len(h), Suffixes(near)
     outside = np.concatenate((np.zeros((n, 1), np.int32), np.cumsum(near == 0xFF, 1, dtype=np.int32)), 1)
     low, high = np.full(n, AROUND, np.int64), np.zeros(n, np.int64)
-    for k in range(SIDE + 1):
-        inside = np.flatnonzero(outside[:, k + LENGTH] == outside[:, k])
-        key = _mixed(h[inside] ^ _mixed(prefix[k + LENGTH][inside] - prefix[k][inside] * power))
-        order = inside[np.lexsort((owner[inside], key))]
-        key = np.sort(key)
-        if len(order) < 2:
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    begins = np.flatnonzero(new)
+    sizes = np.diff(np.append(begins, n))
+    anchor = np.empty(n, np.int64)
+    anchor[order] = np.cumsum(new) - 1
+    order = suffixes.merge_sorted(order, begins, sizes, SIDE, LENGTH)
+    for k in range(SIDE, -1, -1):
+        if k < SIDE:  # one byte more in front
+            order = order[np.argsort(anchor[order] * 256 + near[order, k], kind="stable")]
+        inside = order[outside[order, k + LENGTH] == outside[order, k]]
+        if len(inside) < 2:
             continue
-        start = np.concatenate(([True], key[1:] != key[:-1]))
-        first = order[np.flatnonzero(start)[np.cumsum(start) - 1]]
-        later = owner[order] > owner[first]
-        mine, source = order[later], first[later]
-        equal = (near[mine, k : k + LENGTH] == near[source, k : k + LENGTH]).all(1)
-        mine = mine[equal]
+        first = np.concatenate(([True], (anchor[inside[1:]] != anchor[inside[:-1]]) | ~suffixes.same(inside[1:], inside[:-1], k, LENGTH)))
+        of, owner = np.cumsum(first) - 1, doc[inside]
+        least = np.minimum.reduceat(owner, np.flatnonzero(first))
+        stays = np.empty(len(least), np.int64)
+        hit = np.flatnonzero(owner == least[of])
+        stays[of[hit]] = inside[hit]
+        later = owner > least[of]
+        mine, source = inside[later], stays[of[later]]
+        mine = mine[(near[mine, k : k + LENGTH] == near[source, k : k + LENGTH]).all(1)]
         low[mine] = np.minimum(low[mine], k)
         high[mine] = np.maximum(high[mine], k + LENGTH)
     found = high > 0
     # each of a place's matches covers its anchor, so together they are one span
     begin = at[found] - SIDE
-    rows += _to_documents(_by_doc(owner[found], begin + low[found], begin + high[found]), buckets)
+    rows += _to_documents(_by_owner(own[found], begin + low[found], begin + high[found]), buckets)
     return pa.Table.from_batches([_out(rows)])
 
 
 def _collect(group: pa.Table) -> pa.Table:
     """All spans of a bucket's documents, a row for each document."""
     t = np.frombuffer(b"".join(group.column("data").to_pylist()), _TRIPLE)
-    t = _by_doc(t["doc"], t["begin"], t["end"])
-    cuts = np.flatnonzero(np.diff(t["doc"])) + 1
+    t = _by_owner(t["own"], t["begin"], t["end"])
+    cuts = np.flatnonzero(np.diff(t["own"])) + 1
     parts = [x for x in np.split(t, cuts) if len(x)]
     blobs = [np.stack((x["begin"], x["end"]), 1).tobytes() for x in parts]
-    return pa.table({"id": pa.array([int(x["doc"][0]) for x in parts], pa.int64()), "data": pa.array(blobs, pa.binary())})
+    return pa.table({"id": pa.array([int(x["own"][0]) for x in parts], pa.int64()), "data": pa.array(blobs, pa.binary())})
 
 
 def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, data): the spans to remove of each document that has any (a null doc_id as LEAST)."""
+    """(id, data): the spans to remove of each document that has any, by the hash of id and text (own)."""
     docs = _documents(df, doc_id, text)
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, int(size // BUCKET_BYTES))
-    filters, _ = stash(docs.mapInArrow(_hashes(buckets), ROWS).groupBy("id").applyInArrow(_repeated, ROWS))
-    small = filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("n")).first()["n"] <= FILTER_BYTES
-    shared = df.sparkSession.sparkContext.broadcast({r["id"]: r["data"] for r in filters.select("id", "data").collect()} if small else None)
-    every, _ = stash(docs.mapInArrow(_find(buckets, shared), ROWS).groupBy("id").applyInArrow(lambda group: _compare(group, buckets), ROWS))
+    buckets, hash_buckets = max(1, int(size // BUCKET_BYTES)), max(1, int(size // HASH_BYTES))
+    answers, _ = stash(docs.mapInArrow(_hashes(hash_buckets), "bucket long, pack binary, data binary").groupBy("bucket").applyInArrow(_answers, "pack binary, bucket long, bits binary"))
+    packs = docs.mapInArrow(_pack_rows, "pack binary, docs binary, owns binary, sizes binary, data binary")
+    found = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_find(hash_buckets, buckets), ROWS)
+    every, _ = stash(found.groupBy("id").applyInArrow(lambda group: _compare(group, buckets), ROWS))
     return every.groupBy("id").applyInArrow(_collect, "id long, data binary")
 
 
 def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
+    doc, body = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    return df.select(doc.alias("doc"), F.xxhash64(doc, body).alias("own"), body.alias("text"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -319,7 +393,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every row with the bytes that remain."""
     docs = _documents(df, doc_id, text)
-    joined = docs.join(spans(df, doc_id, text), F.col("doc") == F.col("id"), "left").select("doc", "text", "data")
+    joined = docs.join(spans(df, doc_id, text), F.col("own") == F.col("id"), "left").select("doc", "text", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
