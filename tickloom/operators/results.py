@@ -103,7 +103,7 @@ def neighbour_fail_rate(table: DataFrame, targets: DataFrame, multiples: list[fl
     near = grid.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1))).join(table.withColumn("_cell", F.floor(C("threshold") / wide)), "_cell")
     weight = F.lit(1.0)
     for k, (width, fade) in NEAR.items():
-        gap = F.abs(C(k) - C(f"c_{k}"))
+        gap = F.round(F.abs(C(k) - C(f"c_{k}")), 9)
         near = near.filter(gap <= width * C("multiple") + 1e-9)
         weight = weight * (1 - gap / (C("multiple") * (width if k == "threshold" else fade)))
     near = near.withColumns({"total": C("total_count") * weight, "fails": C("fail_count") * weight})

@@ -12,6 +12,7 @@ from . import (  # noqa: F401  these modules fill the tables below
     feature_queries,
     indicator_queries,
     misc_queries,
+    result_queries,
     search_queries,
     series_queries,
     signal_queries,
