@@ -101,6 +101,13 @@ def test_score_equals_a_plain_loop():
     assert np.allclose(gru.log_likelihood(p, texts, window=3), want, rtol=1e-4)
 
 
+def test_segments_of_a_long_text_cover_it_once():
+    p, _ = small_model()
+    trainer, text = gru.Trainer(p), np.append(np.random.default_rng(3).integers(1, 60, 5000), 0).astype(np.int32)
+    trainer.learn([text, text[:10], text[:gru.SEGMENT]])
+    assert trainer.tokens == len(text) + 10 + gru.SEGMENT
+
+
 def test_words_are_cut_at_white_space():
     texts = [b"", b" A b\x0b\x0cc ", b"\n\t", "Éa B\rb".encode(), b"x" * 1000]
     words, before = lm_scoring.cut(texts)

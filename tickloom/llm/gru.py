@@ -6,7 +6,8 @@ of their own: P(word | h) = P(class | h) P(word | class, h). Output biases begin
 untrained model is the unigram model.
 
 Texts run in lanes, one after the other; a lane's state is carried from window to window and reset at
-the start of a text, so a text's log-likelihood is that of the whole text however long it is.
+the start of a text, so a text's log-likelihood is that of the whole text however long it is. Only
+training cuts long texts into segments, so that its lanes stay filled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ CLASS = 64
 #: Steps of truncated backpropagation, and of scoring, at a time.
 WINDOW = 32
 SCORED = 64
+#: Training reads long texts as segments side by side; each first reads the words before it to get a state.
+SEGMENT = 1024
+LEAD = 64
 #: Lanes of training and of scoring.
 LANES = 256
 WIDE = 512
@@ -74,8 +78,8 @@ def lanes(lengths: list[int], most: int = LANES) -> list[list[int]]:
     return out
 
 
-def laid_out(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(steps, lanes) arrays: the word before, the word, the text's number (-1: nothing), and 0 where a text begins (else 1)."""
+def laid_out(texts: list[np.ndarray], most: int = LANES, skips: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(steps, lanes) arrays: the word before, the word, the text's number (-1: nothing, or one of the first ``skips`` words), and 0 where a text begins (else 1)."""
     plan = lanes([len(x) for x in texts], most)
     steps = max(sum(len(texts[i]) for i in lane) for lane in plan)
     words = np.zeros((steps, len(plan)), np.int32)
@@ -85,7 +89,7 @@ def laid_out(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np
         at = 0
         for i in lane:
             words[at : at + len(texts[i]), k] = texts[i]
-            owner[at : at + len(texts[i]), k] = i
+            owner[at + (skips[i] if skips else 0) : at + len(texts[i]), k] = i
             starts[at, k] = 0
             at += len(texts[i])
     previous = np.vstack((np.zeros((1, len(plan)), np.int32), words[:-1]))
@@ -195,11 +199,13 @@ class Trainer:
         self.tokens = 0
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        """One pass over all words of the texts; a text's state is carried from its first word to its last."""
+        """One pass over all words of the texts. Segments of a long text are read side by side, each after a lead that only sets the state."""
         if not texts:
             return
+        begins = [(x, k) for x in texts for k in range(0, len(x), SEGMENT)]
+        texts, skips = [x[max(0, k - LEAD) : k + SEGMENT] for x, k in begins], [min(k, LEAD) for _, k in begins]
         # few words get few lanes, so that there are some steps of the optimiser
-        previous, words, owner, starts = laid_out(texts, max(8, min(LANES, sum(map(len, texts)) // (32 * WINDOW))))
+        previous, words, owner, starts = laid_out(texts, max(8, min(LANES, sum(map(len, texts)) // (32 * WINDOW))), skips)
         h = np.zeros((words.shape[1], len(self.p["cand_bias"])), np.float32)
         for t in range(0, len(words), WINDOW):
             part = slice(t, t + WINDOW)

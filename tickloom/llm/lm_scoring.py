@@ -182,7 +182,7 @@ def train(rows: DataFrame, start: dict, rounds: int = ROUNDS, share: int = SHARE
         sent = spark.sparkContext.broadcast(gru.packed(params))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, waiting = gru.Trainer(gru.unpacked(sent.value, shape)), Waiting(LEARNT, TOKENS)
+            trainer, waiting = gru.Trainer(gru.unpacked(sent.value, shape)), Waiting(LEARNT, LEARNT)
             for batch in batches:
                 for blob in batch.column(0).to_pylist():
                     trainer.learn(waiting.add(_model_words(blob), len(blob) // 2))
