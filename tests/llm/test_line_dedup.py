@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from tickloom.llm import line_dedup as ld
 
 
@@ -60,3 +62,42 @@ def test_equal_short_lines_go_in_the_query(spark, tmp_path):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in ld.op1_line_dedup(spark, str(tmp_path)).collect()}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got == {1: (4, 0, sha(rows[0][1])), 2: (5, 2, sha("short lime\n\n\u4e00\u4e8c\u4e09")), 3: (5, 3, sha("a\nb"))}
+
+
+def test_lines_are_cut_and_hashed_as_words():
+    texts = [b"", b" A  b\tc \n\n x\x0by ", b"\n", "É one two".encode(), b"one two"]
+    lines = ld.Lines(texts)
+    want = [(k, n, b" ".join(ld.words_of_line(x))) for k, t in enumerate(texts) for n, x in enumerate(t.split(b"\n"))]
+    assert [(int(lines.text_of[i]), int(lines.number[i]), lines.joined(i)) for i in range(len(want))] == want
+    rng = random.Random(3)
+    rows = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 6))).encode() for _ in range(200)]
+    lines = ld.Lines(rows)
+    at, keys, roles = lines.variants(np.arange(len(rows)))
+    of = {}
+    for i, key, role in zip(at.tolist(), keys.tolist(), roles.tolist()):
+        w = rows[i].split()
+        forms = [(tuple(w), None)] if role == 2 else [(tuple(w[:k] + w[k + 1 :]), k if role == 0 else None) for k in range(len(w))]
+        of.setdefault(key, []).append((i, set(forms)))
+    # lines at one key share a form; lines that share a form meet
+    assert all(set.intersection(*(f for _, f in x)) for x in of.values())
+    by_form = {}
+    for i, row in enumerate(rows):
+        for k in range(len(row.split())):
+            w = row.split()
+            by_form.setdefault((tuple(w[:k] + w[k + 1 :]), k), set()).add(i)
+    met = {frozenset((a, b)) for x in of.values() for a, _ in x for b, _ in x}
+    assert all(frozenset((a, b)) in met for x in by_form.values() for a in x for b in x)
+
+
+def test_a_line_of_200_000_words(spark):
+    words = [f"w{k % 977}" for k in range(200_000)]
+    other = words[:1000] + ["new"] + words[1000:]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:-2]))]
+    got = {r.doc_id: r.n_removed for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_a_template_line_with_one_changing_word(spark):
+    rows = [(i, f"this line was printed by {i} for you") for i in range(500)] + [(None, f"no id {i} on these lines at all") for i in range(50)]
+    got = Counter((r.doc_id, r.n_removed) for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got[(0, 0)] == 1 and sum(n for (i, k), n in got.items() if k == 1 and i is not None) == 499

@@ -15,7 +15,7 @@ with another line: one edit leaves the first or the second half of the shorter l
 
 Null and empty texts have one empty line, which stays. Rows that repeat a doc_id and line are one place
 and do not drop each other; rows of one doc_id with different lines keep apart by the line's digest. A
-null doc_id sorts first. Extra columns play no part; empty tables give empty results.
+null doc_id sorts first. A line of n words has n variants and costs work in proportion to n. Extra columns play no part; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,50 +25,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, map_batches, stash, table
+from .common import byte_rows, map_batches, parts_of, stash, table
 from .exact_dedup import bounded_broadcast
 
 MIN_WORDS = 5
+#: Bytes of text that are cut into lines at a time.
+BLOCK = 1 << 21
+#: Bytes with A-Z in lower case and all white space but the line feed as a space.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+FOLDED[[9, 11, 12, 13]] = 32
 
-
-def words_of_line(line: bytes) -> list[bytes]:
-    return line.lower().split()
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+_A, _B = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
-def digest(words: list[bytes]) -> bytes:
-    return hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _A
+    x = (x ^ (x >> _U(27))) * _B
+    return x ^ (x >> _U(31))
 
 
-def _key(*parts: bytes) -> int:
-    h = xxhash.xxh64_intdigest(b"\0".join(parts))
-    return h - (1 << 64) if h >> 63 else h
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(1, n), base, _U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Keys of which lines within one edit share one: halves as the shorter line of a pair and as the longer one."""
-    out = []
-    for n in (len(words), len(words) - 1):
-        half = n // 2
-        out.append(_key(b"a%d" % n, *words[:half]))
-        out.append(_key(b"b%d" % n, *words[len(words) - (n - half) :]))
-    return out
+def words_of_line(line: bytes) -> list[bytes]:
+    return line.lower().split()
 
 
-def variants(words: list[bytes]) -> list[tuple[int, int]]:
-    """(key, role): role 0: substitution; 1: a deletion, 2: the whole line, which meet as an insertion."""
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    out = [(_key(joined), 2)]
-    for i, end in enumerate(ends):
-        start = ends[i - 1] if i else 0
-        left = joined[:start] + joined[end:] if end < len(joined) else joined[: max(0, start - 1)]
-        out.append((_key(left), 1))
-        out.append((_key(left, b"%d" % i), 0))
-    return out
+def digest(joined: bytes) -> bytes:
+    return hashlib.md5(joined, usedforsecurity=False).digest()
+
+
+class Lines:
+    """Lines of texts as lower-cased words with one space between: bytes, and hashes of any run of words.
+
+    A word's hash is a polynomial of its bytes; a run's is a polynomial of its words, taken from sums over
+    all words of the block, so a run without one of its words costs no more than a run.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        raw = FOLDED[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+        space, feed = raw == 0x20, raw == 0x0A
+        gap = space | feed
+        after = np.concatenate(([True], gap[:-1]))  # the byte before is a gap
+        kept = feed | ~space | (space & ~after)
+        data = raw[kept]
+        # a space before a line's end stays in the bytes and is cut off by the lines' ends
+        feeds = np.flatnonzero(data == 0x0A)
+        self.begins = np.concatenate(([0], feeds[:-1] + 1)) if len(feeds) else np.empty(0, np.int64)
+        self.ends = feeds - ((feeds > self.begins) & (data[np.maximum(feeds - 1, 0)] == 0x20))
+        self.text_of = np.repeat(np.arange(len(texts)), [x.count(b"\n") + 1 for x in texts])
+        first_line = np.concatenate(([0], np.cumsum([x.count(b"\n") + 1 for x in texts])[:-1])) if texts else np.empty(0, np.int64)
+        self.number = np.arange(len(feeds)) - first_line[self.text_of] if len(feeds) else np.empty(0, np.int64)
+        self.bytes = data.tobytes()
+        letter = (data != 0x20) & (data != 0x0A)
+        word_begin = np.flatnonzero(letter & np.concatenate(([True], ~letter[:-1])))
+        word_end = np.flatnonzero(letter & np.concatenate((~letter[1:], [True]))) + 1
+        longest = int((word_end - word_begin).max(initial=1))
+        place = np.zeros(len(data), np.int64)
+        place[letter] = np.arange(len(data))[letter] - np.repeat(word_begin, word_end - word_begin)
+        sums = np.concatenate(([_U(0)], np.cumsum(np.where(letter, (data.astype(_U) + _U(1)) * _powers(_BASE, longest)[place], _U(0)), dtype=_U)))
+        hashes = _mixed(sums[word_end] - sums[word_begin] + (word_end - word_begin).astype(_U))
+        #: Words before each line, and after the last.
+        self.words = np.searchsorted(word_begin, np.append(self.begins, len(data)))
+        self.count = np.diff(self.words)
+        most = int(self.count.max(initial=1)) + 1
+        at = np.arange(len(hashes)) - np.repeat(self.words[:-1], self.count)
+        self.sums = np.concatenate(([_U(0)], np.cumsum(hashes * _powers(_BASE, most)[at], dtype=_U)))
+        self.back = _powers(_INVERSE, most + 1)
+
+    def run(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words a to b of lines."""
+        w = self.words[line]
+        return _mixed((self.sums[w + b] - self.sums[w + a]) * self.back[a] + (b - a).astype(_U))
+
+    def joined(self, line: int) -> bytes:
+        return self.bytes[self.begins[line] : self.ends[line]]
+
+    def halves(self, line: np.ndarray) -> list[np.ndarray]:
+        """Keys of which lines within one edit share one: halves as the shorter line of a pair and as the longer one."""
+        n, out, zero = self.count[line], [], np.zeros(len(line), np.int64)
+        for m in (n, n - 1):
+            half = m // 2
+            out.append(_mixed(self.run(line, zero, half) + m.astype(_U) * _U(2)))
+            out.append(_mixed(self.run(line, n - (m - half), n) + m.astype(_U) * _U(2) + _U(1)))
+        return out
+
+    def variants(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``line``, key, role) of the whole lines (role 2) and of each line without one word, alone (1) and with its place (0)."""
+        n = self.count[line]
+        of = np.repeat(np.arange(len(line)), n)
+        i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        w, size = self.words[line][of], n[of]
+        left = self.sums[w + i] - self.sums[w]
+        right = (self.sums[w + size] - self.sums[w + i + 1]) * self.back[1]
+        cut = _mixed(left + right + (size - 1).astype(_U))
+        whole = self.run(line, np.zeros(len(line), np.int64), n)
+        keys = np.concatenate((whole, cut, _mixed(cut + i.astype(_U) + _A)))
+        return np.concatenate((np.arange(len(line)), of, of)), keys, np.repeat(np.array([2, 1, 0], np.int8), [len(line), len(of), len(of)])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -82,32 +145,36 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    # tells rows apart by id and text, so that rows without an id do not share one list of lines
+    return rows.withColumn("own", F.xxhash64("doc_id", "text"))
 
 
-def _lines(batch: pa.RecordBatch, least: int = MIN_WORDS) -> Iterator[tuple[int | None, int, bytes]]:
-    for i, text in zip(batch.column(0).to_pylist(), byte_rows(batch), strict=True):
-        for k, line in enumerate(text.split(b"\n")):
-            if len(line) >= 2 * least - 1:
-                yield i, k, line
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    for part in parts_of(batch, BLOCK):
+        yield part, Lines(byte_rows(part))
 
 
 def _places(least: int):
     """Kernel: each line with at least ``least`` words: its place, digest and, of MIN_WORDS words or more, halves."""
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, k, digest(w), halves(w) if len(w) >= MIN_WORDS else []) for i, k, line in _lines(batch, least) if len(w := words_of_line(line)) >= least]
-        names = ["doc_id", "line", "digest", "halves"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        return pa.record_batch([pa.array([r[j] for r in rows], kinds[j]) for j in range(4)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, lines in _blocks(batch):
+                at = np.flatnonzero(lines.count >= max(1, least))
+                long = lines.count[at] >= MIN_WORDS
+                keys = np.stack(lines.halves(at[long]), 1).ravel().view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(4 * long))).astype(np.int32)
+                columns = [part.column(0).take(pa.array(lines.text_of[at])), pa.array(lines.number[at], pa.int32()), pa.array([digest(lines.joined(i)) for i in at.tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), part.column(2).take(pa.array(lines.text_of[at]))]
+                yield pa.record_batch(columns, ["doc_id", "line", "digest", "halves", "own"])
 
-    return kernel
+    return run
 
 
 def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, digest) of each line to remove."""
+    """(doc_id, line, digest, own) of each line to remove; own is the hash of its row's id and text."""
     docs = _documents(df, doc_id, text)
-    places, _ = stash(map_batches(docs, _places(equal_words), "doc_id long, line int, digest binary, halves array<long>"))
+    places, _ = stash(docs.mapInArrow(_places(equal_words), "doc_id long, line int, digest binary, halves array<long>, own long"))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")
     first, _ = stash(places.groupBy("digest").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n")))
 
@@ -117,28 +184,22 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_wo
     near, _ = stash(keyed.join(shared, "key").select("digest").distinct())
     chosen = bounded_broadcast(near.withColumnRenamed("digest", "wanted"))
 
-    def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = {}
-        for _, _, line in _lines(batch):
-            w = words_of_line(line)
-            if len(w) >= MIN_WORDS:
-                seen[digest(w)] = b" ".join(w)
-        return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["digest", "words"])
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lines in _blocks(batch):
+                seen = {digest(x): x for x in map(lines.joined, np.flatnonzero(lines.count >= MIN_WORDS).tolist())}
+                yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["digest", "words"])
 
-    found = map_batches(docs.select("doc_id", "text"), texts, "digest binary, words binary")
+    found = docs.select("doc_id", "text").mapInArrow(texts, "digest binary, words binary")
     candidates, _ = stash(found.join(chosen, F.col("digest") == F.col("wanted"), "left_semi").groupBy("digest").agg(F.first("words").alias("words")).join(first.select("digest", "first"), "digest"))
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, roles, at = [], [], []
-        for i, words in enumerate(byte_rows(batch)):
-            for key, role in variants(words.split(b" ")):
-                keys.append(key)
-                roles.append(role)
-                at.append(i)
-        rows = pa.array(at, pa.int32())
-        return pa.record_batch([batch.column(0).take(rows), pa.array(keys, pa.int64()), pa.array(roles, pa.int8())], ["digest", "key", "role"])
-
-    emitted, _ = stash(map_batches(candidates.select("digest", "words"), emit, "digest binary, key long, role byte").join(candidates.select("digest", "first"), "digest"))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, lines in _blocks(batch):
+                at, keys, roles = lines.variants(np.arange(part.num_rows))
+                yield pa.record_batch([part.column(0).take(pa.array(at)), pa.array(keys.view(np.int64)), pa.array(roles)], ["digest", "key", "role"])
+
+    emitted, _ = stash(candidates.select("digest", "words").mapInArrow(emit, "digest binary, key long, role byte").join(candidates.select("digest", "first"), "digest"))
     who = F.struct("first", "digest")
     met = emitted.groupBy("key", (F.col("role") == 0).alias("same")).agg(
         F.min(who).alias("any"), F.min(F.when(F.col("role") == 2, who)).alias("whole"), F.min(F.when(F.col("role") == 1, who)).alias("cut"), F.count("*").alias("n")
@@ -157,9 +218,9 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_wo
     near_gone, _ = stash(map_batches(both, verify, "digest binary").distinct().withColumn("near", F.lit(True)))
 
     # of equal lines the earliest stays, unless it is near an earlier line
-    marked = places.select("doc_id", "line", "digest").join(first.filter("n > 1").select("digest", "first"), "digest", "left").join(near_gone, "digest", "left")
+    marked = places.select("doc_id", "line", "digest", "own").join(first.filter("n > 1").select("digest", "first"), "digest", "left").join(near_gone, "digest", "left")
     later = F.coalesce(F.col("first") < place, F.lit(False))
-    return marked.filter(F.coalesce(F.col("near"), F.lit(False)) | later).select("doc_id", "line", "digest")
+    return marked.filter(F.coalesce(F.col("near"), F.lit(False)) | later).select("doc_id", "line", "digest", "own")
 
 
 RESULT = "doc_id long, n_lines long, n_removed long, text string"
@@ -168,8 +229,8 @@ RESULT = "doc_id long, n_lines long, n_removed long, text string"
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): every row with its text less the removed lines."""
     docs = _documents(df, doc_id, text)
-    lists = removals(df, doc_id, text, equal_words).groupBy("doc_id").agg(F.collect_set(F.struct("line", "digest")).alias("gone")).select(F.col("doc_id").alias("id"), "gone")
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "gone")
+    lists = removals(df, doc_id, text, equal_words).groupBy("own").agg(F.collect_set(F.struct("line", "digest")).alias("gone"))
+    joined = docs.join(lists, "own", "left").select("doc_id", "text", "gone")
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, total, removed = [], [], []
@@ -177,7 +238,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_words
             lines = text_of.split(b"\n")
             wanted = {(g["line"], g["digest"]) for g in gone or []}
             at = {k for k, _ in wanted}
-            kept = [x for k, x in enumerate(lines) if k not in at or (k, digest(words_of_line(x))) not in wanted]
+            kept = [x for k, x in enumerate(lines) if k not in at or (k, digest(b" ".join(words_of_line(x)))) not in wanted]
             out.append(b"\n".join(kept).decode())
             total.append(len(lines))
             removed.append(len(lines) - len(kept))
