@@ -110,3 +110,22 @@ def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     path.write_bytes(url_filters.pack(url_filters.RULES))
     held = url_filters.Filter(str(path))
     assert held.longest([("x.net", "/"), ("y.example.com", "/de/"), ("none", "/")]) == [("net/", 1), ("example.com/de/", 1), None]
+
+
+def test_rules_are_ordered_by_what_is_left_to_reject(spark):
+    rows = [("short",)] * 40 + [("# " * 80,)] * 5 + [(" ".join(f"word{k}" for k in range(80)),)] * 5
+    docs = spark.createDataFrame(rows, "text string")
+    order = [r.name for r in quality_rules.order_rules(quality_rules._sample(docs, "text", 256))]
+    assert sorted(order) == sorted(r.name for r in quality_rules.RULES)
+    assert order.index("too_few_words") < order.index("repeated_words")
+    assert quality_rules.filter_documents(docs).count() == 5
+
+
+def test_a_hot_source_and_a_long_text(spark):
+    rows = [(i, "w " * (i % 7), "hot" if i % 3 else f"s{i}") for i in range(600)] + [(1000, "word " * 200_000, "hot"), (1001, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert len(out) == 602 and out[1000].size == 200_000 and out[1001].size == 0
+    assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in out.values())
+    kept = {r.doc_id: r for r in quality_rules.measure(docs).collect()}
+    assert kept[1000].n_words == 200_000 and kept[1000].n_repeat_words == 200_000 and kept[1001].n_words == 0
