@@ -56,14 +56,17 @@ def test_every_window_has_an_anchor():
     rng = np.random.default_rng(3)
     text = bytes(rng.integers(97, 101, 5000).astype(np.uint8))
     data = np.frombuffer(sd.GAP + text + sd.GAP, np.uint8)
-    at, _ = sd.anchors(data)
+    at, h, least = sd.anchors(data)
     at -= len(sd.GAP)
     for k in range(len(text) - 49):
         assert ((at >= k) & (at + sd.GRAM <= k + 50)).any()
+    first, last = sd._claimed(at + len(sd.GAP), h, least)
+    claimed = {int(a) - j for a, f, n in zip(at, first, last) for j in range(n, f + 1)}
+    assert set(range(len(text) - 49)) <= claimed
 
 
 def test_small_packs_and_buckets(spark, odd_docs, monkeypatch):
-    for name, value in (("BLOCK", 300), ("BUCKET_BYTES", 500), ("HASH_BYTES", 700)):
+    for name, value in (("PACK", 900), ("BLOCK", 300), ("BUCKET_BYTES", 500), ("HASH_BYTES", 700)):
         monkeypatch.setattr(sd, name, value)
     assert result(odd_docs) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
 

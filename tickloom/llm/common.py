@@ -6,6 +6,7 @@ argument splits on exactly those, and ``bytes.lower()`` lower-cases only A-Z.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -80,6 +81,12 @@ def unstash(spark: SparkSession, paths: Iterable[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files of frames that nothing holds any more, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_rows(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
     """A binary or string column as bytes; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

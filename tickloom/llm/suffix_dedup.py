@@ -4,13 +4,13 @@ Suffixes are brought together by anchors instead of one global array. An anchor
 hash is least among all that begin in some 27 neighbouring places, so each 50-byte string holds one, at
 a place that its own bytes decide: equal strings meet at equal anchors, about one for 14 bytes.
 
-1. Documents go in packs of about BLOCK bytes, named by their content. Each task sends the hashes of a
+1. Documents go in packs of about PACK bytes, named by their content. Each task sends the hashes of a
    pack's anchors, once each, to buckets by hash. A bucket answers each pack with a bit for each of its
    hashes: whether several documents have it. Packs and answers meet by the pack's name, so the plan is
    the same at every size and nothing is broadcast.
-2. For repeated anchors a task takes the 26 bytes on both sides. An occurrence whose 76 bytes equal those
-   of a smaller doc_id in the same pack (by hash, then by the bytes) is settled there. The rest go to
-   buckets.
+2. Each 50-byte string belongs to its anchor of least hash. For repeated anchors a task takes the bytes of
+   the strings that belong to them, up to 26 on both sides. An occurrence whose bytes equal those of a
+   smaller doc_id in the same pack (by hash, then by the bytes) is settled there. The rest go to buckets.
 3. In a bucket the suffixes that begin at anchors are sorted in merges. Two suffixes are compared by their
    common extension, found by binary search over prefix polynomial hashes, and the byte after it. The
    suffixes that begin 1 to 26 bytes before are put in order by that byte and the order found so far.
@@ -35,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, parts_of, stash, table
+from .common import byte_rows, parts_of, release, stash, table, unstash
 
 LENGTH = 50
 GRAM = 24
 SIDE = LENGTH - GRAM  # bytes on either side that a string over the anchor can have
 AROUND = SIDE + GRAM + SIDE
 GAP = b"\xff" * AROUND  # between documents
-#: Bytes of text in a pack, and for which a bucket of anchors and one of hashes is made.
+#: Bytes of text in a pack, that are looked at at a time, and for which a bucket of anchors and one of hashes is made.
+PACK = 1 << 24
 BLOCK = 1 << 22
 BUCKET_BYTES = 1 << 23
 HASH_BYTES = 1 << 25
@@ -50,7 +51,7 @@ LEAST = -(1 << 63)  # stands for a null doc_id
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_RECORD = np.dtype([("h", "<u8"), ("l", "<u4"), ("r", "<u4"), ("doc", "<i8"), ("own", "<i8"), ("at", "<i8"), ("n", "<i8"), ("place", "<i8")])
+_RECORD = np.dtype([("h", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("own", "<i8"), ("at", "<i8"), ("n", "<i8"), ("place", "<i8"), ("left", "<i8"), ("right", "<i8")])
 _SPAN = np.dtype([("begin", "<i8"), ("end", "<i8")])
 _TRIPLE = np.dtype([("own", "<i8"), ("begin", "<i8"), ("end", "<i8")])
 
@@ -72,11 +73,14 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(x[:n] * _A + _mixed(x[8 : n + 8] * _B) + x[16 : n + 16] * _C)
 
 
-def _side_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """32-bit hashes of the SIDE bytes from each start."""
-    x = _loads(data, len(data) - 7)
-    h = _mixed(x[starts] * _B + _mixed(x[starts + 8] * _A) + x[starts + 16] * _C + _mixed(x[starts + SIDE - 8]) * _B)
-    return (h >> _U(32)).astype(np.uint32)
+def _row_hashes(near: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows of bytes."""
+    words = np.zeros((len(near), -(-AROUND // 8)), _U)
+    words.view(np.uint8)[:, :AROUND] = near
+    h = np.zeros(len(near), _U)
+    for k in range(words.shape[1]):
+        h = _mixed(h * _B + words[:, k] * _C + _A)
+    return h
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -88,8 +92,8 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a block of documents with gaps around them."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of a block of documents with gaps around them, and the least hash of each string of LENGTH bytes."""
     h = _gram_hashes(data)
     bad = np.concatenate(([0], np.cumsum(data == 0xFF)))
     h[bad[GRAM:] - bad[:-GRAM] > 0] = _U(2**64 - 1)
@@ -98,30 +102,56 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate((np.zeros(SIDE, _U), least, np.zeros(SIDE, _U)))
     most = _slide(padded, SIDE + 1, np.maximum)
     at = np.flatnonzero((most == h) & (h != _U(2**64 - 1)))
-    return at, h[at]
+    return at, h[at], least
 
 
-def _records(docs: np.ndarray, owns: np.ndarray, sizes: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A pack's bytes with gaps around its documents, and an anchor record for each place (h, doc, own, at, n, place in the bytes)."""
+def _claimed(at: np.ndarray, h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far before each anchor the first and the last string begin that has no smaller hash than the anchor's."""
+    first, last = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
+    for k in range(SIDE + 1):
+        begin = at - k
+        own = (begin >= 0) & (begin < len(least))
+        own[own] = least[begin[own]] == h[own]
+        first[own] = k
+        last[own & (last < 0)] = k
+    return first, last
+
+
+def _blocks(docs: np.ndarray, owns: np.ndarray, sizes: np.ndarray, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Block by block of a pack: the bytes with gaps around documents, an anchor record for each place (h, doc, own, at, n, place), and the strings' least hashes."""
     ends = np.cumsum(sizes)
-    data = np.full(len(text) + AROUND * (len(sizes) + 1), 0xFF, np.uint8)
-    begins = AROUND + (ends - sizes) + AROUND * np.arange(len(sizes))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK)) + 1).tolist(), len(sizes)]
     raw = np.frombuffer(text, np.uint8)
-    for begin, end, size in zip(begins.tolist(), ends.tolist(), sizes.tolist(), strict=True):
-        data[begin : begin + size] = raw[end - size : end]
-    at, h = anchors(data)
-    doc = np.searchsorted(begins, at, "right") - 1
-    r = np.zeros(len(at), _RECORD)
-    r["h"], r["doc"], r["own"], r["at"], r["n"], r["place"] = h, docs[doc], owns[doc], at - begins[doc], sizes[doc], at
-    return data, r
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        size, end = sizes[low:high], ends[low:high]
+        data = np.full(int(size.sum()) + AROUND * (len(size) + 1), 0xFF, np.uint8)
+        begins = AROUND + np.cumsum(size) - size + AROUND * np.arange(len(size))
+        for begin, until, n in zip(begins.tolist(), end.tolist(), size.tolist(), strict=True):
+            data[begin : begin + n] = raw[until - n : until]
+        at, h, least = anchors(data)
+        doc = np.searchsorted(begins, at, "right") - 1
+        r = np.zeros(len(at), _RECORD)
+        r["h"], r["doc"], r["own"], r["at"], r["n"], r["place"] = h, docs[low + doc], owns[low + doc], at - begins[doc], size[doc], at
+        yield data, r, least
+
+
+def _surroundings(data: np.ndarray, r: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records that claim a string inside their document, and the bytes around them; bytes of no claimed string are as a gap."""
+    r["left"], r["right"] = _claimed(r["place"], r["h"], least)
+    begin, end = np.maximum(r["at"] - r["left"], 0), np.minimum(r["at"] - r["right"] + LENGTH, r["n"])
+    r = r[(r["left"] >= 0) & (end - begin >= LENGTH)]
+    around = np.arange(AROUND)
+    near = data[(r["place"] - SIDE)[:, None] + around]
+    near[(around < (SIDE - r["left"])[:, None]) | (around >= (AROUND - r["right"])[:, None])] = 0xFF
+    return r, near
 
 
 def _settled(r: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records sorted by anchor, sides and doc, and which of them repeat a smaller doc's in full; near: the bytes of each place."""
-    r = r[np.lexsort((r["doc"], r["r"], r["l"], r["h"]))]
+    """Records sorted by anchor, surroundings and doc, and which of them repeat a smaller doc's in full; near: the bytes of each place."""
+    r = r[np.lexsort((r["doc"], r["around"], r["h"]))]
     if not len(r):
         return r, np.empty(0, bool)
-    start = np.concatenate(([True], (r["h"][1:] != r["h"][:-1]) | (r["l"][1:] != r["l"][:-1]) | (r["r"][1:] != r["r"][:-1])))
+    start = np.concatenate(([True], (r["h"][1:] != r["h"][:-1]) | (r["around"][1:] != r["around"][:-1])))
     first = np.flatnonzero(start)[np.cumsum(start) - 1]
     full = r["doc"] > r["doc"][first]
     at = np.flatnonzero(full)
@@ -130,10 +160,8 @@ def _settled(r: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _full_spans(r: np.ndarray) -> np.ndarray:
-    """The spans of records that repeat with both sides, where they reach LENGTH bytes."""
-    begin, end = np.maximum(r["at"] - SIDE, 0), np.minimum(r["at"] + GRAM + SIDE, r["n"])
-    ok = end - begin >= LENGTH
-    return _by_owner(r["own"][ok], begin[ok], end[ok])
+    """The spans of the strings that records claim."""
+    return _by_owner(r["own"], np.maximum(r["at"] - r["left"], 0), np.minimum(r["at"] - r["right"] + LENGTH, r["n"]))
 
 
 def _by_owner(own: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -183,7 +211,7 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, bytes]]:
     """Documents (doc, own, text) in packs: name, docs, owns, sizes, bytes. Equal packs have equal names and equal answers."""
     for batch in batches:
-        for part in parts_of(batch, BLOCK, 2):
+        for part in parts_of(batch, PACK, 2):
             texts = byte_rows(part, 2)
             docs, owns, sizes, data = part.column(0).to_numpy(), part.column(1).to_numpy(), np.array([len(x) for x in texts], np.int64), b"".join(texts)
             name = hashlib.md5(docs.tobytes() + owns.tobytes() + sizes.tobytes() + data, usedforsecurity=False).digest()
@@ -199,11 +227,12 @@ def _hashes(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct anchor hashes of a pack for each bucket: a flag each for several documents, then their gaps by byte planes."""
         for name, docs, owns, sizes, data in _packs(batches):
-            _, r = _records(docs, owns, sizes, data)
-            if not len(r):
+            each = [(r["h"], r["doc"]) for _, r, _ in _blocks(docs, owns, sizes, data)]
+            h, doc = (np.concatenate(x) for x in zip(*each, strict=True))
+            if not len(h):
                 continue
-            order = np.argsort(r["h"], kind="stable")
-            h, doc = r["h"][order], r["doc"][order]
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
             h, ids, blobs = h[first], [], []
@@ -239,15 +268,15 @@ def _find(hash_buckets: int, buckets: int):
         """Spans of what repeats within a pack, and surroundings of the other repeated anchors for the buckets."""
         bits, rows = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)), []
         for docs, owns, sizes, text in zip(*(packs.column(c).to_pylist() for c in ("docs", "owns", "sizes", "data")), strict=True):
-            data, r = _records(np.frombuffer(docs, np.int64), np.frombuffer(owns, np.int64), np.frombuffer(sizes, np.int64), text)
-            distinct, which = np.unique(r["h"], return_inverse=True)
+            each = list(_blocks(np.frombuffer(docs, np.int64), np.frombuffer(owns, np.int64), np.frombuffer(sizes, np.int64), text))
+            distinct = np.unique(np.concatenate([r["h"] for _, r, _ in each]))
             wanted = np.zeros(len(distinct), bool)
             for bucket, part in _parts((distinct % _U(hash_buckets)).astype(np.int64)):
                 wanted[part] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(part)).astype(bool)
-            r = r[wanted[which]]
-            r["l"], r["r"] = _side_hashes(data, r["place"] - SIDE), _side_hashes(data, r["place"] + GRAM)
-            near = data[(r["place"] - SIDE)[:, None] + np.arange(AROUND)]
-            r["place"] = np.arange(len(r))
+            repeated = distinct[wanted]
+            each = [_surroundings(data, r[np.isin(r["h"], repeated)], least) for data, r, least in each]
+            r, near = (np.concatenate(x) for x in zip(*each, strict=True))
+            r["around"], r["place"] = _row_hashes(near), np.arange(len(r))
             r, full = _settled(r, near)
             rows += _to_documents(_full_spans(r[full]), buckets)
             r = r[~full]
@@ -375,10 +404,15 @@ def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     docs = _documents(df, doc_id, text)
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets, hash_buckets = max(1, int(size // BUCKET_BYTES)), max(1, int(size // HASH_BYTES))
-    answers, _ = stash(docs.mapInArrow(_hashes(hash_buckets), "bucket long, pack binary, data binary").groupBy("bucket").applyInArrow(_answers, "pack binary, bucket long, bits binary"))
+    spark = df.sparkSession
+    answers, answers_path = stash(docs.mapInArrow(_hashes(hash_buckets), "bucket long, pack binary, data binary").groupBy("bucket").applyInArrow(_answers, "pack binary, bucket long, bits binary"))
     packs = docs.mapInArrow(_pack_rows, "pack binary, docs binary, owns binary, sizes binary, data binary")
     found = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_find(hash_buckets, buckets), ROWS)
+    release(spark)
     every, _ = stash(found.groupBy("id").applyInArrow(lambda group: _compare(group, buckets), ROWS))
+    del found, packs
+    unstash(spark, [answers_path])
+    release(spark)
     return every.groupBy("id").applyInArrow(_collect, "id long, data binary")
 
 
