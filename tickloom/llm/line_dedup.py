@@ -197,9 +197,10 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_wo
         for batch in batches:
             for part, lines in _blocks(batch):
                 at, keys, roles = lines.variants(np.arange(part.num_rows))
-                yield pa.record_batch([part.column(0).take(pa.array(at)), pa.array(keys.view(np.int64)), pa.array(roles)], ["digest", "key", "role"])
+                rows = pa.array(at)
+                yield pa.record_batch([part.column(0).take(rows), pa.array(keys.view(np.int64)), pa.array(roles), part.column(2).take(rows)], ["digest", "key", "role", "first"])
 
-    emitted, _ = stash(candidates.select("digest", "words").mapInArrow(emit, "digest binary, key long, role byte").join(candidates.select("digest", "first"), "digest"))
+    emitted, _ = stash(candidates.select("digest", "words", "first").mapInArrow(emit, "digest binary, key long, role byte, first struct<known:boolean,doc_id:bigint,line:int>"))
     who = F.struct("first", "digest")
     met = emitted.groupBy("key", (F.col("role") == 0).alias("same")).agg(
         F.min(who).alias("any"), F.min(F.when(F.col("role") == 2, who)).alias("whole"), F.min(F.when(F.col("role") == 1, who)).alias("cut"), F.count("*").alias("n")
