@@ -43,7 +43,7 @@ SIDE = LENGTH - GRAM  # bytes on either side that a string over the anchor can h
 AROUND = SIDE + GRAM + SIDE
 GAP = b"\xff" * AROUND  # between documents
 #: Bytes of text in a pack, that are looked at at a time, and for which a bucket of anchors and one of hashes is made.
-PACK = 1 << 24
+PACK = 1 << 23
 BLOCK = 1 << 22
 BUCKET_BYTES = 1 << 23
 HASH_BYTES = 1 << 25
@@ -51,7 +51,7 @@ LEAST = -(1 << 63)  # stands for a null doc_id
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_RECORD = np.dtype([("h", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("own", "<i8"), ("at", "<i8"), ("n", "<i8"), ("place", "<i8"), ("left", "<i8"), ("right", "<i8")])
+_RECORD = np.dtype([("h", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("own", "<i8"), ("at", "<i4"), ("n", "<i4"), ("place", "<i4"), ("left", "i1"), ("right", "i1")])
 _SPAN = np.dtype([("begin", "<i8"), ("end", "<i8")])
 _TRIPLE = np.dtype([("own", "<i8"), ("begin", "<i8"), ("end", "<i8")])
 
@@ -107,7 +107,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _claimed(at: np.ndarray, h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far before each anchor the first and the last string begin that has no smaller hash than the anchor's."""
-    first, last = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
+    first, last = np.full(len(at), -1, np.int8), np.full(len(at), -1, np.int8)
     for k in range(SIDE + 1):
         begin = at - k
         own = (begin >= 0) & (begin < len(least))
@@ -117,8 +117,8 @@ def _claimed(at: np.ndarray, h: np.ndarray, least: np.ndarray) -> tuple[np.ndarr
     return first, last
 
 
-def _blocks(docs: np.ndarray, owns: np.ndarray, sizes: np.ndarray, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Block by block of a pack: the bytes with gaps around documents, an anchor record for each place (h, doc, own, at, n, place), and the strings' least hashes."""
+def _blocks(docs: np.ndarray, owns: np.ndarray, sizes: np.ndarray, text: bytes, claims: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Block by block of a pack: the bytes with gaps around documents, and an anchor record for each place (all but around; left and right if ``claims``)."""
     ends = np.cumsum(sizes)
     cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK)) + 1).tolist(), len(sizes)]
     raw = np.frombuffer(text, np.uint8)
@@ -132,12 +132,13 @@ def _blocks(docs: np.ndarray, owns: np.ndarray, sizes: np.ndarray, text: bytes)
         doc = np.searchsorted(begins, at, "right") - 1
         r = np.zeros(len(at), _RECORD)
         r["h"], r["doc"], r["own"], r["at"], r["n"], r["place"] = h, docs[low + doc], owns[low + doc], at - begins[doc], size[doc], at
-        yield data, r, least
+        if claims:
+            r["left"], r["right"] = _claimed(at, h, least)
+        yield data, r
 
 
-def _surroundings(data: np.ndarray, r: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _surroundings(data: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Records that claim a string inside their document, and the bytes around them; bytes of no claimed string are as a gap."""
-    r["left"], r["right"] = _claimed(r["place"], r["h"], least)
     begin, end = np.maximum(r["at"] - r["left"], 0), np.minimum(r["at"] - r["right"] + LENGTH, r["n"])
     r = r[(r["left"] >= 0) & (end - begin >= LENGTH)]
     around = np.arange(AROUND)
@@ -227,7 +228,7 @@ def _hashes(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct anchor hashes of a pack for each bucket: a flag each for several documents, then their gaps by byte planes."""
         for name, docs, owns, sizes, data in _packs(batches):
-            each = [(r["h"], r["doc"]) for _, r, _ in _blocks(docs, owns, sizes, data)]
+            each = [(r["h"].copy(), r["doc"].copy()) for _, r in _blocks(docs, owns, sizes, data, False)]
             h, doc = (np.concatenate(x) for x in zip(*each, strict=True))
             if not len(h):
                 continue
@@ -269,12 +270,12 @@ def _find(hash_buckets: int, buckets: int):
         bits, rows = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)), []
         for docs, owns, sizes, text in zip(*(packs.column(c).to_pylist() for c in ("docs", "owns", "sizes", "data")), strict=True):
             each = list(_blocks(np.frombuffer(docs, np.int64), np.frombuffer(owns, np.int64), np.frombuffer(sizes, np.int64), text))
-            distinct = np.unique(np.concatenate([r["h"] for _, r, _ in each]))
+            distinct = np.unique(np.concatenate([r["h"] for _, r in each]))
             wanted = np.zeros(len(distinct), bool)
             for bucket, part in _parts((distinct % _U(hash_buckets)).astype(np.int64)):
                 wanted[part] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(part)).astype(bool)
             repeated = distinct[wanted]
-            each = [_surroundings(data, r[np.isin(r["h"], repeated)], least) for data, r, least in each]
+            each = [_surroundings(data, r[np.isin(r["h"], repeated)]) for data, r in each]
             r, near = (np.concatenate(x) for x in zip(*each, strict=True))
             r["around"], r["place"] = _row_hashes(near), np.arange(len(r))
             r, full = _settled(r, near)
