@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -83,8 +84,10 @@ def unstash(spark: SparkSession, paths: Iterable[str]) -> None:
 
 def release(spark: SparkSession) -> None:
     """Have Spark remove shuffle files of frames that nothing holds any more, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python lets go of its handles on a thread of its own
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def byte_rows(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
