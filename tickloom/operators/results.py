@@ -95,7 +95,7 @@ def neighbour_fail_rate(table: DataFrame, targets: DataFrame, multiples: list[fl
     For each multiple m of the bands and each shift (by half a step): means of the weighed counts by (second, key)
     and their ratio. Rows meet targets by cells of the threshold of the widest band, so only rows nearby are compared.
     """
-    wide = NEAR["threshold"][0] * max(multiples)
+    wide = NEAR["threshold"][0] * max(multiples) * 1.01  # more than the widest band, so that rounding moves nothing two cells on
     grid = targets.withColumn("multiple", F.explode(F.array(*[F.lit(float(m)) for m in multiples]))).withColumn("shift", F.explode(F.array(*[F.lit(int(s)) for s in shifts])))
     moved = {"threshold": C("shift") * 0.05, "profit": C("shift") * 0.5, "highest_profit": C("shift") * 0.5, "rank": F.lit(0.0)}
     grid = grid.select(*[C(k).alias(f"t_{k}") for k in NEAR], "multiple", "shift", *[(C(k) - moved[k]).alias(f"c_{k}") for k in NEAR])
