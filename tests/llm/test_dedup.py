@@ -164,7 +164,7 @@ def test_near_duplicates(spark, odd_docs):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     # what is dropped is similar to a smaller id that stays, and all close copies go
-    sets = {i: simhash._shingles(t.encode(), 5) for i, t, _ in rows}
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t, _ in rows}
     close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     for i, _, _ in rows:
         assert i in ids or any(k != i and close(k, i) for k, _, _ in rows)
@@ -204,7 +204,7 @@ def test_prefixes_meet_for_every_similar_pair(spark, cap):
     frame = spark.createDataFrame(texts, "num long, text string").selectExpr("num", "cast(text as binary) as text").repartition(3)
     for r in simhash.prefixes(frame, 5, 0.8, cap)[0].collect():
         listed[r.num].add(r.token)
-    sets = {i: simhash._shingles(t.encode(), 5) for i, t in texts}
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in texts}
     for a in sets:
         for b in range(a):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):

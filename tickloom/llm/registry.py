@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, url_filters
+from . import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, url_filters
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
         "pipeline": pipeline,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict:
         "op6_quality_rules": quality_rules.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op9_url_filters": url_filters.ORACLE,
+        "op11_minhash_near_dedup": minhash.ORACLE,
     }

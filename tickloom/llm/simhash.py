@@ -209,7 +209,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingles(text: bytes, size: int) -> set[bytes]:
+def shingle_set(text: bytes, size: int) -> set[bytes]:
     words = text.lower().split()
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
@@ -221,8 +221,8 @@ def _similar(least: float, size: int):
         last, held, out = None, set(), []
         for text, other in zip(byte_rows(batch, 2), byte_rows(batch, 3), strict=True):
             if other != last:
-                last, held = other, _shingles(other, size)
-            own = _shingles(text, size)
+                last, held = other, shingle_set(other, size)
+            own = shingle_set(text, size)
             shared = len(own & held)
             out.append(shared >= least * (len(own) + len(held) - shared))
         return pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
@@ -245,7 +245,7 @@ def _tokens(size: int):
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             for num, text in zip(batch.column(0).to_pylist(), byte_rows(batch), strict=True):
-                own = np.unique(np.array([digest(x, SEED) for x in _shingles(text, size)], np.uint64).view(np.int64))
+                own = np.unique(np.array([digest(x, SEED) for x in shingle_set(text, size)], np.uint64).view(np.int64))
                 held.append(own)
                 nums.append(num)
                 total += len(own)
@@ -332,7 +332,7 @@ def _may_be_similar(least: float):
     return (F.least(ln, rn) >= F.greatest(ln, rn) * least - 1e-9) & (shared >= (ln + rn) * (least / (1 + least)) - 1e-9)
 
 
-def _numbered(rows: DataFrame) -> int:
+def numbered(rows: DataFrame) -> int:
     """A seed for which the 64-bit numbers of all digests differ."""
     seed = 0
     while not rows.groupBy(F.xxhash64("digest", F.lit(seed)).alias("num")).agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi").isEmpty():
@@ -355,7 +355,7 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).withColumn("digest", text_digest(F.col("text")))
     plain, plain_path = stash(docs.select("doc_id", "digest").distinct())
-    number = F.xxhash64("digest", F.lit(_numbered(plain)))
+    number = F.xxhash64("digest", F.lit(numbered(plain)))
     names = plain.withColumn("num", number)
     texts = docs.select(number.alias("num"), "text")
 
