@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, url_filters
+from . import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spelling_variants, suffix_dedup, url_filters
 
 
 def pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
         "pipeline": pipeline,
     }
 
