@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spelling_variants, suffix_dedup, url_filters
+from . import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spelling_variants, suffix_dedup, url_filters, vector_codes
 
 
 def pipeline(spark, sf_dir):
@@ -25,6 +25,7 @@ def queries() -> dict:
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
         "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
         "pipeline": pipeline,
     }
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict:
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op9_url_filters": url_filters.ORACLE,
         "op11_minhash_near_dedup": minhash.ORACLE,
+        "op13_vector_codes": vector_codes.ORACLE,
     }
