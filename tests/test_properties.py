@@ -110,19 +110,23 @@ def test_greedy_filter_against_a_loop(spark):
         assert sorted(r.code for r in out.collect()) == kept
 
 
-def test_portfolio_path_against_a_loop(spark):
+@pytest.mark.parametrize(("offset", "own"), [(0, None), (5, None), (10, [0.5, 0.3, 0.2])])
+def test_portfolio_path_against_a_loop(spark, offset, own):
     rng = np.random.default_rng(4)
-    r = rng.uniform(-0.02, 0.02, (70, 3))
-    rets = spark.createDataFrame([(f"f{k}", t, float(r[t, k])) for t in range(70) for k in range(3)], "code string, date int, ret double")
+    r = rng.uniform(-0.02, 0.02, (100, 3))
+    rets = spark.createDataFrame([(f"f{k}", t, float(r[t, k])) for t in range(100) for k in range(3)], "code string, date int, ret double")
     combo = spark.createDataFrame([("x", ["f0", "f1", "f2"])], "key string, combo array<string>")
-    got = [x.ret for x in funds.portfolio_path(funds.combo_returns(rets, combo)).orderBy("t").collect()]
-    w, want = np.full(3, 1 / 3), []
-    for t in range(70):
-        if t and t % 30 == 0:
-            w = np.full(3, 1 / 3)
+    rows = funds.combo_returns(rets, combo)
+    start = np.array(own or [1 / 3] * 3)
+    if own:
+        rows = rows.join(spark.createDataFrame([(f"f{k}", w) for k, w in enumerate(own)], "code string, weight double"), "code")
+    got = [x.ret for x in funds.portfolio_path(rows, 30, offset).orderBy("t").collect()]
+    w, want = start, []
+    for t in range(100):
         v = w * (1 + r[t])
         want.append(v.sum() / w.sum() - 1)
-        w = v
+        # the weights are reset after the day, so the next one is the first with them
+        w = start if t >= 30 and (t - offset) % 30 == 0 else v
     assert np.allclose(got, want, atol=1e-12)
 
 

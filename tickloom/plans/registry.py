@@ -17,6 +17,7 @@ from . import (  # noqa: F401  these modules fill the tables below
     series_queries,
     signal_queries,
     trade_queries,
+    whatif_queries,
 )
 from .build import ORACLES, QUERIES, S, bars, register
 

@@ -143,16 +143,3 @@ register(
     lambda spark, sf: sm.daily_ledger_performance(ledger(spark, sf)).select(C("buy_date").cast("string").alias("buy_date"), "trade_count", "slow_count", *r6("ratio", "average_days_held", "average_profit", "profit_10k")),
     FIRST + f", a as (select buy_ts::date as buy_date, {SUMS} from l group by 1), d as (select *, {DERIVED} from a) select buy_date::varchar as buy_date, trade_count, slow_count, {s6('ratio', 'average_days_held', 'average_profit', 'profit_10k')} from d",
 )
-
-
-def _thresholds(spark, sf):
-    from .build import S
-
-    return bars(spark, sf).select("code", "ts", (S.ma("close", 10) * 0.5).alias("flips_at"))
-
-
-register(
-    "trade_fill_thresholds",
-    lambda spark, sf: tr.fill_thresholds(ledger(spark, sf), _thresholds(spark, sf)).select("code", "buy_ts", stable(C("flips_at")).alias("flips_at"), *r6("profit")),
-    FIRST + f", th as (select code, ts, {q.ma('close', 10)} * 0.5 as flips_at from b) select l.code, l.buy_ts::varchar as buy_ts, round(th.flips_at + 1e-9, 6) as flips_at, round(l.profit + 1e-9, 6) as profit from l left join th on th.code = l.code and th.ts = l.buy_ts",
-)

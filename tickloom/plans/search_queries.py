@@ -74,8 +74,8 @@ LAYERS = FLAGS + ", " + PAIRS + ", o as (select s as combo, [s] as l from s), t
 register("combo_layered_search", lambda spark, sf: key(co.layered_search(flags(spark, sf), base(spark), "value", 300, 3, durable), "n", *r6("mean")), LAYERS + " select combo, n, round(mean + 1e-9, 6) as mean from e where n >= 300")
 register("combo_best_filter", lambda spark, sf: key(co.best_filter(co.evaluate(flags(spark, sf), pairs(spark), "value"), 1200, 100.0), "n"), FLAGS + ", " + PAIRS + f", e as ({EVAL.format('p')}) select combo, n from e where n >= 1200 or mean >= 100")
 register("combo_fitness", lambda spark, sf: key(co.evaluate(flags(spark, sf), pairs(spark), "value"), stable(co.candidate_fitness(C("n"), F.lit(0.1))).alias("fitness")), FLAGS + ", " + PAIRS + f", e as ({EVAL.format('p')}) select combo, round(case when n > 0 then ln(n) / 0.11 else 0 end + 1e-9, 6) as fitness from e")
-#: Pairs of funds that rise and fall together.
-CODES = RETS + ", u as (select distinct code from fund_ret), two as (select a.code as a, b.code as b, count(*) as n from fund_ret a join fund_ret b on a.date = b.date and a.code < b.code group by 1, 2 having covar_pop(a.ret, b.ret) > 0)"
+#: Pairs of funds that rise and fall together; the margin keeps the order of a sum from deciding.
+CODES = RETS + ", u as (select distinct code from fund_ret), two as (select a.code as a, b.code as b, count(*) as n from fund_ret a join fund_ret b on a.date = b.date and a.code < b.code group by 1, 2 having covar_pop(a.ret, b.ret) / nullif(stddev_pop(a.ret) * stddev_pop(b.ret), 0) > 1e-9)"
 
 
 def codes(spark, sf):
@@ -83,7 +83,7 @@ def codes(spark, sf):
 
 
 def two(spark, sf):
-    return fu.pairwise_corr(views.fund_ret(spark, sf)).filter("corr > 0").select(F.array("a", "b").alias("combo"), "n")
+    return fu.pairwise_corr(views.fund_ret(spark, sf)).filter("corr > 1e-9").select(F.array("a", "b").alias("combo"), "n")
 
 
 def sets(spark, sf):
