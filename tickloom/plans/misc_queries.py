@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import with_steps
 from ..operators import features as ft
 from ..operators import models as ml
 from ..sources import io, views
-from ..streaming import live
+from ..streaming import live, upserts
 from . import sqltext as q
 from .build import S, bars, local_folder, register, stable
 from .trade_queries import r6, s6
@@ -101,36 +102,67 @@ register("stream_order_prices", lambda spark, sf: replay(spark, sf, lambda t: li
 
 
 
+BATCHES = 5
+
+
+def in_batches(spark, rows, at, path):
+    """The rows as a stream of BATCHES micro-batches, one after the other by the number ``at``."""
+    cuts = rows.agg(F.percentile_approx(at, [k / BATCHES for k in range(1, BATCHES)], 100_000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = rows.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _upserted(spark, sf):
-    """The last row of each code and day by micro-batches."""
+    """Each code's bar of each day, kept up to date by micro-batches of running bars."""
     path = scratch(spark)
-    days = views.bars_user_day(spark, sf).select(C("code").cast("string").alias("code"), C("ts").cast("string").alias("ts"), "close", "volume")
-    days.repartitionByRange(FILES, "ts").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").select("code", "close", "volume")
-    live.upsert_batches(stream, f"{path}/out", ["code"], last="volume").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return live.latest(spark, f"{path}/out", "code string, close double, volume double").groupBy("code").agg(F.count("*").alias("n"), F.max("volume").alias("volume"))
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts")
+    running = views.table(spark, sf, "events").select(
+        C("user_id").cast("string").alias("code"), F.to_date("ts").cast("string").alias("ts"), F.first("value").over(w).alias("open"), F.max("value").over(w).alias("high"), C("value").alias("close"), F.row_number().over(w).cast("long").alias("volume"), F.unix_micros(C("ts").cast("timestamp")).alias("at")
+    )
+    stream = in_batches(spark, running, C("at"), f"{path}/in").drop("at")
+    upserts.upsert_batches(stream, f"{path}/out", ["code", "ts"], "volume", 16).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return upserts.latest(spark, f"{path}/out").select("code", "ts", "open", "high", "close", "volume")
 
 
-register("stream_upsert_batches", _upserted, q.base("user_day", quoted=False) + " select code::varchar as code, 1::bigint as n, max(volume) as volume from b group by 1")
+register("stream_upsert_batches", _upserted, q.base("user_day", quoted=False) + " select code::varchar as code, ts::varchar as ts, open, high, close, volume::bigint as volume from b")
+
+
+def half_mean_of_10(bars):
+    """Below half of the mean of ten closes; false while there are fewer."""
+    last = bars["close"][:, -10:]
+    return last[:, -1] < last.mean(1) * 0.5
 
 
 def _live(spark, sf):
-    """The mean crossing of new bars, each micro-batch with the last bars of the history before it."""
+    """The mean signal of new bars, with the last bars of the history before them; some bars come late, some come again with another close."""
     path = scratch(spark)
     every = views.bars_hour(spark, sf)
     cut = F.lit("2024-01-20 00:00:00").cast("timestamp")
     history, new = every.filter(C("ts") < cut), every.filter(C("ts") >= cut)
-    new.repartitionByRange(1, "ts").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(new.schema).parquet(f"{path}/in")
-
-    def signal(df):
-        return df.withColumn("m", S.ma("close", 10)).select("code", "ts", (C("close") < C("m") * 0.5).alias("buy"))
+    hours = (F.unix_seconds(C("ts").cast("timestamp")) / 3600).cast("long") * 100
+    on_time = new.withColumn("arrival", hours + F.when(F.hour("ts") == 7, 350).otherwise(0))
+    again = new.filter(F.hour("ts") == 13).withColumns({"arrival": hours + 250, "close": C("close") * 0.4})
+    before = history.withColumn("arrival", hours - 10**9)
+    stream = in_batches(spark, before.unionByName(on_time).unionByName(again), C("arrival"), f"{path}/in")
+    made = live.live_signals(stream, half_mean_of_10, 12)
+    made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{path}/out").select("code", C("ts").cast("string").alias("ts"), "arrival", "buy")
 
-    live.live_signals(stream, history, signal, lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/out/{n}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("code string, ts timestamp, buy boolean").parquet(f"{path}/out/*").select("code", C("ts").cast("string").alias("ts"), F.coalesce("buy", F.lit(False)).alias("buy"))
 
-
-register("stream_live_signals", _live, HOUR + f" select code, cast(ts as varchar) as ts, buy from (select code, ts, coalesce(close < {q.ma('close', 10)} * 0.5, false) as buy from b) where ts >= timestamp '2024-01-20 00:00:00'")
+register(
+    "stream_live_signals",
+    _live,
+    HOUR
+    + """, a as (select code, ts, close, (epoch(ts) // 3600)::bigint * 100 + case when ts < timestamp '2024-01-20 00:00:00' then -1000000000 when hour(ts) = 7 then 350 else 0 end as arrival from b
+    union all select code, ts, close * 0.4::double, (epoch(ts) // 3600)::bigint * 100 + 250 from b where ts >= timestamp '2024-01-20 00:00:00' and hour(ts) = 13),
+    k as (select x.code, x.ts, x.arrival, x.close, y.ts as ts2, arg_max(y.close, y.arrival) as c from a x join a y on y.code = x.code and y.ts <= x.ts and y.arrival <= x.arrival where x.arrival > 0 group by 1, 2, 3, 4, 5),
+    r as (select *, row_number() over (partition by code, ts, arrival order by ts2 desc) as r from k),
+    m as (select code, ts, arrival, any_value(close) as close, count(*) as n, avg(c) as m from r where r <= 10 group by 1, 2, 3)
+    select code, cast(ts as varchar) as ts, arrival, n = 10 and close < m * 0.5 as buy from m""",
+)
 
 
 def _bar_files(spark, sf):

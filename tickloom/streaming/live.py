@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,40 +84,62 @@ def order_prices(ticks: DataFrame, least: float, most: float) -> DataFrame:
     return ticks.groupBy("code").applyInPandasWithState(run, "code string, ts timestamp, price double", "lowest double", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_signals(ticks_bars: DataFrame, history: DataFrame, signal: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], n: int = 100):
-    """For each micro-batch of bars: the signal over the last n bars of history with the new ones; ``sink`` takes (rows, batch number)."""
-    from ..sources.io import last_rows
-
-    def each(batch: DataFrame, number: int) -> None:
-        codes = batch.select("code").distinct()
-        near = last_rows(history.join(codes, "code", "left_semi"), n).select(*batch.columns)
-        made = signal(near.unionByName(batch)).join(batch.select("code", "ts"), ["code", "ts"], "left_semi")
-        sink(made, number)
-
-    return ticks_bars.writeStream.foreachBatch(each)
-
-
-def upsert_batches(bars: DataFrame, path: str, keys: list[str], last: str):
-    """Each micro-batch replaces the rows of its keys in a Parquet table, written anew beside the old one.
-
-    Of a batch's rows with the same keys the one with the largest ``last`` counts, and it only replaces a row
-    with a smaller one. Versions are named by batch number, so a batch that is run again writes the same one.
+#: One row a live bar, one column a bar of its window (oldest first, NaN before the first bar), by name of the field.
+Windows = dict[str, np.ndarray]
+
+
+def _windows(held: list[tuple], new: pd.DataFrame, fields: list[str], n: int) -> tuple[Windows, list[tuple]]:
+    """The windows of bars (ts, fields) in their order of arrival, and the last n bars after them."""
+    times = [x[0] for x in held]
+    if new["ts"].is_monotonic_increasing and new["ts"].is_unique and (not held or new["ts"].iloc[0] > times[-1]):
+        before = np.array([x[1:] for x in held[len(held) - min(len(held), n - 1) :]], float).reshape(-1, len(fields))
+        blank = np.full((n - 1 - len(before), len(fields)), np.nan)
+        values = np.concatenate((blank, before, new[fields].to_numpy(float)))
+        windows = np.lib.stride_tricks.sliding_window_view(values, n, axis=0).swapaxes(0, 1)
+        held = [*held, *new.iloc[-n:].itertuples(index=False, name=None)][-n:]
+    else:
+        windows = np.full((len(fields), len(new), n), np.nan)
+        for k, bar in enumerate(new.itertuples(index=False, name=None)):
+            at = bisect_left(times, bar[0])
+            if at < len(times) and times[at] == bar[0]:
+                held[at] = bar  # a bar that comes again takes the place of the one before
+            else:
+                held.insert(at, bar)
+                times.insert(at, bar[0])
+            known = held[max(0, at + 1 - n) : at + 1]
+            windows[:, k, n - len(known) :] = np.array([x[1:] for x in known], float).T
+            if len(held) > n:
+                del held[0], times[0]
+    return dict(zip(fields, windows, strict=True)), held
+
+
+def live_signals(bars: DataFrame, rule: Callable[[Windows], np.ndarray], n: int = 100, fields: tuple[str, ...] = ("open", "high", "low", "close", "volume"), ttl: int | None = None) -> DataFrame:
+    """(code, ts, arrival, buy) for each row of a stream of bars (code, ts, fields, arrival): the rule over the code's last n bars up to it.
+
+    Rows count in the order of ``arrival``, so the result is the same however the stream is cut into
+    batches. A late bar takes its place in the window and has its own row over the bars before it, as far as
+    the last n bars are kept; a bar that comes again replaces the one with its time and has a row again.
+    Rows with a negative arrival are history: they fill the windows and give no row. The state is the last
+    n bars of a code, as arrays; after ``ttl`` milliseconds without a bar it goes.
     """
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = latest(spark, path, batch.schema.simpleString()[7:-1], number)
-        cols = [c for c in batch.columns if c not in keys]
-        newest = F.max_by(F.struct(*cols), C(last)).alias("v")
-        both = batch if old is None else old.unionByName(batch)
-        both.groupBy(*keys).agg(newest).select(*keys, *[C(f"v.{c}") for c in cols]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number:09d}")
-
-    return bars.writeStream.foreachBatch(each)
-
-
-def latest(spark, path: str, schema: str, before: int | None = None) -> DataFrame | None:
-    """The newest version that upsert_batches wrote (before a batch number, if given); None if there is none."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(x.getPath().getName() for x in files.listStatus(place)) if files.exists(place) else []
-    done = [n for n in names if n.startswith("v") and (before is None or int(n[1:]) < before) and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.schema(schema.replace(":", " ")).parquet(f"{path}/{done[-1]}") if done else None
+    names = list(fields)
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("arrival")
+        held = [*zip(*state.get, strict=True)] if state.exists else []
+        windows, held = _windows(held, rows[["ts", *names]], names, n)
+        state.update(tuple(map(list, zip(*held, strict=True))))
+        if ttl is not None:
+            state.setTimeoutDuration(ttl)
+        live = (rows["arrival"] >= 0).to_numpy()
+        buy = np.asarray(rule(windows), bool)
+        yield pd.DataFrame({"code": key[0], "at": rows["ts"].to_numpy(), "arrival": rows["arrival"].to_numpy(), "buy": buy})[live]
+
+    rows = bars.select("code", F.unix_micros(C("ts").cast("timestamp")).alias("ts"), *[C(x).cast("double").alias(x) for x in names], "arrival")
+    kept = "ts array<long>, " + ", ".join(f"`{x}` array<double>" for x in names)
+    timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout
+    made = rows.groupBy("code").applyInPandasWithState(run, "code string, at long, arrival long, buy boolean", kept, "append", timeout)
+    return made.select("code", F.timestamp_micros("at").alias("ts"), "arrival", "buy")
