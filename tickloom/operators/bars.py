@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as fn
+from ..functions.segments import by_series, later_high
 from ..functions.series import Series
 
 C = F.col
@@ -60,7 +62,9 @@ def adj_nav(rets: DataFrame, first: float = 1.0) -> DataFrame:
 
 def days_until_higher(df: DataFrame) -> DataFrame:
     """Bars until a later high is above today's close; the length of the series if none is."""
-    from .trades import first_later_high
 
-    found = first_later_high(df).select("code", C("buy_ts").alias("_ts"), C("days_held").alias("_days"))
-    return df.withColumns({"_ts": C("ts").cast("string"), "_n": F.count("*").over(S.all)}).join(found, ["code", "_ts"], "left").withColumn("until_higher", F.coalesce("_days", "_n")).drop("_ts", "_n", "_days")
+    def kernel(values: dict, bounds: np.ndarray, rows) -> dict:
+        found, sold = later_high(values["high"], values["close"], bounds)
+        return {"until_higher": np.where(sold, found - np.arange(len(found)), np.repeat(np.diff(bounds), np.diff(bounds)))}
+
+    return by_series(df, ["high", "close"], kernel, {"until_higher": "long"})

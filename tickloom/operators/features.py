@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as fn
+from ..functions.segments import by_series, counts_below
 from ..functions.series import Series
 from ..functions.steps import with_steps
 from . import indicators as ind
@@ -223,8 +225,12 @@ def money_flow_metrics(flow: DataFrame, sizes=("s", "m", "l", "xl")) -> DataFram
 def profit_ratio_rank(df: DataFrame, x: str = "turnover") -> DataFrame:
     """rank: 1 + earlier rows of the series below today's value; rank_gain: against the row before.
 
-    An equi-join on the key with a count of smaller earlier values, summed before it leaves a task.
+    Counted in merges, n log n for a series of n rows; a row without a value has rank 1.
     """
-    earlier = df.select(C("code").alias("c"), C("rn").alias("r"), C(x).alias("v"))
-    below = df.join(earlier, (C("code") == C("c")) & (C("r") < C("rn")) & (C("v") < C(x)), "left").groupBy("code", "ts", "rn").agg((F.count("c") + 1).alias("rank"))
-    return below.withColumn("rank_gain", C("rank") - F.lag("rank").over(S.w))
+
+    def kernel(values: dict, bounds: np.ndarray, rows) -> dict:
+        rank = np.concatenate([counts_below(values[x][a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]) + 1
+        gain = np.ma.masked_array(np.diff(rank, prepend=0), np.isin(np.arange(len(rank)), bounds[:-1]))
+        return {"rank": rank, "rank_gain": gain}
+
+    return by_series(df.select("code", "ts", "rn", x), [x], kernel, {"rank": "long", "rank_gain": "long"}).drop(x)

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +30,9 @@ def balance(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), "label")
 
 
-def forest_grid(train: DataFrame, trees: list[int], depths: list[int], folds: int = 3, seed: int = 7):
-    """The best random forest of a grid by cross-validated recall of the true class (Spark's depth limit is 30)."""
-    model = RandomForestClassifier(weightCol="weight", seed=seed)
-    grid = ParamGridBuilder().addGrid(model.numTrees, trees).addGrid(model.maxDepth, depths).build()
-    judge = MulticlassClassificationEvaluator(metricName="recallByLabel", metricLabel=1.0)
-    return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, parallelism=2, seed=seed).fit(train)
+def forest(train: DataFrame, trees: int, depth: int, leaf: int = 1, seed: int = 7, **more):
+    """A random forest of one parameter set; forests.forest_grid finds a good one."""
+    return RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, **more).fit(train)
 
 
 def gradient_boosting(train: DataFrame, rounds: int = 10, depth: int = 3, seed: int = 7):
@@ -67,12 +61,3 @@ def eliminate_features(train: DataFrame, columns: list[str], least: int, share:
         n = max(least, len(left) - max(1, int(len(left) * share)))
         left = [c for _, c in sorted(zip(-weights, left, strict=True))[:n]]
     return left
-
-
-def score_many(df: DataFrame, models: dict[str, tuple], slack: float = 0.1) -> DataFrame:
-    """Rows that each model (name: (model, threshold)) scores at its threshold less ``slack`` or better, with the margin."""
-    out = None
-    for name, (model, threshold) in models.items():
-        rows = model.transform(df).select("code", "ts", "label", F.lit(name).alias("model"), vector_to_array("probability")[1].alias("prob")).withColumn("margin", C("prob") - threshold).filter(C("margin") >= -slack)
-        out = rows if out is None else out.unionByName(rows)
-    return out

@@ -1,20 +1,22 @@
 """Matching buy signals to exits: bars with a boolean ``buy`` give a ledger with one row for a trade.
 
-Every rule is a state that sees a series bar by bar: ``enter`` at a signal, ``look`` at each later bar,
-``finish`` at the last one. Rows are dealt by code, sorted and streamed, and only the trades that are
-open are held. A bar's exits come before its own entry.
+The first later high is found for all bars of a series at once. The other rules are states that see a
+series bar by bar: ``look`` at each bar, ``finish`` at the last one; only the trades that are open are held.
+A bar's exits come before its own entry.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.segments import by_series, later_high
+
 C = F.col
 SHARES = 100
 LEDGER = "code string, buy_ts string, buy_price double, sell_ts string, sell_price double, shares long, cost double, profit double, days_held long, buy_index long"
@@ -41,31 +43,6 @@ def _row(code, first, price, bar, sold, shares):
     return (code, first.ts, price, bar.ts, sold, shares, price * shares, (sold - price) * shares, bar.i - first.i, first.i)
 
 
-class FirstHigh:
-    """Each signal buys at the close and sells at the first later high above it."""
-
-    def __init__(self):
-        self.open: list = []
-
-    def look(self, code, bar):
-        while self.open and self.open[0][0] < bar.high:
-            price, _, first = heapq.heappop(self.open)
-            yield _row(code, first, price, bar, bar.high, SHARES)
-        if bar.buy:
-            heapq.heappush(self.open, (bar.close, bar.i, bar))
-
-    def finish(self, code, bar):
-        for price, _, first in self.open:
-            yield _row(code, first, price, bar, bar.close, SHARES)
-
-
-class LaterHigh(FirstHigh):
-    """As FirstHigh, but what finds no higher high gives no row."""
-
-    def finish(self, code, bar):
-        return iter(())
-
-
 class AverageDown:
     """Each signal buys at the close and again at each close whose bar misses the target over the mean cost; at most ``days`` bars if given."""
 
@@ -147,13 +124,32 @@ def match(bars: DataFrame, rule: Callable) -> DataFrame:
     return rows.mapInArrow(run, LEDGER)
 
 
+def _outcomes(values: dict, bounds: np.ndarray, rows: pa.Table) -> dict:
+    """Buying at each bar's close and selling at the first later high above it, or at the last close."""
+    found, sold = later_high(values["high"], values["close"], bounds)
+    price = np.where(sold, values["high"][found], values["close"][found])
+    place = np.arange(len(found))
+    out = {"sold": sold, "sell_price": price, "days_held": found - place, "buy_index": place - np.repeat(bounds[:-1], np.diff(bounds))}
+    return out | {"profit": (price - values["close"]) * SHARES} | ({"sell_ts": rows.column("buy_ts").take(pa.array(found))} if "buy_ts" in rows.column_names else {})
+
+
+OUTCOMES = {"sold": "boolean", "sell_price": "double", "days_held": "long", "buy_index": "long", "profit": "double"}
+
+
+def _first_highs(bars: DataFrame) -> DataFrame:
+    rows = bars.select(C("code").cast("string").alias("code"), "ts", C("ts").cast("string").alias("buy_ts"), "high", "close", F.coalesce("buy", F.lit(False)).alias("buy"))
+    made = by_series(rows, ["high", "close"], _outcomes, OUTCOMES | {"sell_ts": "string"}).filter("buy")
+    return made.withColumns({"buy_price": C("close"), "shares": F.lit(SHARES).cast("long"), "cost": C("close") * SHARES})
+
+
 def exit_first_high(bars: DataFrame) -> DataFrame:
-    return match(bars, FirstHigh)
+    """Each signal buys at the close and sells at the first later high above it, or else at the last close."""
+    return _first_highs(bars).select(*NAMES)
 
 
 def first_later_high(bars: DataFrame) -> DataFrame:
     """Each bar as a signal, with the first later high above its close; bars that have none are left out."""
-    return match(bars.withColumn("buy", F.lit(True)), LaterHigh)
+    return _first_highs(bars.withColumn("buy", F.lit(True))).filter("sold").select(*NAMES)
 
 
 def exit_average_down(bars: DataFrame, days: int | None = None) -> DataFrame:
@@ -166,8 +162,8 @@ def hold_one_position(bars: DataFrame, average: bool = False) -> DataFrame:
 
 def label_every_bar(bars: DataFrame) -> DataFrame:
     """Each bar with the outcome of buying at it."""
-    ledger = exit_first_high(bars.withColumn("buy", F.lit(True))).select("code", C("buy_ts").alias("ts"), "profit", "days_held")
-    return bars.withColumn("ts", C("ts").cast("string")).join(ledger, ["code", "ts"], "left")
+    made = by_series(bars, ["high", "close"], _outcomes, {x: OUTCOMES[x] for x in ("profit", "days_held")})
+    return made.withColumn("ts", C("ts").cast("string"))
 
 
 def sell_threshold_grid(paths: DataFrame, steps: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.steps import with_steps
 from ..operators import features as ft
+from ..operators import forests as fo
 from ..operators import models as ml
+from ..operators import oversampling as ov
 from ..sources import io, views
 from ..streaming import live, upserts
 from . import sqltext as q
@@ -202,19 +204,53 @@ def training(spark, sf):
     return ml.balance(data), columns
 
 
+GRID = {"trees": [4, 8], "depths": [2, 4], "splits": [2, 40], "leaf_rows": [1, 5]}
+
+
+def _grid(spark, sf):
+    return fo.forest_grid(training(spark, sf)[0], scratch(spark), **GRID, folds=2)
+
+
+def _best_forest(data, spark):
+    best = fo.best_cell(fo.forest_grid(data, scratch(spark), **GRID, folds=2))
+    return ml.forest(data, best["trees"], best["depth"], best["leaf"])
+
+
 def _forest(spark, sf):
     data, _ = training(spark, sf)
-    model = ml.forest_grid(data, [5, 10], [3], 2).bestModel
-    return ml.score_many(data, {"forest": (model, 0.5)}, 1.0).select("code", C("ts").cast("string").alias("ts"), "label", "model", *r6("prob", "margin"))
+    return fo.score_many(data, {"forest": (_best_forest(data, spark), 0.5)}, scratch(spark), 1.0).select("code", C("ts").cast("string").alias("ts"), "label", "model", *r6("prob", "margin"))
 
 
 def _boosted(spark, sf):
     data, _ = training(spark, sf)
-    return ml.score_many(data, {"boosted": (ml.gradient_boosting(data, 3), 0.5)}, 0.1).select("code", C("ts").cast("string").alias("ts"), "label", "model", *r6("prob", "margin"))
+    return fo.score_many(data, {"boosted": (ml.gradient_boosting(data, 3), 0.5)}, scratch(spark), 0.1).select("code", C("ts").cast("string").alias("ts"), "label", "model", *r6("prob", "margin"))
+
+
+def _many(spark, sf):
+    """Several forests and a boosted model over all rows, in one scan."""
+    data, _ = training(spark, sf)
+    models = {f"forest{d}": (ml.forest(data, 6, d), 0.5) for d in (2, 3, 4)} | {"boosted": (ml.gradient_boosting(data, 3), 0.6)}
+    return fo.score_many(data, models, scratch(spark), 0.2).select("code", C("ts").cast("string").alias("ts"), "label", "model", *r6("prob", "margin"))
+
+
+def _votes(spark, sf):
+    """The votes of a forest's trees on every row, at two thresholds."""
+    data, _ = training(spark, sf)
+    data = data.withColumn("ts", C("ts").cast("string"))
+    trees = fo.nodes_of(ml.forest(data, 9, 4), scratch(spark))
+    return fo.detailed_votes(fo.tree_probabilities(data, trees, ["code", "ts"]), ["code", "ts"], [0.5, 0.6])
 
 
 register("model_forest_grid", _forest)
+register("model_grid_cells", lambda spark, sf: _grid(spark, sf).select("trees", "depth", "split", "leaf", "tp", "fp", "fn", "tn", *r6("recall", "precision")))
 register("model_gradient_boosting", _boosted)
+register("model_score_many", _many)
+register("model_detailed_votes", _votes)
+register(
+    "model_oversample",
+    lambda spark, sf: ov.oversample(training(spark, sf)[0].withColumn("ts", C("ts").cast("string")), ["code", "ts"]).groupBy("label", "made").agg(F.count("*").alias("n")),
+    HOUR + ", f as (select lead(high) over (partition by code order by ts) as nh, close, rn from b), g as (select ((nh - close) / close * 100 >= 5)::int::double as label from f where nh is not null and rn > 10), c as (select label, count(*) as n from g group by 1) select label, false as made, n from c union all select label, true as made, (select max(n) from c) - n as n from c where n < (select max(n) from c)",
+)
 register("model_balance_classes", lambda spark, sf: training(spark, sf)[0].groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).select("label", "n", *r6("weight")), HOUR + f", f as (select ((max(high) over (partition by code order by ts rows between 1 following and 1 following)) - close) / close * 100 as f1, rn from b), g as (select (f1 >= 5)::int::double as label from f where f1 is not null and rn > 10), c as (select label, count(*) as n from g group by 1) select label, n, round((select sum(n) from c) / (select count(*) from c) + 1e-9, 6) as weight from c")
 
 
