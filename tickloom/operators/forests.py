@@ -180,30 +180,38 @@ def score_many(df: DataFrame, models: dict[str, tuple], folder: str, slack: floa
     return out
 
 
-def cell_values(trees: Trees, x: np.ndarray, depths: list[int], splits: list[int]) -> np.ndarray:
-    """(rows, trees, depths, splits): class-1 shares where each tree is cut at a depth, and at nodes of fewer rows than a split needs."""
-    n, t = len(x), len(trees.roots)
-    at = np.broadcast_to(trees.roots, (n, t)).copy()
-    lines = np.arange(n)[:, None]
-    need = np.array(splits)
-    stopped = np.zeros((n, t, len(splits)), bool)
-    held = np.zeros((n, t, len(splits)))
-    out = np.zeros((n, t, len(depths), len(splits)))
-    for level in range(max(depths) + 1):
-        value, leaf = trees.value[at], trees.left[at] < 0
-        held = np.where(stopped, held, value[:, :, None])
-        for k, d in enumerate(depths):
-            if d == level:
-                out[:, :, k] = held
-        stopped |= leaf[:, :, None] | (trees.rows[at][:, :, None] < need)
-        if stopped.all():
-            for k, d in enumerate(depths):
-                if d > level:
-                    out[:, :, k] = held
-            break
+def cut_leaves(trees: Trees, depths: list[int], splits: list[int]) -> np.ndarray:
+    """(nodes, depths, splits): where the cut trees end. A node is a leaf at the depth, with fewer rows than a split needs, or over two leaves that say the same, as Spark drops those."""
+    levels, at = [], trees.roots
+    while len(at):
+        levels.append(at)
+        inner = at[trees.left[at] >= 0]
+        at = np.concatenate((trees.left[inner], trees.right[inner]))
+    ends = np.repeat((trees.left < 0)[:, None, None], len(depths), 1).repeat(len(splits), 2)
+    says = trees.value > 0.5
+    for level in range(len(levels) - 1, -1, -1):
+        own = levels[level]
+        ends[own] |= (level >= np.array(depths))[:, None] | (trees.rows[own][:, None, None] < np.array(splits))
+        inner = own[trees.left[own] >= 0]
+        left, right = trees.left[inner], trees.right[inner]
+        ends[inner] |= ends[left] & ends[right] & (says[left] == says[right])[:, None, None]
+    return ends
+
+
+def cell_values(trees: Trees, ends: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(rows, trees, depths, splits): class-1 shares of the trees cut as ``cut_leaves`` says."""
+    at = np.broadcast_to(trees.roots, (len(x), len(trees.roots))).copy()
+    lines = np.arange(len(x))[:, None]
+    out = np.zeros((*at.shape, *ends.shape[1:]))
+    going = np.ones(out.shape, bool)
+    while True:
+        here = going & ends[at]
+        out[here] = np.broadcast_to(trees.value[at][:, :, None, None], out.shape)[here]
+        going &= ~here
+        if not going.any():
+            return out
         goes_left = x[lines, np.maximum(trees.feature[at], 0)] <= trees.threshold[at]
-        at = np.where(leaf, at, np.where(goes_left, trees.left[at], trees.right[at]))
-    return out
+        at = np.where(trees.left[at] < 0, at, np.where(goes_left, trees.left[at], trees.right[at]))
 
 
 def forest_grid(train: DataFrame, folder: str, trees: list[int], depths: list[int], splits: list[int], leaf_rows: list[int], folds: int = 3, seed: int = 7, **more) -> DataFrame:
@@ -211,7 +219,7 @@ def forest_grid(train: DataFrame, folder: str, trees: list[int], depths: list[in
 
     train: (features, label, weight). One forest is fitted for each leaf size and fold, with the most trees and
     the greatest depth. A smaller number of trees is a prefix of it; a smaller depth, or more rows for a split, is
-    the same tree cut off, as what a node does doesn't depend on how the tree goes on. So a grid of a x b x c x d
+    the same tree cut off (and pruned as Spark does), as what a node does doesn't depend on how the tree goes on. So a grid of a x b x c x d
     cells takes d fits a fold, and one scan of each fold's test rows judges all cells. Depths count up to Spark's 30.
     """
     spark = train.sparkSession
@@ -223,14 +231,15 @@ def forest_grid(train: DataFrame, folder: str, trees: list[int], depths: list[in
         for leaf in leaf_rows:
             for fold in range(folds):
                 model = RandomForestClassifier(weightCol="weight", numTrees=most, maxDepth=max(depths), minInstancesPerNode=leaf, seed=seed, **more).fit(keyed.filter(C("_fold") != fold))
-                held = spark.sparkContext.broadcast(nodes_of(model, folder))
+                fitted = nodes_of(model, folder)
+                held = spark.sparkContext.broadcast((fitted, cut_leaves(fitted, depths, splits)))
 
                 def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                    own = held.value
-                    step = max(1, AT_ONCE // (most * (len(depths) + 1) * len(splits)))
+                    own, ends = held.value
+                    step = max(1, AT_ONCE // (most * len(depths) * len(splits)))
                     total = np.zeros((2, 2, len(counts), len(depths), len(splits)), np.int64)
                     for batch in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
-                        sums = cell_values(own, _matrix(batch, 1), depths, splits).cumsum(1)[:, counts - 1]
+                        sums = cell_values(own, ends, _matrix(batch, 1)).cumsum(1)[:, counts - 1]
                         says = sums > counts[:, None, None] / 2
                         label = batch.column(0).to_numpy(zero_copy_only=False) == 1
                         for is_, rows in ((0, says[~label]), (1, says[label])):
