@@ -7,11 +7,14 @@ Pairs that share a key are held against each other by the signature (the lowest
 at a similarity of ``percent`` less than one in a million agrees in under CUT of it. The rest is confirmed
 on the full sets of the texts, byte for byte.
 
-No bucket emits all its pairs. Equal texts are one node. Each member of a bucket first meets the bucket's
-least member (best match first, then the other ones that no link connects yet). Buckets that still hold
-several components are cut into blocks of up to BLOCK members by set size; blocks meet if their sizes
-allow the similarity, each pair of blocks in a task's bounded memory, so that no link is missed that
-would connect more, and no bucket is too large for a task.
+No bucket emits all its pairs. Equal texts are one node. Each member of a bucket first meets two centres:
+the least member, and the one that has most company in all its buckets (of a group of copies that is the
+text they were made from); the best match of each member is confirmed. Buckets that still hold several
+components are cut into blocks of up to BLOCK members by set size; blocks meet if their sizes allow the
+similarity, each two blocks in a task's bounded memory. Pairs of different components that the signatures
+allow are confirmed in the meeting itself, which yields only what connects: no link is missed that would
+connect more, no bucket is too large for a task, and no table of pairs grows with the square of a group.
+Two members that share several buckets are compared in the first of them.
 
 Null, empty and blank texts have the empty set and are linked with nothing; a text with fewer words than
 a shingle has its whole sequence as the one member of its set. Repeated rows are members of the same
@@ -22,7 +25,6 @@ null. Other columns play no part and may have any name; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,10 +177,11 @@ def _agree(cut: float, percent: int):
 
 
 def _blocks_agree(cut: float, percent: int):
-    """Kernel over one pair of blocks (side, num, root, n, signature): (a, b) of different components that may be similar, a > b."""
+    """Kernel over one pair of blocks (key, side, num, root, n, signature, keys): (meeting, a, b), the pairs of different components that may be similar, as one row."""
 
     def run(group: pa.Table) -> pa.Table:
-        side, num, root, n = (group.column(k).to_numpy() for k in ("side", "num", "root", "n"))
+        side, num, root, n, key = (group.column(k).to_numpy() for k in ("side", "num", "root", "n", "key"))
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(num), -1)
         marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(num), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         within = not len(right)
@@ -188,10 +191,37 @@ def _blocks_agree(cut: float, percent: int):
             others = others[(root[others] != root[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
             if len(others):
                 near = others[(marks[others] == marks[x]).sum(1) >= cut * marks.shape[1]]
-                a.append(np.maximum(num[near], num[x]))
-                b.append(np.minimum(num[near], num[x]))
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
+                near = near[keys[x][(keys[near] == keys[x]).argmax(1)] == key[0]]
+                a.append(np.full(len(near), num[x]))
+                b.append(num[near])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        some = 1 if len(a) else 0
+        return pa.table({"meeting": pa.array([group.column("meeting")[0].as_py()] * some, pa.int64()), "a": pa.array([a] * some, pa.list_(pa.int64())), "b": pa.array([b] * some, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _meeting_links(percent: int, size: int):
+    """Kernel over the pairs (meeting, a, b) and the texts (of, num, text) of a meeting: links (a, b) that connect what all its true pairs connect."""
+
+    def run(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        sets = {x: shingle_set(y, size) for x, y in zip(members.column("num").to_pylist(), members.column("text").to_pylist(), strict=True)}
+        parent = {x: x for x in sets}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for xs, ys in zip(pairs.column("a"), pairs.column("b"), strict=True):
+            for x, y in zip(xs.values.to_pylist(), ys.values.to_pylist(), strict=True):
+                own, other = sets[x], sets[y]
+                shared = len(own & other)
+                if 100 * shared >= percent * (len(own) + len(other) - shared) and (p := top(x)) != (q := top(y)):
+                    parent[p] = q
+                    found.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
@@ -212,26 +242,32 @@ def _confirmed(percent: int, size: int):
     return kernel
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, cut: float, percent: int, block: int) -> tuple[DataFrame, list[str]]:
-    """Pairs (a, b) that may be similar among members (key, num) of the buckets that hold several components."""
+def _open_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, joined: DataFrame, shingle: int, cut: float, percent: int, block: int) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) that connect what all links among members (key, num) of the same bucket connect, where joined (node, root) doesn't yet.
+
+    Texts come only to the meetings of two blocks that have a pair to confirm, each once to a meeting.
+    """
+    spark = members.sparkSession
     rooted = members.join(joined.select(F.col("node").alias("num"), "root"), "num", "left").withColumn("root", F.coalesce("root", "num"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).filter("lo != hi").select("key", "rows")
-    open_, path = stash(rooted.join(split, "key").join(nodes.select("num", "n", "signature"), "num"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     # blocks by set size: a coarse rank (eighths of a doubling), then a hash within it where a rank holds too many
     rank = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    ranked = open_.withColumn("rank", rank)
+    ranked, path = stash(rooted.join(split, "key").join(nodes.select("num", "n", "signature", "keys"), "num").withColumn("rank", rank))
     sizes = ranked.groupBy("key", "rank").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = ranked.join(sizes, ["key", "rank"]).withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
-    blocks, blocks_path = stash(placed.groupBy("key", "rank", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    placed = ranked.join(sizes, ["key", "rank"]).withColumn("at", F.struct("rank", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int").alias("block"))).drop("rank", "blocks")
+    blocks, blocks_path = stash(placed.groupBy("key", "at").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     l, r = blocks.alias("l"), blocks.alias("r")
-    apart = (F.struct("l.rank", "l.block") <= F.struct("r.rank", "r.block")) & (100 * F.col("l.most") >= percent * F.col("r.least"))
-    meets = l.join(r, "key").filter(apart).select("key", F.struct("l.rank", "l.block").alias("x"), F.struct("r.rank", "r.block").alias("y"))
-    own = meets.select("key", "x", "y", F.lit(0).alias("side"), F.col("x").alias("at")).unionByName(meets.filter("x != y").select("key", "x", "y", F.lit(1).alias("side"), F.col("y").alias("at")))
-    here = placed.withColumn("at", F.struct("rank", "block")).select("key", "at", "num", "root", "n", "signature")
-    rows = own.join(here, ["key", "at"]).drop("at")
-    pairs, pairs_path = stash(rows.groupBy("key", "x", "y").applyInArrow(_blocks_agree(cut, percent), "a long, b long").distinct())
-    unstash(members.sparkSession, [path, blocks_path])
-    return pairs, [pairs_path]
+    meets = l.join(r, "key").filter((F.col("l.at") <= F.col("r.at")) & (100 * F.col("l.most") >= percent * F.col("r.least")))
+    met = meets.select("key", F.xxhash64("key", "l.at", "r.at").alias("meeting"), F.col("l.at").alias("x"), F.col("r.at").alias("y"))
+    sides = met.select("key", "meeting", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at"))))).alias("s")).select("key", "meeting", "s.side", "s.at")
+    rows = sides.join(placed, ["key", "at"]).drop("at")
+    likely, likely_path = stash(rows.groupBy("key", "meeting").applyInArrow(_blocks_agree(cut, percent), "meeting long, a array<long>, b array<long>"))
+    wanted = likely.select("meeting", F.explode(F.array_distinct(F.concat("a", "b"))).alias("num"))
+    held, held_path = stash(texts.join(bounded_broadcast(wanted.select("num").distinct()), "num").dropDuplicates(["num"]))
+    there = wanted.distinct().join(held, "num").select(F.col("meeting").alias("of"), "num", "text")
+    links, links_path = stash(likely.groupBy("meeting").cogroup(there.groupBy("of")).applyInArrow(_meeting_links(percent, shingle), "a long, b long"))
+    unstash(spark, [path, blocks_path, likely_path, held_path])
+    return links, [links_path]
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, cut: float = CUT, block: int = BLOCK) -> DataFrame:
@@ -246,46 +282,30 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     bands_of = nodes.select(F.explode("keys").alias("key"), "num").repartition(parts, "key").sortWithinPartitions("key", "num")
     stars, stars_path = stash(bands_of.mapInArrow(_stars, "key long, a long, b long"))
     slim = nodes.select("num", "n", "signature")
-    pairs = stars.filter("a != b").select("a", "b").distinct()
+    members = stars.select("key", F.col("a").alias("num"))
+    company = members.join(members.groupBy("key").agg(F.count("*").alias("rows")), "key").groupBy("num").agg(F.sum("rows").alias("company"))
+    centres = members.join(company, "num").groupBy("key").agg(F.max_by("num", F.struct("company", "num")).alias("b"))
+    popular = members.join(centres, "key").filter("num != b").select(F.col("num").alias("a"), "b")
+    pairs = stars.filter("a != b").select("a", "b").unionByName(popular).distinct()
     both = pairs.join(slim.toDF("a", "n", "signature"), "a").join(slim.toDF("b", "other_n", "other"), "b").select("a", "b", "n", "other_n", "signature", "other")
     likely, likely_path = stash(map_batches(both, _agree(cut, percent), "a long, b long, match int"))
 
     texts = df.select(F.xxhash64(text_digest(F.col(f"`{text}`")), F.lit(seed)).alias("num"), F.col(f"`{text}`").cast("binary").alias("text"))
-    found: list[DataFrame] = []
-    paths: list[str] = []
-
-    def confirm(tried: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-        """Adds the true links among tried (a, b); (node, root) by all links so far."""
-        if joined is not None and tried.isEmpty():
-            return joined
-        wanted = tried.select(F.col("a").alias("num")).unionByName(tried.select(F.col("b").alias("num"))).distinct()
-        held, held_path = stash(texts.join(bounded_broadcast(wanted), "num").dropDuplicates(["num"]))
-        sides = tried.join(held.toDF("a", "text"), "a").join(held.toDF("b", "other"), "b").select("a", "b", "text", "other")
-        links, path = stash(map_batches(sides, _confirmed(percent, shingle), "a long, b long"))
-        found.append(links)
-        joined, joined_path = components(reduce(DataFrame.unionByName, found))
-        unstash(spark, [held_path])
-        paths.extend([path, joined_path])
-        return joined
-
-    def apart(tried: DataFrame, joined: DataFrame) -> DataFrame:
-        """Those of tried (a, b) that no link connects yet."""
-        name = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        named = tried.join(name("a"), "a", "left").join(name("b"), "b", "left")
-        return named.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-
     best = likely.groupBy("a").agg(F.max_by("b", F.struct("match", -F.col("b"))).alias("b"))
-    joined = confirm(best)
-    rest, rest_path = stash(apart(likely.join(best, ["a", "b"], "left_anti").select("a", "b"), joined))
-    joined = confirm(rest, joined)
-    open_, open_paths = _open_pairs(stars.select("key", F.col("a").alias("num")), slim, joined, cut, percent, block)
-    fresh, fresh_path = stash(open_.join(likely, ["a", "b"], "left_anti"))
-    joined = confirm(fresh, joined)
+    held, held_path = stash(texts.join(bounded_broadcast(best.select(F.explode(F.array("a", "b")).alias("num")).distinct()), "num").dropDuplicates(["num"]))
+    sides = best.join(held.toDF("a", "text"), "a").join(held.toDF("b", "other"), "b").select("a", "b", "text", "other")
+    links, links_path = stash(map_batches(sides, _confirmed(percent, shingle), "a long, b long"))
+    joined, joined_path = components(links)
+    more, more_paths = _open_links(members, nodes, texts, joined, shingle, cut, percent, block)
+    paths = [held_path, links_path, joined_path, *more_paths]
+    if not more.isEmpty():
+        joined, joined_path = components(links.unionByName(more))
+        paths.append(joined_path)
 
     named = plain.withColumn("num", number).join(joined.withColumnRenamed("node", "num"), "num", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "num")).alias("root"))
     rows_of, rows_path = stash(named)
     least = rows_of.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    unstash(spark, [plain_path, nodes_path, stars_path, likely_path, rest_path, fresh_path, *open_paths, *paths])
+    unstash(spark, [plain_path, nodes_path, stars_path, likely_path, *paths])
     grouped = least.filter("rows > 1").select("root", "least")
     component = F.when(F.col("root").isNull() | F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     out = rows_of.join(bounded_broadcast(grouped), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
