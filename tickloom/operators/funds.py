@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as fn
+from .blocks import downside_corr, pairwise_corr  # noqa: F401  part of this module's functions
 
 C = F.col
 YEAR = 252
@@ -55,25 +56,6 @@ def incremental_profile(old: DataFrame, rets: DataFrame, last_n: int = 5 * YEAR)
     return old.unionByName(new.select(*old.columns))
 
 
-def pairwise_corr(rets: DataFrame) -> DataFrame:
-    """Correlation of daily returns of each pair of codes (a < b) over their common dates; NULL if one is constant."""
-    a = rets.select(C("code").alias("a"), "date", C("ret").alias("x"))
-    b = rets.select(C("code").alias("b"), "date", C("ret").alias("y"))
-    pairs = a.join(b, "date").filter(C("a") < C("b"))
-    return pairs.groupBy("a", "b").agg(fn.div(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"), F.count("*").alias("n"))
-
-
-def downside_corr(rets: DataFrame, share: float = 0.05, least: int = 5) -> DataFrame:
-    """Correlation of each pair on the worst days of their mean return."""
-    a = rets.select(C("code").alias("a"), "date", C("ret").alias("x"))
-    b = rets.select(C("code").alias("b"), "date", C("ret").alias("y"))
-    pairs = a.join(b, "date").filter(C("a") < C("b")).withColumn("mean", (C("x") + C("y")) / 2)
-    w = Window.partitionBy("a", "b")
-    ranked = pairs.withColumns({"r": F.row_number().over(w.orderBy("mean", "date")), "n": F.count("*").over(w)})
-    worst = ranked.filter(C("r") <= F.greatest(F.floor(C("n") * share), F.lit(least)))
-    return worst.groupBy("a", "b").agg(F.coalesce(fn.div(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), F.lit(0.5)).alias("downside"), F.count("*").alias("n"))
-
-
 def conflicts(corr: DataFrame, downside: DataFrame, most: float = 0.95, most_downside: float = 0.75) -> DataFrame:
     """Pairs (a, b) too alike: by all days or by the worst ones. A fund in neither table conflicts with none."""
     return corr.filter(C("corr") > most).select("a", "b").unionByName(downside.filter(C("downside") > most_downside).select("a", "b")).distinct()

@@ -207,7 +207,7 @@ def by_growth(spark, sf):
     return fu.fund_profile(rets(spark, sf)).select("code", F.row_number().over(Window.orderBy(F.desc("annual"), "code")).alias("rank"))
 
 
-register("fund_greedy_corr_filter", lambda spark, sf: fu.greedy_corr_filter(by_growth(spark, sf), durable(fu.conflicts(fu.pairwise_corr(rets(spark, sf)), fu.downside_corr(rets(spark, sf)), 0.02, 0.3)), durable).select("code", "rank"))
+register("fund_greedy_corr_filter", lambda spark, sf: fu.greedy_corr_filter(by_growth(spark, sf), durable(fu.conflicts(fu.pairwise_corr(rets(spark, sf), 0.02), fu.downside_corr(rets(spark, sf), above=0.3), 0.02, 0.3)), durable).select("code", "rank"))
 COMBO = RETS + ", cb as (select a.code || ':' || b.code as key, a.code as a, b.code as b from (select distinct code from fund_ret) a join (select distinct code from fund_ret) b on a.code < b.code), cr as (select key, row_number() over (partition by key order by x.date) - 1 as t, x.date, x.ret as x, y.ret as y from cb join fund_ret x on x.code = cb.a join fund_ret y on y.code = cb.b and y.date = x.date)"
 
 
