@@ -228,9 +228,11 @@ def merge_dims_and_rank(dims: list[DataFrame], funds: DataFrame, least_days: int
     return out.withColumns({"total_less_corr": C("total") / (C("downside") + 1), "score_less_corr": C("score") / (C("downside") + 1), "overseas": C("overseas") == 1})
 
 
-def valid_overlap(rets: DataFrame, combos: DataFrame) -> DataFrame:
-    """First and last date on which all members have a return, and how many such days."""
-    return combo_returns(rets, combos).groupBy("key").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.countDistinct("date").alias("days"))
+def valid_overlap(rets: DataFrame, combos: DataFrame, stale_days: int = 35) -> DataFrame:
+    """First and last date on which all members have a return, how many such days, and whether the last is over ``stale_days`` days before the table's last date."""
+    found = combo_returns(rets, combos).groupBy("key").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.countDistinct("date").alias("days"))
+    newest = F.broadcast(rets.agg(F.max("date").alias("newest")))  # one row
+    return found.join(newest).withColumn("stale", F.date_diff("newest", "last") > stale_days).drop("newest")
 
 
 def baseline(profiles: DataFrame) -> DataFrame:

@@ -66,9 +66,13 @@ def merge_param_files(spark, path: str, schema: str, keys: list[str]) -> DataFra
 
 
 def combined_score(results: DataFrame) -> DataFrame:
-    """(date, code): sum of total_count over the files, files that have some, and their product with the number of files."""
-    made = results.groupBy("date", "code").agg(F.sum("total_count").alias("total"), F.count_if(C("total_count") > 0).alias("nonzero"), F.countDistinct("file").alias("files"))
-    return made.withColumn("score", C("total") * C("files"))
+    """(date, code): sum of total_count over the files, files that have some, and the sum times the files' weight.
+
+    A file's kind is its name after ``day``; the first file of a kind weighs 2, each further one 1.
+    """
+    kind = F.coalesce(F.get(F.split("file", "day"), F.lit(1)), F.lit(""))
+    made = results.groupBy("date", "code").agg(F.sum("total_count").alias("total"), F.count_if(C("total_count") > 0).alias("nonzero"), F.count("file").alias("files"), F.countDistinct(kind).alias("kinds"))
+    return made.withColumn("score", C("total") * (C("files") + C("kinds")))
 
 
 def band_weights(success: Column) -> Column:

@@ -84,11 +84,12 @@ register("select_merge_param_files", _merged, SWEPT + " select key, 'first.json'
 
 def by_file(spark, sf):
     """How often each model chose a code on a date and was right, as one file for each model."""
-    return views.votes(spark, sf).groupBy(C("model").alias("file"), "date", "code").agg(F.sum(C("hit").cast("long")).alias("total_count"))
+    named = F.concat(C("model"), F.lit("day"), (F.substring("model", 2, 9).cast("int") % 4).cast("string"))
+    return views.votes(spark, sf).groupBy(named.alias("file"), "date", "code").agg(F.sum(C("hit").cast("long")).alias("total_count"))
 
 
-FILES = VOTES + ", fl as (select model as file, date, code, sum(hit::int)::bigint as total_count from votes group by 1, 2, 3)"
-register("select_combined_score", lambda spark, sf: rs.combined_score(by_file(spark, sf)).select(C("date").cast("string").alias("date"), "code", "total", "nonzero", "files", "score"), FILES + " select date::varchar as date, code, sum(total_count)::bigint as total, count(*) filter (where total_count > 0) as nonzero, count(distinct file) as files, (sum(total_count) * count(distinct file))::bigint as score from fl group by 1, 2")
+FILES = VOTES + ", fl as (select model || 'day' || (substr(model, 2)::int % 4)::varchar as file, date, code, sum(hit::int)::bigint as total_count from votes group by 1, 2, 3)"
+register("select_combined_score", lambda spark, sf: rs.combined_score(by_file(spark, sf)).select(C("date").cast("string").alias("date"), "code", "total", "nonzero", "files", "kinds", "score"), FILES + " select date::varchar as date, code, sum(total_count)::bigint as total, count(*) filter (where total_count > 0) as nonzero, count(*) as files, count(distinct string_split(file, 'day')[2]) as kinds, (sum(total_count) * (count(*) + count(distinct string_split(file, 'day')[2])))::bigint as score from fl group by 1, 2")
 
 
 def by_band(spark, sf):

@@ -107,6 +107,33 @@ def active(spark, sf):
 
 
 register("combo_pick_k_for_target", lambda spark, sf: co.pick_k_for_target(scored(spark, sf), 150), CODES + ", " + SCORED + ", r as (select *, row_number() over (partition by a order by score desc, key) as place from scored), m as (select *, sum(place - 1) over (order by score desc, key) as made from r) select count(*) as k, coalesce(max(made), 0)::bigint as made from m where made <= 150")
+register(
+    "combo_pick_k_strict",
+    lambda spark, sf: co.pick_k_strict(scored(spark, sf), 120, durable),
+    CODES + ", " + SCORED + ", r as (select *, row_number() over (order by score desc, key) as rank from scored), t as (select greatest(x.rank, y.rank, z.rank) as birth from r x join r y on x.a = y.a and x.b < y.b join r z on z.a = x.b and z.b = y.b), m as (select birth, sum(count(*)) over (order by birth) as made from t group by 1), k as (select coalesce((select min(birth) from m where made > 120) - 1, (select count(*) from r)) as k) select k, (select count(*) from t where birth <= k) as made from k",
+)
+
+
+def last_day(spark, sf):
+    """The hourly rows of the last day, with their active signals."""
+    rows = flags(spark, sf).withColumn("day", F.to_date("ts"))
+    return rows.join(F.broadcast(rows.agg(F.max("day").alias("day"))), "day").select("code", C("ts").cast("string").alias("ts"), "active")
+
+
+def all_sets(spark):
+    """Every set of one to four signals."""
+    pool = base(spark).select(C("signal").alias("member"))
+    one, *more = [co.combination_source(pool, n).select("combo") for n in range(1, 5)]
+    for x in more:
+        one = one.unionByName(x)
+    return one
+
+
+register(
+    "signal_satisfied_combos",
+    lambda spark, sf: co.satisfied(last_day(spark, sf), all_sets(spark), ["code", "ts"]).select("code", "ts", F.array_join(F.array_sort("combo"), ":").alias("combo")),
+    q.base() + ", c as (select code, ts, " + ", ".join(f"coalesce({c}, false) as f_{n}" for n, c in CONDS.items()) + " from b), f as (select code, ts, list_filter([" + ", ".join(f"case when f_{n} then '{n}' end" for n in NAMES) + "], lambda x: x is not null) as active from c where ts::date = (select max(ts::date) from c)), m as (select unnest(range(1, 31)) as m), s as (select list_sort(list_filter([" + ", ".join(f"case when (m >> {k}) & 1 = 1 then '{n}' end" for k, n in enumerate(NAMES)) + "], lambda x: x is not null)) as l from m) select code, ts::varchar as ts, array_to_string(l, ':') as combo from f join s on list_has_all(active, l)",
+)
 register(
     "combo_seed_select",
     lambda spark, sf: co.seed_select(scored(spark, sf), 20, active(spark, sf)).select("key", "score"),
@@ -226,7 +253,25 @@ def path(spark, sf):
     return fu.portfolio_path(fu.combo_returns(rets(spark, sf), combos(spark, sf)))
 
 
-register("fund_valid_overlap", lambda spark, sf: fu.valid_overlap(rets(spark, sf), combos(spark, sf)).select("key", C("first").cast("string").alias("first"), C("last").cast("string").alias("last"), "days"), COMBO + " select key, min(date)::varchar as first, max(date)::varchar as last, count(*) as days from cr group by 1")
+OVERLAP = "min(date)::varchar as first, max(date)::varchar as last, count(*) as days, date_diff('day', max(date), (select max(date) from fund_ret)) > {0} as stale"
+
+
+def overlap(df):
+    return df.select("key", C("first").cast("string").alias("first"), C("last").cast("string").alias("last"), "days", "stale")
+
+
+register("fund_valid_overlap", lambda spark, sf: overlap(fu.valid_overlap(rets(spark, sf), combos(spark, sf))), COMBO + " select key, " + OVERLAP.format(35) + " from cr group by 1")
+
+
+def triples(spark, sf):
+    """Every set of three funds, made from its number."""
+    made = co.combination_source(codes(spark, sf).withColumnRenamed("code", "member"), 3)
+    return made.select(F.array_join("combo", ":").alias("key"), "combo")
+
+
+TRIPLES = RETS + ", u3 as (select distinct code from fund_ret), c3 as (select a.code || ':' || b.code || ':' || c.code as key, a.code as a, b.code as b, c.code as c from u3 a join u3 b on a.code < b.code join u3 c on b.code < c.code), cr as (select key, x.date, x.ret as x, y.ret as y, z.ret as z from c3 join fund_ret x on x.code = c3.a join fund_ret y on y.code = c3.b and y.date = x.date join fund_ret z on z.code = c3.c and z.date = x.date)"
+register("combo_source", lambda spark, sf: triples(spark, sf).select("key"), TRIPLES + " select key from c3")
+register("fund_valid_overlap_triples", lambda spark, sf: overlap(fu.valid_overlap(rets(spark, sf), triples(spark, sf), 1)), TRIPLES + " select key, " + OVERLAP.format(1) + " from cr group by 1")
 register("fund_portfolio_path", lambda spark, sf: path(spark, sf).select("key", "t", C("date").cast("string").alias("date"), F.round(C("ret") + 1e-12, 8).alias("ret")), PATH + " select key, t, date::varchar as date, round(ret + 1e-12, 8) as ret from pp")
 def measured(k: str, source: str) -> str:
     """Stages from daily returns (k, t, ret) of ``source`` to the metrics mm by k."""
