@@ -52,6 +52,13 @@ def test_exact_dedup_tells_collisions_apart(spark, monkeypatch):
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == [(1, 3, 2), (2, 4, 2), (3, 3, 2), (4, 4, 2), (5, 5, 1)]
 
 
+def test_many_null_ids_meet_by_digest(spark):
+    docs = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 10000) as text")
+    out = exact_dedup.decide(docs)[0]
+    assert out.count() == 30_000 and out.filter("group_size = 3 and keep_id is null").count() == 30_000
+    assert exact_dedup.filter_documents(docs).count() == 10_000
+
+
 def test_exact_filter_of_repeated_and_null_ids(spark):
     rows = [(1, "copy"), (None, "copy"), (None, "only here"), (2, "twin"), (3, "twin"), (2, "only there"), (4, None), (4, "")]
     kept = exact_dedup.filter_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()

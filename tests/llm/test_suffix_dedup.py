@@ -84,6 +84,21 @@ def test_a_hot_passage(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == brute(rows)
 
 
+def test_an_input_that_comes_in_another_order_at_each_read(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sd, "PACK", 2000)
+    passage = " ".join(f"word{k}" for k in range(20))
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 300))) + (passage if i % 3 else "")) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(docs.repartition(3).orderBy(F.rand())) == brute(rows)
+    docs.write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    assert sd.repeatable(stored.filter("doc_id > 3").select("doc_id", "text"))
+    assert not sd.repeatable(stored.orderBy("doc_id")) and not sd.repeatable(stored.filter(F.rand() > 0.5)) and not sd.repeatable(stored.repartition(4))
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(5)
     near = rng.integers(97, 99, (500, sd.AROUND)).astype(np.uint8)

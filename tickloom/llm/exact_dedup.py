@@ -9,8 +9,9 @@ with the row that stays; rows that share a digest but not the bytes are grouped
 Null counts as the empty text, so null and empty texts are copies of each other. Of equal texts the row
 with the largest doc_id stays; repeated rows (same doc_id and text) count in group_size, and
 ``filter_documents`` leaves one of them. A null doc_id never beats another; in a group of nulls alone
-keep_id is null. Texts of any length are shuffled only if they have a copy. Empty tables give empty
-results; other columns play no part and may have any name.
+keep_id is null. Up to BROADCAST_IDS copies, texts of any length are shuffled only if they have a copy;
+beyond that all texts meet the copies' ids and digests by a shuffle. Empty tables give empty results;
+other columns play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -111,8 +112,9 @@ def decide(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: i
     decided = rows.join(snapshot.select("digest", "keep_id", "group_size"), "digest").select("doc_id", "digest", "keep_id", "group_size")
 
     # byte check of every copy against the row that stays
-    ids = copies.select("doc_id", "digest", "keep_id", "group_size")
-    held, path = stash(docs.join(bounded_broadcast(ids.withColumnRenamed("doc_id", "id")), F.col("doc_id").eqNullSafe(F.col("id"))).drop("id").filter(digest_of(F.col("text")) == F.col("digest")))
+    ids = copies.select(F.col("doc_id").alias("id"), "digest", "keep_id", "group_size").distinct()
+    # by id and digest: ids may be null or repeated
+    held, path = stash(docs.withColumn("own", digest_of(F.col("text"))).join(bounded_broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest"))).drop("id", "own"))
     paths.append(path)
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     stays = (

@@ -400,9 +400,25 @@ def _collect(group: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array([int(x["own"][0]) for x in parts], pa.int64()), "data": pa.array(blobs, pa.binary())})
 
 
+def repeatable(df: DataFrame) -> bool:
+    """Whether each read of df gives the same rows in the same order: columns and filters over files, nothing behind a shuffle."""
+
+    def plain(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName() in ("Project", "Filter", "LogicalRelation") and all(plain(children.apply(k)) for k in range(children.size()))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return bool(plan.deterministic()) and plain(plan)
+
+
 def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, data): the spans to remove of each document that has any, by the hash of id and text (own)."""
+    """(id, data): the spans to remove of each document that has any, by the hash of id and text (own).
+
+    Packs are cut twice, once for their hashes and once for their bytes; an input that may come in another order is written first.
+    """
     docs = _documents(df, doc_id, text)
+    if not repeatable(df):
+        docs, _ = stash(docs)
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets, hash_buckets = max(1, int(size // BUCKET_BYTES)), max(1, int(size // HASH_BYTES))
     spark = df.sparkSession
