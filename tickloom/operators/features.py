@@ -129,11 +129,21 @@ def range_position(keys=("close",), windows=(5, 10), flat=0.0):
     return [lambda: {f"{k}_pos{n}": one(k, n) for k in keys for n in windows}]
 
 
-def holiday_marks(gap=1, most=3):
-    """pre1..pre3, post1..post3: bars before and after a gap of more than ``gap`` days"""
+def holiday_marks(gap=1, most=3, free_day=None):
+    """pre1..pre3, post1..post3: bars before and after a gap of more than ``gap`` days
+
+    What follows the last bar is not known yet: it counts as before a gap if ``free_day`` (a date; by default the
+    next Saturday) is up to ``most`` days off, and the bars before it accordingly.
+    """
+    last = F.max(C("ts").cast("date")).over(S.all)
+    until = F.pmod(F.lit(5) - F.weekday(last), F.lit(7)) if free_day is None else F.datediff(F.lit(free_day).cast("date"), last)
+
+    def before(i):
+        return F.coalesce(F.lead("_gap", i).over(S.w), F.lit(False)) | ((C("_until") <= most) & (C("_back") == i - C("_until")))
+
     return [
-        lambda: {"_gap": fn.sig(F.datediff(C("ts"), F.lag("ts").over(S.w)) > gap)},
-        lambda: {f"pre{i}": F.coalesce(F.lead("_gap", i).over(S.w), F.lit(False)) for i in range(1, most + 1)} | {f"post{i}": F.coalesce(F.lag("_gap", i - 1).over(S.w), F.lit(False)) for i in range(1, most + 1)},
+        lambda: {"_gap": fn.sig(F.datediff(C("ts"), F.lag("ts").over(S.w)) > gap), "_until": until, "_back": F.count("*").over(S.all) - C("rn")},
+        lambda: {f"pre{i}": before(i) for i in range(1, most + 1)} | {f"post{i}": F.coalesce(F.lag("_gap", i - 1).over(S.w), F.lit(False)) for i in range(1, most + 1)},
     ]
 
 

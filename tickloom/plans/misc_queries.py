@@ -273,6 +273,24 @@ def _eliminated(spark, sf):
 
 register("model_feature_elimination", _eliminated)
 
+
+def _by_variance(spark, sf):
+    """Rows by how many components keep 95 % of the variance."""
+    data, columns = training(spark, sf)
+    made = ml.preprocess_by_variance(raw := data.drop("features"), columns).transform(raw)
+    return made.select("code", F.size(vector_to_array("features")).alias("components")).groupBy("code", "components").agg(F.count("*").alias("n"))
+
+
+def _by_folds(spark, sf):
+    """How well each number of features does over the folds, and whether it is the one that is kept."""
+    data, columns = training(spark, sf)
+    kept, means = ml.eliminate_by_folds(data, columns, 0.34, 2, 2)
+    return spark.createDataFrame([(n, round(m, 6), n == len(kept)) for n, m in means.items()], "features int, accuracy double, kept boolean")
+
+
+register("model_preprocess_by_variance", _by_variance)
+register("model_elimination_by_folds", _by_folds)
+
 # -- sorts, sets, scalars ----------------------------------------------------------------------------
 register("sort_top_per_group", lambda spark, sf: views.votes(spark, sf).groupBy("model").agg(F.max_by("vote_id", F.struct("prob", -C("vote_id"))).alias("best"), F.min_by("vote_id", F.struct("prob", "vote_id")).alias("worst")), q.views("votes") + " select model, arg_max(vote_id, prob * 1000000000 - vote_id) as best, arg_min(vote_id, prob * 1000000000 + vote_id) as worst from votes group by model")
 register("sort_top_k", lambda spark, sf: views.votes(spark, sf).orderBy(F.desc("prob"), "vote_id").limit(25).select("vote_id", "prob"), q.views("votes") + " select vote_id, prob from votes order by prob desc, vote_id limit 25")
