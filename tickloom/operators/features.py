@@ -138,11 +138,13 @@ def holiday_marks(gap=1, most=3, free_day=None):
     last = F.max(C("ts").cast("date")).over(S.all)
     until = F.pmod(F.lit(5) - F.weekday(last), F.lit(7)) if free_day is None else F.datediff(F.lit(free_day).cast("date"), last)
 
+    back = F.count("*").over(S.all) - C("rn")
+
     def before(i):
-        return F.coalesce(F.lead("_gap", i).over(S.w), F.lit(False)) | ((C("_until") <= most) & (C("_back") == i - C("_until")))
+        return F.coalesce(F.lead("_gap", i).over(S.w), F.lit(False)) | ((until <= most) & (back == i - until))
 
     return [
-        lambda: {"_gap": fn.sig(F.datediff(C("ts"), F.lag("ts").over(S.w)) > gap), "_until": until, "_back": F.count("*").over(S.all) - C("rn")},
+        lambda: {"_gap": fn.sig(F.datediff(C("ts"), F.lag("ts").over(S.w)) > gap)},
         lambda: {f"pre{i}": before(i) for i in range(1, most + 1)} | {f"post{i}": F.coalesce(F.lag("_gap", i - 1).over(S.w), F.lit(False)) for i in range(1, most + 1)},
     ]
 

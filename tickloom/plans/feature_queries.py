@@ -34,7 +34,9 @@ add("rolling_flags", ft.rolling_flags(), [{k: v for n in (3, 5, 10) for k, v in
     f"close_above{n}": SIG(f"close > {q.ma('close', n)}") + "::int", f"close_below{n}": SIG(f"close < {q.ma('close', n)}") + "::int"}.items()}])
 add("range_position", ft.range_position(), [{f"close_pos{n}": f"coalesce({D(f'close - {q.llv('close', n)}', f'{q.hhv('close', n)} - {q.llv('close', n)}')}, 0)" for n in (5, 10)}])
 add("range_position_flat", ft.range_position(("volume",), (3,), 1.0), [{"volume_pos3": f"case when {q.hhv('volume', 3)} = {q.llv('volume', 3)} then 1 else coalesce({D(f'volume - {q.llv('volume', 3)}', f'{q.hhv('volume', 3)} - {q.llv('volume', 3)}')}, 0) end"}])
-add("holiday_marks", ft.holiday_marks(), [{"_gap": SIG(f"date_diff('day', {R('ts')}, ts) > 1"), "_until": "(13 - isodow(max(ts) over (partition by code))) % 7", "_back": "count(*) over (partition by code) - rn"}, {f"pre{i}": f"coalesce(lead(_gap, {i}) over {q.W}, false) or (_until <= 3 and _back = {i} - _until)" for i in (1, 2, 3)} | {f"post{i}": f"coalesce(lag(_gap, {i - 1}) over {q.W}, false)" for i in (1, 2, 3)}], "day", False)
+UNTIL = "(13 - isodow(max(ts) over (partition by code))) % 7"
+PRE = f"coalesce(lead(_gap, {{0}}) over {q.W}, false) or ({UNTIL} <= 3 and count(*) over (partition by code) - rn = {{0}} - {UNTIL})"
+add("holiday_marks", ft.holiday_marks(), [{"_gap": SIG(f"date_diff('day', {R('ts')}, ts) > 1")}, {f"pre{i}": PRE.format(i) for i in (1, 2, 3)} | {f"post{i}": f"coalesce(lag(_gap, {i - 1}) over {q.W}, false)" for i in (1, 2, 3)}], "day", False)
 CK = ("close", "m3", "m5", "m10")
 add("crossovers", ft.crossovers(), [{f"m{n}": q.ma("close", n) for n in (3, 5, 10)}, {k: v for a, b in combinations(CK, 2) for k, v in {f"{a}_over_{b}": SIG(f"{R(a)} - {R(b)} < 0 and {a} - {b} > 0") + "::int", f"{a}_under_{b}": SIG(f"{R(a)} - {R(b)} > 0 and {a} - {b} < 0") + "::int"}.items()}])
 NEXT = lambda f, x, d: f"{f}({x}) over (partition by code order by ts rows between 1 following and {d} following)"
@@ -164,7 +166,7 @@ GAPS = ("close_chg3", "close_chg5", "close_chg10")
 LINES3 = ("close", "m3", "m5", "m10", "boll_up", "boll_low")
 DATA = [
     {"_gap": SIG(f"date_diff('day', {R('ts')}, ts) > 1")} | {f"close_chg{p}": PCT(D(f"close - {R('close', p)}", R("close", p))) for p in (3, 5, 10)},
-    {f"pre{i}": f"coalesce(lead(_gap, {i}) over {q.W}, false)" for i in (1, 2, 3)} | crossing_sql(GAPS),
+    {f"pre{i}": PRE.format(i) for i in (1, 2, 3)} | crossing_sql(GAPS),
     *technical_sql(),
     {f"amp{n}": PCT(D(f"max(high) over {q.past(n)} - min(low) over {q.past(n)}", R("close", n - 1))) for n in (1, 3, 5, 10)},
     *analysis_sql(AKEYS, (3, 5, 10)),
