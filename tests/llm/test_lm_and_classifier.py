@@ -136,7 +136,8 @@ def test_classifier(spark, odd_docs, no_docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert sum((r.score >= 0.5) == (r.doc_id < 1000) for r in held) >= 0.95 * len(held)
     odd = quality_classifier.score(odd_docs, labels).collect()
-    assert len(odd) == odd_docs.count() and all(r.score == 0.5 for r in odd if not rows)
+    assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
+    assert len({r.score for r in odd if r.doc_id in (0, 1)}) == 1  # null and empty texts
     assert quality_classifier.score(no_docs, labels).count() == 0
     assert {r.score for r in quality_classifier.score(docs, labels.limit(0)).collect()} == {0.5}
 
