@@ -13,8 +13,11 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -97,6 +100,22 @@ def ema(x: str, n: int) -> Fold:
     return Fold((x,), smooth(2 / (n + 1)))
 
 
+def last_ema(n: int):
+    """A grouped aggregate of (value, order): the exponential mean after the last row of a group. A group is held by one task."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, at: pd.Series) -> float:
+        known = x.iloc[np.argsort(at.to_numpy(), kind="stable")].dropna().to_numpy(float)
+        if not len(known):
+            return None
+        alpha = 2 / (n + 1)
+        weights = alpha * (1 - alpha) ** np.arange(len(known) - 1, -1, -1.0)
+        weights[0] /= alpha  # the series starts at its first value
+        return float(weights @ known)
+
+    return run
+
+
 def sma_cn(x: str, n: int, m: int = 1) -> Fold:
     return Fold((x,), smooth(m / n))
 

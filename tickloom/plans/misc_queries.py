@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.steps import with_steps
 from ..operators import features as ft
 from ..operators import forests as fo
@@ -291,6 +292,8 @@ def _by_folds(spark, sf):
 register("model_preprocess_by_variance", _by_variance)
 register("model_elimination_by_folds", _by_folds)
 
+register("series_last_ema", lambda spark, sf: bars(spark, sf).groupBy("code").agg(folds.last_ema(5)("close", "ts").alias("last_ema")).select("code", *r6("last_ema")), HOUR + f", e as (select code, ts, {q.ema('close', 5)} as e from b) select code, round(arg_max(e, ts) + 1e-9, 6) as last_ema from e group by code")
+
 # -- sorts, sets, scalars ----------------------------------------------------------------------------
 register("sort_top_per_group", lambda spark, sf: views.votes(spark, sf).groupBy("model").agg(F.max_by("vote_id", F.struct("prob", -C("vote_id"))).alias("best"), F.min_by("vote_id", F.struct("prob", "vote_id")).alias("worst")), q.views("votes") + " select model, arg_max(vote_id, prob * 1000000000 - vote_id) as best, arg_min(vote_id, prob * 1000000000 + vote_id) as worst from votes group by model")
 register("sort_top_k", lambda spark, sf: views.votes(spark, sf).orderBy(F.desc("prob"), "vote_id").limit(25).select("vote_id", "prob"), q.views("votes") + " select vote_id, prob from votes order by prob desc, vote_id limit 25")

@@ -28,7 +28,7 @@ def write_series_files(df: DataFrame, path: str) -> None:
 
 def write_bar_files(df: DataFrame, path: str) -> None:
     """Parquet with zstd, in a folder for each code."""
-    df.write.partitionBy("code").option("compression", "zstd").parquet(path)
+    df.repartition("code").write.partitionBy("code").option("compression", "zstd").parquet(path)
 
 
 def downcast(df: DataFrame) -> DataFrame:
