@@ -145,3 +145,56 @@ def test_classifier(spark, odd_docs, no_docs):
 def test_votes_break_ties_by_place():
     model = {"known": np.ones((2, 40), np.float32) / np.sqrt(2).astype(np.float32), "votes": np.array([1.0] * 20 + [0.0] * 20)}
     assert np.allclose(quality_classifier.vote(np.ones((3, 2), np.float32) / np.sqrt(2).astype(np.float32), model, 20), 1)
+
+
+def plain_scores(docs, labels):
+    """tf-idf, singular vectors, cosines and votes of operator 10 with dictionaries and one whole decomposition."""
+
+    def counted(text):
+        words, lines = text.encode().split(), [x for x in text.encode().split(b"\n") if x.strip()]
+        out = Counter(w[-3:] for w in words)
+        out[b"distinct:%d" % (10 * len(set(words)) // max(1, len(words)))] += 1 + len(words) // 2
+        out[b"repeated:%d" % (10 * (len(lines) - len(set(lines))) // max(1, len(lines)))] += 1 + len(words) // 2
+        out[b"length:%d" % len(words).bit_length()] += 1 + len(words) // 8
+        hashed = Counter()
+        for term, n in out.items():
+            hashed[zlib.crc32(term) % 4096] += n
+        return {t: 1 + np.log(n) for t, n in hashed.items()}
+
+    found = {i: counted(t) for i, t in docs}
+    seen = Counter(t for f in found.values() for t in f)
+
+    def vector(f):
+        v = np.zeros(4096)
+        for t, n in f.items():
+            v[t] = n * (np.log((1 + len(docs)) / (1 + seen[t])) + 0.1)
+        return v
+
+    unit = lambda v: v / np.maximum(np.linalg.norm(v), 1e-12)
+    known = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 5)
+    rows = np.array([unit(vector(found[i])) for i in known])
+    axes = np.linalg.svd(rows, full_matrices=False)[2][:48]
+    latent = {i: unit(axes @ vector(f)) for i, f in found.items()}
+    scores = {}
+    for i in found:
+        near = sorted(((round(float(latent[i] @ latent[j]), 6), -k) for k, j in enumerate(known)), reverse=True)[:25]
+        weights = [max(s, 0) ** 4 for s, _ in near]
+        votes = [labels[known[-k]] for _, k in near]
+        scores[i] = sum(w * v for w, v in zip(weights, votes, strict=True)) / sum(weights) if sum(weights) else np.mean([labels[j] for j in known])
+    return scores
+
+
+def test_classifier_against_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    ends = ["ing", "tion", "ly", "ed", "é$", "%%", "ness", "xx"]
+    docs = []
+    for i in range(160):
+        own = rng.dirichlet(np.ones(8) * (0.5 if i % 2 else 1.5))
+        words = [f"w{rng.integers(40)}{rng.choice(ends, p=own)}" for _ in range(int(rng.integers(0, 90)))]
+        docs.append((i, "".join(w + ("\n" if rng.random() < 0.2 else " ") for w in words)))
+    labels = {i: int(i % 2) for i in range(0, 72)}
+    want = plain_scores(docs, labels)
+    got = quality_classifier.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    apart = [abs(r.score - want[r.doc_id]) for r in got.collect()]
+    # 32-bit products may exchange two neighbours whose similarities agree in six digits
+    assert len(apart) == 160 and sum(a < 1e-3 for a in apart) >= 158 and max(apart) < 0.1
