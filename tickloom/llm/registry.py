@@ -37,5 +37,6 @@ def oracle_sql() -> dict:
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op9_url_filters": url_filters.ORACLE,
         "op11_minhash_near_dedup": minhash.ORACLE,
+        "op12_spelling_variants": spelling_variants.ORACLE,
         "op13_vector_codes": vector_codes.ORACLE,
     }

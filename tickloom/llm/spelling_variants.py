@@ -264,3 +264,33 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_letter
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 in SQL, a byte at a time and bit by bit (its reversed polynomial is a fixed value); a letter with a mark is two bytes in UTF-8.
+_BYTES = "flatten(list_transform(string_split(s, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end))"
+_EIGHT_BITS = "list_reduce(list_concat([xor(a, b) & 255], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::bigint], bytes), lambda a, b: xor(a >> 8, {_EIGHT_BITS})), 4294967295::bigint)"
+
+ORACLE = f"""
+with recursive runs as materialized (
+  select doc_id, w, count(*) as k from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as w from documents)
+  where length(w) >= {MIN_LETTERS} group by 1, 2),
+coded as (select w, k, {_BYTES} as bytes from (select w, k, coalesce(doc_id::varchar, '') || ':' || w as s from runs)),
+hashed as materialized (select w, k, {_CRC} as h from coded),
+words as materialized (
+  select word, sum(k)::bigint as n from (
+    select case when h % {ERROR_EVERY} = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, k from hashed)
+  where length(word) >= {MIN_LETTERS} group by 1 having sum(k) >= {MIN_COUNT}),
+less as materialized (select word, p, substr(word, 1, p - 1) || substr(word, p + 1) as v from (select word, unnest(range(1, length(word) + 1)) as p from words)),
+pairs as materialized (
+  select x.word as a, y.word as b from less x join less y on x.v = y.v and x.p = y.p and x.word <> y.word
+  union select w.word, l.word from words w join less l on l.v = w.word union select l.word, w.word from words w join less l on l.v = w.word),
+best as (select a as word, count(*) as n_near, arg_min(b, (-n, b)) as near, max(n) as near_n from pairs join words on words.word = b group by 1),
+forms as materialized (
+  select words.word, words.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 2 * words.n then near end as form, case when near_n >= 2 * words.n then near_n end as form_n
+  from words left join best using (word)),
+up as (select word, word as root from forms union all select up.word, forms.form from up join forms on forms.word = up.root where forms.form is not null)
+select f.word, f.form, u.root, f.n, f.n_near, f.form_n
+from forms f join (select up.word, up.root from up join forms g on g.word = up.root where g.form is null) u using (word)
+"""
