@@ -28,6 +28,13 @@ def div(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def quotient(a, b) -> Column:
+    """Division as doubles are divided: infinity or NaN for a zero divisor, where ``/`` would end the job."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))
+    return F.when(b == 0, F.when(a.isNotNull(), zero)).otherwise(F.try_divide(a, b))
+
+
 def half_even(x, digits: int) -> Column:
     """Round half to even after scaling, as numpy does."""
     return F.rint(col(x) * 10**digits) / 10**digits

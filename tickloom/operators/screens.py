@@ -130,7 +130,7 @@ def daily_24():
     C = F.col
     return [
         *ind.adaptive_line(),
-        lambda: {"od": F.coalesce(C("open") / C("adaptive"), F.lit(0.0)) * 100, "cd": F.coalesce(C("close") / C("adaptive"), F.lit(0.0)) * 100, "ma40": S.ma("close", 40)},
+        lambda: {"od": F.coalesce(fn.quotient("open", "adaptive"), F.lit(0.0)) * 100, "cd": F.coalesce(fn.quotient("close", "adaptive"), F.lit(0.0)) * 100, "ma40": S.ma("close", 40)},
         lambda: {"od1": S.ref("od")},
         _lagged(chg=1, open=1, close=1),
         lambda: {"buy": F.expr("coalesce(od < 96 and od > od1 and close < ma40 and chg < 0 and turnover > 0.5 and chg1 < 0 and cd < 96 and chg > -0.95 * limit_rate and open1 > close1, false)")},
@@ -194,7 +194,7 @@ def daily_9():
     """Oversold against the long means after wide bars, unless a rise has already followed."""
     C = F.col
     return [
-        lambda: {"_x3": fn.sig(C("high") > C("low") * 1.052), "_low": fn.sig(C("close") / S.ma("close", 60) * 100 < 75) | fn.sig(C("close") / S.ma("close", 40) * 100 < 80), "_a5": _adjusted(5)},
+        lambda: {"_x3": fn.sig(C("high") > C("low") * 1.052), "_low": fn.sig(fn.quotient("close", S.ma("close", 60)) * 100 < 75) | fn.sig(fn.quotient("close", S.ma("close", 40)) * 100 < 80), "_a5": _adjusted(5)},
         lambda: {"_x6": C("_x3") & fn.sig(S.count("_x3", 5) > 1) & C("_low") & ~((C("close") == C("low")) & (C("high") == C("low")))},
         lambda: {"_e5": folds.dma("close", "_a5")},
         lambda: {"buy": C("_x6") & ~((C("close") > C("open")) & S.exist("_x6", 10) & fn.sig(C("_e5") > S.ref("_e5")))},
@@ -206,7 +206,7 @@ def daily_10():
     C = F.col
 
     def far(n):
-        return (C("close") - S.ma("close", n)) / S.ma("close", n)
+        return fn.quotient(C("close") - S.ma("close", n), S.ma("close", n))
 
     return [
         lambda: {"_b27": far(27) * 100, "_b21": far(21), "_b28": far(28) * 100, "_typical": (C("close") + C("low") + C("high")) / 3, "_a3": _adjusted(3), "_a26": _adjusted(26), "_c10": S.llv("close", 10), "_l10": S.llv("low", 10)},
@@ -218,8 +218,8 @@ def daily_10():
         lambda: {"_second": F.coalesce(F.last(F.when(C("_up"), C("_prev")), True).over(S.upto), F.lit(0))},
         lambda: {
             "_all": fn.sig(
-                (C("_x3") < -10) & (C("_second") > 3) & (C("close") / (C("_t26") * 0.9) < 0.95) & (C("_x9") < -15) & (C("_b28") < -23)
-                & (C("close") / S.ref("_c10") < 0.96) & (C("low") / S.ref("_l10") < 0.99) & (C("close") != C("low")) & (C("close") / C("low") > 1.005)
+                (C("_x3") < -10) & (C("_second") > 3) & (fn.quotient("close", C("_t26") * 0.9) < 0.95) & (C("_x9") < -15) & (C("_b28") < -23)
+                & (fn.quotient("close", S.ref("_c10")) < 0.96) & (fn.quotient("low", S.ref("_l10")) < 0.99) & (C("close") != C("low")) & (fn.quotient("close", "low") > 1.005)
             )
         },
         lambda: {"_before": F.last(F.when(C("_all"), C("rn")), True).over(S.w.rowsBetween(Window.unboundedPreceding, -1))},
@@ -267,7 +267,7 @@ def daily_11(bars: DataFrame) -> DataFrame:
             lambda: {"_x10": F.sum(fn.sig(C("_top") > C("close")).cast("int")).over(S.upto), "_m18": S.ma("close", 18), "_l3": S.llv("low", 3), "_x15": F.when(C("close") < C("open"), F.try_divide(C("close") - C("low"), C("high") - C("low"))).otherwise(0.0)},
             lambda: {
                 "buy": fn.sig(
-                    (C("_x9") < C("_x10")) & (C("close") / S.ref("_l3") < 1) & (C("close") < C("open")) & (C("close") != C("low"))
+                    (C("_x9") < C("_x10")) & (fn.quotient("close", S.ref("_l3")) < 1) & (C("close") < C("open")) & (C("close") != C("low"))
                     & (C("close") >= C("_m18") * 1.004) & (C("_m18") >= S.ref("_m18")) & (C("_x15") > 0.03) & (C("_x15") < 0.3)
                 )
             },
@@ -297,10 +297,10 @@ def daily_25():
     return [
         lambda: {f"_e{n}": folds.ema("close", n) for n in SPANS},
         lambda: {f"_pb{n}": (C(f"_e{n}") + S.ma("close", 2 * n) + S.ma("close", 4 * n)) / 3 for n in SPANS} | {"_m60": S.ma("close", 60), "_v5": S.ma("volume", 5), "_v60": S.ma("volume", 60)},
-        lambda: {"_lowest": fold_over(fn.least, pb()), "_highest": fold_over(fn.greatest, pb()), "_lb": fn.div("volume", S.ref("_v5")), "_near": fn.sig(spread() / C("close") < 0.2)},
+        lambda: {"_lowest": fold_over(fn.least, pb()), "_highest": fold_over(fn.greatest, pb()), "_lb": fn.div("volume", S.ref("_v5")), "_near": fn.sig(fn.quotient(spread(), "close") < 0.2)},
         lambda: {"_xg": (fn.sig(C("open") < C("_lowest")) | fn.sig(S.ref("open") < C("_lowest"))) & fn.sig(C("close") > C("_highest")), "_loud": fn.sig(C("_lb") > 2.2)},
         lambda: {
-            "_jl": fn.sig((C("close") > C("_m60")) & (C("_v5") > C("_v60") * 0.9) & (C("close") > C("_m60") * 1.02) & (C("close") < C("_m60") * 1.15) & (C("close") > C("open") * 1.02) & (C("close") / C("prev_close") - 1 > 0.03))
+            "_jl": fn.sig((C("close") > C("_m60")) & (C("_v5") > C("_v60") * 0.9) & (C("close") > C("_m60") * 1.02) & (C("close") < C("_m60") * 1.15) & (C("close") > C("open") * 1.02) & (fn.quotient("close", "prev_close") - 1 > 0.03))
             & (C("_loud") | fn.sig(S.ref("_loud"))) & (C("_xg") | fn.sig(S.ref("_xg"))) & (C("_near") | fn.sig(S.ref("_near")))
         },
         lambda: {

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import quotient
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,8 +45,8 @@ def quoted(bars: DataFrame) -> DataFrame:
     return bars.select(
         "*",
         last.alias("prev_close"),
-        ((F.col("close") / last - 1) * 100).alias("chg"),
-        ((F.col("high") - F.col("low")) / last * 100).alias("amplitude"),
+        ((quotient("close", last) - 1) * 100).alias("chg"),
+        (quotient(F.col("high") - F.col("low"), last) * 100).alias("amplitude"),
         (F.col("volume") / F.avg("volume").over(Window.partitionBy("code"))).alias("turnover"),
         F.lit(10.0).alias("limit_rate"),
     )
