@@ -1,7 +1,10 @@
 """Queries against their SQL on made-up tables with what larger ones hold: zero prices, long series, ties of rounding."""
 
 import random
+import subprocess
+import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -9,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import series as fn
-from tickloom.plans import registry
+from tickloom.plans import misc_queries, registry
+from tickloom.sources import io
+from tickloom.streaming import live
 
-from test_queries import TABLES, rows
+from test_queries import SF, TABLES, rows
 
 
 def against_sql(spark, folder, name):
@@ -44,3 +49,76 @@ def test_screens_with_prices_of_zero(spark, tmp_path, name):
     events(spark, tmp_path, made)
     got, want = against_sql(spark, tmp_path, name)
     assert got == want and len(got) > 400
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "800m").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", sys.argv[2]).config("spark.executorEnv.PYTHONPATH", sys.argv[1]).getOrCreate()
+sys.path.insert(0, sys.argv[1])
+from tickloom.plans import misc_queries, registry
+registry.queries()["source_database"](spark, sys.argv[3]).write.parquet(sys.argv[4])
+"""
+
+
+def test_database_is_seen_by_all_executors(tmp_path):
+    repo = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", CLUSTER, repo, f"file://{tmp_path}/shared", SF, f"{tmp_path}/out"], capture_output=True, text=True, timeout=300, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{SF}/orders.parquet'")
+    assert rows(con.sql(f"select * from '{tmp_path}/out/*.parquet'").df()) == rows(con.sql(registry.oracle_sql()["source_database"]).df())
+
+
+def test_sqlite_tables_keep_values_and_are_replaced(spark, tmp_path):
+    made = spark.createDataFrame([("a", 2**60 + 1, 0.1), (None, None, None), ("c'\"", 3, -1e300)], "s string, n long, x double").coalesce(1)
+    for df in (made.limit(1), made):
+        io.write_sqlite(df, str(tmp_path), "t", {"s": "name"})
+    got = io.read_sqlite(spark, str(tmp_path), "t", "name string, n long, x double").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, made.collect())))
+    with pytest.raises(ValueError, match="no SQLite type"):
+        io.write_sqlite(made.select(F.array("s").alias("l")), str(tmp_path), "t", {})
+
+
+@pytest.fixture
+def small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    yield
+    spark.conf.set(key, before)
+
+
+def busy(spark, folder):
+    """Two event types, each with more ticks in a micro-batch and a day than one Arrow batch takes."""
+    rng, begin = random.Random(9), datetime(2024, 1, 1)
+    events(spark, folder, [(k, begin + timedelta(minutes=2 * k), k % 7, "ab"[k % 2], 3000.0 - k + rng.randint(0, 300), "") for k in range(3000)])
+
+
+@pytest.mark.parametrize("name", ["stream_order_prices", "stream_running_day_bars"])
+def test_streams_with_groups_of_several_batches(spark, tmp_path, small_batches, name):
+    busy(spark, tmp_path)
+    wide = {"stream_order_prices": lambda: misc_queries.replay(spark, str(tmp_path), lambda t: live.order_prices(t, 2.0, 4000.0)).groupBy("code").agg(F.count("*").alias("n"), F.min("price").alias("least"))}
+    got, want = against_sql(spark, tmp_path, name)
+    assert got == want and len(got) > 0
+    if name in wide:
+        prices = {c: [r.value for r in spark.read.parquet(str(tmp_path / "events.parquet")).filter(F.col("event_type") == c).orderBy("ts").collect()] for c in "ab"}
+        records = {c: [p for k, p in enumerate(v) if p < min(v[:k], default=float("inf"))] for c, v in prices.items()}
+        assert sorted((r.code, r.n, r.least) for r in wide[name]().collect()) == [(c, len(v), v[-1]) for c, v in records.items()]
+        assert min(map(len, records.values())) > 10
+
+
+def test_rows_of_batches_are_made_once_and_by_several_tasks(spark, tmp_path):
+    busy(spark, tmp_path)
+    seen = []
+
+    def writer(stream):
+        return stream.writeStream.foreachBatch(lambda batch, number: seen.append((number, sorted(r.event_id for r in batch.collect()))))
+
+    made = spark.read.parquet(str(tmp_path / "events.parquet")).repartition(4)
+    calls = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: calls.add(1) or v, "double")
+    misc_queries.in_batches(spark, made.withColumn("value", count("value")), F.col("event_id"), str(tmp_path / "x"), writer)
+    assert [n for n, _ in seen] == [*range(misc_queries.BATCHES)] and sum((ids for _, ids in seen), []) == [*range(3000)]
+    assert calls.value == 3000
+    assert len(list((tmp_path / "x/in").glob("*.parquet"))) > misc_queries.BATCHES

@@ -188,9 +188,9 @@ register("source_text_table", _text_table, q.views("universe") + " select code,
 
 
 def _database(spark, sf):
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    io.write_jdbc(views.bars_day(spark, sf).select("code", C("ts").cast("string").alias("ts"), "close"), url, "bars", {"code": "instrument", "ts": "bar_date"}, driver="org.apache.derby.jdbc.EmbeddedDriver")
-    return spark.read.jdbc(url, "bars", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}).select(C("instrument"), C("bar_date"), C("close"))
+    path = scratch(spark)
+    io.write_sqlite(views.bars_day(spark, sf).select("code", C("ts").cast("string").alias("ts"), "close"), path, "bars", {"code": "instrument", "ts": "bar_date"})
+    return io.read_sqlite(spark, path, "bars", "instrument string, bar_date string, close double")
 
 
 register("source_database", _database, DAY + " select code as instrument, ts::varchar as bar_date, close from b")
