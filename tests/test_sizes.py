@@ -4,6 +4,7 @@ import random
 import subprocess
 import sys
 from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
 import duckdb
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import series as fn
 from tickloom.plans import misc_queries, registry
-from tickloom.sources import io
+from tickloom.sources import io, views
 from tickloom.streaming import live
 
 from test_queries import SF, TABLES, rows
@@ -122,3 +123,15 @@ def test_rows_of_batches_are_made_once_and_by_several_tasks(spark, tmp_path):
     assert [n for n, _ in seen] == [*range(misc_queries.BATCHES)] and sum((ids for _, ids in seen), []) == [*range(3000)]
     assert calls.value == 3000
     assert len(list((tmp_path / "x/in").glob("*.parquet"))) > misc_queries.BATCHES
+
+
+def test_fund_returns_at_half_a_unit_are_rounded_exactly(spark, tmp_path):
+    rng, begin = random.Random(3), datetime(1995, 1, 1)
+    cents = {(f"Brand#{b}", d): [rng.randint(0, 10) for _ in range(32)] for b in range(5) for d in range(60)}
+    spark.createDataFrame([(b, f"Brand#{b}") for b in range(5)], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(int(b[6:]), begin + timedelta(days=d), c / 100) for (b, d), v in cents.items() for c in v]
+    spark.createDataFrame(lines, "l_partkey long, l_shipdate timestamp_ntz, l_discount double").repartition(7).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.code, (r.date - begin.date()).days): r.ret for r in views.fund_ret(spark, str(tmp_path)).collect()}
+    exact = {k: (Decimal(sum(v)) / 3200 - Decimal("0.05")) / 5 for k, v in cents.items()}
+    assert sum(abs(x * 10**6 % 1) == Decimal("0.5") for x in exact.values()) > 100
+    assert got == {k: float(x.quantize(Decimal("0.000001"), ROUND_HALF_UP)) for k, x in exact.items()}

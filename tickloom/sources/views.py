@@ -5,6 +5,8 @@ Bars have (code, ts, open, high, low, close, volume, amount); ``quoted`` adds wh
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,10 @@ def status_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fund_ret(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.col("p_brand").alias("code"), F.col("l_shipdate").cast("date").alias("date")).agg(F.round((F.avg("l_discount") - 0.05) / 5, 6).alias("ret"))
+    # as decimals: sums of doubles depend on the order of the rows, and a mean at half a unit of the sixth digit (one group in a hundred) was rounded by that
+    mean = F.avg(F.col("l_discount").cast("decimal(28,18)")).cast("decimal(32,20)")
+    ret = F.round((mean - F.lit(Decimal("0.05"))) * F.lit(Decimal("0.2")), 6).cast("double")
+    return rows.groupBy(F.col("p_brand").alias("code"), F.col("l_shipdate").cast("date").alias("date")).agg(ret.alias("ret"))
 
 
 def money_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
