@@ -72,13 +72,16 @@ def order_prices(ticks: DataFrame, least: float, most: float) -> DataFrame:
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         lowest = state.get[0] if state.exists else float("inf")
-        for batch in batches:
-            rows = batch.sort_values("ts")
-            price = rows["price"].clip(least, most)
-            before = price.cummin().shift(1).fillna(float("inf")).clip(upper=lowest)
-            kept = price < before
-            yield pd.DataFrame({"code": key[0], "ts": rows["ts"][kept], "price": price[kept]})
-            lowest = min(lowest, float(price.min())) if len(price) else lowest
+
+        def lower(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["ts", "price"])
+            return rows[rows["price"] < rows["price"].cummin().shift(1).fillna(float("inf")).clip(upper=lowest)]
+
+        # a large group comes in several Arrow batches, in no order; what is not lower within its own batch is not lower within all
+        kept = lower(pd.concat([lower(batch[["ts", "price"]].assign(price=batch["price"].clip(least, most))) for batch in batches]))
+        if len(kept):
+            yield pd.DataFrame({"code": key[0], "ts": kept["ts"], "price": kept["price"]})
+            lowest = float(kept["price"].iloc[-1])
         state.update((lowest,))
 
     return ticks.groupBy("code").applyInPandasWithState(run, "code string, ts timestamp, price double", "lowest double", "append", GroupStateTimeout.NoTimeout)
