@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 C = F.col
 LATE = "10 minutes"
+#: Rows of a frame that a kernel gives back at once.
+CHUNK = 10_000
 
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
@@ -48,12 +50,12 @@ def running_day_bars(ticks: DataFrame, late: str = LATE) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        first, high, low, volume = state.get if state.exists else (0.0, float("-inf"), float("inf"), 0)
-        for batch in batches:
-            rows = batch.sort_values("ts")
-            if rows.empty:
-                continue
-            first = float(rows["price"].iloc[0]) if volume == 0 else first
+        first, high, low, volume = state.get if state.exists else (None, float("-inf"), float("inf"), 0)
+        # a large group comes in several Arrow batches, in no order
+        ticks = pd.concat(list(batches))[["ts", "price", "qty"]].sort_values(["ts", "price"])
+        for at in range(0, len(ticks), CHUNK):
+            rows = ticks.iloc[at : at + CHUNK]
+            first = float(rows["price"].iloc[0]) if first is None else first
             highs, lows, volumes = rows["price"].cummax().clip(lower=high), rows["price"].cummin().clip(upper=low), rows["qty"].cumsum() + volume
             yield pd.DataFrame({"code": key[0], "day": key[1], "ts": rows["ts"], "open": first, "high": highs, "low": lows, "close": rows["price"], "volume": volumes})
             high, low, volume = float(highs.iloc[-1]), float(lows.iloc[-1]), int(volumes.iloc[-1])
