@@ -108,14 +108,20 @@ register("stream_order_prices", lambda spark, sf: replay(spark, sf, lambda t: li
 BATCHES = 5
 
 
-def in_batches(spark, rows, at, path):
-    """The rows as a stream of BATCHES micro-batches, one after the other by the number ``at``."""
-    cuts = rows.agg(F.percentile_approx(at, [k / BATCHES for k in range(1, BATCHES)], 100_000)).first()[0] or []
+def in_batches(spark, rows, at, path, writer):
+    """Run a stream of the rows in BATCHES micro-batches, one after the other by the number ``at``; ``writer`` makes its writer of it.
+
+    The rows are made once; each run goes on from the last one's checkpoint with the files that were added since.
+    """
+    rows.withColumn("_at", at).write.parquet(f"{path}/all")
+    made = spark.read.parquet(f"{path}/all")
+    cuts = made.agg(F.percentile_approx("_at", [k / BATCHES for k in range(1, BATCHES)], 100_000)).first()[0] or []
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:], strict=False):
-        part = rows.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = made.filter((F.lit(True) if low is None else C("_at") > low) & (F.lit(True) if high is None else C("_at") <= high))
+        part.drop("_at").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        writer(stream).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def _upserted(spark, sf):
@@ -125,8 +131,7 @@ def _upserted(spark, sf):
     running = views.table(spark, sf, "events").select(
         C("user_id").cast("string").alias("code"), F.to_date("ts").cast("string").alias("ts"), F.first("value").over(w).alias("open"), F.max("value").over(w).alias("high"), C("value").alias("close"), F.row_number().over(w).cast("long").alias("volume"), F.unix_micros(C("ts").cast("timestamp")).alias("at")
     )
-    stream = in_batches(spark, running, C("at"), f"{path}/in").drop("at")
-    upserts.upsert_batches(stream, f"{path}/out", ["code", "ts"], "volume", 16).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    in_batches(spark, running, C("at"), path, lambda stream: upserts.upsert_batches(stream.drop("at"), f"{path}/out", ["code", "ts"], "volume", 16))
     return upserts.latest(spark, f"{path}/out").select("code", "ts", "open", "high", "close", "volume")
 
 
@@ -149,10 +154,8 @@ def _live(spark, sf):
     on_time = new.withColumn("arrival", hours + F.when(F.hour("ts") == 7, 350).otherwise(0))
     again = new.filter(F.hour("ts") == 13).withColumns({"arrival": hours + 250, "close": C("close") * 0.4})
     before = history.withColumn("arrival", hours - 10**9)
-    stream = in_batches(spark, before.unionByName(on_time).unionByName(again), C("arrival"), f"{path}/in")
-    made = live.live_signals(stream, half_mean_of_10, 12)
-    made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{path}/out").select("code", C("ts").cast("string").alias("ts"), "arrival", "buy")
+    in_batches(spark, before.unionByName(on_time).unionByName(again), C("arrival"), path, lambda stream: live.live_signals(stream, half_mean_of_10, 12).writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"))
+    return spark.read.schema("code string, ts timestamp, arrival long, buy boolean").parquet(f"{path}/out").select("code", C("ts").cast("string").alias("ts"), "arrival", "buy")
 
 
 register(
