@@ -101,3 +101,26 @@ def test_a_template_line_with_one_changing_word(spark):
     rows = [(i, f"this line was printed by {i} for you") for i in range(500)] + [(None, f"no id {i} on these lines at all") for i in range(50)]
     got = Counter((r.doc_id, r.n_removed) for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
     assert got[(0, 0)] == 1 and sum(n for (i, k), n in got.items() if k == 1 and i is not None) == 499
+
+
+def test_only_parts_that_may_differ_emit_variants():
+    rng = random.Random(5)
+    rows = {" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 60))) for _ in range(60)}
+    for x in sorted(rows):
+        w = x.split()
+        k = rng.randint(0, len(w))
+        w[k : k + rng.randint(0, 1)] = ["new"] * rng.randint(0, 1)
+        rows.add(" ".join(w))
+    rows = [x.encode() for x in sorted(rows) if len(x.split()) >= ld.MIN_WORDS]
+    lines, every = ld.Lines(rows), np.arange(len(rows))
+    parts = lines.parts(every)
+    times = Counter(parts.ravel().tolist())
+    bits = [sum(1 << k for k, key in enumerate(row) if times[key] > 1) for row in parts.tolist()]
+    at, keys, roles = lines.variants(every, np.array(bits))
+    # a change costs a part of a line for each line it joins, not the whole line
+    assert len(at) < sum(2 * len(x.split()) + 1 for x in rows) / 4
+    met = {}
+    for i, key, role in zip(at.tolist(), keys.tolist(), roles.tolist()):
+        met.setdefault((key, role), set()).add(i)
+    for a, b in [(a, b) for a in every for b in every if a < b and ld.within_one(rows[a].split(), rows[b].split())]:
+        assert any(a in of and b in (of if role == 0 else met.get((key, 3 - role), ())) for (key, role), of in met.items())

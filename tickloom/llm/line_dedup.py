@@ -10,8 +10,9 @@ the key decides without listing pairs; the pair with that line is verified on th
 A line goes if an earlier line (smaller doc_id, then line number, over all documents) is within one
 edit; it is judged on the input, whether or not the earlier line stays. Lines with fewer than MIN_WORDS
 words (in scripts without spaces a line is one word) go only if they equal an earlier line, in the query
-all but blank lines; ``equal_words`` sets how many words a line needs for that. Equal lines are collapsed first. Variants are emitted only by lines that share a half
-with another line: one edit leaves the first or the second half of the shorter line untouched.
+all but blank lines; ``equal_words`` sets how many words a line needs for that. Equal lines are collapsed first. Words are fetched only of lines that share a half
+with another line: one edit leaves the first or the second half of the shorter line untouched. For the same reason two such
+lines share all but one of their PARTS parts, and a line emits only the variants without a word of a part that it may differ in.
 
 Null and empty texts have one empty line, which stays. Rows that repeat a doc_id and line are one place
 and do not drop each other; rows of one doc_id with different lines keep apart by the line's digest. A
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, map_batches, parts_of, stash, table
+from .common import byte_rows, map_batches, parts_of, release, stash, table, unstash
 from .exact_dedup import bounded_broadcast
 
 MIN_WORDS = 5
+#: Parts of a line of which one edit leaves all but one untouched.
+PARTS = 8
 #: Bytes of text that are cut into lines at a time.
 BLOCK = 1 << 21
 #: Bytes with A-Z in lower case and all white space but the line feed as a space.
@@ -120,18 +123,43 @@ class Lines:
             out.append(_mixed(self.run(line, n - (m - half), n) + m.astype(_U) * _U(2) + _U(1)))
         return out
 
-    def variants(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ``line``, key, role) of the whole lines (role 2) and of each line without one word, alone (1) and with its place (0)."""
+    def parts(self, line: np.ndarray) -> np.ndarray:
+        """Keys of all but one part, a column for each part as the shorter line of a pair (or as long as the other), then as the longer one."""
+        n, out, zero = self.count[line], [], np.zeros(len(line), np.int64)
+        for m in (n, n - 1):
+            for j in range(PARTS):
+                a, b = m * j // PARTS, m * (j + 1) // PARTS
+                around = _mixed(self.run(line, zero, a) + _A) + self.run(line, n - (m - b), n)
+                out.append(_mixed(around + m.astype(_U) * _U(PARTS) + _U(j)))
+        return np.stack(out, 1)
+
+    def variants(self, line: np.ndarray, open_parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``line``, key, role) of the whole lines (role 2) and of each line without one word, alone (1) and with its place (0).
+
+        ``open_parts`` has a bit for each column of parts() that another line has too: only words of such parts are left out,
+        for role 0 and 2 where the line is the shorter one, for role 1 where it is the longer one.
+        """
         n = self.count[line]
+        bits = np.full(len(line), (1 << 2 * PARTS) - 1) if open_parts is None else np.asarray(open_parts, np.int64)
         of = np.repeat(np.arange(len(line)), n)
         i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        wanted = [np.zeros(len(of), bool), np.zeros(len(of), bool)]
+        for longer in (0, 1):
+            m = n - longer
+            for j in range(PARTS):
+                a, b = m * j // PARTS, m * (j + 1) // PARTS + longer
+                wanted[longer] |= (bits >> (longer * PARTS + j) & 1).astype(bool)[of] & (i >= a[of]) & (i < b[of])
+        any_word = wanted[0] | wanted[1]
+        of, i, same, shorter = of[any_word], i[any_word], wanted[0][any_word], wanted[1][any_word]
         w, size = self.words[line][of], n[of]
         left = self.sums[w + i] - self.sums[w]
         right = (self.sums[w + size] - self.sums[w + i + 1]) * self.back[1]
         cut = _mixed(left + right + (size - 1).astype(_U))
-        whole = self.run(line, np.zeros(len(line), np.int64), n)
-        keys = np.concatenate((whole, cut, _mixed(cut + i.astype(_U) + _A)))
-        return np.concatenate((np.arange(len(line)), of, of)), keys, np.repeat(np.array([2, 1, 0], np.int8), [len(line), len(of), len(of)])
+        entire = np.flatnonzero(bits & ((1 << PARTS) - 1))
+        whole = self.run(line[entire], np.zeros(len(entire), np.int64), n[entire])
+        keys = np.concatenate((whole, cut[shorter], _mixed(cut + i.astype(_U) + _A)[same]))
+        roles = np.repeat(np.array([2, 1, 0], np.int8), [len(entire), int(shorter.sum()), int(same.sum())])
+        return np.concatenate((entire, of[shorter], of[same])), keys, roles
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -171,36 +199,58 @@ def _places(least: int):
     return run
 
 
-def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, digest, own) of each line to remove; own is the hash of its row's id and text."""
-    docs = _documents(df, doc_id, text)
-    places, _ = stash(docs.mapInArrow(_places(equal_words), "doc_id long, line int, digest binary, halves array<long>, own long"))
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")
-    first, _ = stash(places.groupBy("digest").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n")))
-
-    # lines that share a half with another line
-    keyed = first.select("digest", F.explode("halves").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi").select("key")
-    near, _ = stash(keyed.join(shared, "key").select("digest").distinct())
-    chosen = bounded_broadcast(near.withColumnRenamed("digest", "wanted"))
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, lines in _blocks(batch):
-                seen = {digest(x): x for x in map(lines.joined, np.flatnonzero(lines.count >= MIN_WORDS).tolist())}
-                yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["digest", "words"])
-
-    found = docs.select("doc_id", "text").mapInArrow(texts, "digest binary, words binary")
-    candidates, _ = stash(found.join(chosen, F.col("digest") == F.col("wanted"), "left_semi").groupBy("digest").agg(F.first("words").alias("words")).join(first.select("digest", "first"), "digest"))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, lines in _blocks(batch):
-                at, keys, roles = lines.variants(np.arange(part.num_rows))
-                rows = pa.array(at)
-                yield pa.record_batch([part.column(0).take(rows), pa.array(keys.view(np.int64)), pa.array(roles), part.column(2).take(rows)], ["digest", "key", "role", "first"])
-
-    emitted, _ = stash(candidates.select("digest", "words", "first").mapInArrow(emit, "digest binary, key long, role byte, first struct<known:boolean,doc_id:bigint,line:int>"))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel: digest and words of each line of MIN_WORDS words or more."""
+    for batch in batches:
+        for _, lines in _blocks(batch):
+            seen = {digest(x): x for x in map(lines.joined, np.flatnonzero(lines.count >= MIN_WORDS).tolist())}
+            yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["digest", "words"])
+
+
+def _part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over (digest, words): a row for each column of parts()."""
+    for batch in batches:
+        for part, lines in _blocks(batch):
+            keys = lines.parts(np.arange(part.num_rows)).view(np.int64)
+            rows = pa.array(np.repeat(np.arange(part.num_rows), 2 * PARTS))
+            yield pa.record_batch([part.column(0).take(rows), pa.array(np.tile(np.arange(2 * PARTS, dtype=np.int32), part.num_rows)), pa.array(keys.ravel())], ["digest", "at", "key"])
+
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over (digest, words, first, bits): the variants."""
+    for batch in batches:
+        for part, lines in _blocks(batch):
+            at, keys, roles = lines.variants(np.arange(part.num_rows), part.column(3).to_numpy())
+            rows = pa.array(at)
+            yield pa.record_batch([part.column(0).take(rows), pa.array(keys.view(np.int64)), pa.array(roles), part.column(2).take(rows)], ["digest", "key", "role", "first"])
+
+
+def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ok = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(byte_rows(batch, 1), byte_rows(batch, 2), strict=True)]
+    return pa.record_batch([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["digest"])
+
+
+def _candidates(docs: DataFrame, first: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(digest, words, first) of the distinct lines that share a half with another line."""
+    # a line has each of its keys once, so a key that comes twice is of two lines; a line's hash stands for its digest
+    keyed = first.select(F.xxhash64("digest").alias("wanted"), F.explode("halves").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    near, near_path = stash(keyed.join(shared, "key").select("wanted").distinct())
+    found = docs.select("doc_id", "text").mapInArrow(_texts, "digest binary, words binary")
+    held = found.join(bounded_broadcast(near), F.xxhash64("digest") == F.col("wanted"), "left_semi").groupBy("digest").agg(F.first("words").alias("words"))
+    candidates, path = stash(held.join(first.select("digest", "first"), "digest"))
+    unstash(docs.sparkSession, [near_path])
+    return candidates, [path]
+
+
+def _near_an_earlier(candidates: DataFrame) -> DataFrame:
+    """(digest, near) of the lines within one edit of an earlier one that is not equal."""
+    spark = candidates.sparkSession
+    parts, parts_path = stash(candidates.select("digest", "words").mapInArrow(_part_keys, "digest binary, at int, key long"))
+    shared = parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    bits = parts.join(shared, "key").groupBy("digest").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at"))).alias("bits"))
+    emitted, path = stash(candidates.join(bits, "digest").select("digest", "words", "first", "bits").mapInArrow(_emit, "digest binary, key long, role byte, first struct<known:boolean,doc_id:bigint,line:int>"))
+    unstash(spark, [parts_path])
     who = F.struct("first", "digest")
     met = emitted.groupBy("key", (F.col("role") == 0).alias("same")).agg(
         F.min(who).alias("any"), F.min(F.when(F.col("role") == 2, who)).alias("whole"), F.min(F.when(F.col("role") == 1, who)).alias("cut"), F.count("*").alias("n")
@@ -209,19 +259,33 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_wo
     joined = emitted.withColumn("same", F.col("role") == 0).join(met, ["key", "same"])
     other = F.when(F.col("role") == 0, F.col("any")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("cut"))
     pairs = joined.select("digest", "first", other.alias("o")).filter("o is not null and o.first < first").select("digest", F.col("o.digest").alias("earlier")).distinct()
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(byte_rows(batch, 1), byte_rows(batch, 2), strict=True)]
-        return pa.record_batch([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["digest"])
-
     words = candidates.select("digest", "words")
     both = pairs.join(words, "digest").join(words.select(F.col("digest").alias("earlier"), F.col("words").alias("earlier_words")), "earlier").select("digest", "words", "earlier_words")
-    near_gone, _ = stash(map_batches(both, verify, "digest binary").distinct().withColumn("near", F.lit(True)))
+    near, _ = stash(map_batches(both, _verify, "digest binary").distinct().withColumn("near", F.lit(True)))
+    unstash(spark, [path])
+    return near
+
+
+def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", equal_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line, digest, own) of each line to remove; own is the hash of its row's id and text."""
+    spark = df.sparkSession
+    docs = _documents(df, doc_id, text)
+    places, places_path = stash(docs.mapInArrow(_places(equal_words), "doc_id long, line int, digest binary, halves array<long>, own long"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")
+    first, first_path = stash(places.groupBy("digest").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n")))
+    candidates, candidate_paths = _candidates(docs, first)
+    near_gone = _near_an_earlier(candidates)
+    unstash(spark, candidate_paths)
 
     # of equal lines the earliest stays, unless it is near an earlier line
     marked = places.select("doc_id", "line", "digest", "own").join(first.filter("n > 1").select("digest", "first"), "digest", "left").join(near_gone, "digest", "left")
     later = F.coalesce(F.col("first") < place, F.lit(False))
-    return marked.filter(F.coalesce(F.col("near"), F.lit(False)) | later).select("doc_id", "line", "digest", "own")
+    gone, _ = stash(marked.filter(F.coalesce(F.col("near"), F.lit(False)) | later).select("doc_id", "line", "digest", "own"))
+    unstash(spark, [places_path, first_path])
+    # the texts are shuffled next
+    del marked
+    release(spark)
+    return gone
 
 
 RESULT = "doc_id long, n_lines long, n_removed long, text string"
