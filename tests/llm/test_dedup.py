@@ -224,3 +224,25 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     rows = [(1, long), (2, near), (2, other), (None, near), (None, third)]
     kept = simhash.filter_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.text) for r in kept} == {(1, long), (2, other), (None, third)}
+
+
+def test_only_texts_that_may_have_a_similar_one_are_listed(spark):
+    rng = random.Random(7)
+    texts, line = [], [f"common{i}" for i in range(30)]
+    for k in range(80):
+        w = [f"{rng.getrandbits(40):x}" for _ in range(rng.choice((1, 3, 6, 9, 30, 100, 300)))]
+        texts.append(line + w if len(w) >= 100 else w)
+        if k % 2:
+            v = list(w)
+            for _ in range(rng.randint(0, len(w) // 50 + 1)):
+                v[rng.randrange(len(v))] = "new"
+            texts.append(line + v if len(w) >= 100 else v)
+    texts = list(enumerate(" ".join(w) for w in texts)) + [(900, ""), (901, " "), (902, "a b"), (903, "A  b")]
+    frame = spark.createDataFrame(texts, "num long, text string").selectExpr("num", "cast(text as binary) as text")
+    got = [r.num for r in simhash.promising(frame.unionByName(frame.filter("num < 9")).repartition(3), 5, 0.8)[0].collect()]
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in texts}
+    similar = {i for i in sets for j in sets if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(similar) > 30 and similar <= set(got) and len(got) == len(set(got))
+    # a common passage alone is not enough
+    apart = {i for i in sets if len(sets[i]) >= 100 and all(i == j or len(sets[i] & sets[j]) < 0.3 * len(sets[i] | sets[j]) for j in sets)}
+    assert len(apart) > 5 and not apart & set(got)

@@ -17,6 +17,7 @@ joins its class but never names it, unless all ids of the class are null. Other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, map_batches, stash, table, unstash, unused
+from .common import byte_rows, map_batches, release, stash, table, unstash, unused
 from .components import components
 from .exact_dedup import bounded_broadcast
 
@@ -37,6 +38,8 @@ BUCKET = 4096
 BITS = 64
 #: Shingles whose bits are counted at a time, so that a long text needs little memory.
 BLOCK = 1 << 16
+#: Shingles with a signed hash below this (three eighths of all) tell which texts may have a similar one.
+SAMPLED = -(1 << 61)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -230,28 +233,38 @@ def _similar(least: float, size: int):
     return kernel
 
 
-def _tokens(size: int):
-    """Kernel over (num, text): a row (token, num, n) for each of the n distinct word shingles of a text, as a 64-bit hash."""
+def _tokens(size: int, least: float | None = None):
+    """Kernel over (num, text): a row (token, num, n) for each of the n distinct word shingles of a text, as a 64-bit hash.
+
+    With ``least`` only for those below SAMPLED, and n is the least number of these that a text of that similarity
+    has too; where that is none, n is 0 and there is one row at least.
+    """
     schema = pa.schema([("token", pa.int64()), ("num", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nums, total = [], [], 0
+        held, nums, needs, total = [], [], [], 0
 
         def out() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in held])
-            columns = np.concatenate(held), np.repeat(np.array(nums, np.int64), sizes), np.repeat(sizes.astype(np.int32), sizes)
+            columns = np.concatenate(held), np.repeat(np.array(nums, np.int64), sizes), np.repeat(np.array(needs, np.int32), sizes)
             return pa.record_batch([pa.array(x) for x in columns], schema=schema)
 
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             for num, text in zip(batch.column(0).to_pylist(), byte_rows(batch), strict=True):
                 own = np.unique(np.array([digest(x, SEED) for x in shingle_set(text, size)], np.uint64).view(np.int64))
+                n = len(own)
+                if least is not None:
+                    part = own[: np.searchsorted(own, SAMPLED)]
+                    n = max(0, len(part) - (n - math.ceil(n * least - 1e-9)))
+                    own = part if len(part) else own[:1]
                 held.append(own)
                 nums.append(num)
+                needs.append(n)
                 total += len(own)
                 if total >= BLOCK:
                     yield out()
-                    held, nums, total = [], [], 0
+                    held, nums, needs, total = [], [], [], 0
         if held:
             yield out()
 
@@ -259,7 +272,7 @@ def _tokens(size: int):
 
 
 def _repeated(cap: int):
-    """Kernel over rows (token, num, n) in order of (token, num): those of tokens that several texts have, with their number up to ``cap``."""
+    """Kernel over rows (token, num, n) in order of (token, num): those of tokens that several texts have, or with n of 0, with their number up to ``cap``."""
     schema = pa.schema([("token", pa.int64()), ("num", pa.int64()), ("n", pa.int32()), ("df", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +306,7 @@ def _repeated(cap: int):
             if end:
                 _, inverse, counts = np.unique(token[:end], return_inverse=True, return_counts=True)
                 df = np.minimum(counts[inverse], cap)
-                many = df > 1
+                many = (df > 1) | (n[:end] == 0)
                 if many.any():
                     yield out(token[:end][many], num[:end][many], n[:end][many], df[many])
             token, num, n = token[end:], num[end:], n[end:]
@@ -301,12 +314,24 @@ def _repeated(cap: int):
                 hot = token[0]
                 yield out(token, num, n, np.full(len(token), cap))
                 token, num, n = token[:0], num[:0], n[:0]
-        if len(token) > 1:
+        if len(token) > 1 or (n == 0).any():
             yield out(token, num, n, np.full(len(token), min(len(token), cap)))
 
     return run
 
 
+def promising(texts: DataFrame, shingle: int, least: float) -> tuple[DataFrame, str]:
+    """(num) of the texts (num, text) that may have one of similarity ``least`` beside them; no other one has.
+
+    A text of n shingles has at most n - ceil(least * n) that a similar one lacks. So of its shingles below SAMPLED, which
+    are the same choice in all texts, no more than that are of this text alone.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = texts.mapInArrow(_tokens(shingle, least), "token long, num long, n int").repartition(parts, "token").sortWithinPartitions("token", "num")
+    seen = tokens.mapInArrow(_repeated(2), "token long, num long, n int, df int")
+    return stash(seen.groupBy("num", "n").agg(F.count("*").alias("found")).filter("found >= n").select("num"))
+
+
 def prefixes(texts: DataFrame, shingle: int, least: float, cap: int = BUCKET) -> tuple[DataFrame, str]:
     """(token, num, n, place): the rarest shingles of each text (num, text), such that two texts of similarity ``least`` share one.
 
@@ -366,7 +391,12 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     linked = edges.distinct().join(name("a"), "a").join(name("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
     equal = rows.join(prints, "fp").filter("num != first").select(F.col("num").alias("a"), F.col("first").alias("b"))
 
-    rare, rare_path = prefixes(texts, shingle, least)
+    release(spark)
+    hopeful, hopeful_path = promising(texts, shingle, least)
+    release(spark)
+    rare, rare_path = prefixes(texts.join(bounded_broadcast(hopeful), "num", "left_semi"), shingle, least)
+    unstash(spark, [hopeful_path])
+    release(spark)
     firsts = rare.groupBy("token").agg(F.min(F.struct("num", "n", "place")).alias("f"), F.count("*").alias("rows")).filter("rows > 1").select("token", "f.*")
     stars = rare.alias("l").join(firsts.alias("r"), "token").filter("l.num != r.num").filter(_may_be_similar(least)).select(F.col("l.num").alias("a"), F.col("r.num").alias("b"))
     tried, tried_path = stash(linked.unionByName(equal).unionByName(stars).distinct())
